@@ -114,5 +114,12 @@ def map_city_to_region(df: DataFrame, city_col: str, regions: DataFrame, region_
     return j.withColumn(out, F.col("_mapped")).drop("_v", "_mapped")
 
 
+def explode_cities(df: DataFrame, list_col: str, keep: list[str], out: str = "city") -> DataFrame:
+    """Comma-separated list cell -> one row per trimmed, non-empty item; distinct rows."""
+    items = df.select(*keep, F.explode(F.split(F.col(list_col), ",")).alias("_item"))
+    return (items.select(*keep, F.trim(F.col("_item")).alias(out))
+            .where(F.col(out) != "").distinct())
+
+
 def rank_within(partition_cols, order_cols):
     return F.row_number().over(Window.partitionBy(*partition_cols).orderBy(*order_cols))

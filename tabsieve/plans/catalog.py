@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "tabsieve.plans.catalog_profile",
+    "tabsieve.plans.catalog_transform",
 ]
 
 
