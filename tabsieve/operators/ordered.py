@@ -178,3 +178,42 @@ def seasonal_decompose(daily: DataFrame, day: str, value: str, period: int) -> D
     res = t.join(F.broadcast(ph.select("_phase", "seasonal")), "_phase")  # <= period rows
     return res.select(c_(day), c_(value), "trend", "seasonal",
                       (c_(value) - F.col("trend") - F.col("seasonal")).alias("resid"))
+
+
+def prefix_sums(df: DataFrame, order_cols, sum_cols: list[str], num_partitions: int | None = None,
+                prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of integer ``sum_cols`` in a total order, distributed.
+
+    Range partitions are scanned in order by ``mapInPandas`` (vectorised
+    ``cumsum`` inside each task), then per-partition totals (one row per
+    partition) give each partition's carry-in.
+    """
+    import pandas as pd  # noqa: F401  (tasks only)
+    from pyspark.sql import types as T
+
+    keys = _keys(order_cols)
+    part = (df.repartitionByRange(_parts(df, num_partitions), *keys).sortWithinPartitions(*keys)
+            .withColumn("_pid", F.spark_partition_id().cast("long")))
+    schema = T.StructType(part.schema.fields + [T.StructField(f"{prefix}{c}", T.LongType())
+                                                for c in sum_cols])
+    cols = list(sum_cols)
+
+    def local_cumsum(batches):
+        carry = {c: 0 for c in cols}
+        for pdf in batches:
+            for c in cols:
+                cs = pdf[c].fillna(0).astype("int64").cumsum() + carry[c]
+                if len(cs):
+                    carry[c] = int(cs.iloc[-1])
+                pdf[f"{prefix}{c}"] = cs
+            yield pdf
+
+    local = part.mapInPandas(local_cumsum, schema).checkpoint(eager=True)
+    tot = local.groupBy("_pid").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_o{i}")
+                               for i in range(len(cols))])
+    out = local.join(F.broadcast(off), "_pid")
+    for i, c in enumerate(cols):
+        out = out.withColumn(f"{prefix}{c}", (F.col(f"{prefix}{c}") + F.col(f"_o{i}")).cast("bigint"))
+    return out.drop("_pid", *[f"_o{i}" for i in range(len(cols))])

@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "tabsieve.plans.catalog_profile",
     "tabsieve.plans.catalog_transform",
+    "tabsieve.plans.catalog_analysis",
 ]
 
 
