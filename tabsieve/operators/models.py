@@ -6,7 +6,7 @@ column; no model code runs outside Spark.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 
@@ -22,3 +22,262 @@ def onehot_encode(df: DataFrame, cols: list[str], fit_df: DataFrame | None = Non
                                     handleInvalid="keep"))
     model = Pipeline(stages=stages).fit(fit_df if fit_df is not None else df)
     return model.transform(df).drop(*[f"{c}_idx" for c in cols])
+
+
+# --------------------------------------------------------------- assembly
+import functools  # noqa: E402
+from dataclasses import dataclass  # noqa: E402
+
+from pyspark.ml.classification import (  # noqa: E402
+    GBTClassifier, LogisticRegression, RandomForestClassifier,
+)
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def feature_pipeline(num_cols: list[str], cat_cols: list[str], scale: bool = False,
+                     onehot: bool = False, impute: bool = True) -> list:
+    """Stages: median imputer for numerics, indexer (+ one-hot) for categoricals, assembler."""
+    stages = []
+    nums = list(num_cols)
+    if impute and nums:
+        stages.append(Imputer(inputCols=nums, outputCols=[f"{c}__imp" for c in nums], strategy="median"))
+        nums = [f"{c}__imp" for c in nums]
+    cats = []
+    for c in cat_cols:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
+                                    stringOrderType="frequencyDesc"))
+        if onehot:
+            stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", handleInvalid="keep"))
+            cats.append(f"{c}__ohe")
+        else:
+            cats.append(f"{c}__idx")
+    if scale and nums:
+        stages.append(VectorAssembler(inputCols=nums, outputCol="_num_vec", handleInvalid="keep"))
+        stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True))
+        stages.append(VectorAssembler(inputCols=["_num_scaled"] + cats, outputCol="features", handleInvalid="keep"))
+    else:
+        stages.append(VectorAssembler(inputCols=nums + cats, outputCol="features", handleInvalid="keep"))
+    return stages
+
+
+def _classifier(kind: str, label: str, weight: str | None, params: dict, seed: int = 42):
+    if kind == "gbt":
+        m = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=64, **params)
+    elif kind == "rf":
+        m = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=64, **params)
+    elif kind == "lr":
+        m = LogisticRegression(labelCol=label, featuresCol="features", **params)
+    else:
+        raise ValueError(kind)
+    if weight:
+        m.setWeightCol(weight)
+    return m
+
+
+@dataclass
+class FittedModel:
+    model: PipelineModel
+    num_cols: list
+    cat_cols: list
+    kind: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+    def slot_sources(self, df: DataFrame) -> list[str]:
+        """Source column of every slot of the assembled vector (from ML attribute metadata)."""
+        out = self.model.transform(df.limit(0))
+        meta = out.schema["features"].metadata.get("ml_attr", {})
+        attrs = []
+        for group in meta.get("attrs", {}).values():
+            attrs.extend(group)
+        attrs.sort(key=lambda a: a["idx"])
+        srcs = []
+        for a in attrs:
+            name = a.get("name", "")
+            base = name.split("__")[0]
+            if base.startswith("_num_scaled_"):
+                base = self.num_cols[int(base.rsplit("_", 1)[1])]
+            srcs.append(base)
+        size = meta.get("num_attrs", len(srcs))
+        return srcs if len(srcs) == size else srcs + ["?"] * (size - len(srcs))
+
+
+def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
+                   weight: str | None = None, params: dict | None = None, seed: int = 42) -> FittedModel:
+    stages = feature_pipeline(num_cols, cat_cols, scale=(kind == "lr"), onehot=(kind == "lr"))
+    stages.append(_classifier(kind, label, weight, params or {}, seed))
+    return FittedModel(Pipeline(stages=stages).fit(train), list(num_cols), list(cat_cols), kind)
+
+
+def fit_boosted_trees(train: DataFrame, label: str, num_cols, cat_cols, weight=None, max_iter: int = 20,
+                      depth: int = 5, step: float = 0.1, val_col: str | None = None, seed: int = 42) -> FittedModel:
+    params = dict(maxIter=max_iter, maxDepth=depth, stepSize=step)
+    if val_col:
+        params["validationIndicatorCol"] = val_col
+    return fit_classifier(train, label, num_cols, cat_cols, "gbt", weight, params, seed)
+
+
+def fit_random_forest(train: DataFrame, label: str, num_cols, cat_cols, n_trees: int = 20, depth: int = 5,
+                      seed: int = 42) -> FittedModel:
+    return fit_classifier(train, label, num_cols, cat_cols, "rf", None, dict(numTrees=n_trees, maxDepth=depth), seed)
+
+
+def fit_elastic_net(train: DataFrame, label: str, num_cols, cat_cols, C: float = 1.0, l1_ratio: float = 0.5,
+                    weight=None) -> FittedModel:
+    n = train.count()
+    params = dict(regParam=1.0 / (C * max(n, 1)), elasticNetParam=l1_ratio, maxIter=100)
+    return fit_classifier(train, label, num_cols, cat_cols, "lr", weight, params)
+
+
+def probability_of(scored: DataFrame, cls: int = 1, out: str = "p") -> DataFrame:
+    return scored.withColumn(out, vector_to_array(F.col("probability"))[cls])
+
+
+def feature_importance(fm: FittedModel, df: DataFrame) -> DataFrame:
+    """(feature, importance): tree importances summed per source column (normalised to 1);
+    for linear models |coefficient| rolled up by source column."""
+    spark = df.sparkSession
+    srcs = fm.slot_sources(df)
+    clf = fm.model.stages[-1]
+    if fm.kind == "lr":
+        vals = [abs(x) for x in clf.coefficients.toArray()]
+    else:
+        vals = list(clf.featureImportances.toArray())
+    rows = [(srcs[i] if i < len(srcs) else f"f{i}", float(v)) for i, v in enumerate(vals)]
+    t = spark.createDataFrame(rows, "feature string, importance double")  # one row per vector slot
+    return t.groupBy("feature").agg(F.sum("importance").alias("importance"))
+
+
+def coefficient_rollup(fm: FittedModel, df: DataFrame) -> DataFrame:
+    """Linear model: (base_feature, sum_abs_coef, max_abs_coef, nonzero_count) over one-hot slots."""
+    spark = df.sparkSession
+    srcs = fm.slot_sources(df)
+    coefs = fm.model.stages[-1].coefficients.toArray()
+    t = spark.createDataFrame([(srcs[i], float(abs(c))) for i, c in enumerate(coefs)],
+                              "base_feature string, abs_coef double")
+    return (t.where(F.col("abs_coef") > 0).groupBy("base_feature")
+            .agg(F.sum("abs_coef").alias("sum_abs_coef"), F.max("abs_coef").alias("max_abs_coef"),
+                 F.count(F.lit(1)).alias("nonzero_count")))
+
+
+# ------------------------------------------------------------ tuning & loops
+def ap_of(scored: DataFrame, label: str, positive: int = 0) -> float:
+    """Average precision of ``positive`` computed by Spark (distinct-score prefix sums)."""
+    from tabsieve.operators.evaluate import average_precision
+    p = probability_of(scored, positive, "_p")
+    return average_precision(p, label, "_p", positive=positive).first()[0] or 0.0
+
+
+def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "test_fold", k: int = 3,
+               kind: str = "gbt", params: dict | None = None, positive: int = 0, key: str = "_idx") -> DataFrame:
+    """Out-of-fold probabilities over expanding time folds: fold i trains on rows before its
+    test block (``_idx`` order). Rows in no test fold keep NULL."""
+    preds = []
+    for i in range(k):
+        test = df.where(F.col(fold_col) == i)
+        lo = test.agg(F.min(key)).first()[0]
+        if lo is None:
+            continue
+        train = df.where(F.col(key) < lo)
+        fm = fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {})
+        preds.append(probability_of(fm.transform(test), positive, "oof_p").select(key, "oof_p"))
+    if not preds:
+        return df.withColumn("oof_p", F.lit(None).cast("double"))
+    allp = functools.reduce(lambda a, b: a.unionByName(b), preds)
+    return df.join(allp, key, "left")
+
+
+def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_trials: int = 4,
+                fold_col: str = "test_fold", k: int = 2, kind: str = "gbt", seed: int = 42,
+                positive: int = 0, key: str = "_idx") -> DataFrame:
+    """Seeded random search: each trial draws one value per parameter, scores the mean
+    average precision of ``positive`` over the time folds; returns (trial, params, mean_ap)."""
+    import json
+    import random
+    rng = random.Random(seed)
+    rows = []
+    for t in range(n_trials):
+        params = {p: rng.choice(v) for p, v in space.items()}
+        aps = []
+        for i in range(k):
+            test = df.where(F.col(fold_col) == i)
+            lo = test.agg(F.min(key)).first()[0]
+            if lo is None:
+                continue
+            fm = fit_classifier(df.where(F.col(key) < lo), label, num_cols, cat_cols, kind, None, params)
+            aps.append(ap_of(fm.transform(test), label, positive))
+        rows.append((t, json.dumps(params, sort_keys=True), float(sum(aps) / len(aps)) if aps else None))
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_ap double")
+
+
+def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt",
+                      params: dict | None = None, positive: int = 0) -> DataFrame:
+    """Refit without each feature; (feature, ap, delta_vs_baseline). Inputs are cached once."""
+    train, valid = train.cache(), valid.cache()
+    base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}).transform(valid),
+                 label, positive)
+    rows = [("<baseline>", base, 0.0)]
+    for c in list(num_cols) + list(cat_cols):
+        n2 = [x for x in num_cols if x != c]
+        c2 = [x for x in cat_cols if x != c]
+        ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}).transform(valid), label, positive)
+        rows.append((c, ap, ap - base))
+    return train.sparkSession.createDataFrame(rows, "feature string, ap double, delta double")
+
+
+def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[str], num_cols, cat_cols,
+                 sizes: list[int], kind: str = "gbt", params: dict | None = None, positive: int = 0) -> DataFrame:
+    """Drop the n least important features for n in ``sizes``; stop at the first improvement."""
+    train, valid = train.cache(), valid.cache()
+    base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}).transform(valid),
+                 label, positive)
+    rows = [(0, base, False)]
+    for n in sizes:
+        drop = set(ranked[-n:]) if n > 0 else set()
+        n2 = [c for c in num_cols if c not in drop]
+        c2 = [c for c in cat_cols if c not in drop]
+        if not n2 and not c2:
+            continue
+        ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}).transform(valid), label, positive)
+        rows.append((n, ap, ap > base))
+        if ap > base:
+            break
+    return train.sparkSession.createDataFrame(rows, "dropped int, ap double, improved boolean")
+
+
+def score_rows(model: PipelineModel | FittedModel, df: DataFrame, id_col: str, cls: int = 0) -> DataFrame:
+    """(id, score) = probability of class ``cls``; works on unlabelled rows."""
+    m = model.model if isinstance(model, FittedModel) else model
+    return probability_of(m.transform(df), cls, "score").select(F.col(id_col).alias("id"), "score")
+
+
+def save_model(fm: FittedModel, path: str) -> None:
+    fm.model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+# ----------------------------------------------------------- error clusters
+def cluster_errors(df: DataFrame, num_cols, cat_cols, k: int = 4, max_pcs: int = 10, seed: int = 42) -> DataFrame:
+    """Numeric NULL -> 0, categories indexed, standardised, PCA (<= 10), k-means (<= 4)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+    filled = df.fillna(0, subset=list(num_cols))
+    stages = []
+    cats = []
+    for c in cat_cols:
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__code", handleInvalid="keep"))
+        cats.append(f"{c}__code")
+    stages.append(VectorAssembler(inputCols=list(num_cols) + cats, outputCol="_raw", handleInvalid="keep"))
+    stages.append(StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True))
+    n_pc = max(1, min(max_pcs, len(num_cols) + len(cats)))
+    stages.append(PCA(k=n_pc, inputCol="_z", outputCol="_pc"))
+    n = df.count()
+    stages.append(KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="_pc", predictionCol="cluster"))
+    model = Pipeline(stages=stages).fit(filled)
+    return model.transform(filled).drop("_raw", "_z", "_pc", *cats)

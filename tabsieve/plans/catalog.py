@@ -8,6 +8,7 @@ MODULES = [
     "tabsieve.plans.catalog_profile",
     "tabsieve.plans.catalog_transform",
     "tabsieve.plans.catalog_analysis",
+    "tabsieve.plans.catalog_models",
 ]
 
 
