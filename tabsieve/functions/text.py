@@ -16,6 +16,10 @@ EMPTY_TOKENS = ("", "nan", "none", "null", "nat")
 BINARY_TEXT_MAP = {"0": 0.0, "1": 1.0, "false": 0.0, "true": 1.0, "no": 0.0, "yes": 1.0}
 
 _TRIM_RE = r"^\s+|\s+$"
+# The characters Python's str.strip() removes (str.isspace), trimmed with btrim
+# (a character-set trim, much cheaper than a regex on every value).
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+              "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_of(c) -> Column:
@@ -29,12 +33,12 @@ def as_text(c) -> Column:
 
 def normalize_text(c) -> Column:
     """cast to string, NULL -> '', strip leading/trailing whitespace."""
-    return F.regexp_replace(as_text(c), _TRIM_RE, "")
+    return F.btrim(as_text(c), F.lit(WHITESPACE))
 
 
 def regex_trim(c) -> Column:
     """Whitespace trim that also strips tabs/newlines (``trim`` strips spaces only)."""
-    return F.regexp_replace(col_of(c), _TRIM_RE, "")
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def is_empty(c) -> Column:

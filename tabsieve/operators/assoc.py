@@ -25,35 +25,61 @@ def pearson(x: Column, y: Column) -> tuple[Column, Column]:
     return r, F.count(xb)
 
 
+def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]]) -> DataFrame:
+    """(left, right, corr, n) for pairs of numeric expressions, pairwise complete.
+
+    Two cheap passes instead of one heavy one: column means (used only as a
+    shift against cancellation), then six plain sums per pair over shifted
+    values where both sides exist. r is NULL when a side has zero variance.
+    """
+    exprs: dict[str, Column] = {}
+    for a, xa, b, xb in pairs:
+        exprs.setdefault(a, xa)
+        exprs.setdefault(b, xb)
+    names = list(exprs)
+    idx = {n: i for i, n in enumerate(names)}
+    means = df.agg(*[F.avg(exprs[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    shifted = {n: exprs[n] - F.lit(means[f"m{idx[n]}"] or 0.0) for n in names}
+    # project the masked, shifted pair columns first: the aggregate then works on plain
+    # column references, which keeps the generated code small for many pairs
+    base = df.select(*[F.when(~F.isnan(shifted[n]), shifted[n]).alias(f"v{idx[n]}") for n in names])
+    proj, aggs = [], []
+    for k, (a, _, b, _) in enumerate(pairs):
+        x, y = F.col(f"v{idx[a]}"), F.col(f"v{idx[b]}")
+        both = x.isNotNull() & y.isNotNull()
+        proj += [F.when(both, x).alias(f"x{k}"), F.when(both, y).alias(f"y{k}")]
+        xb, yb = F.col(f"x{k}"), F.col(f"y{k}")
+        aggs += [F.count(xb).alias(f"n{k}"), F.sum(xb).alias(f"sx{k}"), F.sum(yb).alias(f"sy{k}"),
+                 F.sum(xb * xb).alias(f"sxx{k}"), F.sum(yb * yb).alias(f"syy{k}"), F.sum(xb * yb).alias(f"sxy{k}")]
+    row = base.select(*proj).agg(*aggs)
+    structs = []
+    for k, (a, _, b, _) in enumerate(pairs):
+        n = F.col(f"n{k}").cast("double")
+        cov = n * F.col(f"sxy{k}") - F.col(f"sx{k}") * F.col(f"sy{k}")
+        vx = n * F.col(f"sxx{k}") - F.col(f"sx{k}") * F.col(f"sx{k}")
+        vy = n * F.col(f"syy{k}") - F.col(f"sy{k}") * F.col(f"sy{k}")
+        r = F.when((vx > 0) & (vy > 0),
+                   F.greatest(F.least(cov / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
+        structs.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), r.alias("corr"),
+                                F.col(f"n{k}").alias("n")))
+    return row.select(F.inline(F.array(*structs)))
+
+
 def numeric_target_corr(df: DataFrame, target: str, cols=None, min_rows: int = 30,
                         min_abs: float = 0.05) -> DataFrame:
     """(feature, corr, n) of every numeric column with the target; |r| >= min_abs, n >= min_rows."""
     cols = [c for c in (numeric_columns(df, cols)) if c != target]
     y = safe_binary_target(c_(target))
-    aggs = []
-    for i, c in enumerate(cols):
-        r, n = pearson(c_(c).cast("double"), y)
-        aggs += [r.alias(f"r{i}"), n.alias(f"n{i}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("corr"), F.col(f"n{i}").alias("n"))
-               for i, c in enumerate(cols)]
-    long = row.select(F.inline(F.array(*structs)))
+    long = pearson_table(df, [(c, c_(c).cast("double"), "\0target", y) for c in cols])
     return (long.where(F.col("corr").isNotNull() & (F.col("n") >= min_rows) & (F.abs("corr") >= min_abs))
-            .select("feature", F.round("corr", 4).alias("corr"), "n"))
+            .select(F.col("left").alias("feature"), F.round("corr", 4).alias("corr"), "n"))
 
 
 def numeric_feature_corr(df: DataFrame, cols=None, min_rows: int = 30, min_abs: float = 0.80) -> DataFrame:
     """(left, right, corr, n) for numeric pairs with |r| >= min_abs (pairwise complete)."""
     cols = numeric_columns(df, cols)
-    pairs = list(itertools.combinations(cols, 2))
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        r, n = pearson(c_(a).cast("double"), c_(b).cast("double"))
-        aggs += [r.alias(f"r{k}"), n.alias(f"n{k}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{k}").alias("corr"),
-                        F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(pairs)]
-    long = row.select(F.inline(F.array(*structs)))
+    pairs = [(a, c_(a).cast("double"), b, c_(b).cast("double")) for a, b in itertools.combinations(cols, 2)]
+    long = pearson_table(df, pairs)
     return (long.where(F.col("corr").isNotNull() & (F.col("n") >= min_rows) & (F.abs("corr") >= min_abs))
             .select("left", "right", F.round("corr", 4).alias("corr"), "n"))
 

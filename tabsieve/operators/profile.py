@@ -64,14 +64,51 @@ def wide_row_to_long(row_df: DataFrame, names: list[str], value_cols: dict[str,
 
 
 # ---------------------------------------------------------------- empty share
+def _types(df: DataFrame) -> dict:
+    return {f.name: f.dataType for f in df.schema.fields}
+
+
+def empty_expr(name: str, dtype) -> "F.Column":
+    """Type-aware form of ``is_empty``: a number's text is never blank or a token other
+    than 'nan', so numbers are empty only when NULL or NaN and timestamps only when
+    NULL. Same result, no per-value string formatting."""
+    x = c_(name)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return x.isNull() | F.isnan(x)
+    if isinstance(dtype, NUMERIC + (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)):
+        return x.isNull()
+    return is_empty(x)
+
+
+def value_text_expr(name: str, dtype) -> "F.Column":
+    """Type-aware ``non_empty_text``: strings are trimmed; other types only need the cast."""
+    x = c_(name)
+    if isinstance(dtype, STRING_LIKE) or not isinstance(
+            dtype, NUMERIC + (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)):
+        return non_empty_text(x)
+    return F.when(~empty_expr(name, dtype), x.cast("string"))
+
+
 def empty_share(df: DataFrame, cols=None) -> DataFrame:
     """(feature, empty_share): share of rows whose normalised text is an empty token."""
     cols = _cols(df, cols)
-    row = df.agg(*[F.avg(is_empty(c_(c)).cast("double")).alias(f"e{i}")
+    ty = _types(df)
+    row = df.agg(*[F.avg(empty_expr(c, ty[c]).cast("double")).alias(f"e{i}")
                    for i, c in enumerate(cols)])
     return wide_row_to_long(row, cols, {"empty_share": "e"})
 
 
+def settle(findings: DataFrame) -> DataFrame:
+    """Materialise a findings table (one row per column or column pair) once.
+
+    The rows are bounded by the number of columns (or pairs), so they are
+    collected and re-created as a local relation: later uses (drop list,
+    report, query result) do not rerun the audit pass over the data.
+    """
+    rows = findings.collect()
+    return findings.sparkSession.createDataFrame(rows, findings.schema)
+
+
 @dataclass
 class Findings:
     """Result of an audit: a small findings DataFrame plus the columns to drop."""
@@ -87,8 +124,8 @@ def drop_empty_columns(df: DataFrame, threshold: float = 0.95, cols=None) -> Fin
     shares = empty_share(df, cols)
     flagged = (shares.where(F.col("empty_share") >= threshold)
                .select("feature", F.round("empty_share", 4).alias("empty_share")))
-    names = [r["feature"] for r in flagged.collect()]  # <= number of columns
-    return Findings("empty_features", flagged, names)
+    table = settle(flagged)
+    return Findings("empty_features", table, [r["feature"] for r in table.collect()])
 
 
 # ------------------------------------------------------------- value counts
@@ -99,8 +136,9 @@ def value_counts_long(df: DataFrame, cols=None) -> DataFrame:
     hot value to one row per task before the shuffle.
     """
     cols = _cols(df, cols)
+    ty = _types(df)
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), non_empty_text(c_(c)).alias("value"))
+        F.struct(F.lit(c).alias("feature"), value_text_expr(c, ty[c]).alias("value"))
         for c in cols])))
     return (long.where(F.col("value").isNotNull())
             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt")))
@@ -124,8 +162,9 @@ def dominant_value(df: DataFrame, cols=None, threshold: float = 1.0,
     flagged = (st.where((F.col("non_empty_count") >= min_non_empty) & (share >= threshold))
                .select("feature", "top_value", "top_count", "non_empty_count",
                        F.round(share, 4).alias("top_share"), "nunique"))
-    rows = flagged.orderBy(F.desc("top_share"), "nunique", "feature").collect()
-    return Findings("dominant_value", flagged, [r["feature"] for r in rows])
+    table = settle(flagged)
+    rows = table.orderBy(F.desc("top_share"), "nunique", "feature").collect()
+    return Findings("dominant_value", table, [r["feature"] for r in rows])
 
 
 def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
@@ -136,8 +175,9 @@ def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
     flagged = (st.where((F.col("nunique") >= min_unique) & (share >= share_threshold))
                .select("feature", "nunique", "non_empty_count",
                        F.round(share, 4).alias("unique_share")))
-    rows = flagged.orderBy(F.desc("unique_share"), F.desc("nunique"), "feature").collect()
-    return Findings("high_cardinality", flagged, [r["feature"] for r in rows])
+    table = settle(flagged)
+    rows = table.orderBy(F.desc("unique_share"), F.desc("nunique"), "feature").collect()
+    return Findings("high_cardinality", table, [r["feature"] for r in rows])
 
 
 # --------------------------------------------------------------- duplicates
@@ -174,7 +214,7 @@ def column_pair_stats(df: DataFrame, cols=None, pairs=None) -> DataFrame:
 
 def duplicate_columns(df: DataFrame, cols=None, near_threshold: float = 0.95) -> tuple[Findings, Findings]:
     """Exact duplicates (all normalised rows equal) and near duplicates (report only)."""
-    ps = column_pair_stats(df, cols).cache()
+    ps = settle(column_pair_stats(df, cols))
     sim = F.coalesce(F.col("equal_comparable") / F.when(F.col("comparable") > 0,
                                                          F.col("comparable")), F.lit(0.0))
     exact = ps.where(F.col("mismatches") == 0).select("left", "right",
