@@ -40,29 +40,27 @@ def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]]) -
     idx = {n: i for i, n in enumerate(names)}
     means = df.agg(*[F.avg(exprs[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
     shifted = {n: exprs[n] - F.lit(means[f"m{idx[n]}"] or 0.0) for n in names}
-    # project the masked, shifted pair columns first: the aggregate then works on plain
-    # column references, which keeps the generated code small for many pairs
+    # long layout: one (pair, x, y) row per input row and pair, then six plain sums per pair.
+    # The generated code stays small however many pairs there are, and the map-side partial
+    # aggregate leaves one row per pair and task before the shuffle.
     base = df.select(*[F.when(~F.isnan(shifted[n]), shifted[n]).alias(f"v{idx[n]}") for n in names])
-    proj, aggs = [], []
-    for k, (a, _, b, _) in enumerate(pairs):
-        x, y = F.col(f"v{idx[a]}"), F.col(f"v{idx[b]}")
-        both = x.isNotNull() & y.isNotNull()
-        proj += [F.when(both, x).alias(f"x{k}"), F.when(both, y).alias(f"y{k}")]
-        xb, yb = F.col(f"x{k}"), F.col(f"y{k}")
-        aggs += [F.count(xb).alias(f"n{k}"), F.sum(xb).alias(f"sx{k}"), F.sum(yb).alias(f"sy{k}"),
-                 F.sum(xb * xb).alias(f"sxx{k}"), F.sum(yb * yb).alias(f"syy{k}"), F.sum(xb * yb).alias(f"sxy{k}")]
-    row = base.select(*proj).agg(*aggs)
-    structs = []
-    for k, (a, _, b, _) in enumerate(pairs):
-        n = F.col(f"n{k}").cast("double")
-        cov = n * F.col(f"sxy{k}") - F.col(f"sx{k}") * F.col(f"sy{k}")
-        vx = n * F.col(f"sxx{k}") - F.col(f"sx{k}") * F.col(f"sx{k}")
-        vy = n * F.col(f"syy{k}") - F.col(f"sy{k}") * F.col(f"sy{k}")
-        r = F.when((vx > 0) & (vy > 0),
-                   F.greatest(F.least(cov / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
-        structs.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), r.alias("corr"),
-                                F.col(f"n{k}").alias("n")))
-    return row.select(F.inline(F.array(*structs)))
+    long = base.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"v{idx[a]}").alias("x"), F.col(f"v{idx[b]}").alias("y"))
+        for k, (a, _, b, _) in enumerate(pairs)])))
+    long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    x, y = F.col("x"), F.col("y")
+    sums = long.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
+                                 F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    spark = df.sparkSession
+    names_df = spark.createDataFrame([(k, a, b) for k, (a, _, b, _) in enumerate(pairs)],
+                                     "k int, left string, right string")  # one row per pair
+    j = names_df.join(sums, "k", "left")
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
+    cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
+    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
+    r = F.when((vx > 0) & (vy > 0), F.greatest(F.least(cov / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
+    return j.select("left", "right", r.alias("corr"), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
 def numeric_target_corr(df: DataFrame, target: str, cols=None, min_rows: int = 30,

@@ -197,19 +197,18 @@ def column_pair_stats(df: DataFrame, cols=None, pairs=None) -> DataFrame:
     used = [c for c in cols if c in in_pairs] + sorted(in_pairs - set(cols))
     norm = df.select(*[normalize_text(c_(c)).alias(f"n{i}") for i, c in enumerate(used)])
     idx = {c: i for i, c in enumerate(used)}
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = F.col(f"n{idx[a]}"), F.col(f"n{idx[b]}")
-        both_empty = (x == "") & (y == "")
-        aggs += [F.sum((x != y).cast("long")).alias(f"m{k}"),
-                 F.sum((~both_empty).cast("long")).alias(f"c{k}"),
-                 F.sum(((x == y) & ~both_empty).cast("long")).alias(f"q{k}")]
-    row = norm.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                        F.col(f"m{k}").alias("mismatches"), F.col(f"c{k}").alias("comparable"),
-                        F.col(f"q{k}").alias("equal_comparable"))
-               for k, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*structs)))
+    # long layout: (pair, equal, both_empty) per row and pair, three sums per pair
+    long = norm.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), (F.col(f"n{idx[a]}") == F.col(f"n{idx[b]}")).alias("eq"),
+                 ((F.col(f"n{idx[a]}") == "") & (F.col(f"n{idx[b]}") == "")).alias("be"))
+        for k, (a, b) in enumerate(pairs)])))
+    sums = long.groupBy("k").agg(
+        F.sum((~F.col("eq")).cast("long")).alias("mismatches"),
+        F.sum((~F.col("be")).cast("long")).alias("comparable"),
+        F.sum((F.col("eq") & ~F.col("be")).cast("long")).alias("equal_comparable"))
+    names_df = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)],
+                                               "k int, left string, right string")  # one row per pair
+    return names_df.join(sums, "k").select("left", "right", "mismatches", "comparable", "equal_comparable")
 
 
 def duplicate_columns(df: DataFrame, cols=None, near_threshold: float = 0.95) -> tuple[Findings, Findings]:

@@ -373,7 +373,28 @@ def _prefix(spark, sf):
     return J.lookup_by_prefix(d, "pfx", ref, "pfx", "r_name", "ord", "region").select("lead_id", "region")
 
 
-@query("map_city_to_region", None)
+def _city_sql():
+    norm = lambda c: rf"lower(trim(regexp_replace(regexp_replace({c}, '\d{{6}}', '', 'g'), '[\s,]+', ' ', 'g')))"
+    ref = ("SELECT r_name AS region, n_name AS city FROM nation JOIN region ON n_regionkey = r_regionkey")
+    return with_cte(
+        "SELECT lead_id, m.mapped AS region_out FROM c LEFT JOIN m ON c.city = m.v",
+        l=L, ref=ref,
+        c="SELECT lead_id, CASE WHEN lead_id % 4 = 0 THEN nation WHEN lead_id % 4 = 1 THEN '123456 ' || lower(nation) "
+          "|| ', ctr' WHEN lead_id % 4 = 2 THEN 'somewhere' ELSE NULL END AS city FROM l",
+        v=f"SELECT DISTINCT city AS v, {norm('city')} AS vn FROM c WHERE city IS NOT NULL",
+        rg=f"SELECT DISTINCT region AS r, {norm('region')} AS rn FROM ref",
+        ct=f"SELECT city AS cc, min(region) AS cr, {norm('city')} AS cn FROM ref GROUP BY city",
+        m1="SELECT v, r AS m1 FROM v JOIN rg ON v.v = rg.r",
+        m2="SELECT v, cr AS m2 FROM v JOIN ct ON v.v = ct.cc",
+        m3="SELECT v, r AS m3 FROM (SELECT v, r, row_number() OVER (PARTITION BY v ORDER BY length(rn) DESC, r DESC) "
+           "AS k FROM v JOIN rg ON contains(vn, rn) AND length(rn) > 0) WHERE k = 1",
+        m4="SELECT v, cr AS m4 FROM (SELECT v, cr, row_number() OVER (PARTITION BY v ORDER BY length(cn) DESC, cc DESC) "
+           "AS k FROM v JOIN ct ON contains(vn, cn) AND length(cn) > 0) WHERE k = 1",
+        m="SELECT v.v, coalesce(m1, m2, m3, m4, v.v) AS mapped FROM v LEFT JOIN m1 USING (v) LEFT JOIN m2 USING (v) "
+          "LEFT JOIN m3 USING (v) LEFT JOIN m4 USING (v)")
+
+
+@query("map_city_to_region", _city_sql())
 def _city_region(spark, sf):
     d = leads(spark, sf).selectExpr(
         "lead_id", "CASE WHEN lead_id % 4 = 0 THEN nation WHEN lead_id % 4 = 1 THEN '123456 ' || lower(nation) || ', ctr' "
@@ -647,10 +668,27 @@ def _fbeta(spark, sf):
     return m.select(*[_r(F.col(c), 9).alias(c) for c in ("f1_0", "f2_0", "f2_1")])
 
 
-@query("classification_report", None)
+def _report_sql():
+    p0, r0 = _pr_sql(0)
+    p1, r1 = _pr_sql(1)
+    f0, f1 = _f(p0, r0, 1), _f(p1, r1, 1)
+    s0, s1 = "(c00 + c01)", "(c10 + c11)"
+    sup = f"({s0} + {s1})"
+    w = lambda a, b: f"coalesce(({a} * {s0} + {b} * {s1}) / nullif({sup}, 0), 0.0)"
+    acc = f"coalesce((c00 + c11) / nullif({sup}, 0), 0.0)"
+    rows = [("0", p0, r0, f0, s0), ("1", p1, r1, f1, s1),
+            ("macro avg", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", sup),
+            ("weighted avg", w(p0, p1), w(r0, r1), w(f0, f1), sup), ("accuracy", acc, acc, acc, sup)]
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS label, round({a}, 9) AS precision, round({b}, 9) AS recall, round({c}, 9) AS f1, "
+        f"CAST({d} AS DOUBLE) AS support FROM c" for n, a, b, c, d in rows)
+
+
+@query("classification_report", with_cte(_report_sql(), l=L, s=_SCORES, c=_counts_sql()))
 def _creport(spark, sf):
     lab = V.confusion_labels(_scored(spark, sf), "y", "p0", 0.15)
-    return V.classification_report(lab, "y", "pred_label")
+    r = V.classification_report(lab, "y", "pred_label")
+    return r.select("label", *[_r(F.col(c), 9).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @query("roc_auc", with_cte(

@@ -239,7 +239,70 @@ def _chain(spark, sf):
     return PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps())
 
 
-@query("project_final", None)
+def _raw_leads_sql():
+    cols = []
+    for a, e in RAW_LEAD_COLUMNS:
+        e = e.replace("CAST(unix_timestamp(o_orderdate) AS BIGINT)", "CAST(epoch(o_orderdate) AS BIGINT)")
+        cols.append(f"{e} AS {a.replace('`', chr(34))}")
+    return ("SELECT " + ", ".join(cols) + " FROM orders JOIN customer ON o_custkey = c_custkey "
+            "JOIN nation ON c_nationkey = n_nationkey")
+
+
+def _final_sql():
+    from tabsieve.functions import rules as R
+    h = '"lead_Высота"'
+    g0 = "regexp_extract(coalesce(lead_utm_group, ''), '^[A-Za-zА-Яа-яЁё]+', 0)"
+    grp = f"CASE WHEN {g0} = '' THEN 'unknown' ELSE {g0} END"
+    ref_last = "regexp_extract(lead_utm_referrer, '[^/]*$', 0)"
+    ref_cat = ("CASE WHEN lead_utm_referrer IS NULL OR lead_utm_referrer = '' OR " + ref_last + " = '' THEN 'unknown' "
+               + " ".join(f"WHEN contains(lower({ref_last}), '{k}') THEN '{k}'" for k in R.REFERRER_CATEGORIES)
+               + " ELSE 'other' END")
+    site = ("CASE WHEN lead_utm_referrer IS NULL OR lead_utm_referrer = '' THEN 'unknown' "
+            + " ".join(f"WHEN contains(lower(lead_utm_referrer), '{k}') THEN '{k}'" for k in R.REFERRER_SITES)
+            + " ELSE 'other' END")
+    tags = ("CASE WHEN lead_tags IS NULL OR lead_tags = '' THEN 'unknown' "
+            + " ".join(f"WHEN contains(lower(lead_tags), lower('{k}')) THEN '{k}'" for k in R.TAG_CATEGORIES)
+            + " ELSE 'unknown' END")
+    parts = "string_split(coalesce(lead_utm_content, 'None'), '_')"
+
+    def part(k):
+        return f"CASE WHEN len({parts}) = 10 THEN {parts}[{k}] ELSE 'unknown' END"
+
+    def pid(k):
+        v = f"TRY_CAST({part(k)} AS DOUBLE)"
+        return f"coalesce(CASE WHEN {v} = floor({v}) THEN CAST({v} AS BIGINT) END, -1)"
+    dev = f"CASE WHEN {part(5)} IN ('undefined', '') THEN 'unknown' ELSE {part(5)} END"
+    deliv = ('CASE WHEN "lead_Служба доставки" IS NULL THEN \'unknown\' '
+             + " ".join("WHEN \"lead_Служба доставки\" IN (" + ", ".join(f"'{v}'" for v in vals) + f") THEN '{lab}'"
+                        for vals, lab in R.DELIVERY_RULES) + " ELSE 'other' END")
+    pay = ('CASE WHEN "lead_Вид оплаты" IS NULL THEN \'unknown\' WHEN "lead_Вид оплаты" = '
+           f"'{R.PAYMENT_CASH_ON_DELIVERY}' THEN 'cash_on_delivery' ELSE 'online' END")
+    cost = ('TRY_CAST(replace(CASE WHEN trim("lead_Стоимость доставки") IN (\'-\', \'\') THEN NULL '
+            'ELSE trim("lead_Стоимость доставки") END, \',\', \'.\') AS DOUBLE)')
+    hclip = f"CASE WHEN {h} IS NULL THEN NULL ELSE least({h}, (SELECT q3 + 2 * (q3 - q1) FROM hq)) END"
+    hbin = (f"CASE WHEN {hclip} IS NULL THEN 'unknown' WHEN {hclip} <= 4 THEN 'small' WHEN {hclip} <= 12 "
+            "THEN 'medium' ELSE 'large' END")
+    body = f"""SELECT
+      CASE WHEN grp IN (SELECT v FROM top5) OR grp = 'unknown' THEN grp ELSE 'rare_utm_group' END AS lead_utm_group,
+      {ref_cat} AS lead_utm_referrer, {tags} AS lead_tags,
+      CAST("lead_Вес (грамм)*" IS NOT NULL AS INT) AS has_weight, {site} AS lead_utm_referrer_site,
+      {pid(1)} AS lead_utm_id_1, {pid(3)} AS lead_utm_id_3, {dev} AS lead_utm_device_type,
+      coalesce(quarter(to_timestamp(lead_created_at)::TIMESTAMP), -1) AS lead_creation_date_quarter, lead_length,
+      {pay} AS lead_payment_type, {deliv} AS lead_delivery_type,
+      CAST(coalesce(lead_utm_campaign IN ('{R.UTM_CAMPAIGN_PLACEHOLDERS[0]}', '{R.UTM_CAMPAIGN_PLACEHOLDERS[1]}'), true)
+           AS INT) AS lead_utm_campaign_missing,
+      CAST(lead_group IS NULL AS INT) AS lead_group_missing, {hbin} AS lead_height_bin,
+      CAST({cost} IS NULL AS INT) AS delivery_cost_missing, buyout_flag, to_timestamp(sale_ts)::TIMESTAMP AS sale_ts
+      FROM g"""
+    return with_cte(
+        body, r=_raw_leads_sql(),
+        g=f"SELECT *, {grp} AS grp FROM r",
+        top5="SELECT v FROM (SELECT grp AS v, count(*) AS n FROM g WHERE grp <> 'unknown' GROUP BY grp "
+             "ORDER BY n DESC, v LIMIT 5)",
+        hq=f"SELECT quantile_cont({h}, 0.25) AS q1, quantile_cont({h}, 0.75) AS q3 FROM r")
+
+
+@query("project_final", _final_sql())
 def _project_final(spark, sf):
     return S.project_final(PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps()), keep_time="sale_ts")
 
@@ -305,6 +368,16 @@ def _cat_diff(spark, sf):
     return t.select("feature", "value", *[F.round(c, 9).alias(c) for c in ("fp_0_share", "tn_0_share", "abs_diff", "signed_diff")])
 
 
+@query("value_set_union", with_cte(
+    "SELECT DISTINCT coalesce(segment, 'missing') AS value FROM e WHERE et IN ('fp_0', 'tn_0')",
+    l=L, s=_SC, e=f"SELECT *, {_ET} AS et FROM s"))
+def _value_set_union(spark, sf):
+    lab = _labelled(spark, sf)
+    a = lab.where("error_type = 'fp_0'").select(F.coalesce("segment", F.lit("missing")).alias("value"))
+    b = lab.where("error_type = 'tn_0'").select(F.coalesce("segment", F.lit("missing")).alias("value"))
+    return a.union(b).distinct()
+
+
 @query("cluster_errors", None)
 def _clusters(spark, sf):
     fp = _labelled(spark, sf).where("error_type = 'fp_0'")
