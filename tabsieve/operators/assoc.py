@@ -44,9 +44,10 @@ def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]]) -
     # The generated code stays small however many pairs there are, and the map-side partial
     # aggregate leaves one row per pair and task before the shuffle.
     base = df.select(*[F.when(~F.isnan(shifted[n]), shifted[n]).alias(f"v{idx[n]}") for n in names])
-    long = base.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col(f"v{idx[a]}").alias("x"), F.col(f"v{idx[b]}").alias("y"))
-        for k, (a, _, b, _) in enumerate(pairs)])))
+    args = []
+    for k, (a, _, b, _) in enumerate(pairs):
+        args += [F.lit(k), F.col(f"v{idx[a]}"), F.col(f"v{idx[b]}")]
+    long = base.select(F.stack(F.lit(len(pairs)), *args).alias("k", "x", "y"))
     long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     x, y = F.col("x"), F.col("y")
     sums = long.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),

@@ -101,10 +101,10 @@ def frequency_encode(df: DataFrame, col: str, out: str, null_label: str = "unkno
 
 
 def frequency_encode_fit(train: DataFrame, col: str) -> LevelTable:
-    total = train.count()
-    t = (train.groupBy(c_(col).alias("_lvl")).agg((F.count(F.lit(1)) / F.lit(float(total)))
-                                                   .alias("_freq")))
-    t, n = materialize(t)
+    """Relative frequency of each train level; the total comes from the level table itself."""
+    t, n = materialize(train.groupBy(c_(col).alias("_lvl")).agg(F.count(F.lit(1)).alias("_cnt")))
+    total = t.agg(F.sum("_cnt")).first()[0] or 0
+    t = t.select("_lvl", (F.col("_cnt") / F.lit(float(max(total, 1)))).alias("_freq"))
     return LevelTable(col, t, n)
 
 
@@ -137,7 +137,8 @@ def oof_target_encode(df: DataFrame, col: str, target: str, out: str, fold: Colu
     stats = (lf.join(tot, "_lvl")
              .select("_lvl", "_f", (F.col("_ts") - F.col("_s")).alias("_os"),
                      (F.col("_tn") - F.col("_n")).alias("_on")))
-    gmean = base.agg(F.avg(y)).first()[0]
+    g = lf.agg(F.sum("_s"), F.sum("_n")).first()  # global mean from the (level, fold) table
+    gmean = (g[0] / g[1]) if g[1] else None
     st = checked_broadcast(stats, known_rows=n)
     j = base.join(st, c_(col).eqNullSafe(st["_lvl"]) & (F.col("_fold") == st["_f"]), "left")
     enc = F.when(F.col("_on") > 0, F.col("_os") / F.col("_on"))

@@ -37,16 +37,17 @@ def categorical_share_diff(df: DataFrame, cols: list[str], group_col: str, a: st
     """(feature, value, <a>_share, <b>_share, abs_diff, signed_diff): share of each level inside
     each group; the union of both groups' levels appears (missing share = 0)."""
     sub = df.where(F.col(group_col).isin(a, b))
-    tot = {r[0]: r[1] for r in sub.groupBy(group_col).count().collect()}  # two rows
-    na, nb = float(tot.get(a, 0)), float(tot.get(b, 0))
     long = sub.select(F.col(group_col).alias("_g"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.coalesce(c_(c).cast("string"), F.lit("missing")).alias("value"))
         for c in cols])))
     cnt = long.groupBy("feature", "value").agg(
         F.sum((F.col("_g") == a).cast("long")).alias("_na"), F.sum((F.col("_g") == b).cast("long")).alias("_nb"))
-    sa = F.col("_na") / F.lit(na) if na else F.lit(0.0)
-    sb = F.col("_nb") / F.lit(nb) if nb else F.lit(0.0)
-    out = cnt.select("feature", "value", sa.alias(f"{a}_share"), sb.alias(f"{b}_share"))
+    # every row has one value per feature, so group sizes are per-feature sums of the small count table
+    tot = cnt.groupBy("feature").agg(F.sum("_na").alias("_ta"), F.sum("_nb").alias("_tb"))
+    j = cnt.join(tot, "feature")
+    sa = F.coalesce(F.col("_na") / F.when(F.col("_ta") > 0, F.col("_ta")), F.lit(0.0))
+    sb = F.coalesce(F.col("_nb") / F.when(F.col("_tb") > 0, F.col("_tb")), F.lit(0.0))
+    out = j.select("feature", "value", sa.alias(f"{a}_share"), sb.alias(f"{b}_share"))
     d = F.col(f"{a}_share") - F.col(f"{b}_share")
     return out.withColumn("abs_diff", F.abs(d)).withColumn("signed_diff", d)
 

@@ -227,15 +227,18 @@ def threshold_table(df: DataFrame, y: str, p0: str) -> DataFrame:
     bins = df.groupBy(_threshold_bin(c_(p0)).alias("_b")).agg(
         F.sum((c_(y) == 0).cast("long")).alias("_n0"), F.sum((c_(y) == 1).cast("long")).alias("_n1"))
     spark = df.sparkSession
-    grid = spark.createDataFrame([(i, t) for i, t in enumerate(thresholds())], "_i int, threshold double")
-    # equi-join of the 91-row grid with <= 92 bins, then a reverse running sum over 91 rows
-    g = (grid.join(bins, F.col("_i") == F.col("_b"), "left")
-         .select("_i", "threshold", F.coalesce("_n0", F.lit(0)).alias("_n0"),
-                 F.coalesce("_n1", F.lit(0)).alias("_n1")))
+    # one distributed pass; the result has at most 92 rows (one per grid bin), kept locally
+    brows = bins.collect()
+    n0_total = sum(r["_n0"] or 0 for r in brows)
+    n1_total = sum(r["_n1"] or 0 for r in brows)
+    grid = spark.createDataFrame(
+        [(i, t, next((r["_n0"] for r in brows if r["_b"] == i), 0) or 0,
+          next((r["_n1"] for r in brows if r["_b"] == i), 0) or 0) for i, t in enumerate(thresholds())],
+        "_i int, threshold double, _n0 long, _n1 long")
+    # reverse running sum over the 91 grid rows: predicted class 0 = every bin at or above
     w = Window.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    agg = g.select("_i", "threshold", F.sum("_n0").over(w).alias("tp0"), F.sum("_n1").over(w).alias("fp0"))
-    tot = bins.agg(F.sum("_n0").alias("_N0"), F.sum("_n1").alias("_N1"))
-    a = agg.join(F.broadcast(tot))  # one-row totals
+    a = grid.select("_i", "threshold", F.sum("_n0").over(w).alias("tp0"), F.sum("_n1").over(w).alias("fp0"),
+                    F.lit(n0_total).alias("_N0"), F.lit(n1_total).alias("_N1"))
     fn0 = F.col("_N0") - F.col("tp0")
     tn0 = F.col("_N1") - F.col("fp0")
     p0_, r0 = _div(F.col("tp0"), F.col("tp0") + F.col("fp0")), _div(F.col("tp0"), F.col("_N0"))

@@ -80,6 +80,19 @@ def lookup_by_prefix(df: DataFrame, prefix_col: str, ref: DataFrame, ref_prefix:
 
 
 # --------------------------------------------------------- city -> region
+def _substrings(col: str, lengths: list[int]):
+    """All substrings of ``col`` whose length is in ``lengths`` (an array column)."""
+    def cut(n):
+        return lambda i: F.col(col).substr(i, F.lit(n))  # one-argument lambda: element only
+
+    parts = []
+    for n in lengths:
+        starts = F.sequence(F.lit(1), F.length(col) - n + 1)
+        parts.append(F.when(F.length(col) >= n, F.transform(starts, cut(n)))
+                     .otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
+
+
 def map_city_to_region(df: DataFrame, city_col: str, regions: DataFrame, region_col: str,
                        cities: DataFrame, city_name_col: str, city_region_col: str,
                        out: str) -> DataFrame:
@@ -87,24 +100,31 @@ def map_city_to_region(df: DataFrame, city_col: str, regions: DataFrame, region_
 
     Order of rules: exact region name, exact city name, then after stripping a
     6-digit postcode and normalising: longest region name contained, longest
-    city name contained, else the original text. Only the *distinct unmatched*
-    values take part in the ``contains`` join (distinct values x dictionary,
-    never rows x dictionary); the dictionaries are reference tables.
+    city name contained, else the original text.
+
+    Only the *distinct* city values take part. "Name contained in value" is
+    answered with equi-joins: every value is cut into its substrings of the
+    lengths that dictionary names have, and those are joined to the names, so
+    there is no nested-loop or cross join. Dictionaries are materialised and
+    broadcast only below the row limit.
     """
     norm = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\d{6}", ""),
                                                      r"[\s,]+", " ")))
     values = df.select(F.col(city_col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    reg = regions.select(F.col(region_col).alias("_r")).distinct()
-    cit = cities.groupBy(F.col(city_name_col).alias("_c")).agg(
-        F.min(F.col(city_region_col)).alias("_cr"))
-    reg_n = reg.select("_r", norm(F.col("_r")).alias("_rn"))
-    cit_n = cit.select("_c", "_cr", norm(F.col("_c")).alias("_cn"))
+    reg, nr = materialize(regions.select(F.col(region_col).alias("_r")).distinct()
+                          .select("_r", norm(F.col("_r")).alias("_rn")))
+    cit, nc = materialize(cities.groupBy(F.col(city_name_col).alias("_c")).agg(
+        F.min(F.col(city_region_col)).alias("_cr")).select("_c", "_cr", norm(F.col("_c")).alias("_cn")))
+    reg_b, cit_b = checked_broadcast(reg, known_rows=nr), checked_broadcast(cit, known_rows=nc)
+    lengths = sorted({r[0] for r in reg.select(F.length("_rn")).union(cit.select(F.length("_cn"))).collect()
+                      if r[0]})  # distinct name lengths: bounded by the longest name
     v = values.withColumn("_vn", norm(F.col("_v")))
-    exact_r = v.join(F.broadcast(reg_n), v["_v"] == reg_n["_r"], "inner").select("_v", F.col("_r").alias("_m1"))
-    exact_c = v.join(F.broadcast(cit_n), v["_v"] == cit_n["_c"], "inner").select("_v", F.col("_cr").alias("_m2"))
-    cont_r = (v.join(F.broadcast(reg_n), F.col("_vn").contains(F.col("_rn")) & (F.length("_rn") > 0))
+    exact_r = v.join(reg_b, v["_v"] == reg_b["_r"], "inner").select("_v", F.col("_r").alias("_m1"))
+    exact_c = v.join(cit_b, v["_v"] == cit_b["_c"], "inner").select("_v", F.col("_cr").alias("_m2"))
+    subs = v.select("_v", F.explode(_substrings("_vn", lengths)).alias("_s"))
+    cont_r = (subs.join(reg_b, subs["_s"] == reg_b["_rn"])
               .groupBy("_v").agg(F.max_by("_r", F.struct(F.length("_rn"), F.col("_r"))).alias("_m3")))
-    cont_c = (v.join(F.broadcast(cit_n), F.col("_vn").contains(F.col("_cn")) & (F.length("_cn") > 0))
+    cont_c = (subs.join(cit_b, subs["_s"] == cit_b["_cn"])
               .groupBy("_v").agg(F.max_by("_cr", F.struct(F.length("_cn"), F.col("_c"))).alias("_m4")))
     m = (values.join(exact_r, "_v", "left").join(exact_c, "_v", "left")
          .join(cont_r, "_v", "left").join(cont_c, "_v", "left")

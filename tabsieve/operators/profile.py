@@ -20,6 +20,7 @@ from tabsieve.functions.text import (
     is_empty, non_empty_text, normalize_text,
 )
 
+WIDE_PAIR_LIMIT = 128  # above this many column pairs, pair audits switch to the long layout
 STRING_LIKE = (T.StringType, T.VarcharType, T.CharType)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -197,18 +198,30 @@ def column_pair_stats(df: DataFrame, cols=None, pairs=None) -> DataFrame:
     used = [c for c in cols if c in in_pairs] + sorted(in_pairs - set(cols))
     norm = df.select(*[normalize_text(c_(c)).alias(f"n{i}") for i, c in enumerate(used)])
     idx = {c: i for i, c in enumerate(used)}
-    # long layout: (pair, equal, both_empty) per row and pair, three sums per pair
-    long = norm.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("k"), (F.col(f"n{idx[a]}") == F.col(f"n{idx[b]}")).alias("eq"),
-                 ((F.col(f"n{idx[a]}") == "") & (F.col(f"n{idx[b]}") == "")).alias("be"))
-        for k, (a, b) in enumerate(pairs)])))
-    sums = long.groupBy("k").agg(
-        F.sum((~F.col("eq")).cast("long")).alias("mismatches"),
-        F.sum((~F.col("be")).cast("long")).alias("comparable"),
-        F.sum((F.col("eq") & ~F.col("be")).cast("long")).alias("equal_comparable"))
-    names_df = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)],
-                                               "k int, left string, right string")  # one row per pair
-    return names_df.join(sums, "k").select("left", "right", "mismatches", "comparable", "equal_comparable")
+    spark = df.sparkSession
+    x = lambda a: F.col(f"n{idx[a]}")
+    if len(pairs) <= WIDE_PAIR_LIMIT:
+        # per-pair 0/1 flags projected once, then plain sums in one aggregate (two per pair;
+        # equal & comparable = comparable - mismatches since unequal values are never both empty)
+        flags = norm.select(*[(x(a) != x(b)).cast("long").alias(f"m{k}") for k, (a, b) in enumerate(pairs)],
+                            *[(~((x(a) == "") & (x(b) == ""))).cast("long").alias(f"c{k}")
+                              for k, (a, b) in enumerate(pairs)])
+        row = flags.agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(len(pairs))],
+                        *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(pairs))])
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"m{k}").alias("mismatches"),
+                     F.col(f"c{k}").alias("comparable"), (F.col(f"c{k}") - F.col(f"m{k}")).alias("equal_comparable"))
+            for k, (a, b) in enumerate(pairs)])))
+    # many pairs: long layout (pair, unequal, comparable) via stack, small generated code
+    args = []
+    for k, (a, b) in enumerate(pairs):
+        args += [F.lit(k), (x(a) != x(b)).cast("long"), (~((x(a) == "") & (x(b) == ""))).cast("long")]
+    long = norm.select(F.stack(F.lit(len(pairs)), *args).alias("k", "m", "c"))
+    sums = long.groupBy("k").agg(F.sum("m").alias("mismatches"), F.sum("c").alias("comparable"))
+    names_df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)],
+                                     "k int, left string, right string")  # one row per pair
+    return names_df.join(sums, "k").select("left", "right", "mismatches", "comparable",
+                                           (F.col("comparable") - F.col("mismatches")).alias("equal_comparable"))
 
 
 def duplicate_columns(df: DataFrame, cols=None, near_threshold: float = 0.95) -> tuple[Findings, Findings]:
