@@ -82,9 +82,10 @@ def fold_summary(folded: DataFrame, time: str, k: int, blocks: bool = False) ->
                         "n_test", "test_min_time", "test_max_time")
 
 
-def _within_class_position(df: DataFrame, y: str, key: str, seed: int) -> DataFrame:
-    """Position of each row inside its class in a seeded hash order (distributed)."""
-    h = F.xxhash64(F.lit(seed), c_(key))
+def _within_class_position(df: DataFrame, y: str, key: str, seed: int, shuffle: bool = True) -> DataFrame:
+    """Position of each row inside its class, in a seeded hash order (``shuffle``) or in key
+    order; numbered by the distributed global index, never by a per-class window."""
+    h = F.xxhash64(F.lit(seed), c_(key)) if shuffle else F.lit(0).cast("long")
     idx = global_index(df.withColumn("_h", h), [y, "_h", key], "_gi")
     starts = idx.groupBy(c_(y).alias("_y")).agg(F.min("_gi").alias("_start"), F.count(F.lit(1)).alias("_n"))
     return (idx.join(F.broadcast(starts), c_(y).eqNullSafe(F.col("_y")))  # one row per class
@@ -92,17 +93,17 @@ def _within_class_position(df: DataFrame, y: str, key: str, seed: int) -> DataFr
 
 
 def stratified_split(df: DataFrame, y: str, key: str, test_size: float = 0.2, seed: int = 42,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", shuffle: bool = True) -> DataFrame:
     """Per class, the first ``floor(n_c * test + 0.5)`` rows in a seeded hash order are test."""
-    pos = _within_class_position(df, y, key, seed)
+    pos = _within_class_position(df, y, key, seed, shuffle)
     quota = F.floor(F.col("_n") * F.lit(test_size) + F.lit(0.5))
     return pos.withColumn(out, F.when(F.col("_pos") < quota, "test").otherwise("train")).drop("_pos", "_n")
 
 
 def stratified_kfold(df: DataFrame, y: str, key: str, k: int = 5, seed: int = 42,
-                     out: str = "fold") -> DataFrame:
+                     out: str = "fold", shuffle: bool = True) -> DataFrame:
     """Fold = position inside the class (seeded hash order) mod k."""
-    pos = _within_class_position(df, y, key, seed)
+    pos = _within_class_position(df, y, key, seed, shuffle)
     return pos.withColumn(out, F.pmod(F.col("_pos"), F.lit(k)).cast("int")).drop("_pos", "_n")
 
 

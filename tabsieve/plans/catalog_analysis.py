@@ -580,18 +580,23 @@ def _bfolds(spark, sf):
     return V.fold_summary(f, "sale_dt", 5)
 
 
-@query("stratified_split", None)
+_POS = ("SELECT lead_id, buyout_flag, row_number() OVER (PARTITION BY buyout_flag ORDER BY lead_id) - 1 AS pos, "
+        "count(*) OVER (PARTITION BY buyout_flag) AS n FROM l")
+
+
+@query("stratified_split", with_cte(
+    "SELECT lead_id, buyout_flag, CASE WHEN pos < floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM p",
+    l=L, p=_POS))
 def _strat(spark, sf):
     d = leads(spark, sf).select("lead_id", "buyout_flag")
-    out = V.stratified_split(d, "buyout_flag", "lead_id")
-    return out.groupBy("buyout_flag", "split").agg(F.count(F.lit(1)).alias("n"))
+    return V.stratified_split(d, "buyout_flag", "lead_id", shuffle=False).select("lead_id", "buyout_flag", "split")
 
 
-@query("stratified_kfold", None)
+@query("stratified_kfold", with_cte(
+    "SELECT lead_id, buyout_flag, CAST(pos % 5 AS INT) AS fold FROM p", l=L, p=_POS))
 def _skfold(spark, sf):
     d = leads(spark, sf).select("lead_id", "buyout_flag")
-    out = V.stratified_kfold(d, "buyout_flag", "lead_id", 5)
-    return out.groupBy("buyout_flag", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return V.stratified_kfold(d, "buyout_flag", "lead_id", 5, shuffle=False).select("lead_id", "buyout_flag", "fold")
 
 
 _LAB = ("CASE WHEN p0 >= 0.15 AND y = 0 THEN 'tp_0' WHEN p0 < 0.15 AND y = 0 THEN 'fn_0' "

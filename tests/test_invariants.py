@@ -33,17 +33,24 @@ def test_expanding_folds_disjoint_and_ordered(spark):
         assert a.test_max_time <= b.test_min_time
 
 
+def _leads_small(spark):
+    from tabsieve.plans.inputs import leads
+    return leads(spark, SF_SMALL).select("lead_id", "buyout_flag")
+
+
 def test_stratified_split_keeps_class_shares(spark):
-    out = {(r.buyout_flag, r.split): r.n for r in Q["stratified_split"](spark, SF_SMALL).collect()}
+    s = V.stratified_split(_leads_small(spark), "buyout_flag", "lead_id", seed=42)
+    out = {(r.buyout_flag, r.split): r.n for r in s.groupBy("buyout_flag", "split").agg(F.count("*").alias("n")).collect()}
     for y in (0, 1):
         total = out[(y, "test")] + out[(y, "train")]
         assert out[(y, "test")] == int(total * 0.2 + 0.5)
 
 
 def test_same_seed_same_folds(spark):
-    a = {(r.buyout_flag, r.fold): r.n for r in Q["stratified_kfold"](spark, SF_SMALL).collect()}
-    b = {(r.buyout_flag, r.fold): r.n for r in Q["stratified_kfold"](spark, SF_SMALL).collect()}
-    assert a == b
+    a = {r.lead_id: r.fold for r in V.stratified_kfold(_leads_small(spark), "buyout_flag", "lead_id", 5, seed=7).collect()}
+    b = {r.lead_id: r.fold for r in V.stratified_kfold(_leads_small(spark), "buyout_flag", "lead_id", 5, seed=7).collect()}
+    c = {r.lead_id: r.fold for r in V.stratified_kfold(_leads_small(spark), "buyout_flag", "lead_id", 5, seed=8).collect()}
+    assert a == b and a != c
 
 
 def test_planted_signal_auc(spark):
