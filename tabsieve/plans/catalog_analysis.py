@@ -140,10 +140,10 @@ def _date_order(spark, sf):
 
 
 @query("calendar_parts", with_cte(
-    "SELECT lead_id, coalesce(month(x), -1) AS c_month, coalesce(quarter(x), -1) AS c_quarter, "
-    "coalesce(weekofyear(x), -1) AS c_week, coalesce(isodow(x) - 1, -1) AS c_weekday, "
-    "coalesce(CAST(isodow(x) - 1 >= 5 AS INT), -1) AS c_weekend, coalesce(hour(x), -1) AS c_hour, "
-    "coalesce(day(x), -1) AS c_day FROM (SELECT lead_id, CASE WHEN lead_id % 10 = 0 THEN NULL ELSE "
+    "SELECT lead_id, CAST(coalesce(month(x), -1) AS INT) AS c_month, CAST(coalesce(quarter(x), -1) AS INT) AS c_quarter, "
+    "CAST(coalesce(weekofyear(x), -1) AS INT) AS c_week, CAST(coalesce(isodow(x) - 1, -1) AS INT) AS c_weekday, "
+    "coalesce(CAST(isodow(x) - 1 >= 5 AS INT), -1) AS c_weekend, CAST(coalesce(hour(x), -1) AS INT) AS c_hour, "
+    "CAST(coalesce(day(x), -1) AS INT) AS c_day FROM (SELECT lead_id, CASE WHEN lead_id % 10 = 0 THEN NULL ELSE "
     "to_timestamp(delivered_ts + lead_id % 86400)::TIMESTAMP END AS x FROM l)", l=L))
 def _calendar(spark, sf):
     d = leads(spark, sf).select("lead_id", F.when(F.col("lead_id") % 10 == 0, None).otherwise(
@@ -153,8 +153,9 @@ def _calendar(spark, sf):
 
 
 @query("expand_datetime_columns", with_cte(
-    "SELECT lead_id, year(sale_dt) AS sale_dt_year, month(sale_dt) AS sale_dt_month, day(sale_dt) AS sale_dt_day, "
-    "isodow(sale_dt) - 1 AS sale_dt_weekday, hour(sale_dt) AS sale_dt_hour, amount FROM l", l=L))
+    "SELECT lead_id, CAST(year(sale_dt) AS INT) AS sale_dt_year, CAST(month(sale_dt) AS INT) AS sale_dt_month, "
+    "CAST(day(sale_dt) AS INT) AS sale_dt_day, CAST(isodow(sale_dt) - 1 AS INT) AS sale_dt_weekday, "
+    "CAST(hour(sale_dt) AS INT) AS sale_dt_hour, amount FROM l", l=L))
 def _expand_dt(spark, sf):
     d = leads(spark, sf).select("lead_id", "sale_dt", "amount")
     out = D.expand_datetime_columns(d)

@@ -287,7 +287,7 @@ def _final_sql():
       {ref_cat} AS lead_utm_referrer, {tags} AS lead_tags,
       CAST("lead_Вес (грамм)*" IS NOT NULL AS INT) AS has_weight, {site} AS lead_utm_referrer_site,
       {pid(1)} AS lead_utm_id_1, {pid(3)} AS lead_utm_id_3, {dev} AS lead_utm_device_type,
-      coalesce(quarter(to_timestamp(lead_created_at)::TIMESTAMP), -1) AS lead_creation_date_quarter, lead_length,
+      CAST(coalesce(quarter(to_timestamp(lead_created_at)::TIMESTAMP), -1) AS INT) AS lead_creation_date_quarter, lead_length,
       {pay} AS lead_payment_type, {deliv} AS lead_delivery_type,
       CAST(coalesce(lead_utm_campaign IN ('{R.UTM_CAMPAIGN_PLACEHOLDERS[0]}', '{R.UTM_CAMPAIGN_PLACEHOLDERS[1]}'), true)
            AS INT) AS lead_utm_campaign_missing,

@@ -135,7 +135,7 @@ def _iqr_clip(spark, sf):
 
 @query("clip", with_cte(
     "SELECT lead_id, CASE WHEN d IS NULL THEN NULL ELSE least(greatest(d, 0), 30) END AS d_clipped FROM "
-    "(SELECT lead_id, CASE WHEN lead_id % 10 = 0 THEN NULL ELSE (delivered_ts - sale_ts) / 86400 * 4 END AS d FROM l)",
+    "(SELECT lead_id, CASE WHEN lead_id % 10 = 0 THEN NULL ELSE (delivered_ts - sale_ts) // 86400 * 4 END AS d FROM l)",
     l=L))
 def _clip(spark, sf):
     d = leads(spark, sf).select("lead_id", F.when(F.col("lead_id") % 10 == 0, None).otherwise(
