@@ -25,37 +25,83 @@ def thresholds() -> list[float]:
 
 
 # ------------------------------------------------------------------ splits
+def time_cuts(df: DataFrame, time: str, key: str, positions: list[int]) -> tuple[int, dict]:
+    """(n, {position: (time, key)}): the row found at each 0-based position of the (time, key)
+    order, without numbering every row.
+
+    One aggregate gives rows per calendar day (a calendar-bounded table); the cumulative
+    counts place every position in its day, and only those boundary days are numbered
+    with the distributed global index (range-partitioned, so a hot day is still split).
+    """
+    day = F.to_date(c_(time))
+    counted = df.groupBy(day.alias("_d")).count().collect()
+    null_rows = sum(r[1] for r in counted if r[0] is None)  # NULL times sort first, as in Spark
+    days = sorted((r[0], r[1]) for r in counted if r[0] is not None)
+    n = sum(c for _, c in days) + null_rows
+    want: dict = {}
+    start, j = null_rows, 0
+    targets = sorted(p for p in set(positions) if 0 <= p < n)
+    for d, c in days:
+        while j < len(targets) and targets[j] < start + c:
+            want.setdefault(d, []).append((targets[j], targets[j] - start))
+            j += 1
+        start += c
+    if not want:
+        return n, {}
+    sub = df.where(day.isin(list(want))).select(c_(time).alias("_t"), c_(key).alias("_k"), day.alias("_d"))
+    idx = global_index(sub, ["_t", "_k"], "_i")
+    # position inside the union of boundary days -> position inside each day
+    offsets, acc = {}, 0
+    for d, c in days:
+        if d in want:
+            offsets[d] = acc
+            acc += c
+    picks = [offsets[d] + r for d, lst in want.items() for _, r in lst]
+    rows = {r["_i"]: (r["_t"], r["_k"]) for r in idx.where(F.col("_i").isin(picks)).collect()}  # <= #positions
+    out = {}
+    for d, lst in want.items():
+        for p, r in lst:
+            out[p] = rows[offsets[d] + r]
+    return n, out
+
+
+def before(time: str, key: str, cut) -> Column:
+    """Row strictly before the cut row in (time, key) order."""
+    t, k = cut
+    strictly = (c_(time) < F.lit(t)) | ((c_(time) == F.lit(t)) & (c_(key) < F.lit(k)))
+    return c_(time).isNull() | F.coalesce(strictly, F.lit(False))
+
+
+def segment_by_positions(df: DataFrame, time: str, key: str, positions: list[int],
+                         out: str = "_seg") -> tuple[DataFrame, int]:
+    """Segment number of each row: how many of the cut positions lie at or before it."""
+    n, cuts = time_cuts(df, time, key, positions)
+    seg = F.lit(0)
+    for p in sorted(positions):
+        if p in cuts:
+            seg = seg + F.when(~before(time, key, cuts[p]), F.lit(1)).otherwise(F.lit(0))
+        elif p <= 0:
+            seg = seg + F.lit(1)
+    return df.withColumn(out, seg.cast("int")), n
+
+
 def time_split(df: DataFrame, time: str, key: str, test_size: float = 0.2,
                out: str = "split") -> DataFrame:
     """First ``int(n * (1 - test))`` rows in (time, key) order are train, the rest test."""
-    idx = global_index(df, [time, key], "_idx")
-    n = idx.count()
-    cut = int(n * (1 - test_size))
-    return idx.withColumn(out, F.when(F.col("_idx") < cut, "train").otherwise("test")).drop("_idx")
+    n = df.count()
+    seg, _ = segment_by_positions(df, time, key, [int(n * (1 - test_size))])
+    return seg.withColumn(out, F.when(F.col("_seg") == 0, "train").otherwise("test")).drop("_seg")
 
 
 def time_split_val(df: DataFrame, time: str, key: str, test_size: float = 0.2,
                    val_share: float = 0.1, out: str = "split") -> DataFrame:
     """train / val / test = [0, int(int(.8n)*.9)), [.., int(.8n)), [.., n)."""
-    idx = global_index(df, [time, key], "_idx")
-    n = idx.count()
+    n = df.count()
     tv = int(n * (1 - test_size))
     tr = int(tv * (1 - val_share))
-    lab = (F.when(F.col("_idx") < tr, "train").when(F.col("_idx") < tv, "val").otherwise("test"))
-    return idx.withColumn(out, lab).drop("_idx")
-
-
-def expanding_folds(df: DataFrame, time: str, key: str, k: int = 5) -> DataFrame:
-    """TimeSeriesSplit folds as one row per input row: ``test_fold`` (NULL if in no test
-    fold) and ``_idx``; fold i trains on every row before its test block."""
-    idx = global_index(df, [time, key], "_idx")
-    n = idx.count()
-    ts = n // (k + 1)
-    fold = F.lit(None).cast("int")
-    for i in range(k):
-        lo, hi = n - (k - i) * ts, n - (k - i - 1) * ts
-        fold = F.when((F.col("_idx") >= lo) & (F.col("_idx") < hi), F.lit(i)).otherwise(fold)
-    return idx.withColumn("test_fold", fold)
+    seg, _ = segment_by_positions(df, time, key, [tr, tv])
+    lab = F.when(F.col("_seg") == 0, "train").when(F.col("_seg") == 1, "val").otherwise("test")
+    return seg.withColumn(out, lab).drop("_seg")
 
 
 def expanding_fold_ranges(n: int, k: int) -> list[tuple[int, int, int]]:
@@ -63,22 +109,43 @@ def expanding_fold_ranges(n: int, k: int) -> list[tuple[int, int, int]]:
     return [(i, n - (k - i) * ts, n - (k - i - 1) * ts) for i in range(k)]
 
 
+def expanding_folds(df: DataFrame, time: str, key: str, k: int = 5) -> DataFrame:
+    """TimeSeriesSplit folds: ``test_fold`` (NULL if in no test fold) and ``_seg``;
+    fold i tests rows [n - (k-i)*ts, n - (k-i-1)*ts) and trains on every row with
+    ``_seg <= i`` (all rows before its test block)."""
+    n = df.count()
+    ranges = expanding_fold_ranges(n, k)
+    seg, _ = segment_by_positions(df, time, key, [lo for _, lo, _ in ranges])
+    fold = F.when((F.col("_seg") >= 1) & (F.col("_seg") <= k), F.col("_seg") - 1)
+    return seg.withColumn("test_fold", fold.cast("int"))
+
+
 def expanding_folds_blocks(df: DataFrame, time: str, key: str, k: int = 5) -> DataFrame:
     """n // k blocks; fold j (j = 1..k-1) tests block j and trains on blocks < j."""
-    idx = global_index(df, [time, key], "_idx")
-    n = idx.count()
+    n = df.count()
     size = max(n // k, 1)
-    blk = F.least(F.floor(F.col("_idx") / size), F.lit(k - 1)).cast("int")
-    return idx.withColumn("block", blk).withColumn(
-        "test_fold", F.when(F.col("block") >= 1, F.col("block")))
+    seg, _ = segment_by_positions(df, time, key, [j * size for j in range(1, k)])
+    return (seg.withColumn("block", F.col("_seg")).withColumn(
+        "test_fold", F.when(F.col("_seg") >= 1, F.col("_seg")))
+        # relabel so that "train on _seg <= fold" means every block before the test block
+        .withColumn("_seg", F.col("_seg") + 1))
 
 
 def fold_summary(folded: DataFrame, time: str, k: int, blocks: bool = False) -> DataFrame:
     """Per fold: train/test row counts and time ranges (train = all rows before the test block)."""
-    tests = folded.where(F.col("test_fold").isNotNull()).groupBy("test_fold").agg(
-        F.count(F.lit(1)).alias("n_test"), F.min("_idx").alias("_lo"),
-        F.min(c_(time)).alias("test_min_time"), F.max(c_(time)).alias("test_max_time"))
-    return tests.select(F.col("test_fold").cast("bigint").alias("fold"), F.col("_lo").alias("n_train"),
+    per = folded.groupBy("_seg").agg(F.count(F.lit(1)).alias("_n"))
+    segs = sorted((r[0], r[1]) for r in per.collect())  # one row per segment (<= k + 2)
+    before_rows, acc = {}, 0
+    for sg, c in segs:
+        before_rows[sg] = acc
+        acc += c
+    tests = folded.where(F.col("test_fold").isNotNull()).groupBy("test_fold", "_seg").agg(
+        F.count(F.lit(1)).alias("n_test"), F.min(c_(time)).alias("test_min_time"),
+        F.max(c_(time)).alias("test_max_time"))
+    ntrain = F.lit(0).cast("bigint")
+    for sg, b in before_rows.items():
+        ntrain = F.when(F.col("_seg") == sg, F.lit(b).cast("bigint")).otherwise(ntrain)
+    return tests.select(F.col("test_fold").cast("bigint").alias("fold"), ntrain.alias("n_train"),
                         "n_test", "test_min_time", "test_max_time")
 
 

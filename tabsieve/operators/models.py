@@ -172,16 +172,15 @@ def ap_of(scored: DataFrame, label: str, positive: int = 0) -> float:
 
 
 def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "test_fold", k: int = 3,
-               kind: str = "gbt", params: dict | None = None, positive: int = 0, key: str = "_idx") -> DataFrame:
+               kind: str = "gbt", params: dict | None = None, positive: int = 0, key: str = "lead_id",
+               seg: str = "_seg") -> DataFrame:
     """Out-of-fold probabilities over expanding time folds: fold i trains on rows before its
-    test block (``_idx`` order). Rows in no test fold keep NULL."""
+    test block (``seg <= i``). Rows in no test fold keep NULL."""
     preds = []
-    for i in range(k):
+    folds = sorted(r[0] for r in df.select(fold_col).where(F.col(fold_col).isNotNull()).distinct().collect())
+    for i in folds[:k]:  # fold ids are few (one per test block)
         test = df.where(F.col(fold_col) == i)
-        lo = test.agg(F.min(key)).first()[0]
-        if lo is None:
-            continue
-        train = df.where(F.col(key) < lo)
+        train = df.where(F.col(seg) <= i)
         fm = fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {})
         preds.append(probability_of(fm.transform(test), positive, "oof_p").select(key, "oof_p"))
     if not preds:
@@ -192,7 +191,7 @@ def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "t
 
 def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_trials: int = 4,
                 fold_col: str = "test_fold", k: int = 2, kind: str = "gbt", seed: int = 42,
-                positive: int = 0, key: str = "_idx") -> DataFrame:
+                positive: int = 0, seg: str = "_seg") -> DataFrame:
     """Seeded random search: each trial draws one value per parameter, scores the mean
     average precision of ``positive`` over the time folds; returns (trial, params, mean_ap)."""
     import json
@@ -204,10 +203,7 @@ def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_tr
         aps = []
         for i in range(k):
             test = df.where(F.col(fold_col) == i)
-            lo = test.agg(F.min(key)).first()[0]
-            if lo is None:
-                continue
-            fm = fit_classifier(df.where(F.col(key) < lo), label, num_cols, cat_cols, kind, None, params)
+            fm = fit_classifier(df.where(F.col(seg) <= i), label, num_cols, cat_cols, kind, None, params)
             aps.append(ap_of(fm.transform(test), label, positive))
         rows.append((t, json.dumps(params, sort_keys=True), float(sum(aps) / len(aps)) if aps else None))
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_ap double")

@@ -21,7 +21,9 @@ L = leads_sql()
 
 # lineitem with a planted signal: label from discount and quantity plus a hash-like noise term
 ML_COLUMNS = [
-    ("lead_id", "l_orderkey * 10 + l_linenumber"),
+    # (order, line, part, supplier, ship day) is the unique row key of lineitem
+    ("lead_id", "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), "
+                "CAST(l_suppkey AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING))"),
     ("ship_dt", "l_shipdate"),
     ("quantity", "l_quantity"),
     ("price", "CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice END"),
@@ -54,8 +56,7 @@ def _class_weights(spark, sf):
 
 @query("fit_boosted_trees", None)
 def _fit_gbt(spark, sf):
-    s = _split(spark, sf)
-    s = V.time_split_val(s.drop("split"), "ship_dt", "lead_id")
+    s = V.time_split_val(ml_table(spark, sf), "ship_dt", "lead_id")  # train / val / test by time
     trval = s.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
     wt = V.class_weight_column(trval, "y", "fixed", {0: 5.0, 1: 1.0})
     fm = M.fit_boosted_trees(wt, "y", NUM, CAT, weight="weight", max_iter=8, depth=4, val_col="is_val")
