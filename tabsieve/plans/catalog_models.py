@@ -318,7 +318,42 @@ def _lead_set(spark, sf):
     return plan.withColumn("rows", F.lit(st["rows"])).withColumn("campaign_missing_share", F.lit(st["share"]))
 
 
-@query("cleaning_pipeline", None)
+def _cleaning_sql():
+    from tabsieve.plans.catalog_profile import ALL
+    from tabsieve.plans.registry import d_empty, d_level_stats, d_norm
+    empties = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg(CAST({d_empty(c)} AS DOUBLE)) AS share FROM l" for c in ALL)
+    pairs = []
+    for i, a in enumerate(ALL):
+        for b in ALL[i + 1:]:
+            pairs.append(f"SELECT '{a}' AS lf, '{b}' AS rt, sum(CAST({d_norm(a)} <> {d_norm(b)} AS INT)) AS mm FROM l")
+    gone = lambda *ds: " UNION ALL ".join(f"SELECT feature FROM {d}" for d in ds)
+
+    def step(i, name, d, prior):
+        before = f"{len(ALL)} - (SELECT count(*) FROM ({gone(*prior)}))" if prior else str(len(ALL))
+        after = f"{len(ALL)} - (SELECT count(*) FROM ({gone(*(prior + [d]))}))"
+        return (f"SELECT {i} AS step, '{name}' AS analyzer, feature, CAST({before} AS INT) AS cols_before, "
+                f"CAST({after} AS INT) AS cols_after FROM (SELECT feature FROM {d} UNION ALL SELECT NULL "
+                f"WHERE NOT EXISTS (SELECT 1 FROM {d}))")
+    body = ("SELECT step, analyzer, feature, (SELECT count(*) FROM l) AS rows_before, cols_before, cols_after FROM ("
+            + " UNION ALL ".join([step(0, "empty_features", "d0", []), step(1, "dominant_value", "d1", ["d0"]),
+                                  step(2, "duplicate_features", "d2", ["d0", "d1"]),
+                                  step(3, "manual_drop", "d3", ["d0", "d1", "d2"])]) + ")")
+    return with_cte(
+        body, l=L, e=empties,
+        d0="SELECT feature FROM e WHERE share >= 0.95 AND feature <> 'buyout_flag'",
+        ls=d_level_stats("l", ALL),
+        d1="SELECT feature FROM ls WHERE non_empty_count >= 3 AND top_count / non_empty_count >= 1.0 "
+           "AND feature NOT IN (SELECT feature FROM d0) AND feature <> 'buyout_flag'",
+        ps=" UNION ALL ".join(pairs),
+        d2="SELECT DISTINCT rt AS feature FROM ps WHERE mm = 0 AND lf NOT IN (SELECT feature FROM d0 UNION ALL "
+           "SELECT feature FROM d1) AND rt NOT IN (SELECT feature FROM d0 UNION ALL SELECT feature FROM d1) "
+           "AND rt <> 'buyout_flag'",
+        d3="SELECT 'status' AS feature WHERE 'status' NOT IN (SELECT feature FROM d0 UNION ALL SELECT feature FROM d1 "
+           "UNION ALL SELECT feature FROM d2)")
+
+
+@query("cleaning_pipeline", _cleaning_sql())
 def _cleaning(spark, sf):
     d = leads(spark, sf)
     _, rep = PL.cleaning_pipeline(d, "buyout_flag", manual={"status": "post-event status"}, order_cols=["lead_id"])
