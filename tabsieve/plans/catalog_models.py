@@ -308,18 +308,33 @@ def _project_final(spark, sf):
     return S.project_final(PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps()), keep_time="sale_ts")
 
 
-@query("lead_feature_set", None)
+def _lead_set_sql():
+    plan = [("utm_campaign", "lead_utm_campaign", True), ("payment", "lead_Вид оплаты", True),
+            ("delivery", "lead_Служба доставки", True), ("referrer", "lead_utm_referrer", True),
+            ("assembly", "lead_Дата перехода в Сборку", False)]
+    vals = ", ".join(f"('{t}', '{c}', '{c if ok else ''}', '{'' if ok else c}', {str(ok).lower()})" for t, c, ok in plan)
+    return with_cte(
+        "SELECT p.*, s.rows, s.campaign_missing_share FROM (SELECT * FROM (VALUES " + vals + ") "
+        "t(transform, required, available, missing, runnable)) p, (SELECT count(*) AS rows, avg(CAST(coalesce("
+        "lead_utm_campaign IN ('{campaing_id}', 'Неизвестно'), true) AS DOUBLE)) AS campaign_missing_share FROM r) s",
+        r=_raw_leads_sql())
+
+
+@query("lead_feature_set", _lead_set_sql())
 def _lead_set(spark, sf):
     steps = {s.__name__: s for s in PL.lead_feature_steps()}
     req = {"utm_campaign": ["lead_utm_campaign"], "payment": ["lead_Вид оплаты"], "delivery": ["lead_Служба доставки"],
            "referrer": ["lead_utm_referrer"], "assembly": ["lead_Дата перехода в Сборку"]}
     out, plan = PL.lead_feature_set(raw_leads(spark, sf), req, steps)
     st = out.agg(F.count(F.lit(1)).alias("rows"), F.avg("lead_utm_campaign_missing").alias("share")).first()
-    return plan.withColumn("rows", F.lit(st["rows"])).withColumn("campaign_missing_share", F.lit(st["share"]))
+    return (plan.withColumn("rows", F.lit(st["rows"]).cast("bigint"))
+            .withColumn("campaign_missing_share", F.lit(st["share"]).cast("double")))
 
 
-def _cleaning_sql():
+def _cleaning_sql(cols=None, steps=("empty", "dominant", "duplicate", "manual"), step_type="INT",
+                  count_type="INT"):
     from tabsieve.plans.catalog_profile import ALL
+    ALL = list(cols or ALL)  # noqa: N806
     from tabsieve.plans.registry import d_empty, d_level_stats, d_norm
     empties = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, avg(CAST({d_empty(c)} AS DOUBLE)) AS share FROM l" for c in ALL)
@@ -332,15 +347,20 @@ def _cleaning_sql():
     def step(i, name, d, prior):
         before = f"{len(ALL)} - (SELECT count(*) FROM ({gone(*prior)}))" if prior else str(len(ALL))
         after = f"{len(ALL)} - (SELECT count(*) FROM ({gone(*(prior + [d]))}))"
-        return (f"SELECT {i} AS step, '{name}' AS analyzer, feature, CAST({before} AS INT) AS cols_before, "
-                f"CAST({after} AS INT) AS cols_after FROM (SELECT feature FROM {d} UNION ALL SELECT NULL "
-                f"WHERE NOT EXISTS (SELECT 1 FROM {d}))")
+        return (f"SELECT CAST({i} AS {step_type}) AS step, '{name}' AS analyzer, feature, "
+                f"CAST({before} AS {count_type}) AS cols_before, CAST({after} AS {count_type}) AS cols_after "
+                f"FROM (SELECT feature FROM {d} UNION ALL SELECT NULL WHERE NOT EXISTS (SELECT 1 FROM {d}))")
+    names = {"empty": ("empty_features", "d0"), "dominant": ("dominant_value", "d1"),
+             "duplicate": ("duplicate_features", "d2"), "manual": ("manual_drop", "d3")}
+    parts, prior = [], []
+    for i, k in enumerate(steps):
+        name, d = names[k]
+        parts.append(step(i, name, d, list(prior)))
+        prior.append(d)
     body = ("SELECT step, analyzer, feature, (SELECT count(*) FROM l) AS rows_before, cols_before, cols_after FROM ("
-            + " UNION ALL ".join([step(0, "empty_features", "d0", []), step(1, "dominant_value", "d1", ["d0"]),
-                                  step(2, "duplicate_features", "d2", ["d0", "d1"]),
-                                  step(3, "manual_drop", "d3", ["d0", "d1", "d2"])]) + ")")
+            + " UNION ALL ".join(parts) + ")")
     return with_cte(
-        body, l=L, e=empties,
+        body, l=L if cols is None else f"SELECT {', '.join(ALL)} FROM ({L})", e=empties,
         d0="SELECT feature FROM e WHERE share >= 0.95 AND feature <> 'buyout_flag'",
         ls=d_level_stats("l", ALL),
         d1="SELECT feature FROM ls WHERE non_empty_count >= 3 AND top_count / non_empty_count >= 1.0 "
@@ -353,6 +373,12 @@ def _cleaning_sql():
            "UNION ALL SELECT feature FROM d2)")
 
 
+from tabsieve.plans.registry import ORACLES  # noqa: E402
+from tabsieve.plans.catalog_profile import _report_oracle  # noqa: E402
+
+ORACLES["write_audit_report"] = _report_oracle()
+
+
 @query("cleaning_pipeline", _cleaning_sql())
 def _cleaning(spark, sf):
     d = leads(spark, sf)

@@ -99,6 +99,11 @@ def _write_audit_report(spark, sf):
         F.col("cols_after").cast("bigint").alias("cols_after"))
 
 
+def _report_oracle():
+    from tabsieve.plans.catalog_models import _cleaning_sql
+    return _cleaning_sql(TEXTY, ("empty", "dominant"), step_type="BIGINT", count_type="BIGINT")
+
+
 query("write_audit_report", None)(_write_audit_report)
 
 
