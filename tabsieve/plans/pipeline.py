@@ -76,8 +76,16 @@ def cleaning_pipeline(df: DataFrame, target: str, manual: dict[str, str] | None
 
 
 # ------------------------------------------------------------ feature chain
-def transform_chain(df: DataFrame, steps: list) -> DataFrame:
-    """Apply ``steps`` (DataFrame -> DataFrame) in order: ``df.transform(f1).transform(f2)...``."""
+def transform_chain(df: DataFrame, steps: list, persist_input: bool = True) -> DataFrame:
+    """Apply ``steps`` (DataFrame -> DataFrame) in order: ``df.transform(f1).transform(f2)...``.
+
+    Fitting steps (quartiles, top-k) scan the input before the final projection,
+    so the input is persisted (memory and disk) once instead of being recomputed
+    per scan; it also keeps the upstream join out of the chain's generated code.
+    """
+    if persist_input:
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     for s in steps:
         df = df.transform(s)
     return df
