@@ -237,7 +237,9 @@ def raw_leads(spark, sf):
 
 @query("transform_chain", None)
 def _chain(spark, sf):
-    return PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps())
+    out = PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps())
+    # trigonometric output rounded so that engines with different libm agree in the check
+    return out.withColumn("lead_creation_date_sin", F.round("lead_creation_date_sin", 9))
 
 
 def _raw_leads_sql():
@@ -249,7 +251,7 @@ def _raw_leads_sql():
             "JOIN nation ON c_nationkey = n_nationkey")
 
 
-def _final_sql():
+def _chain_columns():
     from tabsieve.functions import rules as R
     h = '"lead_Высота"'
     g0 = "regexp_extract(coalesce(lead_utm_group, ''), '^[A-Za-zА-Яа-яЁё]+', 0)"
@@ -283,18 +285,45 @@ def _final_sql():
     hclip = f"CASE WHEN {h} IS NULL THEN NULL ELSE least({h}, (SELECT q3 + 2 * (q3 - q1) FROM hq)) END"
     hbin = (f"CASE WHEN {hclip} IS NULL THEN 'unknown' WHEN {hclip} <= 4 THEN 'small' WHEN {hclip} <= 12 "
             "THEN 'medium' ELSE 'large' END")
-    body = f"""SELECT
-      CASE WHEN grp IN (SELECT v FROM top5) OR grp = 'unknown' THEN grp ELSE 'rare_utm_group' END AS lead_utm_group,
-      {ref_cat} AS lead_utm_referrer, {tags} AS lead_tags,
-      CAST("lead_Вес (грамм)*" IS NOT NULL AS INT) AS has_weight, {site} AS lead_utm_referrer_site,
-      {pid(1)} AS lead_utm_id_1, {pid(3)} AS lead_utm_id_3, {dev} AS lead_utm_device_type,
-      CAST(coalesce(quarter(to_timestamp(lead_created_at)::TIMESTAMP), -1) AS INT) AS lead_creation_date_quarter, lead_length,
-      {pay} AS lead_payment_type, {deliv} AS lead_delivery_type,
-      CAST(coalesce(lead_utm_campaign IN ('{R.UTM_CAMPAIGN_PLACEHOLDERS[0]}', '{R.UTM_CAMPAIGN_PLACEHOLDERS[1]}'), true)
-           AS INT) AS lead_utm_campaign_missing,
-      CAST(lead_group IS NULL AS INT) AS lead_group_missing, {hbin} AS lead_height_bin,
-      CAST({cost} IS NULL AS INT) AS delivery_cost_missing, buyout_flag, to_timestamp(sale_ts)::TIMESTAMP AS sale_ts
-      FROM g"""
+    campaign = ("CASE WHEN coalesce(lead_utm_campaign IN ('" + "', '".join(R.UTM_CAMPAIGN_PLACEHOLDERS)
+                + "'), false) THEN NULL ELSE lead_utm_campaign END")
+    created = "to_timestamp(lead_created_at)::TIMESTAMP"
+    cols = {
+        "lead_id": "lead_id", "buyout_flag": "buyout_flag", "sale_ts": "to_timestamp(sale_ts)::TIMESTAMP",
+        "lead_created_at": "lead_created_at", "lead_utm_campaign": campaign,
+        '"lead_Высота"': f"coalesce({h}, -1.0)",
+        '"lead_Вес (грамм)*"': '"lead_Вес (грамм)*"', '"lead_Вид оплаты"': '"lead_Вид оплаты"',
+        '"lead_Служба доставки"': '"lead_Служба доставки"', "lead_group": "lead_group",
+        '"lead_Стоимость доставки"': '"lead_Стоимость доставки"',
+        "lead_utm_group": "CASE WHEN grp IN (SELECT v FROM top5) OR grp = 'unknown' THEN grp ELSE 'rare_utm_group' END",
+        "lead_utm_referrer": ref_cat, "lead_tags": tags, "lead_utm_content": "lead_utm_content",
+        "lead_length": "lead_length",
+        "lead_utm_campaign_missing": f"CAST(({campaign}) IS NULL AS INT)",
+        "lead_height_known": f"CAST({h} IS NOT NULL AS INT)", "lead_height_bin": hbin,
+        "has_weight": 'CAST("lead_Вес (грамм)*" IS NOT NULL AS INT)',
+        "lead_payment_type": pay, "lead_delivery_type": deliv,
+        "lead_group_missing": "CAST(lead_group IS NULL AS INT)",
+        "lead_group_grouped": "CASE WHEN coalesce(lead_group IN ('" + "', '".join(R.LEAD_GROUP_MAIN)
+                              + "'), false) THEN lead_group ELSE 'other' END",
+        "delivery_cost_missing": f"CAST({cost} IS NULL AS INT)", "lead_shipping_cost": f"coalesce({cost}, -1.0)",
+        "lead_utm_referrer_site": site, "lead_utm_device_type": dev, "lead_utm_id_1": pid(1), "lead_utm_id_3": pid(3),
+        "lead_creation_date_month": f"CAST(coalesce(month({created}), -1) AS INT)",
+        "lead_creation_date_quarter": f"CAST(coalesce(quarter({created}), -1) AS INT)",
+        "lead_creation_date_sin": f"round(coalesce(sin(2 * pi() * day({created}) / 30.0), -1.0), 9)",
+        "timedelta_between_sale_and_creation": "CAST(sale_ts - lead_created_at AS DOUBLE)",
+        "lead_created_ts": created,
+        "lead_created_dayofweek": f"CAST(coalesce(isodow({created}) - 1, -1) AS INT)",
+    }
+    return cols
+
+
+def _chain_sql(names=None):
+    cols = _chain_columns()
+    keep = [k for k in cols if names is None or k.strip('"') in names]
+    body = "SELECT " + ", ".join(f"{cols[k]} AS {k}" for k in keep) + " FROM g"
+    h = '"lead_Высота"'
+    g0 = "regexp_extract(coalesce(lead_utm_group, ''), '^[A-Za-zА-Яа-яЁё]+', 0)"
+    grp = f"CASE WHEN {g0} = '' THEN 'unknown' ELSE {g0} END"
     return with_cte(
         body, r=_raw_leads_sql(),
         g=f"SELECT *, {grp} AS grp FROM r",
@@ -303,6 +332,10 @@ def _final_sql():
         hq=f"SELECT quantile_cont({h}, 0.25) AS q1, quantile_cont({h}, 0.75) AS q3 FROM r")
 
 
+def _final_sql():
+    return _chain_sql(S.FINAL_COLUMNS + ["sale_ts"])
+
+
 @query("project_final", _final_sql())
 def _project_final(spark, sf):
     return S.project_final(PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps()), keep_time="sale_ts")
@@ -377,6 +410,7 @@ from tabsieve.plans.registry import ORACLES  # noqa: E402
 from tabsieve.plans.catalog_profile import _report_oracle  # noqa: E402
 
 ORACLES["write_audit_report"] = _report_oracle()
+ORACLES["transform_chain"] = _chain_sql()
 
 
 @query("cleaning_pipeline", _cleaning_sql())
