@@ -8,7 +8,6 @@ join of the ranked lists plus one ordered ``limit``. The reducer is a
 from __future__ import annotations
 
 import functools
-import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,23 +44,34 @@ def weighted_voting(rankings: dict[str, tuple[DataFrame, str, str]], weights: di
 
 
 def weighted_rank_conflict(rankings: dict[str, DataFrame], weights: dict[str, float], n_final: int,
-                           fill_order=("cb", "lr", "rf"), seed: int = 42) -> DataFrame:
-    """Per rank position take the heaviest list's candidate not yet chosen; then fill the rest
-    from lists in ``fill_order``. Lists are (feature, rank) top-k tables (a few thousand names),
-    so the greedy pass runs on the driver over collected names; input order of equal-weight
-    lists is a seeded hash order."""
-    lists = {n: [r["feature"] for r in df.orderBy("rank", "feature").collect()] for n, df in rankings.items()}
-    order = sorted(lists, key=lambda n: (-weights.get(n, 0.0), zlib.crc32(f"{seed}:{n}".encode())))
-    chosen: list[tuple[str, str, int]] = []
+                           fill_order=("cb", "lr", "rf"), seed: int = 42, shuffle: bool = True) -> DataFrame:
+    """Rank-position conflict resolution between ranked lists.
+
+    Each list (feature, rank) is optionally reordered by a seeded hash of the
+    feature name (the reference shuffles its lists with a seeded generator).
+    Then, position by position, the candidates of all lists are deduplicated
+    keeping the heaviest list, and the heaviest candidate not yet chosen is
+    taken (equal weights keep the lists' given order). Leftovers are appended
+    list by list in ``fill_order``. The lists are top-k tables (k names each),
+    so the greedy pass runs on the driver over the collected names.
+    Output: (position, feature, source, source_weight, rank_position).
+    """
+    lists = {}
+    for n, df in rankings.items():
+        order = [F.xxhash64(F.lit(seed), F.col("feature")), F.col("feature")] if shuffle else ["rank", "feature"]
+        lists[n] = [r["feature"] for r in df.orderBy(*order).collect()]  # k names
+    names = list(lists)
+    by_weight = sorted(names, key=lambda n: -weights.get(n, 0.0))  # stable: equal weights keep list order
+    chosen: list[tuple[str, str, float, int]] = []
     seen = set()
     depth = max((len(v) for v in lists.values()), default=0)
     for pos in range(depth):
         if len(chosen) >= n_final:
             break
-        for n in order:
+        for n in by_weight:
             if pos < len(lists[n]) and lists[n][pos] not in seen:
                 seen.add(lists[n][pos])
-                chosen.append((lists[n][pos], n, pos + 1))
+                chosen.append((lists[n][pos], n, float(weights.get(n, 0.0)), pos + 1))
                 break
     for n in fill_order:
         for pos, f in enumerate(lists.get(n, [])):
@@ -69,10 +79,11 @@ def weighted_rank_conflict(rankings: dict[str, DataFrame], weights: dict[str, fl
                 break
             if f not in seen:
                 seen.add(f)
-                chosen.append((f, n, pos + 1))
+                chosen.append((f, n, float(weights.get(n, 0.0)), pos + 1))
     spark = next(iter(rankings.values())).sparkSession
-    return spark.createDataFrame([(i + 1, f, n, p) for i, (f, n, p) in enumerate(chosen[:n_final])],
-                                 "position int, feature string, source string, source_rank int")
+    return spark.createDataFrame([(i + 1, f, n, w, p) for i, (f, n, w, p) in enumerate(chosen[:n_final])],
+                                 "position int, feature string, source string, source_weight double, "
+                                 "rank_position int")
 
 
 def reduce_dataset(df: DataFrame, selected: list[str], keep: list[str] | None = None,

@@ -92,3 +92,13 @@ def test_weekday_monday_zero(spark):
 def test_site_family_rules_apply_in_order(spark):
     df = spark.createDataFrame([("ya.ru",), ("news.ria.ru",), ("dzen.ru",), ("ok.ru",), ("other.com",)], "h string")
     assert [r.f for r in df.select(R.site_family("h").alias("f")).collect()] == ["yandex", "ria", "dzen", "ok", "other.com"]
+
+
+def test_rank_conflict_greedy_by_position(spark):
+    from tabsieve.operators.select import weighted_rank_conflict
+    mk = lambda names: spark.createDataFrame([(f, i + 1) for i, f in enumerate(names)], "feature string, rank int")
+    lists = {"lr": mk(["a", "b", "c"]), "rf": mk(["d", "a", "e"]), "cb": mk(["a", "f"])}
+    out = weighted_rank_conflict(lists, {"lr": 40.0, "rf": 10.0, "cb": 50.0}, n_final=5, shuffle=False).collect()
+    # pos1: cb 'a'; pos2: cb 'f'; pos3: lr 'c'; leftovers cb -> lr 'b' -> rf 'd'
+    assert [(r.feature, r.source, r.rank_position) for r in out] == [
+        ("a", "cb", 1), ("f", "cb", 2), ("c", "lr", 3), ("b", "lr", 2), ("d", "rf", 1)]
