@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.text import col_of, regex_trim
-from tabsieve.operators.profile import Findings, c_, wide_row_to_long
+from tabsieve.operators.profile import c_, wide_row_to_long
 
 # Name hints, accepted epoch window (2000-01-01 .. 2036-01-01 in seconds),
 # date-text prefix pattern.
@@ -217,5 +217,3 @@ def date_out_of_range_to_null(c, start: str, end: str) -> Column:
     x = col_of(c)
     return F.when((x >= F.lit(start).cast("timestamp_ntz")) & (x <= F.lit(end).cast("timestamp_ntz")), x)
 
-
-_ = (Findings, wide_row_to_long)

@@ -8,8 +8,6 @@ distributed global index.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,5 +351,3 @@ def class_weight_column(df: DataFrame, y: str, mode: str = "balanced", ratio: di
         w = F.when(c_(y) == k, F.lit(n / (len(counts) * v))).otherwise(w)
     return df.withColumn(out, w)
 
-
-_ = (math, Window)

@@ -10,13 +10,11 @@ from tabsieve.operators import dates as D
 from tabsieve.operators import evaluate as V
 from tabsieve.operators import joins as J
 from tabsieve.operators import ordered as O
-from tabsieve.operators.transform import days_between
-from tabsieve.plans.inputs import leads, leads_sql, lines, lines_sql, read, with_cte
-from tabsieve.plans.registry import ORACLES, d_norm, query
+from tabsieve.plans.inputs import leads, leads_sql, read, with_cte
+from tabsieve.plans.registry import d_norm, query
 from tabsieve.sources.io import load_reference_table
 
 L = leads_sql()
-LN = lines_sql()
 _EPOCH = ["shift_ts", "shift_created_ms", "delivered_ts", "amount", "sale_date_text"]
 _SHIFT = "SELECT *, sale_ts + 315576000 AS shift_ts, created_ms + 315576000000 AS shift_created_ms FROM l0"
 
@@ -24,8 +22,6 @@ _SHIFT = "SELECT *, sale_ts + 315576000 AS shift_ts, created_ms + 315576000000 A
 def _shifted(spark, sf):
     return leads(spark, sf).withColumn("shift_ts", F.col("sale_ts") + 315576000).withColumn(
         "shift_created_ms", F.col("created_ms") + 315576000000)
-_EPOCH_SQL = {"sale_ts": "sale_ts", "created_ms": "created_ms", "delivered_ts": "delivered_ts",
-              "amount": "amount", "sale_date_text": "sale_date_text"}
 
 
 def _r(c, d=6):
@@ -263,18 +259,13 @@ def _cramers_sql(cols, target="buyout_flag"):
 
 @query("cramers_v", with_cte(
     f"SELECT feature, round(cramers_v, 6) AS cramers_v, n, levels FROM ({_cramers_sql(['segment'], 'priority_y')})",
-    l=L + "", ly="SELECT 1"))
+    l0=L, l="SELECT segment, coalesce(priority, 'none') AS priority_y FROM l0"))
 def _cramers(spark, sf):
     d = leads(spark, sf).select("segment", F.coalesce("priority", F.lit("none")).alias("priority_y"))
     return A.cramers_v(d, "segment", "priority_y").select("feature", _r(F.col("cramers_v")).alias("cramers_v"),
                                                         "n", "levels")
 
 
-ORACLES["cramers_v"] = with_cte(
-    f"SELECT feature, round(cramers_v, 6) AS cramers_v, n, levels FROM ({_cramers_sql(['segment'], 'priority_y')})",
-    l0=L, l="SELECT segment, coalesce(priority, 'none') AS priority_y FROM l0")
-
-
 @query("categorical_target_assoc", with_cte(
     f"SELECT feature, round(cramers_v, 4) AS cramers_v, n, levels FROM ({_cramers_sql(_CAT)}) "
     "WHERE levels >= 2 AND levels <= 100 AND n >= 30 AND cramers_v >= 0.05", l=L))
@@ -761,4 +752,3 @@ def _constrained(spark, sf):
     return V.threshold_constrained(t, min_recall_0=0.5, min_precision_1=0.5).select("threshold")
 
 
-_ = (lines, lines_sql, days_between, LN)
