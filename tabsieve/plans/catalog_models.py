@@ -215,8 +215,10 @@ RAW_LEAD_COLUMNS = [
     ("`lead_Служба доставки`", "CASE o_orderkey % 6 WHEN 0 THEN 'СДЭК до ПВЗ' WHEN 1 THEN 'СДЭК до Двери' "
                                "WHEN 2 THEN 'Почта' WHEN 3 THEN 'Самовывоз' WHEN 4 THEN 'Курьер ЕМС' END"),
     ("lead_group", "CASE o_orderkey % 4 WHEN 0 THEN 'yur' WHEN 1 THEN 'but' WHEN 2 THEN 'misc' END"),
-    ("`lead_Стоимость доставки`", "CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE replace(CAST(round(o_totalprice / 1000, 2) "
-                                  "AS STRING), '.', ',') END"),
+    # "X,YY" written with integer arithmetic (identical text in every engine; no half-way rounding)
+    ("`lead_Стоимость доставки`", "CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE "
+                                  "CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',' || "
+                                  "lpad(CAST(CAST(floor(o_totalprice / 10) AS BIGINT) % 100 AS STRING), 2, '0') END"),
     ("lead_utm_group", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE lower(c_mktsegment) || '_' || "
                        "CAST(o_orderkey % 3 AS STRING) END"),
     ("lead_utm_referrer", "CASE o_orderkey % 5 WHEN 0 THEN 'https://artraid.example/' || lower(n_name) || '/varikoz-1' "

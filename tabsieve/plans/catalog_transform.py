@@ -79,8 +79,10 @@ def _fill_mode(spark, sf):
 
 
 _LOC = ("CASE WHEN lead_id % 5 = 0 THEN '-' WHEN lead_id % 5 = 1 THEN ' ' "
-        "WHEN lead_id % 5 = 2 THEN replace(CAST(round(amount, 2) AS STRING), '.', ',') "
-        "WHEN lead_id % 5 = 3 THEN 'n/a' ELSE CAST(round(amount, 2) AS STRING) END")
+        "WHEN lead_id % 5 = 2 THEN CAST(CAST(floor(amount) AS BIGINT) AS STRING) || ',' || "
+        "lpad(CAST(CAST(floor(amount * 100) AS BIGINT) % 100 AS STRING), 2, '0') "
+        "WHEN lead_id % 5 = 3 THEN 'n/a' ELSE CAST(CAST(floor(amount) AS BIGINT) AS STRING) || '.' || "
+        "lpad(CAST(CAST(floor(amount * 100) AS BIGINT) % 100 AS STRING), 2, '0') END")
 
 
 @query("parse_localised_number", with_cte(
