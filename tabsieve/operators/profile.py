@@ -168,9 +168,38 @@ def dominant_value(df: DataFrame, cols=None, threshold: float = 1.0,
     return Findings("dominant_value", table, [r["feature"] for r in rows])
 
 
+def cardinality_candidates(df: DataFrame, cols: list[str], share_threshold: float, min_unique: int,
+                           rsd: float = 0.01, margin: float = 0.05) -> list[str]:
+    """Columns that may pass the cardinality rule, from one pass of HyperLogLog sketches
+    (``approx_count_distinct``, a few KB of state per column) and exact non-empty counts.
+    ``margin`` is five standard errors of the sketch, so a true hit is kept."""
+    ty = _types(df)
+    aggs = []
+    for i, c in enumerate(cols):
+        v = value_text_expr(c, ty[c])
+        aggs += [F.approx_count_distinct(v, rsd).alias(f"d{i}"), F.count(v).alias(f"n{i}")]
+    row = df.agg(*aggs).first()
+    keep = []
+    for i, c in enumerate(cols):
+        d, n = row[f"d{i}"] or 0, row[f"n{i}"] or 0
+        if n and d >= min_unique * (1 - margin) and d / n >= share_threshold * (1 - margin):
+            keep.append(c)
+    return keep
+
+
 def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
-                     min_unique: int = 50, only_string_like: bool = True) -> Findings:
+                     min_unique: int = 50, only_string_like: bool = True,
+                     prefilter: bool = False) -> Findings:
+    """Exact rule on value counts. With ``prefilter`` a sketch pass first removes the columns
+    that clearly cannot pass, so the exact value counts (as large as the data for id-like
+    columns) are built only for candidates."""
     cols = string_like_columns(df, cols) if only_string_like else _cols(df, cols)
+    if prefilter and cols:
+        cols = cardinality_candidates(df, cols, share_threshold, min_unique)
+    if not cols:
+        empty = df.sparkSession.createDataFrame(
+            [], "feature string, nunique bigint, non_empty_count bigint, unique_share double")
+        return Findings("high_cardinality", empty, [])
     st = column_level_stats(value_counts_long(df, cols))
     share = F.col("nunique") / F.col("non_empty_count")
     flagged = (st.where((F.col("nunique") >= min_unique) & (share >= share_threshold))

@@ -102,3 +102,11 @@ def test_rank_conflict_greedy_by_position(spark):
     # pos1: cb 'a'; pos2: cb 'f'; pos3: lr 'c'; leftovers cb -> lr 'b' -> rf 'd'
     assert [(r.feature, r.source, r.rank_position) for r in out] == [
         ("a", "cb", 1), ("f", "cb", 2), ("c", "lr", 3), ("b", "lr", 2), ("d", "rf", 1)]
+
+
+def test_high_cardinality_prefilter_same_findings(spark):
+    from tabsieve.plans.inputs import leads
+    d = leads(spark, "/root/testdata/sf0.001")
+    a = sorted(tuple(r) for r in P.high_cardinality(d, share_threshold=0.05).table.collect())
+    b = sorted(tuple(r) for r in P.high_cardinality(d, share_threshold=0.05, prefilter=True).table.collect())
+    assert a == b and len(a) > 0
