@@ -13,8 +13,9 @@ import itertools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabsieve.functions.text import safe_binary_target
+from tabsieve.functions.text import safe_binary_target, safe_double
 from tabsieve.operators.profile import Findings, c_, numeric_columns, string_like_columns
 
 
@@ -64,12 +65,37 @@ def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]]) -
     return j.select("left", "right", r.alias("corr"), F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
+def coerced_number(df: DataFrame, name: str) -> Column | None:
+    """Numeric view of any column, as a to-number coercion would see it: numbers as they are,
+    timestamps as epoch seconds, booleans as 0/1, text parsed (failures and NaN -> NULL)."""
+    t = {f.name: f.dataType for f in df.schema.fields}[name]
+    x = c_(name)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return (F.unix_micros(x.cast("timestamp")) / 1e6) if isinstance(t, T.TimestampType) else \
+            F.unix_timestamp(x).cast("double")
+    if isinstance(t, T.DateType):
+        return F.unix_date(x).cast("double")
+    if isinstance(t, T.BooleanType):
+        return x.cast("double")
+    if isinstance(t, T.StringType):
+        return safe_double(x, t)
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                      T.DecimalType)):
+        return x.cast("double")
+    return None
+
+
 def numeric_target_corr(df: DataFrame, target: str, cols=None, min_rows: int = 30,
                         min_abs: float = 0.05) -> DataFrame:
-    """(feature, corr, n) of every numeric column with the target; |r| >= min_abs, n >= min_rows."""
-    cols = [c for c in (numeric_columns(df, cols)) if c != target]
+    """(feature, corr, n) of every number-coercible column with the target (pairwise complete);
+    |r| >= min_abs, n >= min_rows. Without ``cols`` every column is coerced (text that parses,
+    timestamps as epoch seconds); columns with no numeric rows drop out by ``min_rows``."""
+    cols = [c for c in (cols if cols is not None else df.columns) if c != target]
     y = safe_binary_target(c_(target))
-    long = pearson_table(df, [(c, c_(c).cast("double"), "\0target", y) for c in cols])
+    pairs = [(c, e, "\0target", y) for c in cols if (e := coerced_number(df, c)) is not None]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature string, corr double, n bigint")
+    long = pearson_table(df, pairs)
     return (long.where(F.col("corr").isNotNull() & (F.col("n") >= min_rows) & (F.abs("corr") >= min_abs))
             .select(F.col("left").alias("feature"), F.round("corr", 4).alias("corr"), "n"))
 

@@ -110,3 +110,10 @@ def test_high_cardinality_prefilter_same_findings(spark):
     a = sorted(tuple(r) for r in P.high_cardinality(d, share_threshold=0.05).table.collect())
     b = sorted(tuple(r) for r in P.high_cardinality(d, share_threshold=0.05, prefilter=True).table.collect())
     assert a == b and len(a) > 0
+
+
+def test_target_corr_coerces_numeric_text(spark):
+    rows = [(str(i), float(i), "yes" if i >= 20 else "no") for i in range(40)]
+    df = spark.createDataFrame(rows, "txt string, num double, y string")
+    out = {r.feature: r.corr for r in A.numeric_target_corr(df, "y", min_abs=0.0).collect()}
+    assert set(out) == {"txt", "num"} and abs(out["txt"] - out["num"]) < 1e-12 and out["num"] > 0.8
