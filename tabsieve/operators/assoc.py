@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.text import safe_binary_target, safe_double
-from tabsieve.operators.profile import Findings, c_, numeric_columns, string_like_columns
+from tabsieve.functions.text import normalize_text, safe_binary_target, safe_double
+from tabsieve.operators.profile import Findings, c_, numeric_columns
 
 
 def pearson(x: Column, y: Column) -> tuple[Column, Column]:
@@ -109,10 +109,15 @@ def numeric_feature_corr(df: DataFrame, cols=None, min_rows: int = 30, min_abs:
             .select("left", "right", F.round("corr", 4).alias("corr"), "n"))
 
 
-def contingency(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """(feature, value, y, o) cell counts for several columns against one target."""
-    long = df.select(c_(target).alias("_y"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), c_(c).cast("string").alias("value")) for c in cols])))
+def contingency(df: DataFrame, cols: list[str], target, binary_target: bool = False) -> DataFrame:
+    """(feature, value, y, o) cell counts for several columns against one target.
+
+    Values are the trimmed text with '' treated as missing; with ``binary_target`` the
+    target is first coerced to 0/1 (text such as yes/no included)."""
+    y = safe_binary_target(c_(target)) if binary_target else c_(target)
+    long = df.select(y.alias("_y"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.nullif(normalize_text(c_(c)), F.lit("")).alias("value"))
+        for c in cols])))
     return (long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
             .groupBy("feature", "value", F.col("_y").alias("y")).agg(F.count(F.lit(1)).alias("o")))
 
@@ -141,8 +146,14 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def categorical_target_assoc(df: DataFrame, target: str, cols=None, min_levels: int = 2,
                              max_levels: int = 100, min_rows: int = 30, min_v: float = 0.05) -> DataFrame:
-    cols = [c for c in string_like_columns(df, cols) if c != target]
-    t = cramers_v_table(contingency(df, cols, target))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
+               T.BooleanType)
+    cols = [c for c in (cols if cols is not None else df.columns)
+            if c != target and not isinstance(types[c], numeric)]  # every non-numeric column
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature string, cramers_v double, n bigint, levels bigint")
+    t = cramers_v_table(contingency(df, cols, target, binary_target=True))
     return (t.where((F.col("levels") >= min_levels) & (F.col("levels") <= max_levels)
                     & (F.col("n") >= min_rows) & (F.col("cramers_v") >= min_v))
             .select("feature", F.round("cramers_v", 4).alias("cramers_v"), "n", "levels"))

@@ -245,8 +245,8 @@ _CAT = ["priority", "status", "segment", "nation", "segment_near", "const_col",
 
 def _cramers_sql(cols, target="buyout_flag"):
     cells = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, {target} AS y, count(*) AS o FROM l "
-        f"WHERE {c} IS NOT NULL AND {target} IS NOT NULL GROUP BY {c}, {target}" for c in cols)
+        f"SELECT '{c}' AS feature, NULLIF({d_norm(c)}, '') AS value, {target} AS y, count(*) AS o FROM l "
+        f"WHERE NULLIF({d_norm(c)}, '') IS NOT NULL AND {target} IS NOT NULL GROUP BY 1, 2, 3" for c in cols)
     return f"""SELECT feature, CASE WHEN least(r, k) - 1 > 0 THEN sqrt(greatest(n * (s - 1) / n / (least(r, k) - 1), 0))
       ELSE 0.0 END AS cramers_v, n, r AS levels FROM (
       SELECT c.feature, sum(o * o / (rs * cs)) AS s, CAST(sum(o) AS BIGINT) AS n, count(DISTINCT value) AS r,
