@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.text import normalize_text, safe_binary_target, safe_double
-from tabsieve.operators.profile import Findings, c_, numeric_columns
+from tabsieve.operators.profile import Findings, c_
 
 
 def pearson(x: Column, y: Column) -> tuple[Column, Column]:
@@ -101,9 +101,17 @@ def numeric_target_corr(df: DataFrame, target: str, cols=None, min_rows: int = 3
 
 
 def numeric_feature_corr(df: DataFrame, cols=None, min_rows: int = 30, min_abs: float = 0.80) -> DataFrame:
-    """(left, right, corr, n) for numeric pairs with |r| >= min_abs (pairwise complete)."""
-    cols = numeric_columns(df, cols)
-    pairs = [(a, c_(a).cast("double"), b, c_(b).cast("double")) for a, b in itertools.combinations(cols, 2)]
+    """(left, right, corr, n) for pairs of number-coercible columns with |r| >= min_abs
+    (pairwise complete). Columns with fewer than ``min_rows`` numeric values are left out
+    first (one counting pass), so only usable columns form pairs."""
+    cols = list(cols) if cols is not None else list(df.columns)
+    exprs = {c: e for c in cols if (e := coerced_number(df, c)) is not None}
+    counts = df.agg(*[F.count(F.when(~F.isnan(e), e)).alias(f"n{i}") for i, e in enumerate(exprs.values())]).first() \
+        if exprs else None
+    usable = [c for i, c in enumerate(exprs) if counts[f"n{i}"] >= min_rows]
+    pairs = [(a, exprs[a], b, exprs[b]) for a, b in itertools.combinations(usable, 2)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, corr double, n bigint")
     long = pearson_table(df, pairs)
     return (long.where(F.col("corr").isNotNull() & (F.col("n") >= min_rows) & (F.abs("corr") >= min_abs))
             .select("left", "right", F.round("corr", 4).alias("corr"), "n"))
