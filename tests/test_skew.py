@@ -51,3 +51,24 @@ def test_hot_level_encoders_and_audits(spark):
     assert top == ["hot"]
     dom = P.dominant_value(df, ["level"], threshold=0.3).table.collect()
     assert dom[0].top_value == "hot" and dom[0].top_count == 1000
+
+
+def test_time_split_cut_points_match_brute_force(spark):
+    from datetime import datetime, timedelta
+    from tabsieve.operators import evaluate as V
+    base = datetime(2024, 1, 1)
+    # a third of the rows on one day, the rest spread; plus NULL times (ordered first)
+    rows = [(i, None if i % 50 == 0 else base + timedelta(days=0 if i % 3 == 0 else i % 40, seconds=i % 7))
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, t timestamp_ntz")
+    got = {r.id: r.split for r in V.time_split_val(df, "t", "id").collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or base, r[0]))
+    n = len(rows)
+    tv = int(n * 0.8)
+    tr = int(tv * 0.9)
+    want = {r[0]: ("train" if i < tr else "val" if i < tv else "test") for i, r in enumerate(ordered)}
+    assert got == want
+    folds = V.expanding_folds(df, "t", "id", 4)
+    s = {r.fold: (r.n_train, r.n_test) for r in V.fold_summary(folds, "t", 4).collect()}
+    ts = n // 5
+    assert s == {i: (n - (4 - i) * ts, ts) for i in range(4)}
