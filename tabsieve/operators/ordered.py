@@ -52,15 +52,27 @@ def global_index(df: DataFrame, order_cols, name: str = "row_idx",
 
 
 def lag_rows(df: DataFrame, order_cols, value_col: str, lags=(30, 60),
-             prefix: str = "lag_") -> DataFrame:
-    """Value ``n`` rows earlier in the global order (self equi-join on index - n)."""
+             prefix: str = "lag_", bucket_rows: int = 1 << 20) -> DataFrame:
+    """Value ``n`` rows earlier in the global order.
+
+    Rows are cut into index buckets; the last ``max(lags)`` rows of each bucket are
+    copied into the next one as context, and ``lag`` runs per bucket: one shuffle,
+    every window partition bounded by ``bucket_rows + max(lags)`` rows.
+    """
     idx = global_index(df, order_cols, "_idx")
-    out = idx
+    span = max(lags)
+    b = F.floor(F.col("_idx") / bucket_rows)
+    own = idx.withColumn("_b", b).withColumn("_own", F.lit(True))
+    ctx = (idx.where(F.pmod(F.col("_idx"), F.lit(bucket_rows)) >= bucket_rows - span)
+           .withColumn("_b", b + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy("_b").orderBy("_idx")
+    both = own.unionByName(ctx)
     for n in lags:
-        prev = idx.select((F.col("_idx") + F.lit(n)).alias("_idx"),
-                          c_(value_col).alias(f"{prefix}{n}"))
-        out = out.join(prev, "_idx", "left")
-    return out
+        # lag by position only when the row n places back really is n indexes back
+        prev_idx = F.lag("_idx", n).over(w)
+        both = both.withColumn(f"{prefix}{n}", F.when(prev_idx == F.col("_idx") - n,
+                                                      F.lag(c_(value_col), n).over(w)))
+    return both.where("_own").drop("_b", "_own")
 
 
 def rolling_mean(df: DataFrame, order_cols, value_col: str, window: int = 30,

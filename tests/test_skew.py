@@ -72,3 +72,23 @@ def test_time_split_cut_points_match_brute_force(spark):
     s = {r.fold: (r.n_train, r.n_test) for r in V.fold_summary(folds, "t", 4).collect()}
     ts = n // 5
     assert s == {i: (n - (4 - i) * ts, ts) for i in range(4)}
+
+
+def test_lag_buckets_match_window(spark):
+    from pyspark.sql import Window
+    df = spark.createDataFrame([(i, float(i * 3 % 11)) for i in range(500)], "id long, v double")
+    got = {r.id: (r.lag_3, r.lag_7) for r in O.lag_rows(df, ["id"], "v", lags=(3, 7), bucket_rows=16).collect()}
+    w = Window.orderBy("id")
+    want = {r.id: (r.a, r.b) for r in df.select("id", F.lag("v", 3).over(w).alias("a"),
+                                                F.lag("v", 7).over(w).alias("b")).collect()}
+    assert got == want
+
+
+def test_previous_order_mode(spark):
+    df = skewed(spark, 600)
+    from pyspark.sql import Window
+    w = Window.partitionBy("contact").orderBy("day", "id")
+    want = {r.id: r.p for r in df.select("id", F.coalesce(F.lag("amount", 1).over(w), F.lit(0.0)).alias("p")).collect()}
+    got = {r.id: r.spend_before for r in
+           O.customer_history(df, "contact", "day", "id", "amount", mode="previous", block_rows=32).collect()}
+    assert got == want
