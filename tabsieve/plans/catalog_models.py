@@ -186,11 +186,44 @@ def _voting(spark, sf):
     return v.select("feature", "votes", F.round("final_score", 9).alias("final_score"), "selected")
 
 
-@query("weighted_rank_conflict", None)
+def _rank_conflict_sql(k=12, n=15, fill=("cb", "lr", "rf")):
+    order = ["lr", "rf", "cb"]
+    lists = " UNION ALL ".join(
+        f"SELECT '{nm}' AS src, {_W[nm]} AS w, {order.index(nm)} AS lo, {fill.index(nm)} AS fo, feature, rk FROM "
+        f"(SELECT feature, row_number() OVER (ORDER BY s DESC, feature) AS rk FROM ({_RANK[nm]})) WHERE rk <= {k}"
+        for nm in order)
+    return f"""
+    WITH RECURSIVE l AS ({lists}),
+    steps(pos, seen, chosen) AS (
+      SELECT 0, []::VARCHAR[], []::STRUCT(feature VARCHAR, src VARCHAR, w DOUBLE, rk BIGINT)[]
+      UNION ALL
+      SELECT s.pos + 1,
+             CASE WHEN p.feature IS NULL THEN s.seen ELSE list_append(s.seen, p.feature) END,
+             CASE WHEN p.feature IS NULL THEN s.chosen
+                  ELSE list_append(s.chosen, {{'feature': p.feature, 'src': p.src, 'w': p.w, 'rk': p.rk}}) END
+      FROM steps s LEFT JOIN LATERAL (
+          SELECT feature, src, w, rk FROM l WHERE l.rk = s.pos + 1 AND NOT list_contains(s.seen, l.feature)
+          ORDER BY w DESC, lo LIMIT 1) p ON true
+      WHERE s.pos < (SELECT max(rk) FROM l) AND len(s.chosen) < {n}),
+    greedy AS (SELECT chosen FROM steps ORDER BY pos DESC LIMIT 1),
+    g AS (SELECT CAST(i AS BIGINT) AS position, chosen[i].feature AS feature, chosen[i].src AS source,
+                 chosen[i].w AS source_weight, chosen[i].rk AS rank_position
+          FROM greedy, range(1, len(chosen) + 1) t(i)),
+    rest AS (SELECT feature, src AS source, w AS source_weight, rk AS rank_position, fo FROM (
+               SELECT *, row_number() OVER (PARTITION BY feature ORDER BY fo, rk) AS first_seen FROM l
+               WHERE feature NOT IN (SELECT feature FROM g)) WHERE first_seen = 1),
+    r AS (SELECT (SELECT count(*) FROM g) + row_number() OVER (ORDER BY fo, rank_position) AS position,
+                 feature, source, source_weight, rank_position FROM rest)
+    SELECT CAST(position AS INT) AS position, feature, source, source_weight, CAST(rank_position AS INT) AS rank_position
+    FROM (SELECT * FROM g UNION ALL SELECT * FROM r) WHERE position <= {n}"""
+
+
+@query("weighted_rank_conflict", _rank_conflict_sql())
 def _rank_conflict(spark, sf):
     r = {k: O.rank_scores(df, f, s, 12, k).select("feature", F.col(f"rank_{k}").alias("rank"))
          for k, (df, f, s) in _rankings(spark, sf).items()}
-    return S.weighted_rank_conflict(r, _W, 15)
+    # rank order (no seeded shuffle) so that the greedy pass can be replayed in SQL
+    return S.weighted_rank_conflict(r, _W, 15, shuffle=False)
 
 
 @query("reduce_dataset", with_cte(
