@@ -109,7 +109,15 @@ def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols:
                    weight: str | None = None, params: dict | None = None, seed: int = 42) -> FittedModel:
     stages = feature_pipeline(num_cols, cat_cols, scale=(kind == "lr"), onehot=(kind == "lr"))
     stages.append(_classifier(kind, label, weight, params or {}, seed))
-    return FittedModel(Pipeline(stages=stages).fit(train), list(num_cols), list(cat_cols), kind)
+    # the imputer, indexers and the estimator each scan the input: read it once, then release it
+    cols = list(dict.fromkeys(list(num_cols) + list(cat_cols) + [label] + ([weight] if weight else [])
+                              + ([params["validationIndicatorCol"]] if params and "validationIndicatorCol" in params else [])))
+    src = train.select(*cols).persist()
+    try:
+        model = Pipeline(stages=stages).fit(src)
+    finally:
+        src.unpersist()
+    return FittedModel(model, list(num_cols), list(cat_cols), kind)
 
 
 def fit_boosted_trees(train: DataFrame, label: str, num_cols, cat_cols, weight=None, max_iter: int = 20,
