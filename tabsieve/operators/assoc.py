@@ -91,7 +91,7 @@ def numeric_target_corr(df: DataFrame, target: str, cols=None, min_rows: int = 3
     |r| >= min_abs, n >= min_rows. Without ``cols`` every column is coerced (text that parses,
     timestamps as epoch seconds); columns with no numeric rows drop out by ``min_rows``."""
     cols = [c for c in (cols if cols is not None else df.columns) if c != target]
-    y = safe_binary_target(c_(target))
+    y = _binary(df, target)
     pairs = [(c, e, "\0target", y) for c in cols if (e := coerced_number(df, c)) is not None]
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature string, corr double, n bigint")
@@ -117,12 +117,25 @@ def numeric_feature_corr(df: DataFrame, cols=None, min_rows: int = 30, min_abs:
             .select("left", "right", F.round("corr", 4).alias("corr"), "n"))
 
 
+def binary_target(df: DataFrame, target: str) -> Column:
+    """0/1 view of the target; numeric targets skip the text path (same result, no string work)."""
+    t = {f.name: f.dataType for f in df.schema.fields}[target]
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                      T.DecimalType)):
+        x = c_(target).cast("double")
+        return F.when(x.isin(0.0, 1.0), x)
+    return safe_binary_target(c_(target))
+
+
+_binary = binary_target
+
+
 def contingency(df: DataFrame, cols: list[str], target, binary_target: bool = False) -> DataFrame:
     """(feature, value, y, o) cell counts for several columns against one target.
 
     Values are the trimmed text with '' treated as missing; with ``binary_target`` the
     target is first coerced to 0/1 (text such as yes/no included)."""
-    y = safe_binary_target(c_(target)) if binary_target else c_(target)
+    y = _binary(df, target) if binary_target else c_(target)
     long = df.select(y.alias("_y"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.nullif(normalize_text(c_(c)), F.lit("")).alias("value"))
         for c in cols])))
