@@ -26,7 +26,8 @@ def pearson(x: Column, y: Column) -> tuple[Column, Column]:
     return r, F.count(xb)
 
 
-def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]]) -> DataFrame:
+def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]],
+                  means: dict | None = None) -> DataFrame:
     """(left, right, corr, n) for pairs of numeric expressions, pairwise complete.
 
     Two cheap passes instead of one heavy one: column means (used only as a
@@ -39,8 +40,10 @@ def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]]) -
         exprs.setdefault(b, xb)
     names = list(exprs)
     idx = {n: i for i, n in enumerate(names)}
-    means = df.agg(*[F.avg(exprs[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
-    shifted = {n: exprs[n] - F.lit(means[f"m{idx[n]}"] or 0.0) for n in names}
+    if means is None:
+        row = df.agg(*[F.avg(exprs[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
+        means = {n: row[f"m{idx[n]}"] for n in names}
+    shifted = {n: exprs[n] - F.lit(means.get(n) or 0.0) for n in names}
     # long layout: one (pair, x, y) row per input row and pair, then six plain sums per pair.
     # The generated code stays small however many pairs there are, and the map-side partial
     # aggregate leaves one row per pair and task before the shuffle.
@@ -103,16 +106,21 @@ def numeric_target_corr(df: DataFrame, target: str, cols=None, min_rows: int = 3
 def numeric_feature_corr(df: DataFrame, cols=None, min_rows: int = 30, min_abs: float = 0.80) -> DataFrame:
     """(left, right, corr, n) for pairs of number-coercible columns with |r| >= min_abs
     (pairwise complete). Columns with fewer than ``min_rows`` numeric values are left out
-    first (one counting pass), so only usable columns form pairs."""
+    first (counted in the same pass as the means), so only usable columns form pairs."""
     cols = list(cols) if cols is not None else list(df.columns)
     exprs = {c: e for c in cols if (e := coerced_number(df, c)) is not None}
-    counts = df.agg(*[F.count(F.when(~F.isnan(e), e)).alias(f"n{i}") for i, e in enumerate(exprs.values())]).first() \
-        if exprs else None
-    usable = [c for i, c in enumerate(exprs) if counts[f"n{i}"] >= min_rows]
+    if not exprs:
+        return df.sparkSession.createDataFrame([], "left string, right string, corr double, n bigint")
+    # one pass: numeric counts (usable columns) and means (shift against cancellation)
+    valid = {c: F.when(~F.isnan(e), e) for c, e in exprs.items()}
+    row = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(valid.values())],
+                 *[F.avg(v).alias(f"m{i}") for i, v in enumerate(valid.values())]).first()
+    usable = [c for i, c in enumerate(exprs) if row[f"n{i}"] >= min_rows]
+    means = {c: row[f"m{i}"] for i, c in enumerate(exprs)}
     pairs = [(a, exprs[a], b, exprs[b]) for a, b in itertools.combinations(usable, 2)]
     if not pairs:
         return df.sparkSession.createDataFrame([], "left string, right string, corr double, n bigint")
-    long = pearson_table(df, pairs)
+    long = pearson_table(df, pairs, means)
     return (long.where(F.col("corr").isNotNull() & (F.col("n") >= min_rows) & (F.abs("corr") >= min_abs))
             .select("left", "right", F.round("corr", 4).alias("corr"), "n"))
 
