@@ -61,6 +61,7 @@ def lag_rows(df: DataFrame, order_cols, value_col: str, lags=(30, 60),
     """
     idx = global_index(df, order_cols, "_idx")
     span = max(lags)
+    bucket_rows = max(bucket_rows, span)  # context comes from the previous bucket only
     b = F.floor(F.col("_idx") / bucket_rows)
     own = idx.withColumn("_b", b).withColumn("_own", F.lit(True))
     ctx = (idx.where(F.pmod(F.col("_idx"), F.lit(bucket_rows)) >= bucket_rows - span)
@@ -84,6 +85,7 @@ def rolling_mean(df: DataFrame, order_cols, value_col: str, window: int = 30,
     window partition is bounded by ``bucket_rows + window``.
     """
     idx = global_index(df, order_cols, "_idx")
+    bucket_rows = max(bucket_rows, window)  # context comes from the previous bucket only
     b = F.floor(F.col("_idx") / bucket_rows)
     own = idx.withColumn("_b", b).withColumn("_own", F.lit(True))
     ctx = (idx.where(F.pmod(F.col("_idx"), F.lit(bucket_rows)) >= bucket_rows - (window - 1))
