@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame
 
 
 def onehot_encode(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
-    """One-hot vectors ``<col>_ohe``; unseen levels map to the extra 'keep' slot (all-zero
-    with dropLast), i.e. ignored."""
+    """One-hot vectors ``<col>_ohe`` over the alphabetically ordered train levels.
+
+    The indexer sends unseen levels and NULL to an extra last index; the encoder's
+    ``dropLast`` removes exactly that slot, so they become all-zero vectors (ignored)."""
     stages = []
     for c in cols:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True,
-                                    handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True))
     model = Pipeline(stages=stages).fit(fit_df if fit_df is not None else df)
     return model.transform(df).drop(*[f"{c}_idx" for c in cols])
 
@@ -49,7 +50,7 @@ def feature_pipeline(num_cols: list[str], cat_cols: list[str], scale: bool = Fal
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                                     stringOrderType="frequencyDesc"))
         if onehot:
-            stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", handleInvalid="keep"))
+            stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", dropLast=True))
             cats.append(f"{c}__ohe")
         else:
             cats.append(f"{c}__idx")

@@ -518,8 +518,26 @@ def _has_value(spark, sf):
                     flag(F.col("segment") == "AUTOMOBILE").alias("is_auto"))
 
 
-@query("onehot_encode", None)
+def _onehot_sql():
+    parts = []
+    for c in ("segment", "priority"):
+        parts.append(f"coalesce(CAST((SELECT rk FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rk FROM "
+                     f"(SELECT DISTINCT {c} AS v FROM l WHERE {c} IS NOT NULL)) WHERE v = l.{c}) AS INT), -1) "
+                     f"AS {c}_slot")
+        parts.append(f"CAST((SELECT count(DISTINCT {c}) FROM l) AS INT) AS {c}_size")
+    return with_cte("SELECT lead_id, " + ", ".join(parts) + " FROM l", l=L)
+
+
+@query("onehot_encode", _onehot_sql())
 def _onehot(spark, sf):
+    from pyspark.ml.functions import vector_to_array
     from tabsieve.operators.models import onehot_encode
     d = leads(spark, sf).select("lead_id", "segment", "priority")
-    return onehot_encode(d, ["segment", "priority"]).select("lead_id", "segment_ohe", "priority_ohe")
+    out = onehot_encode(d, ["segment", "priority"])
+    # the one-hot vectors, read back as (active slot, vector size); unseen/NULL -> all zeros -> -1
+    cols = []
+    for c in ("segment", "priority"):
+        arr = vector_to_array(F.col(f"{c}_ohe"))
+        cols += [(F.array_position(arr, F.lit(1.0)).cast("int") - 1).alias(f"{c}_slot"),
+                 F.size(arr).cast("int").alias(f"{c}_size")]
+    return out.select("lead_id", *cols)

@@ -117,3 +117,11 @@ def test_target_corr_coerces_numeric_text(spark):
     df = spark.createDataFrame(rows, "txt string, num double, y string")
     out = {r.feature: r.corr for r in A.numeric_target_corr(df, "y", min_abs=0.0).collect()}
     assert set(out) == {"txt", "num"} and abs(out["txt"] - out["num"]) < 1e-12 and out["num"] > 0.8
+
+
+def test_onehot_ignores_unseen_and_null(spark):
+    from tabsieve.operators.models import onehot_encode
+    train = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
+    test = spark.createDataFrame([("b",), ("zzz",), (None,)], "v string")
+    out = onehot_encode(test, ["v"], fit_df=train).collect()
+    assert [list(r.v_ohe.toArray()) for r in out] == [[0.0, 1.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
