@@ -15,7 +15,6 @@ EMPTY_TOKENS = ("", "nan", "none", "null", "nat")
 # String -> 0/1 mapping used when a target is not numeric 0/1.
 BINARY_TEXT_MAP = {"0": 0.0, "1": 1.0, "false": 0.0, "true": 1.0, "no": 0.0, "yes": 1.0}
 
-_TRIM_RE = r"^\s+|\s+$"
 # The characters Python's str.strip() removes (str.isspace), trimmed with btrim
 # (a character-set trim, much cheaper than a regex on every value).
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
@@ -37,7 +36,8 @@ def normalize_text(c) -> Column:
 
 
 def regex_trim(c) -> Column:
-    """Whitespace trim that also strips tabs/newlines (``trim`` strips spaces only)."""
+    """Whitespace trim that also strips tabs/newlines/Unicode spaces (``trim`` strips spaces
+    only); a character-set ``btrim``, no regular expression despite the historical name."""
     return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
