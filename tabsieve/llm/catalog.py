@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import bpe, simple8b, winnow
+from tabsieve.llm import bpe, simhash, simple8b, toxicity, winnow
 
 QUERIES = {
     "op2_speculative_bpe": bpe.op2_speculative_bpe,
+    "op4_simhash": simhash.op4_simhash,
     "op7_winnowing": winnow.op7_winnowing,
     "op9_simple8b": simple8b.op9_simple8b,
+    "op10_pattern_grammar": toxicity.op10_pattern_grammar,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,11 @@ hashed over the whole batch buffer with numpy, never word by word.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +24,32 @@ BATCH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python workers import this package: by path in local mode, else as a py-file of the
+    application (Spark copies it from the driver to every executor)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        paths = [os.path.dirname(package), *filter(None, [sc.environment.get("PYTHONPATH")])]
+        sc.environment["PYTHONPATH"] = os.pathsep.join(paths)
+    else:
+        archive = os.path.join(tempfile.mkdtemp(prefix="tabsieve-"), "tabsieve.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for top, _, names in os.walk(package):
+                for full in (os.path.join(top, name) for name in names if name.endswith(".py")):
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> None:
     """Bounded Arrow batches (long texts must not pile up in one batch), UTC, a checkpoint folder."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -142,3 +171,22 @@ def cut_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit polynomial hash of each byte span: a difference of prefix sums, shifted back by base^-start."""
     return cut_hashes(prefix_hashes(data), starts, ends)
+
+
+# ------------------------------------------------------------------- settled tables
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage, survives lost executors,
+    and gives the planner the true size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            if path.getName().startswith("settled-"):
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
