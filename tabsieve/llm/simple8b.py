@@ -257,7 +257,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
 
     A null text is the empty text: only the end id. Null keys come first; equal keys are ordered by text.
     """
-    ordered = docs.select(key, text).repartitionByRange(key, text).sortWithinPartitions(key, text)
+    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
     rows = ordered.mapInArrow(_encode(vocabulary, key, text, end_id), "frame binary")
     rows.select(F.col("frame").cast("string").alias("value")).write.text(path, lineSep="\n")
 
