@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import bpe, line_rules, simhash, simple8b, toxicity, winnow
+from tabsieve.llm import bpe, line_rules, shards, simhash, simple8b, toxicity, warc, winnow
 
 QUERIES = {
     "op2_speculative_bpe": bpe.op2_speculative_bpe,
+    "op3_revisits": warc.op3_revisits,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_rules": line_rules.op5_line_rules,
     "op7_winnowing": winnow.op7_winnowing,
+    "op8_karmarkar_karp": shards.op8_karmarkar_karp,
     "op9_simple8b": simple8b.op9_simple8b,
     "op10_pattern_grammar": toxicity.op10_pattern_grammar,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_revisits": warc.OP3_SQL,
     "op5_line_rules": line_rules.OP5_SQL,
 }
