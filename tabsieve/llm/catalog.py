@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import bpe, line_rules, shards, simhash, simple8b, toxicity, warc, winnow
+from tabsieve.llm import bpe, line_rules, resample, shards, simhash, simple8b, toxicity, warc, winnow
 
 QUERIES = {
+    "op1_importance_resampling": resample.op1_importance_resampling,
     "op2_speculative_bpe": bpe.op2_speculative_bpe,
     "op3_revisits": warc.op3_revisits,
     "op4_simhash": simhash.op4_simhash,
