@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import bpe, line_rules, resample, shards, simhash, simple8b, toxicity, warc, winnow
+from tabsieve.llm import bpe, line_rules, resample, shards, simhash, simple8b, suffix, toxicity, warc, winnow
 
 QUERIES = {
     "op1_importance_resampling": resample.op1_importance_resampling,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_revisits": warc.op3_revisits,
     "op4_simhash": simhash.op4_simhash,
     "op5_line_rules": line_rules.op5_line_rules,
+    "op6_induced_suffixes": suffix.op6_induced_suffixes,
     "op7_winnowing": winnow.op7_winnowing,
     "op8_karmarkar_karp": shards.op8_karmarkar_karp,
     "op9_simple8b": simple8b.op9_simple8b,
