@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.text import normalize_text, safe_binary_target, safe_double
+from tabsieve.operators.pairs import moment_sums
 from tabsieve.operators.profile import Findings, c_
 
 
@@ -44,22 +45,8 @@ def pearson_table(df: DataFrame, pairs: list[tuple[str, Column, str, Column]],
         row = df.agg(*[F.avg(exprs[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
         means = {n: row[f"m{idx[n]}"] for n in names}
     shifted = {n: exprs[n] - F.lit(means.get(n) or 0.0) for n in names}
-    # long layout: one (pair, x, y) row per input row and pair, then six plain sums per pair.
-    # The generated code stays small however many pairs there are, and the map-side partial
-    # aggregate leaves one row per pair and task before the shuffle.
-    base = df.select(*[F.when(~F.isnan(shifted[n]), shifted[n]).alias(f"v{idx[n]}") for n in names])
-    args = []
-    for k, (a, _, b, _) in enumerate(pairs):
-        args += [F.lit(k), F.col(f"v{idx[a]}"), F.col(f"v{idx[b]}")]
-    long = base.select(F.stack(F.lit(len(pairs)), *args).alias("k", "x", "y"))
-    long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    x, y = F.col("x"), F.col("y")
-    sums = long.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-                                 F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    spark = df.sparkSession
-    names_df = spark.createDataFrame([(k, a, b) for k, (a, _, b, _) in enumerate(pairs)],
-                                     "k int, left string, right string")  # one row per pair
-    j = names_df.join(sums, "k", "left")
+    values = {n: F.when(~F.isnan(shifted[n]), shifted[n]) for n in names}
+    j = moment_sums(df, values, [(a, b) for a, _, b, _ in pairs])
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
@@ -169,6 +156,27 @@ def cramers_v_table(cells: DataFrame) -> DataFrame:
     return per.select("feature", v.alias("cramers_v"), "n", F.col("r").cast("bigint").alias("levels"))
 
 
+def binary_cramers_v(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
+    """(feature, cramers_v, n, levels) against a 0/1 target: both class counts stand in one row per level, and one
+    aggregate per feature adds count^2 / row total per class, so no table of levels is joined."""
+    y = _binary(df, target)
+    long = df.select(y.alias("_y"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.nullif(normalize_text(c_(c)), F.lit("")).alias("value")) for c in cols])))
+    rows = (long.where(F.col("value").isNotNull() & F.col("_y").isNotNull()).groupBy("feature", "value")
+            .agg(F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("a"),
+                 F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("b")))
+    total = F.col("a") + F.col("b")
+    per = rows.groupBy("feature").agg(
+        F.sum(F.col("a") * F.col("a") / total).alias("sa"), F.sum(F.col("b") * F.col("b") / total).alias("sb"),
+        F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("levels"))
+    n = F.col("na") + F.col("nb")
+    classes = (F.col("na") > 0).cast("int") + (F.col("nb") > 0).cast("int")
+    denom = F.least(F.col("levels"), classes) - 1
+    share = F.coalesce(F.try_divide("sa", "na"), F.lit(0.0)) + F.coalesce(F.try_divide("sb", "nb"), F.lit(0.0))
+    v = F.when(denom > 0, F.sqrt(F.greatest((share - 1) / denom, F.lit(0.0)))).otherwise(F.lit(0.0))
+    return per.select("feature", v.alias("cramers_v"), n.alias("n"), F.col("levels").cast("bigint").alias("levels"))
+
+
 def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
     return cramers_v_table(contingency(df, [x], y))
 
@@ -182,7 +190,7 @@ def categorical_target_assoc(df: DataFrame, target: str, cols=None, min_levels:
             if c != target and not isinstance(types[c], numeric)]  # every non-numeric column
     if not cols:
         return df.sparkSession.createDataFrame([], "feature string, cramers_v double, n bigint, levels bigint")
-    t = cramers_v_table(contingency(df, cols, target, binary_target=True))
+    t = binary_cramers_v(df, target, cols)
     return (t.where((F.col("levels") >= min_levels) & (F.col("levels") <= max_levels)
                     & (F.col("n") >= min_rows) & (F.col("cramers_v") >= min_v))
             .select("feature", F.round("cramers_v", 4).alias("cramers_v"), "n", "levels"))

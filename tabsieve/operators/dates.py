@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.text import col_of, regex_trim
-from tabsieve.operators.profile import c_, wide_row_to_long
+from tabsieve.operators.pairs import order_counts
+from tabsieve.operators.profile import c_, settle, wide_row_to_long
 
 # Name hints, accepted epoch window (2000-01-01 .. 2036-01-01 in seconds),
 # date-text prefix pattern.
@@ -75,7 +76,7 @@ def detect_date_strings(shares: DataFrame, threshold: float = 0.80) -> DataFrame
 
 def date_candidates(df: DataFrame, cols=None, threshold: float = 0.80, ts_suffix: str = "_ts") -> DataFrame:
     """(feature, kind, best_unit, parse_success_share, has_ts_suffix); numeric wins ties."""
-    sh = date_shares(df, cols).cache()
+    sh = settle(date_shares(df, cols))
     ep = detect_epoch_columns(sh, threshold, ts_suffix).select(
         "feature", F.lit("timestamp").alias("kind"), "best_unit", F.col("best_share").alias("_share"))
     st = detect_date_strings(sh, threshold).select(
@@ -88,6 +89,9 @@ def date_candidates(df: DataFrame, cols=None, threshold: float = 0.80, ts_suffix
                        F.col("feature").endswith(ts_suffix).alias("has_ts_suffix"))
 
 
+MIN_SECONDS, MAX_SECONDS = -62135596800, 253402300799  # years 0001 to 9999
+
+
 def normalized_name(name: str) -> str:
     for suf in ("_ts", "_at"):
         if name.endswith(suf):
@@ -101,10 +105,13 @@ def normalized_name(name: str) -> str:
 
 def to_timestamp_by_unit(c, unit: str | None) -> Column:
     x = col_of(c)
+    # text that is no number, and values beyond the years 0001-9999, become NULL
     if unit == "s":
-        return F.timestamp_seconds(x.cast("double")).cast("timestamp_ntz")
+        v = x.try_cast("double")
+        return F.timestamp_seconds(F.when(v.between(MIN_SECONDS, MAX_SECONDS), v)).cast("timestamp_ntz")
     if unit == "ms":
-        return F.timestamp_millis(x.cast("bigint")).cast("timestamp_ntz")
+        v = x.try_cast("bigint")
+        return F.timestamp_millis(F.when(v.between(MIN_SECONDS * 1000, MAX_SECONDS * 1000), v)).cast("timestamp_ntz")
     return parse_date_text(x)
 
 
@@ -143,20 +150,13 @@ def parse_date_best(df: DataFrame, col: str, out: str) -> DataFrame:
 def date_pair_stats(df: DataFrame, cols: list[str], min_rows: int = 30) -> DataFrame:
     """(left, right, n, le_share, lt_share, eq_share) for ordered pairs with >= min_rows joint rows."""
     pairs = list(itertools.permutations(cols, 2))
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        both = c_(a).isNotNull() & c_(b).isNotNull()
-        aggs += [F.sum(both.cast("long")).alias(f"n{k}"),
-                 F.sum((both & (c_(a) <= c_(b))).cast("long")).alias(f"le{k}"),
-                 F.sum((both & (c_(a) < c_(b))).cast("long")).alias(f"lt{k}"),
-                 F.sum((both & (c_(a) == c_(b))).cast("long")).alias(f"eq{k}")]
-    row = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"n{k}").alias("n"),
-                        (F.col(f"le{k}") / F.col(f"n{k}")).alias("le_share"),
-                        (F.col(f"lt{k}") / F.col(f"n{k}")).alias("lt_share"),
-                        (F.col(f"eq{k}") / F.col(f"n{k}")).alias("eq_share"))
-               for k, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*structs))).where(F.col("n") >= min_rows)
+    if not pairs:
+        return df.sparkSession.createDataFrame(
+            [], "left string, right string, n bigint, le_share double, lt_share double, eq_share double")
+    counts = order_counts(df, {c: F.unix_micros(c_(c).cast("timestamp")) for c in cols}, pairs)
+    return (counts.where(F.col("n") >= min_rows).select(
+        "left", "right", F.col("n").cast("bigint").alias("n"), *[F.try_divide(F.col(x), F.col("n")).alias(f"{x}_share")
+                                                                 for x in ("le", "lt", "eq")]))
 
 
 def date_order(stats: DataFrame, threshold: float = 0.80) -> DataFrame:

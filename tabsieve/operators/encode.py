@@ -179,3 +179,9 @@ def fill_mode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     if not top:
         return df
     return df.withColumn(out or col, F.coalesce(c_(col), F.lit(top[0])))
+
+
+def mode_value(df: DataFrame, col: str):
+    """Most frequent value (ties by value ascending); ``None`` for a column without values."""
+    top = top_k_levels(df, col, 1)
+    return top[0] if top else None

@@ -16,6 +16,7 @@ from tabsieve.operators.profile import c_
 
 # Threshold grid 0.05 + i * 0.01, i = 0..90 (computed in floating point).
 THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.05, 0.01, 91
+MAX_CLASSES = 1000  # a target with more values is not a class
 
 
 def thresholds() -> list[float]:
@@ -153,7 +154,8 @@ def _within_class_position(df: DataFrame, y: str, key: str, seed: int, shuffle:
     h = F.xxhash64(F.lit(seed), c_(key)) if shuffle else F.lit(0).cast("long")
     idx = global_index(df.withColumn("_h", h), [y, "_h", key], "_gi")
     starts = idx.groupBy(c_(y).alias("_y")).agg(F.min("_gi").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    return (idx.join(F.broadcast(starts), c_(y).eqNullSafe(F.col("_y")))  # one row per class
+    # one row per value of y: the planner broadcasts it if it is small
+    return (idx.join(starts, c_(y).eqNullSafe(F.col("_y")))
             .withColumn("_pos", F.col("_gi") - F.col("_start")).drop("_y", "_start", "_gi", "_h"))
 
 
@@ -174,12 +176,15 @@ def stratified_kfold(df: DataFrame, y: str, key: str, k: int = 5, seed: int = 42
 
 # ------------------------------------------------------------ confusion
 def confusion_labels(df: DataFrame, y: str, p0: str, thr: float, out: str = "error_type") -> DataFrame:
-    """Class 0 is the positive class: predicted 0 when p0 >= thr."""
+    """Class 0 is the positive class: predicted 0 when p0 >= thr.
+
+    A row without a score has no prediction; a row outside the four cells (no score, or a label that is neither
+    0 nor 1) is ``unknown``."""
     pred0 = c_(p0) >= F.lit(thr)
     yv = c_(y)
     lab = (F.when(pred0 & (yv == 0), "tp_0").when(~pred0 & (yv == 0), "fn_0")
-           .when(pred0 & (yv == 1), "fp_0").otherwise("tn_0"))
-    return df.withColumn("pred_label", F.when(pred0, 0).otherwise(1)).withColumn(out, lab)
+           .when(pred0 & (yv == 1), "fp_0").when(~pred0 & (yv == 1), "tn_0").otherwise("unknown"))
+    return df.withColumn("pred_label", F.when(pred0, 0).when(~pred0, 1)).withColumn(out, lab)
 
 
 def confusion_summary(labelled: DataFrame, thr: float, err: str = "error_type") -> DataFrame:
@@ -273,7 +278,8 @@ def average_precision(df: DataFrame, y: str, score: str, positive: int = 1) -> D
 
 
 def log_loss(df: DataFrame, y: str, p1: str, eps: float = 2.220446049250313e-16) -> DataFrame:
-    p = F.least(F.greatest(c_(p1).cast("double"), F.lit(eps)), F.lit(1 - eps))
+    # greatest and least skip NULL, so a row without a score is left out first
+    p = F.when(c_(p1).isNotNull(), F.least(F.greatest(c_(p1).cast("double"), F.lit(eps)), F.lit(1 - eps)))
     yv = c_(y).cast("double")
     return df.agg(F.avg(-(yv * F.log(p) + (1 - yv) * F.log(1 - p))).alias("log_loss"))
 
@@ -289,8 +295,8 @@ def _threshold_bin(p0: Column) -> Column:
 
 def threshold_table(df: DataFrame, y: str, p0: str) -> DataFrame:
     """For each of the 91 thresholds: precision, recall, F1, F2 of both classes
-    (class 0 predicted when p0 >= threshold)."""
-    bins = df.groupBy(_threshold_bin(c_(p0)).alias("_b")).agg(
+    (class 0 predicted when p0 >= threshold). Rows without a score are left out."""
+    bins = df.where(c_(p0).isNotNull() & ~F.isnan(c_(p0).cast("double"))).groupBy(_threshold_bin(c_(p0)).alias("_b")).agg(
         F.sum((c_(y) == 0).cast("long")).alias("_n0"), F.sum((c_(y) == 1).cast("long")).alias("_n1"))
     spark = df.sparkSession
     # one distributed pass; the result has at most 92 rows (one per grid bin), kept locally
@@ -344,7 +350,10 @@ def class_weight_column(df: DataFrame, y: str, mode: str = "balanced", ratio: di
         for k, v in (ratio or {}).items():
             w = F.when(c_(y) == k, F.lit(float(v))).otherwise(w)
         return df.withColumn(out, w)
-    counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}  # one row per class
+    found = df.groupBy(y).count().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{y} has more than {MAX_CLASSES} values: not a class")
+    counts = {r[0]: r[1] for r in found}
     n = sum(counts.values())
     w = F.lit(1.0)
     for k, v in counts.items():

@@ -32,44 +32,81 @@ from dataclasses import dataclass  # noqa: E402
 from pyspark.ml.classification import (  # noqa: E402
     GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
-def feature_pipeline(num_cols: list[str], cat_cols: list[str], scale: bool = False,
-                     onehot: bool = False, impute: bool = True) -> list:
-    """Stages: median imputer for numerics, indexer (+ one-hot) for categoricals, assembler."""
-    stages = []
-    nums = list(num_cols)
-    if impute and nums:
-        stages.append(Imputer(inputCols=nums, outputCols=[f"{c}__imp" for c in nums], strategy="median"))
-        nums = [f"{c}__imp" for c in nums]
-    cats = []
-    for c in cat_cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
+#: A category with more levels than this enters as a hashed numeric code: its levels would not fit the driver.
+WIDE_LEVELS = 1000
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def category_levels(df: DataFrame, cat_cols: list[str]) -> dict[str, int]:
+    """Distinct levels per category, exact, in one aggregate over (column, level) pairs."""
+    if not cat_cols:
+        return {}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(_quoted(c)).cast("string").alias("v"))
+                                        for c in cat_cols]))).where("v is not null").distinct()
+    return {c: 0 for c in cat_cols} | {r["c"]: r["n"] for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def feature_pipeline(df: DataFrame, num_cols: list[str], cat_cols: list[str], linear: bool = False) -> tuple[list, int]:
+    """(stages, most levels of an indexed category) fitted on ``df``.
+
+    Numerics: exact medians fill NULL (0 when a column has no value). Categories: indexed, or a hashed code beyond
+    ``WIDE_LEVELS`` levels. ``linear`` also standardises numerics by population deviation, fills categories with
+    their most frequent level and one-hot encodes them; slots keep the name of their source before ``__``.
+    """
+    from tabsieve.operators.encode import mode_value
+    from tabsieve.operators.transform import medians
+    levels = category_levels(df, cat_cols)
+    wide = [c for c in cat_cols if levels[c] > WIDE_LEVELS]
+    narrow = [c for c in cat_cols if c not in wide]
+    med = medians(df, num_cols) if num_cols else {}
+    filled = {c: f"coalesce(CAST({_quoted(c)} AS DOUBLE), {float(med[c] or 0.0)!r}D)" for c in num_cols}
+    filled |= {c: f"CAST(pmod(xxhash64({_quoted(c)}), 1048576) AS DOUBLE)" for c in wide}
+    if linear and filled:
+        row = df.agg(*[f(F.expr(e)).alias(f"{n}{i}") for i, e in enumerate(filled.values())
+                       for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        filled = {c: f"({e} - {float(row[f'm{i}'] or 0.0)!r}D) / {float(row[f's{i}'] or 0.0) or 1.0!r}D"
+                  for i, (c, e) in enumerate(filled.items())}
+    picks = [f"{e} AS {_quoted(c + '__num')}" for c, e in filled.items()]
+    cats = {c: c for c in narrow}
+    if linear:
+        for c in narrow:
+            mode = mode_value(df, c)
+            if mode is not None:
+                picks.append(f"coalesce(CAST({_quoted(c)} AS STRING), {_text(str(mode))}) AS {_quoted(c + '__cat')}")
+                cats[c] = f"{c}__cat"
+    stages, slots = [], [f"{c}__num" for c in filled]
+    if picks:
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(picks)} FROM __THIS__"))
+    for c in narrow:
+        stages.append(StringIndexer(inputCol=cats[c], outputCol=f"{c}__idx", handleInvalid="keep",
                                     stringOrderType="frequencyDesc"))
-        if onehot:
+        if linear:
             stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", dropLast=True))
-            cats.append(f"{c}__ohe")
-        else:
-            cats.append(f"{c}__idx")
-    if scale and nums:
-        stages.append(VectorAssembler(inputCols=nums, outputCol="_num_vec", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="_num_vec", outputCol="_num_scaled", withMean=True, withStd=True))
-        stages.append(VectorAssembler(inputCols=["_num_scaled"] + cats, outputCol="features", handleInvalid="keep"))
-    else:
-        stages.append(VectorAssembler(inputCols=nums + cats, outputCol="features", handleInvalid="keep"))
-    return stages
+        slots.append(f"{c}__ohe" if linear else f"{c}__idx")
+    stages.append(VectorAssembler(inputCols=slots, outputCol="features", handleInvalid="keep"))
+    return stages, max([levels[c] for c in narrow], default=0)
 
 
-def _classifier(kind: str, label: str, weight: str | None, params: dict, seed: int = 42):
+def _classifier(kind: str, label: str, weight: str | None, params: dict, seed: int = 42, levels: int = 0):
+    bins = max(64, levels + 1)  # a tree needs a bin per level, and one for unseen levels
     if kind == "gbt":
-        m = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=64, **params)
+        m = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=bins, **params)
     elif kind == "rf":
-        m = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=64, **params)
-    elif kind == "lr":
-        m = LogisticRegression(labelCol=label, featuresCol="features", **params)
+        m = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=bins, **params)
+    elif kind == "lr":  # numerics are standardised already; one-hot columns are penalised as they are
+        m = LogisticRegression(labelCol=label, featuresCol="features", standardization=False, **params)
     else:
         raise ValueError(kind)
     if weight:
@@ -98,23 +135,20 @@ class FittedModel:
         srcs = []
         for a in attrs:
             name = a.get("name", "")
-            base = name.split("__")[0]
-            if base.startswith("_num_scaled_"):
-                base = self.num_cols[int(base.rsplit("_", 1)[1])]
-            srcs.append(base)
+            srcs.append(name.split("__")[0])
         size = meta.get("num_attrs", len(srcs))
         return srcs if len(srcs) == size else srcs + ["?"] * (size - len(srcs))
 
 
 def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
                    weight: str | None = None, params: dict | None = None, seed: int = 42) -> FittedModel:
-    stages = feature_pipeline(num_cols, cat_cols, scale=(kind == "lr"), onehot=(kind == "lr"))
-    stages.append(_classifier(kind, label, weight, params or {}, seed))
-    # the imputer, indexers and the estimator each scan the input: read it once, then release it
+    # the statistics, indexers and the estimator each scan the input: read it once, then release it
     cols = list(dict.fromkeys(list(num_cols) + list(cat_cols) + [label] + ([weight] if weight else [])
                               + ([params["validationIndicatorCol"]] if params and "validationIndicatorCol" in params else [])))
     src = train.select(*cols).persist()
     try:
+        stages, levels = feature_pipeline(src, list(num_cols), list(cat_cols), linear=(kind == "lr"))
+        stages.append(_classifier(kind, label, weight, params or {}, seed, levels))
         model = Pipeline(stages=stages).fit(src)
     finally:
         src.unpersist()
@@ -135,9 +169,14 @@ def fit_random_forest(train: DataFrame, label: str, num_cols, cat_cols, n_trees:
 
 
 def fit_elastic_net(train: DataFrame, label: str, num_cols, cat_cols, C: float = 1.0, l1_ratio: float = 0.5,
-                    weight=None) -> FittedModel:
-    n = train.count()
-    params = dict(regParam=1.0 / (C * max(n, 1)), elasticNetParam=l1_ratio, maxIter=100)
+                    weight=None, class_weight: str | None = None) -> FittedModel:
+    """``C`` divides the summed log loss, so the penalty per unit of weight is 1 / (C * sum of weights)."""
+    if class_weight:
+        from tabsieve.operators.evaluate import class_weight_column
+        weight = "_class_weight"
+        train = class_weight_column(train, label, class_weight, out=weight)
+    total = train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0
+    params = dict(regParam=1.0 / (C * max(float(total), 1.0)), elasticNetParam=l1_ratio, maxIter=100)
     return fit_classifier(train, label, num_cols, cat_cols, "lr", weight, params)
 
 
@@ -177,51 +216,60 @@ def ap_of(scored: DataFrame, label: str, positive: int = 0) -> float:
     """Average precision of ``positive`` computed by Spark (distinct-score prefix sums)."""
     from tabsieve.operators.evaluate import average_precision
     p = probability_of(scored, positive, "_p")
-    return average_precision(p, label, "_p", positive=positive).first()[0] or 0.0
-
-
-def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "test_fold", k: int = 3,
-               kind: str = "gbt", params: dict | None = None, positive: int = 0, key: str = "lead_id",
-               seg: str = "_seg") -> DataFrame:
-    """Out-of-fold probabilities over expanding time folds: fold i trains on rows before its
-    test block (``seg <= i``). Rows in no test fold keep NULL."""
-    preds = []
-    folds = sorted(r[0] for r in df.select(fold_col).where(F.col(fold_col).isNotNull()).distinct().collect())
-    for i in folds[:k]:  # fold ids are few (one per test block)
-        test = df.where(F.col(fold_col) == i)
-        train = df.where(F.col(seg) <= i)
-        fm = fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {})
-        preds.append(probability_of(fm.transform(test), positive, "oof_p").select(key, "oof_p"))
-    if not preds:
-        return df.withColumn("oof_p", F.lit(None).cast("double"))
-    allp = functools.reduce(lambda a, b: a.unionByName(b), preds)
-    return df.join(allp, key, "left")
+    ap = average_precision(p, label, "_p", positive=positive).first()[0]
+    if ap is None:
+        raise ValueError(f"no rows of class {positive} to score")
+    return ap
+
+
+def _folds(df: DataFrame, fold_col: str, seg: str) -> list[tuple[int, int]]:
+    """(fold, first segment of its test rows) of every test fold, in order; its training rows lie before that."""
+    rows = (df.where(F.col(fold_col).isNotNull()).groupBy(fold_col).agg(F.min(seg).alias("s"))
+            .orderBy(fold_col).collect())  # one row per test block
+    return [(r[0], r["s"]) for r in rows]
+
+
+def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "test_fold",
+               kind: str = "gbt", params: dict | None = None, positive: int = 0, seg: str = "_seg") -> DataFrame:
+    """Out-of-fold probabilities over expanding time folds: every fold trains on the rows before its test block.
+
+    Rows in no test fold keep NULL. Scored folds and unscored rows are put together by union, so keys may repeat.
+    """
+    parts = [df.where(F.col(fold_col).isNull()).withColumn("oof_p", F.lit(None).cast("double"))]
+    for i, first in _folds(df, fold_col, seg):
+        fm = fit_classifier(df.where(F.col(seg) < first), label, num_cols, cat_cols, kind, None, params or {})
+        scored = probability_of(fm.transform(df.where(F.col(fold_col) == i)), positive, "oof_p")
+        parts.append(scored.select(*df.columns, "oof_p"))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_trials: int = 4,
-                fold_col: str = "test_fold", k: int = 2, kind: str = "gbt", seed: int = 42,
+                fold_col: str = "test_fold", kind: str = "gbt", seed: int = 42,
                 positive: int = 0, seg: str = "_seg") -> DataFrame:
-    """Seeded random search: each trial draws one value per parameter, scores the mean
-    average precision of ``positive`` over the time folds; returns (trial, params, mean_ap)."""
+    """Seeded random search: each trial draws one value per parameter and scores the mean average precision of
+    ``positive`` over all time folds; returns (trial, params, mean_ap). A fold without that class is an error."""
     import json
     import random
     rng = random.Random(seed)
     rows = []
+    folds = _folds(df, fold_col, seg)
+    if not folds:
+        raise ValueError("no test folds")
     for t in range(n_trials):
         params = {p: rng.choice(v) for p, v in space.items()}
         aps = []
-        for i in range(k):
+        for i, first in folds:
             test = df.where(F.col(fold_col) == i)
-            fm = fit_classifier(df.where(F.col(seg) <= i), label, num_cols, cat_cols, kind, None, params)
+            fm = fit_classifier(df.where(F.col(seg) < first), label, num_cols, cat_cols, kind, None, params)
             aps.append(ap_of(fm.transform(test), label, positive))
-        rows.append((t, json.dumps(params, sort_keys=True), float(sum(aps) / len(aps)) if aps else None))
+        rows.append((t, json.dumps(params, sort_keys=True), float(sum(aps) / len(aps))))
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_ap double")
 
 
 def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt",
                       params: dict | None = None, positive: int = 0) -> DataFrame:
     """Refit without each feature; (feature, ap, delta_vs_baseline). Inputs are cached once."""
-    train, valid = train.cache(), valid.cache()
+    train, valid = train.persist(), valid.persist()
     base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}).transform(valid),
                  label, positive)
     rows = [("<baseline>", base, 0.0)]
@@ -236,7 +284,7 @@ def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols,
 def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[str], num_cols, cat_cols,
                  sizes: list[int], kind: str = "gbt", params: dict | None = None, positive: int = 0) -> DataFrame:
     """Drop the n least important features for n in ``sizes``; stop at the first improvement."""
-    train, valid = train.cache(), valid.cache()
+    train, valid = train.persist(), valid.persist()
     base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}).transform(valid),
                  label, positive)
     rows = [(0, base, False)]
@@ -269,20 +317,23 @@ def load_model(path: str) -> PipelineModel:
 
 # ----------------------------------------------------------- error clusters
 def cluster_errors(df: DataFrame, num_cols, cat_cols, k: int = 4, max_pcs: int = 10, seed: int = 42) -> DataFrame:
-    """Numeric NULL -> 0, categories indexed, standardised, PCA (<= 10), k-means (<= 4)."""
+    """Numeric NULL -> 0, categories as codes in sorted order ("missing" is a level), standardised, PCA (<= 10),
+    k-means (<= 4). With fewer than two rows there is nothing to cluster and ``cluster`` is NULL."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA
+    n = df.limit(max(k, 2)).count()
+    if n < 2:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
     filled = df.fillna(0, subset=list(num_cols))
-    stages = []
-    cats = []
+    stages, codes = [], []
     for c in cat_cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__code", handleInvalid="keep"))
-        cats.append(f"{c}__code")
-    stages.append(VectorAssembler(inputCols=list(num_cols) + cats, outputCol="_raw", handleInvalid="keep"))
+        filled = filled.withColumn(f"{c}__text", F.coalesce(F.col(_quoted(c)).cast("string"), F.lit("missing")))
+        stages.append(StringIndexer(inputCol=f"{c}__text", outputCol=f"{c}__code", stringOrderType="alphabetAsc"))
+        codes.append(f"{c}__code")
+    stages.append(VectorAssembler(inputCols=list(num_cols) + codes, outputCol="_raw", handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True))
-    n_pc = max(1, min(max_pcs, len(num_cols) + len(cats)))
+    n_pc = max(1, min(max_pcs, len(num_cols) + len(codes)))
     stages.append(PCA(k=n_pc, inputCol="_z", outputCol="_pc"))
-    n = df.count()
-    stages.append(KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="_pc", predictionCol="cluster"))
+    stages.append(KMeans(k=min(k, n), seed=seed, featuresCol="_pc", predictionCol="cluster"))
     model = Pipeline(stages=stages).fit(filled)
-    return model.transform(filled).drop("_raw", "_z", "_pc", *cats)
+    return model.transform(filled).drop("_raw", "_z", "_pc", *codes, *[f"{c}__text" for c in cat_cols])

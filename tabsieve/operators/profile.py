@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from tabsieve.functions.text import (
     is_empty, non_empty_text, normalize_text,
 )
+from tabsieve.operators.pairs import equality_counts
 
-WIDE_PAIR_LIMIT = 128  # above this many column pairs, pair audits switch to the long layout
 STRING_LIKE = (T.StringType, T.VarcharType, T.CharType)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -156,8 +156,30 @@ def column_level_stats(vc: DataFrame) -> DataFrame:
              F.col("top.cnt").alias("top_count"), "non_empty_count", "nunique")
 
 
+BUCKETS = 1024  # hash buckets per column that decide which columns can hold a dominant value
+
+
+def bucket_candidates(df: DataFrame, cols: list[str], threshold: float, min_non_empty: int) -> list[str]:
+    """Columns where some hash bucket of values holds the threshold's share: a value cannot hold more than its
+    bucket, so no dominant value is missed. At most ``BUCKETS`` counts per column leave a task."""
+    ty = _types(df)
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), value_text_expr(c, ty[c]).alias("v")) for i, c in enumerate(cols)])))
+    counts = (long.where("v is not null").groupBy("i", F.pmod(F.xxhash64("v"), F.lit(BUCKETS)).alias("b"))
+              .agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.max("n").alias("top"), F.sum("n").alias("n")))
+    rows = counts.where((F.col("n") >= min_non_empty) & (F.col("top") / F.col("n") >= threshold)).collect()
+    return [cols[i] for i in sorted(r["i"] for r in rows)]
+
+
 def dominant_value(df: DataFrame, cols=None, threshold: float = 1.0,
                    min_non_empty: int = 3) -> Findings:
+    """Columns whose most frequent value holds at least ``threshold`` of the non-empty rows. Values are counted only
+    for columns that can pass, so id-like columns are never shuffled value by value."""
+    cols = bucket_candidates(df, _cols(df, cols), threshold, min_non_empty)
+    if not cols:
+        empty = df.sparkSession.createDataFrame(
+            [], "feature string, top_value string, top_count bigint, non_empty_count bigint, top_share double, nunique bigint")
+        return Findings("dominant_value", empty, [])
     st = column_level_stats(value_counts_long(df, cols))
     share = F.col("top_count") / F.col("non_empty_count")
     flagged = (st.where((F.col("non_empty_count") >= min_non_empty) & (share >= threshold))
@@ -168,34 +190,10 @@ def dominant_value(df: DataFrame, cols=None, threshold: float = 1.0,
     return Findings("dominant_value", table, [r["feature"] for r in rows])
 
 
-def cardinality_candidates(df: DataFrame, cols: list[str], share_threshold: float, min_unique: int,
-                           rsd: float = 0.01, margin: float = 0.05) -> list[str]:
-    """Columns that may pass the cardinality rule, from one pass of HyperLogLog sketches
-    (``approx_count_distinct``, a few KB of state per column) and exact non-empty counts.
-    ``margin`` is five standard errors of the sketch, so a true hit is kept."""
-    ty = _types(df)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = value_text_expr(c, ty[c])
-        aggs += [F.approx_count_distinct(v, rsd).alias(f"d{i}"), F.count(v).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
-    keep = []
-    for i, c in enumerate(cols):
-        d, n = row[f"d{i}"] or 0, row[f"n{i}"] or 0
-        if n and d >= min_unique * (1 - margin) and d / n >= share_threshold * (1 - margin):
-            keep.append(c)
-    return keep
-
-
 def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
-                     min_unique: int = 50, only_string_like: bool = True,
-                     prefilter: bool = False) -> Findings:
-    """Exact rule on value counts. With ``prefilter`` a sketch pass first removes the columns
-    that clearly cannot pass, so the exact value counts (as large as the data for id-like
-    columns) are built only for candidates."""
+                     min_unique: int = 50, only_string_like: bool = True) -> Findings:
+    """Columns whose exact distinct share reaches the threshold."""
     cols = string_like_columns(df, cols) if only_string_like else _cols(df, cols)
-    if prefilter and cols:
-        cols = cardinality_candidates(df, cols, share_threshold, min_unique)
     if not cols:
         empty = df.sparkSession.createDataFrame(
             [], "feature string, nunique bigint, non_empty_count bigint, unique_share double")
@@ -212,10 +210,7 @@ def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
 
 # --------------------------------------------------------------- duplicates
 def column_pair_stats(df: DataFrame, cols=None, pairs=None) -> DataFrame:
-    """(left, right, mismatches, comparable, equal_comparable) for column pairs.
-
-    All pairs in one aggregate pass over the normalised text (no row pairs).
-    """
+    """(left, right, mismatches, comparable, equal_comparable) for column pairs, in one pass (``pairs``)."""
     cols = _cols(df, cols)
     if pairs is None:
         pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
@@ -223,34 +218,10 @@ def column_pair_stats(df: DataFrame, cols=None, pairs=None) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "left string, right string, mismatches bigint, comparable bigint, "
                 "equal_comparable bigint")
-    in_pairs = {c for p in pairs for c in p}
-    used = [c for c in cols if c in in_pairs] + sorted(in_pairs - set(cols))
-    norm = df.select(*[normalize_text(c_(c)).alias(f"n{i}") for i, c in enumerate(used)])
-    idx = {c: i for i, c in enumerate(used)}
-    spark = df.sparkSession
-    x = lambda a: F.col(f"n{idx[a]}")
-    if len(pairs) <= WIDE_PAIR_LIMIT:
-        # per-pair 0/1 flags projected once, then plain sums in one aggregate (two per pair;
-        # equal & comparable = comparable - mismatches since unequal values are never both empty)
-        flags = norm.select(*[(x(a) != x(b)).cast("long").alias(f"m{k}") for k, (a, b) in enumerate(pairs)],
-                            *[(~((x(a) == "") & (x(b) == ""))).cast("long").alias(f"c{k}")
-                              for k, (a, b) in enumerate(pairs)])
-        row = flags.agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(len(pairs))],
-                        *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(pairs))])
-        return row.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"m{k}").alias("mismatches"),
-                     F.col(f"c{k}").alias("comparable"), (F.col(f"c{k}") - F.col(f"m{k}")).alias("equal_comparable"))
-            for k, (a, b) in enumerate(pairs)])))
-    # many pairs: long layout (pair, unequal, comparable) via stack, small generated code
-    args = []
-    for k, (a, b) in enumerate(pairs):
-        args += [F.lit(k), (x(a) != x(b)).cast("long"), (~((x(a) == "") & (x(b) == ""))).cast("long")]
-    long = norm.select(F.stack(F.lit(len(pairs)), *args).alias("k", "m", "c"))
-    sums = long.groupBy("k").agg(F.sum("m").alias("mismatches"), F.sum("c").alias("comparable"))
-    names_df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)],
-                                     "k int, left string, right string")  # one row per pair
-    return names_df.join(sums, "k").select("left", "right", "mismatches", "comparable",
-                                           (F.col("comparable") - F.col("mismatches")).alias("equal_comparable"))
+    texts = {c: normalize_text(c_(c)) for c in dict.fromkeys(c for p in pairs for c in p)}
+    counts = equality_counts(df, texts, pairs)
+    # unequal values are never both empty, so equal & comparable = comparable - mismatches
+    return counts.withColumn("equal_comparable", F.col("comparable") - F.col("mismatches"))
 
 
 def duplicate_columns(df: DataFrame, cols=None, near_threshold: float = 0.95) -> tuple[Findings, Findings]:
@@ -297,11 +268,9 @@ def missing_share(df: DataFrame, cols=None) -> DataFrame:
 
 
 def quartiles(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
-    """Exact (q1, median, q3) per column in one aggregate job."""
-    row = df.agg(*[F.percentile(c_(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: tuple(row[f"p{i}"]) if row[f"p{i}"] is not None else (None, None, None)
-            for i, c in enumerate(cols)}
+    """Exact (q1, median, q3) per column."""
+    from tabsieve.operators.ordered import exact_quantiles
+    return {c: tuple(v) for c, v in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).items()}
 
 
 def outlier_share(df: DataFrame, cols=None) -> DataFrame:
@@ -324,26 +293,27 @@ def outlier_share(df: DataFrame, cols=None) -> DataFrame:
 def numeric_vs_text_levels(df: DataFrame, cols=None) -> DataFrame:
     """(feature, numeric_levels, text_levels): distinct values split by number-likeness."""
     cols = _cols(df, cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        t = normalize_text(c_(c))
-        v = F.when(c_(c).isNotNull(), t)
-        is_num = t.try_cast("double").isNotNull()
-        aggs += [F.count_distinct(F.when(is_num, v)).alias(f"n{i}"),
-                 F.count_distinct(F.when(~is_num, v)).alias(f"t{i}")]
-    return wide_row_to_long(df.agg(*aggs), cols, {"numeric_levels": "n", "text_levels": "t"})
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.when(
+        c_(c).isNotNull(), normalize_text(c_(c))).alias("v")) for i, c in enumerate(cols)]))).where("v is not null")
+    is_num = F.col("v").try_cast("double").isNotNull()
+    per = (long.groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i")
+           .agg(F.sum(is_num.cast("long")).alias("n"), F.sum((~is_num).cast("long")).alias("t")))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, feature string")  # one row per column
+    return names.join(per, "i", "left").select("feature", F.coalesce("n", F.lit(0)).alias("numeric_levels"),
+                                               F.coalesce("t", F.lit(0)).alias("text_levels"))
 
 
 def describe_column(df: DataFrame, cols=None) -> DataFrame:
     """count / mean / sample std / min / exact quartiles / max per numeric column."""
     cols = numeric_columns(df, cols)
+    qs = quartiles(df, cols)
     aggs = []
     for i, c in enumerate(cols):
         x = c_(c).cast("double")
+        q1, q2, q3 = (F.lit(v).cast("double") for v in qs[c])
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.percentile(x, 0.25).alias(f"q1{i}"), F.percentile(x, 0.5).alias(f"q2{i}"),
-                 F.percentile(x, 0.75).alias(f"q3{i}"), F.max(x).alias(f"hi{i}")]
+                 F.max(q1).alias(f"q1{i}"), F.max(q2).alias(f"q2{i}"), F.max(q3).alias(f"q3{i}"), F.max(x).alias(f"hi{i}")]
     return wide_row_to_long(df.agg(*aggs), cols, {
         "n": "n", "mean": "a", "std": "s", "min": "lo", "p25": "q1", "p50": "q2",
         "p75": "q3", "max": "hi"})

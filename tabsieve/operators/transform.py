@@ -1,8 +1,7 @@
 """Missing values, outliers and numeric transforms.
 
-Fitted statistics (medians, quartiles, quantile edges) come from one exact
-``percentile`` aggregate over all requested columns and are applied as
-literals, so ``transform`` is a pure projection that also runs on a stream.
+Fitted statistics (medians, quartiles, quantile edges) are exact quantiles over
+range partitions (``exact_quantiles``) and are applied as literals, so ``transform`` is a pure projection that also runs on a stream.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.text import col_of, regex_trim
+from tabsieve.operators.ordered import exact_quantiles
 from tabsieve.operators.profile import STRING_LIKE, c_
 
 
@@ -87,9 +87,8 @@ def delta_hours_floor0(a, b) -> Column:
 
 # ---------------------------------------------------------------- fitted
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """Exact medians of several columns in one aggregate job."""
-    row = df.agg(*[F.median(c_(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    """Exact medians of several columns."""
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
 
 
 def fill_median(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
@@ -118,8 +117,9 @@ def coerce_features(df: DataFrame, categorical: list[str] | None = None,
 
 
 def iqr_fences(df: DataFrame, col: str, k: float = 1.5):
-    q1, med, q3 = df.agg(F.percentile(c_(col).cast("double"),
-                                      F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    q1, med, q3 = exact_quantiles(df, [col], [0.25, 0.5, 0.75])[col]
+    if med is None:
+        return None, None, None
     iqr = q3 - q1
     return q1 - k * iqr, q3 + k * iqr, med
 
@@ -128,18 +128,22 @@ def iqr_outlier_to_median(df: DataFrame, col: str, out: str | None = None,
                           fit_df: DataFrame | None = None) -> DataFrame:
     lo, hi, med = iqr_fences(fit_df if fit_df is not None else df, col)
     x = c_(col)
+    if med is None:
+        return df.withColumn(out or col, x)
     return df.withColumn(out or col, F.when((x < lo) | (x > hi), F.lit(med)).otherwise(x))
 
 
 def iqr_clip_upper(df: DataFrame, col: str, k: float = 2.0, out: str | None = None,
                    fit_df: DataFrame | None = None) -> DataFrame:
     _, hi, _ = iqr_fences(fit_df if fit_df is not None else df, col, k)
+    if hi is None:
+        return df.withColumn(out or col, c_(col))
     return df.withColumn(out or col, clip(c_(col), upper=hi))
 
 
 def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     probs = [i / q for i in range(q + 1)]
-    edges = df.agg(F.percentile(c_(col).cast("double"), F.array(*[F.lit(p) for p in probs]))).first()[0]
+    edges = [e for e in exact_quantiles(df, [col], probs)[col] if e is not None]
     uniq = []
     for e in edges or []:
         if not uniq or e != uniq[-1]:

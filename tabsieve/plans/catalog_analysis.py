@@ -78,19 +78,26 @@ def _date_candidates(spark, sf):
 
 @query("normalize_dates", with_cte(
     "SELECT lead_id, to_timestamp(sale_ts)::TIMESTAMP AS sale_dt2, "
-    "epoch_ms(created_ms)::TIMESTAMP AS created_ms_dt, strptime(sale_date_text, '%Y-%m-%d') AS sale_date_text_dt FROM l",
-    l=L))
+    "epoch_ms(created_ms)::TIMESTAMP AS created_ms_dt, strptime(sale_date_text, '%Y-%m-%d') AS sale_date_text_dt, "
+    "CASE WHEN lead_id % 6 = 0 THEN NULL ELSE to_timestamp(sale_ts)::TIMESTAMP END AS text_epoch_dt FROM l", l=L))
 def _normalize_dates(spark, sf):
-    d = leads(spark, sf).select("lead_id", "sale_ts", "created_ms", "sale_date_text")
-    out = D.normalize_dates(d, [("sale_ts", "s"), ("created_ms", "ms"), ("sale_date_text", None)])
+    d = leads(spark, sf).select("lead_id", "sale_ts", "created_ms", "sale_date_text", F.when(
+        F.col("lead_id") % 6 == 0, "n/a").otherwise(F.col("sale_ts").cast("string")).alias("text_epoch"))
+    out = D.normalize_dates(d, [("sale_ts", "s"), ("created_ms", "ms"), ("sale_date_text", None), ("text_epoch", "s")])
     return out.withColumnRenamed("sale_dt", "sale_dt2")
 
 
 @query("parse_date_best", with_cte(
-    "SELECT lead_id, epoch_ms(created_ms)::TIMESTAMP AS created_parsed FROM l", l=L))
+    "SELECT lead_id, epoch_ms(created_ms)::TIMESTAMP AS created_parsed, "
+    "CASE WHEN lead_id % 6 = 0 THEN NULL ELSE strptime(sale_date_text, '%Y-%m-%d') END AS text_parsed, "
+    "CASE WHEN lead_id % 6 = 0 THEN NULL ELSE epoch_ms(created_ms)::TIMESTAMP END AS epoch_parsed FROM l", l=L))
 def _parse_best(spark, sf):
-    d = leads(spark, sf).select("lead_id", "created_ms")
-    return D.parse_date_best(d, "created_ms", "created_parsed").select("lead_id", "created_parsed")
+    junk = F.col("lead_id") % 6 == 0
+    d = leads(spark, sf).select("lead_id", "created_ms", F.when(junk, "n/a").otherwise(F.col("sale_date_text")).alias("text"),
+                                F.when(junk, "-").otherwise(F.col("created_ms").cast("string")).alias("epoch"))
+    d = D.parse_date_best(d, "created_ms", "created_parsed")
+    d = D.parse_date_best(d, "text", "text_parsed")
+    return D.parse_date_best(d, "epoch", "epoch_parsed").select("lead_id", "created_parsed", "text_parsed", "epoch_parsed")
 
 
 _DT = ["sale_dt", "created_dt", "delivered_dt"]
@@ -303,23 +310,25 @@ def _assemble(spark, sf):
 
 
 @query("left_join_raw_columns", with_cte(
-    "SELECT l.lead_id, l.amount, c_acctbal, c_mktsegment FROM l LEFT JOIN customer ON l.contact_id = c_custkey "
-    "AND c_mktsegment <> 'AUTOMOBILE'", l=L))
+    "SELECT l.lead_id, l.amount, c_acctbal, c_mktsegment FROM l LEFT JOIN customer ON "
+    "CASE WHEN lead_id % 7 = 0 THEN -contact_id ELSE contact_id END = c_custkey", l=L))
 def _left_raw(spark, sf):
-    d = leads(spark, sf).select("lead_id", "amount", "contact_id")
-    # customers of one segment are absent on the right side, so the left join keeps unmatched rows
-    c = read(spark, sf, "customer").where(F.col("c_mktsegment") != "AUTOMOBILE").select(
-        F.col("c_custkey").alias("contact_id"), "c_acctbal", "c_mktsegment")
+    # every seventh key is one that no customer has, so the left join keeps unmatched rows
+    key = F.when(F.col("lead_id") % 7 == 0, -F.col("contact_id")).otherwise(F.col("contact_id")).alias("contact_id")
+    d = leads(spark, sf).select("lead_id", "amount", key)
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("contact_id"), "c_acctbal", "c_mktsegment")
     return d.join(c, "contact_id", "left").drop("contact_id")
 
 
 @query("left_join_history", with_cte(
     "SELECT lead_id, coalesce(n_lines, 0) AS n_lines, coalesce(qty, 0.0) AS qty FROM l LEFT JOIN "
-    "(SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag <> 'R' "
-    "GROUP BY l_orderkey) h ON l.lead_id = h.l_orderkey", l=L))
+    "(SELECT CASE WHEN l_orderkey % 7 = 0 THEN -l_orderkey ELSE l_orderkey END AS k, count(*) AS n_lines, "
+    "sum(l_quantity) AS qty FROM lineitem GROUP BY k) h ON l.lead_id = h.k", l=L))
 def _left_hist(spark, sf):
     d = leads(spark, sf).select("lead_id")
-    h = (read(spark, sf, "lineitem").where(F.col("l_returnflag") != "R").groupBy(F.col("l_orderkey").alias("lead_id"))
+    # the history of every seventh order is under a key that no lead has
+    key = F.when(F.col("l_orderkey") % 7 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    h = (read(spark, sf, "lineitem").groupBy(key.alias("lead_id"))
          .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty")))
     return J.left_join_fill(d, h, "lead_id", {"n_lines": 0, "qty": 0.0})
 
@@ -524,12 +533,16 @@ def _decomp(spark, sf):
 
 
 # ------------------------------------------------------------------ §2.10
-_SCORES = "SELECT lead_id, sale_dt, buyout_flag AS y, score AS p0, 1 - score AS p1 FROM l"
+# some rows have no score (as out-of-fold scores do) and some no label
+_SCORES = ("SELECT lead_id, sale_dt, CASE WHEN lead_id % 17 = 0 THEN NULL ELSE buyout_flag END AS y, "
+           "CASE WHEN lead_id % 13 = 0 THEN NULL ELSE score END AS p0, "
+           "CASE WHEN lead_id % 13 = 0 THEN NULL ELSE 1 - score END AS p1 FROM l")
 
 
 def _scored(spark, sf):
-    return leads(spark, sf).select("lead_id", "sale_dt", F.col("buyout_flag").alias("y"),
-                                   F.col("score").alias("p0"), (1 - F.col("score")).alias("p1"))
+    p0 = F.when(F.col("lead_id") % 13 != 0, F.col("score"))
+    return leads(spark, sf).select("lead_id", "sale_dt", F.when(F.col("lead_id") % 17 != 0, F.col("buyout_flag")).alias("y"),
+                                   p0.alias("p0"), (1 - p0).alias("p1"))
 
 
 @query("time_split", with_cte(
@@ -593,11 +606,11 @@ def _skfold(spark, sf):
 
 
 _LAB = ("CASE WHEN p0 >= 0.15 AND y = 0 THEN 'tp_0' WHEN p0 < 0.15 AND y = 0 THEN 'fn_0' "
-        "WHEN p0 >= 0.15 AND y = 1 THEN 'fp_0' ELSE 'tn_0' END")
+        "WHEN p0 >= 0.15 AND y = 1 THEN 'fp_0' WHEN p0 < 0.15 AND y = 1 THEN 'tn_0' ELSE 'unknown' END")
 
 
 @query("confusion_labels", with_cte(
-    f"SELECT lead_id, CASE WHEN p0 >= 0.15 THEN 0 ELSE 1 END AS pred_label, {_LAB} AS error_type FROM s",
+    f"SELECT lead_id, CASE WHEN p0 >= 0.15 THEN 0 WHEN p0 < 0.15 THEN 1 END AS pred_label, {_LAB} AS error_type FROM s",
     l=L, s=_SCORES))
 def _clabels(spark, sf):
     return V.confusion_labels(_scored(spark, sf), "y", "p0", 0.15).select("lead_id", "pred_label", "error_type")
@@ -622,7 +635,7 @@ def _ranges(spark, sf):
 
 @query("confusion_matrix", with_cte(
     "SELECT g.y_true, g.y_pred, coalesce(n, 0) AS n FROM (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) "
-    "t(y_true, y_pred)) g LEFT JOIN (SELECT y AS y_true, CASE WHEN p0 >= 0.15 THEN 0 ELSE 1 END AS y_pred, count(*) AS n "
+    "t(y_true, y_pred)) g LEFT JOIN (SELECT y AS y_true, CASE WHEN p0 >= 0.15 THEN 0 WHEN p0 < 0.15 THEN 1 END AS y_pred, count(*) AS n "
     "FROM s GROUP BY ALL) c USING (y_true, y_pred)", l=L, s=_SCORES))
 def _cmatrix(spark, sf):
     lab = V.confusion_labels(_scored(spark, sf), "y", "p0", 0.15)
@@ -632,7 +645,7 @@ def _cmatrix(spark, sf):
 def _counts_sql():
     return ("SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE y = {a} AND pr = {b}) AS DOUBLE) AS c{a}{b}"
                                   for a in (0, 1) for b in (0, 1)) +
-            " FROM (SELECT y, CASE WHEN p0 >= 0.15 THEN 0 ELSE 1 END AS pr FROM s)")
+            " FROM (SELECT y, CASE WHEN p0 >= 0.15 THEN 0 WHEN p0 < 0.15 THEN 1 END AS pr FROM s)")
 
 
 def _pr_sql(k):
@@ -692,7 +705,7 @@ def _creport(spark, sf):
 @query("roc_auc", with_cte(
     "SELECT round(sum(pos * (cum_neg - 0.5 * neg)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM (SELECT pos, neg, "
     "sum(neg) OVER (ORDER BY sc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM (SELECT p0 AS sc, "
-    "sum(CAST(y = 0 AS BIGINT)) AS pos, sum(CAST(y <> 0 AS BIGINT)) AS neg FROM s GROUP BY p0))", l=L, s=_SCORES))
+    "sum(CAST(y = 0 AS BIGINT)) AS pos, sum(CAST(y <> 0 AS BIGINT)) AS neg FROM s WHERE p0 IS NOT NULL GROUP BY p0))", l=L, s=_SCORES))
 def _auc(spark, sf):
     return V.roc_auc(_scored(spark, sf), "y", "p0", positive=0).select(_r(F.col("roc_auc"), 9).alias("roc_auc"))
 
@@ -700,7 +713,7 @@ def _auc(spark, sf):
 @query("average_precision", with_cte(
     "SELECT round(sum(pos * cp / (cp + cn)) / sum(pos), 9) AS average_precision FROM (SELECT pos, "
     "sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM (SELECT p0 AS sc, sum(CAST(y = 0 AS BIGINT)) AS pos, "
-    "sum(CAST(y <> 0 AS BIGINT)) AS neg FROM s GROUP BY p0) WINDOW w AS (ORDER BY sc DESC ROWS BETWEEN UNBOUNDED "
+    "sum(CAST(y <> 0 AS BIGINT)) AS neg FROM s WHERE p0 IS NOT NULL GROUP BY p0) WINDOW w AS (ORDER BY sc DESC ROWS BETWEEN UNBOUNDED "
     "PRECEDING AND CURRENT ROW))", l=L, s=_SCORES))
 def _ap(spark, sf):
     return V.average_precision(_scored(spark, sf), "y", "p0", positive=0).select(
@@ -709,7 +722,7 @@ def _ap(spark, sf):
 
 @query("log_loss", with_cte(
     "SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS log_loss FROM (SELECT y, least(greatest(p1, "
-    "2.220446049250313e-16), 1 - 2.220446049250313e-16) AS p FROM s)", l=L, s=_SCORES))
+    "2.220446049250313e-16), 1 - 2.220446049250313e-16) AS p FROM s WHERE p1 IS NOT NULL)", l=L, s=_SCORES))
 def _logloss(spark, sf):
     return V.log_loss(_scored(spark, sf), "y", "p1").select(_r(F.col("log_loss"), 9).alias("log_loss"))
 
@@ -720,8 +733,8 @@ def _thr_sql():
     tp = "count(*) FILTER (WHERE y = 0 AND p0 >= threshold)"
     fp = "count(*) FILTER (WHERE y = 1 AND p0 >= threshold)"
     return (f"SELECT threshold, tp AS tp_0, n0 - tp AS fn_0, fp AS fp_0, n1 - fp AS tn_0 FROM (SELECT threshold, "
-            f"(SELECT {tp} FROM s) AS tp, (SELECT {fp} FROM s) AS fp, (SELECT count(*) FILTER (WHERE y = 0) FROM s) AS n0, "
-            f"(SELECT count(*) FILTER (WHERE y = 1) FROM s) AS n1 FROM ({grid}))")
+            f"(SELECT {tp} FROM s) AS tp, (SELECT {fp} FROM s) AS fp, (SELECT count(*) FILTER (WHERE y = 0 AND p0 IS NOT NULL) FROM s) AS n0, "
+            f"(SELECT count(*) FILTER (WHERE y = 1 AND p0 IS NOT NULL) FROM s) AS n1 FROM ({grid}))")
 
 
 @query("threshold_table", with_cte(

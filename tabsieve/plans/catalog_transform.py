@@ -490,12 +490,16 @@ def _same_owner(spark, sf):
 @query("ordinal_encode", with_cte(
     "SELECT lead_id, coalesce(code, -1) AS nation_code FROM (SELECT * FROM l WHERE sale_dt >= " + _SPLIT + ") t "
     "LEFT JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(nation, 'missing') AS v "
-    "FROM l WHERE sale_dt < " + _SPLIT + " AND nation <> 'NATION_3')) s ON coalesce(t.nation, 'missing') = s.v", l=L))
+    "FROM l WHERE sale_dt < " + _SPLIT + ")) s ON coalesce(CASE WHEN lead_id % 9 = 0 THEN nation || '?' ELSE nation END, "
+    "'missing') = s.v", l=L))
 def _ordinal(spark, sf):
     d = leads(spark, sf).select("lead_id", "nation", "sale_dt")
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    st = E.ordinal_encode_fit(d.where((F.col("sale_dt") < cut) & (F.col("nation") != "NATION_3")), "nation")
-    return E.ordinal_encode_apply(d.where(F.col("sale_dt") >= cut), st, "nation_code").select("lead_id", "nation_code")
+    st = E.ordinal_encode_fit(d.where(F.col("sale_dt") < cut), "nation")
+    # some later rows carry a level that the fit has not seen
+    later = d.where(F.col("sale_dt") >= cut).withColumn("nation", F.when(
+        F.col("lead_id") % 9 == 0, F.concat("nation", F.lit("?"))).otherwise(F.col("nation")))
+    return E.ordinal_encode_apply(later, st, "nation_code").select("lead_id", "nation_code")
 
 
 @query("standard_scale", with_cte(

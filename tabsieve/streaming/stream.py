@@ -32,14 +32,20 @@ def apply_order_state(df: DataFrame, st: dict) -> DataFrame:
         F.weekday("o_orderdate").alias("weekday"))
 
 
+def _table_files(spark: SparkSession, path: str) -> str:
+    """A path the streaming file source accepts: the folder itself, or a glob that matches the single file."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path if fs.getFileStatus(jpath).isDirectory() else path.replace(".parquet", ".parque[t]")
+
+
 def fitted_transform_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/orders.parquet"
     batch = spark.read.parquet(path)
     st = fit_order_state(batch)
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    # file source over the folder, restricted to the table's file(s)
-    stream = (spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "orders.parquet").parquet(sf_dir))
+    # the table is one file or a folder of part files; a file source takes a glob of either
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 8).parquet(_table_files(spark, path))
     q = (apply_order_state(stream, st).writeStream.format("parquet")
          .option("checkpointLocation", f"{base}/_chk").option("path", f"{base}/out")
          .trigger(availableNow=True).start())
