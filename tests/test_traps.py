@@ -104,14 +104,6 @@ def test_rank_conflict_greedy_by_position(spark):
         ("a", "cb", 1), ("f", "cb", 2), ("c", "lr", 3), ("b", "lr", 2), ("d", "rf", 1)]
 
 
-def test_high_cardinality_prefilter_same_findings(spark):
-    from tabsieve.plans.inputs import leads
-    d = leads(spark, "/root/testdata/sf0.001")
-    a = sorted(tuple(r) for r in P.high_cardinality(d, share_threshold=0.05).table.collect())
-    b = sorted(tuple(r) for r in P.high_cardinality(d, share_threshold=0.05, prefilter=True).table.collect())
-    assert a == b and len(a) > 0
-
-
 def test_target_corr_coerces_numeric_text(spark):
     rows = [(str(i), float(i), "yes" if i >= 20 else "no") for i in range(40)]
     df = spark.createDataFrame(rows, "txt string, num double, y string")
