@@ -39,8 +39,8 @@ from tabsieve.llm.winnow import _slide
 LENGTH = 100
 ANCHOR = 24
 #: Bytes of text per anchor bucket, bytes of segments per suffix shard, and segments that a map task gathers at once.
-BUCKET_BYTES = 24 << 20
-SHARD_BYTES = 6 << 20
+BUCKET_BYTES = 12 << 20
+SHARD_BYTES = 3 << 20
 FLUSH_SEGMENTS = 200_000
 #: An anchor with more distinct segments than this in a bucket is dealt window by window.
 CROWDED = 20_000
