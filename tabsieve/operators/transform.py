@@ -76,6 +76,14 @@ def days_between_ts(start, end) -> Column:
     return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end)) / 86400e6
 
 
+def _days(df: DataFrame, start: str, end: str) -> Column:
+    """Fractional days between two timestamp columns or two epoch-second columns."""
+    times = (T.TimestampType, T.TimestampNTZType)
+    if isinstance(df.schema[start].dataType, times) and isinstance(df.schema[end].dataType, times):
+        return days_between_ts(c_(start), c_(end))
+    return days_between(c_(start), c_(end))
+
+
 def delta_seconds(a, b) -> Column:
     return col_of(a).cast("double") - col_of(b).cast("double")
 
@@ -174,7 +182,7 @@ def above_median_flag(df: DataFrame, col: str, out: str, fit_df: DataFrame | Non
 def delay_days_features(df: DataFrame, start: str, end: str, prefix: str,
                         fill: str = "neg1") -> DataFrame:
     """end - start in days; negatives -> NULL; log1p; missing flag; fill -1 or the median."""
-    d = days_between(c_(start), c_(end))
+    d = _days(df, start, end)
     d = F.when(d >= 0, d)
     out = df.withColumn(f"_{prefix}_d", d)
     if fill == "median":
@@ -190,11 +198,12 @@ def delay_days_features(df: DataFrame, start: str, end: str, prefix: str,
 
 def capped_delay(df: DataFrame, start: str, end: str, prefix: str, cap: float = 30.0) -> DataFrame:
     """delay + 1 day; event flag; long flag (> cap); capped value with -1 fill."""
-    d = days_between(c_(start), c_(end)) + 1.0
+    d = _days(df, start, end) + 1.0
     return df.withColumns({
         f"{prefix}_flag": c_(end).isNotNull().cast("int"),
         f"{prefix}_long": F.coalesce(d > cap, F.lit(False)).cast("int"),
-        f"{prefix}_days": F.coalesce(F.least(d, F.lit(cap)), F.lit(-1.0)),
+        # least skips NULL, so a missing delay is told apart first
+        f"{prefix}_days": F.when(d.isNull(), F.lit(-1.0)).otherwise(F.least(d, F.lit(cap))),
     })
 
 

@@ -265,7 +265,7 @@ RAW_LEAD_COLUMNS = [
     ("lead_tags", "CASE o_orderkey % 4 WHEN 0 THEN 'tilda, form' WHEN 1 THEN 'ВХОДЯЩИЙ звонок' WHEN 2 THEN 'misc' END"),
     ("lead_utm_content", "concat_ws('_', CAST(o_orderkey AS STRING), 'a', CAST(o_custkey AS STRING), 'b', "
                          "CASE WHEN o_orderkey % 3 = 0 THEN 'mobile' ELSE 'undefined' END, 'c', 'd', 'e', 'f', 'g')"),
-    ("lead_length", "c_nationkey * 2"),
+    ("`lead_Длина`", "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE c_nationkey * 2 END"),
 ]
 
 
@@ -334,10 +334,10 @@ def _chain_columns():
         '"lead_Высота"': f"coalesce({h}, -1.0)",
         '"lead_Вес (грамм)*"': '"lead_Вес (грамм)*"', '"lead_Вид оплаты"': '"lead_Вид оплаты"',
         '"lead_Служба доставки"': '"lead_Служба доставки"', "lead_group": "lead_group",
-        '"lead_Стоимость доставки"': '"lead_Стоимость доставки"',
+        '"lead_Стоимость доставки"': f"coalesce({cost}, -1.0)",
         "lead_utm_group": "CASE WHEN grp IN (SELECT v FROM top5) OR grp = 'unknown' THEN grp ELSE 'rare_utm_group' END",
         "lead_utm_referrer": ref_cat, "lead_tags": tags, "lead_utm_content": "lead_utm_content",
-        "lead_length": "lead_length",
+        '"lead_Длина"': '"lead_Длина"', "lead_length": 'coalesce("lead_Длина", -1)',
         "lead_utm_campaign_missing": f"CAST(({campaign}) IS NULL AS INT)",
         "lead_height_known": f"CAST({h} IS NOT NULL AS INT)", "lead_height_bin": hbin,
         "has_weight": 'CAST("lead_Вес (грамм)*" IS NOT NULL AS INT)',
@@ -381,27 +381,123 @@ def _project_final(spark, sf):
     return S.project_final(PL.transform_chain(raw_leads(spark, sf), PL.lead_feature_steps()), keep_time="sale_ts")
 
 
+# Structured lead table: (name, Spark expression, DuckDB expression or None if equal)
+STRUCTURED_COLUMNS = [
+    ("lead_id", "o_orderkey", None),
+    ("buyout_flag", "CAST(o_orderstatus = 'F' AS INT)", None),
+    ("lead_Ширина", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE c_nationkey * 3 END", None),
+    ("lead_Линейная высота (см)", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE c_nationkey END", None),
+    ("lead_Вид оплаты", "CASE WHEN o_orderkey % 3 = 0 THEN 'Наложенный платеж' WHEN o_orderkey % 3 = 1 THEN 'Карта' END", None),
+    ("lead_Служба доставки", "CASE o_orderkey % 6 WHEN 0 THEN 'СДЭК до ПВЗ' WHEN 1 THEN 'СДЭК до Двери' WHEN 2 THEN 'Почта' "
+                             "WHEN 3 THEN 'Самовывоз' WHEN 4 THEN 'Курьер' END", None),
+    ("lead_Компания Отправитель", "c_mktsegment", None),
+    ("lead_group_id", "CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_custkey % 40 END", None),
+    ("lead_Масса (гр)", "CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE c_acctbal END", None),
+    ("contact_created_dt", "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END", None),
+    ("contact_updated_dt", "o_orderdate + make_interval(0, 0, 0, CAST(o_orderkey % 9 AS INT) - 2)",
+     "o_orderdate + to_days(CAST(o_orderkey % 9 AS INTEGER) - 2)"),
+    ("lead_utm_medium", "CASE o_orderkey % 4 WHEN 0 THEN 'CPC' WHEN 1 THEN 'yandex_cpm' WHEN 2 THEN 'email' END", None),
+    ("lead_Категория и варианты выбора", "CASE WHEN o_orderkey % 5 = 0 THEN 'Нет категории' WHEN o_orderkey % 5 = 1 THEN NULL "
+                                         "ELSE c_mktsegment END", None),
+    ("lead_Модель телефона", "CASE o_orderkey % 3 WHEN 0 THEN 'Кнопочный' WHEN 1 THEN 'Смартфон' END", None),
+    ("lead_created_dt", "o_orderdate", None),
+    ("handed_to_delivery_dt", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + "
+                              "make_interval(0, 0, 0, CAST(o_orderkey % 15 AS INT) - 3) END",
+     "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + to_days(CAST(o_orderkey % 15 AS INTEGER) - 3) END"),
+    ("sale_date_dt", "o_orderdate + make_interval(0, 0, 0, CAST(o_orderkey % 5 AS INT))",
+     "o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER))"),
+    ("lead_utm_campaign", "CASE WHEN o_orderkey % 9 = 0 THEN '{campaing_id}' WHEN o_orderkey % 9 = 1 THEN 'Неизвестно' "
+                          "WHEN o_orderkey % 9 = 2 THEN NULL ELSE 'camp_' || CAST(o_custkey % 60 AS STRING) END", None),
+    ("contact_Источник трафика", "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'src_' || CAST(o_custkey % 35 AS STRING) END", None),
+    ("lead_Дата перехода в Сборку", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate + "
+                                    "make_interval(0, 0, 0, CAST(o_orderkey % 50 AS INT)) END",
+     "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate + to_days(CAST(o_orderkey % 50 AS INTEGER)) END"),
+    ("lead_utm_term", "CASE WHEN o_orderkey % 7 = 0 THEN 'Неизвестно' WHEN o_orderkey % 7 = 1 THEN NULL "
+                      "ELSE 'term_' || CAST(o_custkey % 90 AS STRING) END", None),
+    ("lead_utm_sky", "CASE o_orderkey % 7 WHEN 0 THEN '{keyword}' WHEN 1 THEN '---autotargeting' WHEN 2 THEN 'Артрейд купить' "
+                     "WHEN 3 THEN 'лечение ВАРИКОЗА вены' WHEN 4 THEN 'SLEEP mask' WHEN 5 THEN 'другое' END", None),
+    ("lead_group", "CASE o_orderkey % 4 WHEN 0 THEN 'yur' WHEN 1 THEN 'but' WHEN 2 THEN 'misc' END", None),
+    ("lead_Проблема", "CASE o_orderkey % 5 WHEN 0 THEN 'Варикоз' WHEN 1 THEN 'Давление' WHEN 2 THEN 'Иное' WHEN 3 THEN 'Отеки' END", None),
+]
+
+
+def structured_leads(spark, sf):
+    j = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.selectExpr(*[f"{e} AS `{a}`" for a, e, _ in STRUCTURED_COLUMNS])
+
+
 def _lead_set_sql():
-    plan = [("utm_campaign", "lead_utm_campaign", True), ("payment", "lead_Вид оплаты", True),
-            ("delivery", "lead_Служба доставки", True), ("referrer", "lead_utm_referrer", True),
-            ("assembly", "lead_Дата перехода в Сборку", False)]
-    vals = ", ".join(f"('{t}', '{c}', '{c if ok else ''}', '{'' if ok else c}', {str(ok).lower()})" for t, c, ok in plan)
+    from tabsieve.plans import structured as SX
+    raw = ("SELECT " + ", ".join(f'{d or e} AS "{a}"' for a, e, d in STRUCTURED_COLUMNS)
+           + " FROM orders JOIN customer ON o_custkey = c_custkey")
+    flag = lambda cond: f"CAST(coalesce({cond}, false) AS INT)"
+    days = lambda a, b: f"CASE WHEN {b} >= {a} THEN (epoch({b}) - epoch({a})) / 86400.0 END"
+    clean = lambda col, marks: f"CASE WHEN {col} IN ({', '.join(repr(m) for m in marks)}) THEN NULL ELSE {col} END"
+    top = lambda v, k, other: (
+        f"CASE WHEN {v} IN (SELECT v FROM (SELECT {v} AS v, count(*) AS n FROM t WHERE {v} IS NOT NULL GROUP BY 1 "
+        f"ORDER BY n DESC, v LIMIT {k})) THEN {v} ELSE '{other}' END")
+    contact, l2d = days("contact_created_dt", "contact_updated_dt"), days("lead_created_dt", "handed_to_delivery_dt")
+    s2d, asm = days("sale_date_dt", "handed_to_delivery_dt"), '"lead_Дата перехода в Сборку"'
+    wait = f"(epoch({asm}) - epoch(lead_created_dt)) / 86400.0 + 1"
+    main = ", ".join(f"'{p}'" for p in SX.PROBLEM_MAIN)
+    cols = {
+        "lead_id": "lead_id", "buyout_flag": "buyout_flag", "lead_created_dt": "lead_created_dt", "sale_date_dt": "sale_date_dt",
+        "width_cat": 'CASE WHEN "lead_Ширина" IS NULL THEN \'unknown\' WHEN "lead_Ширина" < 10 OR "lead_Ширина" > 50 THEN '
+                     '\'anomaly\' WHEN "lead_Ширина" < 25 THEN \'small\' WHEN "lead_Ширина" <= 35 THEN \'normal\' ELSE \'large\' END',
+        "lead_height_known": 'CAST("lead_Линейная высота (см)" IS NOT NULL AS INT)',
+        "lead_payment_type": 'CASE WHEN "lead_Вид оплаты" IS NULL THEN \'unknown\' WHEN "lead_Вид оплаты" = '
+                             '\'Наложенный платеж\' THEN \'cash_on_delivery\' ELSE \'online\' END',
+        "lead_delivery_type": 'CASE WHEN "lead_Служба доставки" IN (\'СДЭК до ПВЗ\', \'Самовывоз\') THEN \'pickup_point\' WHEN '
+                              '"lead_Служба доставки" IN (\'СДЭК до Двери\', \'Курьер ЕМС\') THEN \'door_delivery\' WHEN '
+                              '"lead_Служба доставки" = \'Почта\' THEN \'post\' ELSE \'unknown\' END',
+        "lead_group_quality": "round(avg(buyout_flag) OVER (PARTITION BY lead_group_id), 9)",
+        "lead_mass_known": 'CAST("lead_Масса (гр)" IS NOT NULL AS INT)',
+        "lead_mass_log": 'round(CASE WHEN "lead_Масса (гр)" >= 0 THEN ln(1 + "lead_Масса (гр)") ELSE 0 END, 9)',
+        "contact_update_delay_log": f"round(ln(1 + coalesce({contact}, (SELECT median({contact}) FROM t))), 9)",
+        "is_paid_traffic": flag("regexp_matches(lower(lead_utm_medium), 'cpc|cpm')"),
+        "lead_category_freq": "round(count(*) OVER (PARTITION BY cat) / (SELECT CAST(count(*) AS DOUBLE) FROM t), 9)",
+        "is_feature_phone": flag('"lead_Модель телефона" = \'Кнопочный\''),
+        "lead_to_delivery_days_log": f"round(coalesce(ln(1 + {l2d}), -1), 9)", "lead_to_delivery_days_missing": f"CAST(({l2d}) IS NULL AS INT)",
+        "sale_to_delivery_log": f"round(coalesce(ln(1 + {s2d}), -1), 9)", "sale_to_delivery_missing": f"CAST(({s2d}) IS NULL AS INT)",
+        "lead_utm_campaign_missing": "CAST(camp IS NULL AS INT)", "lead_utm_campaign_grouped": top("camp", 20, "unknown"),
+        "traffic_source_missing": "CAST(src IS NULL AS INT)", "traffic_source_grouped": top("src", 20, "other"),
+        "assembly_flag": f"CAST({asm} IS NOT NULL AS INT)", "lead_to_assembly_long": flag(f"{wait} > 30"),
+        "lead_to_assembly_days": f"CASE WHEN {asm} IS NULL THEN -1.0 ELSE round(least({wait}, 30.0), 9) END",
+        "utm_term_missing": "CAST(term IS NULL AS INT)", "utm_term_grouped": top("term", 40, "other"),
+        "utm_sky_missing": "CAST(sky IS NULL AS INT)", "utm_sky_autotarget": flag("sky = '---autotargeting'"),
+        "utm_sky_brand": flag("regexp_matches(lower(sky), 'artraid|артрейд')"),
+        "utm_sky_varicose": flag("regexp_matches(lower(sky), 'варикоз|вены|флеболог')"),
+        "utm_sky_sleep": flag("regexp_matches(lower(sky), 'сон|sleep')"),
+        "lead_group_missing": "CAST(lead_group IS NULL AS INT)",
+        "lead_group_grouped": "CASE WHEN lead_group IN ('yur', 'but') THEN lead_group ELSE 'other' END",
+        "problem_missing": 'CAST("lead_Проблема" IS NULL AS INT)',
+        "problem_grouped": f'CASE WHEN "lead_Проблема" IN ({main}) THEN "lead_Проблема" ELSE \'other\' END',
+    }
     return with_cte(
-        "SELECT p.*, s.rows, s.campaign_missing_share FROM (SELECT * FROM (VALUES " + vals + ") "
-        "t(transform, required, available, missing, runnable)) p, (SELECT count(*) AS rows, avg(CAST(coalesce("
-        "lead_utm_campaign IN ('{campaing_id}', 'Неизвестно'), true) AS DOUBLE)) AS campaign_missing_share FROM r) s",
-        r=_raw_leads_sql())
+        "SELECT " + ", ".join(f"{e} AS {a}" for a, e in cols.items()) + " FROM t", r=raw,
+        t="SELECT *, " + clean("lead_utm_campaign", ["{campaing_id}", "Неизвестно"]) + ' AS camp, "contact_Источник трафика" AS src, '
+          + clean("lead_utm_term", ["Неизвестно"]) + " AS term, " + clean("lead_utm_sky", ["{keyword}"]) + " AS sky, "
+          'CASE WHEN "lead_Категория и варианты выбора" = \'Нет категории\' THEN \'unknown\' ELSE '
+          'coalesce("lead_Категория и варианты выбора", \'unknown\') END AS cat FROM r')
 
 
 @query("lead_feature_set", _lead_set_sql())
 def _lead_set(spark, sf):
-    steps = {s.__name__: s for s in PL.lead_feature_steps()}
-    req = {"utm_campaign": ["lead_utm_campaign"], "payment": ["lead_Вид оплаты"], "delivery": ["lead_Служба доставки"],
-           "referrer": ["lead_utm_referrer"], "assembly": ["lead_Дата перехода в Сборку"]}
-    out, plan = PL.lead_feature_set(raw_leads(spark, sf), req, steps)
-    st = out.agg(F.count(F.lit(1)).alias("rows"), F.avg("lead_utm_campaign_missing").alias("share")).first()
-    return (plan.withColumn("rows", F.lit(st["rows"]).cast("bigint"))
-            .withColumn("campaign_missing_share", F.lit(st["share"]).cast("double")))
+    from tabsieve.plans import structured as SX
+    out, _ = SX.apply(structured_leads(spark, sf), SX.transforms())
+    rounded = ["lead_group_quality", "lead_mass_log", "contact_update_delay_log", "lead_category_freq",
+               "lead_to_delivery_days_log", "sale_to_delivery_log", "lead_to_assembly_days"]
+    return out.withColumns({c: F.round(c, 9) for c in rounded})
+
+
+@query("lead_feature_plan", "SELECT * FROM (VALUES ('payment_type', 'lead_Вид оплаты', 'lead_Вид оплаты', '', true), "
+       "('delivery_type', 'lead_Служба доставки', 'lead_Служба доставки', '', true), ('utm_campaign', 'lead_utm_campaign', "
+       "'lead_utm_campaign', '', true), ('lead_group', 'lead_group', 'lead_group', '', true), ('width', 'lead_Ширина', '', "
+       "'lead_Ширина', false)) t(transform, required, available, missing, runnable)")
+def _lead_plan(spark, sf):
+    from tabsieve.plans import structured as SX
+    plan = SX.plan(raw_leads(spark, sf), SX.transforms())
+    return plan.where(F.col("transform").isin("payment_type", "delivery_type", "utm_campaign", "lead_group", "width"))
 
 
 def _cleaning_sql(cols=None, steps=("empty", "dominant", "duplicate", "manual"), step_type="INT",
@@ -460,6 +556,15 @@ def _cleaning(spark, sf):
     return rep.steps_table(spark)
 
 
+@query("cleaned_table", with_cte(
+    "SELECT * EXCLUDE (mostly_empty, const_col, segment_copy, status), row_number() OVER (ORDER BY lead_id) - 1 AS row_id FROM l",
+    l=L))
+def _cleaned(spark, sf):
+    out, _ = PL.cleaning_pipeline(leads(spark, sf), "buyout_flag", manual={"status": "post-event status"},
+                                  order_cols=["lead_id"])
+    return out
+
+
 # ---------------------------------------------------------------- §2.12
 _SC = ("SELECT lead_id, segment, nation, priority, amount, acctbal, price, CASE WHEN lead_id % 17 = 0 THEN NULL ELSE "
        "buyout_flag END AS y, CASE WHEN lead_id % 13 = 0 THEN NULL ELSE score END AS p0 FROM l")

@@ -212,7 +212,7 @@ def _delay(spark, sf):
 
 @query("capped_delay", with_cte(
     "SELECT lead_id, CAST(dv IS NOT NULL AS INT) AS asm_flag, CAST(coalesce(d > 30, false) AS INT) AS asm_long, "
-    "round(coalesce(least(d, 30.0), -1.0), 6) AS asm_days FROM (SELECT lead_id, dv, "
+    "round(CASE WHEN d IS NULL THEN -1.0 ELSE least(d, 30.0) END, 6) AS asm_days FROM (SELECT lead_id, dv, "
     "(dv - sale_ts) / 86400.0 * 4 + 1 AS d FROM (SELECT lead_id, sale_ts, "
     "CASE WHEN lead_id % 8 = 0 THEN NULL ELSE delivered_ts END AS dv FROM l))", l=L))
 def _capped(spark, sf):

@@ -1,5 +1,4 @@
-"""Composed plans: the audit (cleaning) pipeline, the feature transform chain and
-the structured lead feature set.
+"""Composed plans: the audit (cleaning) pipeline and the feature transform chain.
 
 Each step sees the previous step's output. Findings are small tables; drops
 and new columns are lazy projections, so Catalyst collapses the whole chain
@@ -76,16 +75,11 @@ def cleaning_pipeline(df: DataFrame, target: str, manual: dict[str, str] | None
 
 
 # ------------------------------------------------------------ feature chain
-def transform_chain(df: DataFrame, steps: list, persist_input: bool = True) -> DataFrame:
+def transform_chain(df: DataFrame, steps: list) -> DataFrame:
     """Apply ``steps`` (DataFrame -> DataFrame) in order: ``df.transform(f1).transform(f2)...``.
 
-    Fitting steps (quartiles, top-k) scan the input before the final projection,
-    so the input is persisted (memory and disk) once instead of being recomputed
-    per scan; it also keeps the upstream join out of the chain's generated code.
+    The two fitting steps (height quartiles, top groups) scan only the column they need, pruned down to the source.
     """
-    if persist_input:
-        from pyspark import StorageLevel
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     for s in steps:
         df = df.transform(s)
     return df
@@ -133,10 +127,14 @@ def lead_feature_steps(time_col: str = "sale_ts", created_col: str = "lead_creat
     def delivery_cost(df):
         c = "lead_Стоимость доставки"
         if not has(df, c):
-            return df
+            if not has(df, "lead_shipping_cost"):
+                return df
+            v = F.col("lead_shipping_cost")
+            return df.withColumns({"delivery_cost_missing": v.isNull().cast("int"),
+                                   "lead_shipping_cost": F.coalesce(v, F.lit(-1.0))})
         v = T.parse_localised_number(F.col(f"`{c}`"))
-        return (df.withColumn("delivery_cost_missing", v.isNull().cast("int"))
-                .withColumn("lead_shipping_cost", F.coalesce(v, F.lit(-1.0))))
+        return df.withColumns({"delivery_cost_missing": v.isNull().cast("int"),
+                               "lead_shipping_cost": F.coalesce(v, F.lit(-1.0)), c: F.coalesce(v, F.lit(-1.0))})
 
     def utm_group(df):
         if not has(df, "lead_utm_group"):
@@ -161,9 +159,10 @@ def lead_feature_steps(time_col: str = "sale_ts", created_col: str = "lead_creat
                 .withColumn("lead_utm_id_3", R.utm_id("lead_utm_content", 3)))
 
     def creation_date(df):
-        if not has(df, created_col):
+        source = next((c for c in ("lead_Дата создания сделки", created_col) if has(df, c)), None)
+        if source is None:
             return df
-        dt = F.timestamp_seconds(F.col(created_col).cast("double")).cast("timestamp_ntz")
+        dt = D.to_timestamp_by_unit(F.col(f"`{source}`"), "s")
         s, _ = D.cyclic_day(dt)
         return (df.withColumn("lead_creation_date_month", F.coalesce(F.month(dt), F.lit(-1)))
                 .withColumn("lead_creation_date_quarter", F.coalesce(F.quarter(dt), F.lit(-1)))
@@ -178,31 +177,14 @@ def lead_feature_steps(time_col: str = "sale_ts", created_col: str = "lead_creat
                 .withColumn("lead_created_ts", dt)
                 .withColumn("lead_created_dayofweek", F.coalesce(F.weekday(dt), F.lit(-1))))
 
+    def length(df):
+        c = "lead_Длина"
+        return df.withColumn("lead_length", F.coalesce(F.col(c), F.lit(-1))) if has(df, c) else df
+
     def sale_time(df):
         if not has(df, time_col):
             return df
         return df.withColumn(time_col, F.timestamp_seconds(F.col(time_col).cast("double")).cast("timestamp_ntz"))
 
-    return [utm_campaign, height, weight, payment, delivery, group, delivery_cost, utm_group, referrer, tags,
-            utm_content, creation_date, created_features, sale_time]
-
-
-def lead_feature_set(df: DataFrame, required: dict[str, list[str]], steps: dict, analyse_only: bool = False):
-    """Named transforms with required columns; analyse mode lists required / available / missing
-    per transform (the plan) without running anything; run mode applies the runnable ones and
-    reports per-transform stats computed in one aggregate."""
-    plan = []
-    for name, cols in required.items():
-        missing = [c for c in cols if c not in df.columns]
-        plan.append((name, ",".join(cols), ",".join(c for c in cols if c in df.columns), ",".join(missing),
-                     not missing))
-    spark = df.sparkSession
-    plan_df = spark.createDataFrame(plan, "transform string, required string, available string, missing string, "
-                                          "runnable boolean")
-    if analyse_only:
-        return df, plan_df
-    out = df
-    for name, _, _, _, ok in plan:
-        if ok:
-            out = out.transform(steps[name])
-    return out, plan_df
+    return [height, payment, delivery, group, delivery_cost, utm_group, referrer, tags, creation_date, created_features,
+            length, utm_campaign, weight, utm_content, sale_time]
