@@ -15,9 +15,11 @@ put in suffix order by external induced sorting (``induced``). Neighbours in
 that order with a common prefix of ``length`` bytes are the same window; all
 but the first place are covered.
 
-Anchors that hold very many distinct segments (found exactly, by counting) are
-dealt window by window instead: a window goes to the shard of its own hash, so
-no shard depends on a single anchor. Segments travel packed, one row per task
+A first pass counts distinct segments per anchor. Crowded anchors (a common
+phrase in ever new surroundings) are dealt window by window: each window is a
+segment of its own under the hash of all its bytes, so no bucket depends on a
+single anchor; all tasks know the same list, so equal windows still meet.
+Segments travel packed, one row per task
 and bucket; covered places are united per document and cut out of its bytes.
 """
 
@@ -42,8 +44,11 @@ ANCHOR = 24
 BUCKET_BYTES = 12 << 20
 SHARD_BYTES = 3 << 20
 FLUSH_SEGMENTS = 200_000
-#: An anchor with more distinct segments than this in a bucket is dealt window by window.
+#: An anchor with more distinct segments than this, and than one in ``ANCHOR_SHARE`` bytes of text, is crowded; so at
+#: most some 100,000 anchors are. Only anchors with ``LOCAL`` distinct segments in a task's batch are counted.
 CROWDED = 20_000
+ANCHOR_SHARE = 3_500_000
+LOCAL = 4
 
 #: A segment: anchor hash, content hash, document (id and tie-break), first window, number of windows.
 SEGMENT = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("n", "<u2")])
@@ -148,40 +153,67 @@ def _spans(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(buckets: int, doc_buckets: int, length: int, anchor: int):
+def _segments(batches, length: int, anchor: int, crowded: np.ndarray):
+    """Segments of all texts, about ``FLUSH_SEGMENTS`` at a time; those of crowded anchors as single windows."""
+    held, size = [], 0
+    for batch in batches:
+        docs = batch.column(0).to_pylist()
+        ties = batch.column(1).to_pylist()
+        data, offsets = buffer_of(batch.column(2))
+        for i in range(len(docs)):
+            own = data[offsets[i]:offsets[i + 1]]
+            h, c, start, n = text_segments(own, length, anchor)
+            if not len(h):
+                continue
+            rows = np.empty(len(h), SEGMENT)
+            rows["h"], rows["c"], rows["start"], rows["n"] = h, c, start, n
+            rows["doc"], rows["tie"] = NO_ID if docs[i] is None else docs[i], ties[i]
+            if len(crowded):
+                at = np.minimum(np.searchsorted(crowded, rows["h"]), len(crowded) - 1)
+                many = crowded[at] == rows["h"]
+                if many.any():
+                    rows = np.concatenate([rows[~many], _single_windows(own, rows[many], length)])
+            held.append(rows)
+            size += len(rows)
+            if size >= FLUSH_SEGMENTS:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _crowds(length: int, anchor: int):
+    least = LOCAL
+
     def run(batches):
-        held, size = [], 0
+        for rows in _segments(batches, length, anchor, np.zeros(0, np.uint64)):
+            h, n = np.unique(_first_places(rows)[0]["h"], return_counts=True)
+            some = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some])], ["h", "n"])
+    return run
+
+
+def crowded_anchors(source: DataFrame, total: int, length: int, anchor: int) -> np.ndarray:
+    """Hashes of the crowded anchors, sorted; their number is bounded by the threshold's share of the text."""
+    counts = source.mapInArrow(_crowds(length, anchor), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") > max(CROWDED, total // ANCHOR_SHARE)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
-        def flush():
-            first, later = _first_places(np.concatenate(held))
+
+def _scan(buckets: int, doc_buckets: int, length: int, anchor: int, held):
+    def run(batches):
+        for rows in _segments(batches, length, anchor, held.value):
+            first, later = _first_places(rows)
             yield _pack(SEGMENTS, (first["h"] % np.uint64(buckets)).astype(np.int64), first)
             spans = _merge(_spans(later))
             if len(spans):
                 yield _pack(SPANS, _doc_buckets(spans, doc_buckets), spans)
-        for batch in batches:
-            docs = batch.column(0).to_pylist()
-            ties = batch.column(1).to_pylist()
-            data, offsets = buffer_of(batch.column(2))
-            for i in range(len(docs)):
-                h, c, start, n = text_segments(data[offsets[i]:offsets[i + 1]], length, anchor)
-                if not len(h):
-                    continue
-                rows = np.empty(len(h), SEGMENT)
-                rows["h"], rows["c"], rows["start"], rows["n"] = h, c, start, n
-                rows["doc"], rows["tie"] = NO_ID if docs[i] is None else docs[i], ties[i]
-                held.append(rows)
-                size += len(rows)
-                if size >= FLUSH_SEGMENTS:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
     return run
 
 
 # ------------------------------------------------------------------ one anchor bucket
 def _bucket(doc_buckets: int, length: int):
-    """First places per distinct segment; later places are covered, and crowds of distinct segments are wanted."""
+    """First places per distinct segment; later places are covered, segments that share an anchor are wanted."""
     def run(key, group):
         first, later = _first_places(_unpack(group["blob"], SEGMENT))
         out = []
@@ -192,8 +224,7 @@ def _bucket(doc_buckets: int, length: int):
         kinds = np.repeat(count[1], count[1])  # ``first`` is sorted by anchor
         wanted = first[kinds > 1]
         if len(wanted):
-            # the content hash has served; from here on it says whether the anchor is crowded
-            wanted["c"] = kinds[kinds > 1] > CROWDED
+            wanted["c"] = 0  # the content hash has served; zeros compress away
             out.append(_pack(WANTED, _doc_buckets(wanted, doc_buckets), wanted, length - 1))
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
         return pa.Table.from_batches(out, schema)
@@ -231,9 +262,6 @@ def _cut(shards: int, length: int):
             for i in range(batch.num_rows):
                 rows = np.frombuffer(blobs[i].as_buffer(), SEGMENT)
                 own = data[offsets[i]:offsets[i + 1]]
-                crowded = rows["c"] > 0
-                if crowded.any():
-                    rows = np.concatenate([rows[~crowded], _single_windows(own, rows[crowded], length)])
                 shard = (rows["h"] % np.uint64(1 << 61) >> np.uint64(20)) % np.uint64(shards)
                 for s in np.unique(shard).tolist():
                     mine = rows[shard == s]
@@ -254,7 +282,7 @@ def _single_windows(data: np.ndarray, rows: np.ndarray, length: int) -> np.ndarr
     total = prefix_hashes(data)
     start = np.concatenate([np.arange(a, a + n) for a, n in zip(rows["start"].tolist(), rows["n"].tolist())])
     out = np.empty(len(start), SEGMENT)
-    out["h"], out["c"] = cut_hashes(total, start, start + length), 0
+    out["h"] = out["c"] = cut_hashes(total, start, start + length)
     out["doc"], out["tie"], out["start"], out["n"] = rows["doc"][0], rows["tie"][0], start, 1
     return out
 
@@ -335,7 +363,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     source = docs.select(F.col(key).cast("long").alias("span_doc"), tie.alias("span_tie"), F.col(text).alias("span_text"))
     total = source.agg(F.sum(text_bytes(F.col("span_text")))).first()[0] or 0
     buckets = partitions_for(total, BUCKET_BYTES, 4)
-    packed = source.mapInArrow(_scan(buckets, buckets, length, anchor), PACKED)
+    crowded = source.sparkSession.sparkContext.broadcast(crowded_anchors(source, total, length, anchor))
+    packed = source.mapInArrow(_scan(buckets, buckets, length, anchor, crowded), PACKED)
     is_spans = F.col("kind") == SPANS
     # a group of spans is only passed on by its bucket; united below
     grouped = packed.groupBy("kind", "bucket").applyInArrow(_either(buckets, length), PACKED)

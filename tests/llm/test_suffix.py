@@ -73,9 +73,15 @@ def small(rng):
     return docs
 
 
-@pytest.mark.parametrize("crowded", [20_000, 2])
+@pytest.mark.parametrize("crowded", [20_000, 2, 0])
 def test_small_texts_and_crowded_anchors(spark, make_docs, monkeypatch, crowded):
     monkeypatch.setattr(suffix, "CROWDED", crowded)
+    known = suffix.crowded_anchors
+
+    def local(*args):  # the tests' tasks run in other processes, so the count is taken here
+        monkeypatch.setattr(suffix, "LOCAL", 1)
+        return known(*args)
+    monkeypatch.setattr(suffix, "crowded_anchors", local)
     docs = small(random.Random(8))
     want = sorted(((d, *x) for (d, _), x in zip(docs, brute(docs))), key=str)
     assert rows(suffix.removal_digests(make_docs(docs[::-1], spans="x", n_spans=1))) == want
