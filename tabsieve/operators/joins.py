@@ -13,14 +13,22 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsieve.operators.profile import c_
+
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 << 20
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only when the side has at most ``max_rows`` rows."""
+                      known_rows: int | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only when the side has at most ``max_rows`` rows and ``max_bytes`` bytes (as text, counted in
+    one small aggregate); else the planner joins by shuffle."""
     n = known_rows if known_rows is not None else small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    if n > max_rows:
+        return small
+    row = F.to_json(F.struct(*[c_(c) for c in small.columns]))
+    size = small.agg(F.sum(F.octet_length(row).cast("long"))).first()[0] or 0
+    return F.broadcast(small) if size <= max_bytes else small
 
 
 def materialize(df: DataFrame) -> tuple[DataFrame, int]:
@@ -116,7 +124,7 @@ def map_city_to_region(df: DataFrame, city_col: str, regions: DataFrame, region_
     cit, nc = materialize(cities.groupBy(F.col(city_name_col).alias("_c")).agg(
         F.min(F.col(city_region_col)).alias("_cr")).select("_c", "_cr", norm(F.col("_c")).alias("_cn")))
     reg_b, cit_b = checked_broadcast(reg, known_rows=nr), checked_broadcast(cit, known_rows=nc)
-    lengths = sorted({r[0] for r in reg.select(F.length("_rn")).union(cit.select(F.length("_cn"))).collect()
+    lengths = sorted({r[0] for r in reg.select(F.length("_rn")).union(cit.select(F.length("_cn"))).distinct().collect()
                       if r[0]})  # distinct name lengths: bounded by the longest name
     v = values.withColumn("_vn", norm(F.col("_v")))
     exact_r = v.join(reg_b, v["_v"] == reg_b["_r"], "inner").select("_v", F.col("_r").alias("_m1"))

@@ -278,6 +278,8 @@ def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols,
         c2 = [x for x in cat_cols if x != c]
         ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}).transform(valid), label, positive)
         rows.append((c, ap, ap - base))
+    train.unpersist()
+    valid.unpersist()
     return train.sparkSession.createDataFrame(rows, "feature string, ap double, delta double")
 
 
@@ -298,6 +300,8 @@ def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[st
         rows.append((n, ap, ap > base))
         if ap > base:
             break
+    train.unpersist()
+    valid.unpersist()
     return train.sparkSession.createDataFrame(rows, "dropped int, ap double, improved boolean")
 
 

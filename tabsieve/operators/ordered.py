@@ -141,10 +141,11 @@ def customer_history(df: DataFrame, contact: str, time: str, order_id: str, amou
 
 def rank_scores(df: DataFrame, feature: str, score: str, top_k: int, prefix: str) -> DataFrame:
     """Rank a (feature, score) list: best score first, one row per feature, top k,
-    score (k - rank + 1) / k, vote 1. Input is one row per feature (bounded)."""
+    score (k - rank + 1) / k, vote 1. Only the ``top_k`` best rows reach the ranking window."""
     w1 = Window.partitionBy(c_(feature)).orderBy(F.desc(score), F.asc(feature))
     best = df.withColumn("_r1", F.row_number().over(w1)).where("_r1 = 1")
-    w2 = Window.orderBy(F.desc(score), F.asc(feature))  # feature lists are small
+    best = best.orderBy(F.desc(score), F.asc(feature)).limit(top_k)
+    w2 = Window.orderBy(F.desc(score), F.asc(feature))  # at most top_k rows
     ranked = best.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= top_k)
     return ranked.select(c_(feature).alias("feature"),
                          F.col("_rank").cast("bigint").alias(f"rank_{prefix}"),

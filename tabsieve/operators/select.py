@@ -43,6 +43,9 @@ def weighted_voting(rankings: dict[str, tuple[DataFrame, str, str]], weights: di
             .orderBy(F.desc("votes"), F.desc("final_score"), F.asc("feature")).limit(final_top_n))
 
 
+MAX_LIST = 100_000  # names per ranked list; the greedy pass runs on the driver
+
+
 def weighted_rank_conflict(rankings: dict[str, DataFrame], weights: dict[str, float], n_final: int,
                            fill_order=("cb", "lr", "rf"), seed: int = 42, shuffle: bool = True) -> DataFrame:
     """Rank-position conflict resolution between ranked lists.
@@ -59,7 +62,10 @@ def weighted_rank_conflict(rankings: dict[str, DataFrame], weights: dict[str, fl
     lists = {}
     for n, df in rankings.items():
         order = [F.xxhash64(F.lit(seed), F.col("feature")), F.col("feature")] if shuffle else ["rank", "feature"]
-        lists[n] = [r["feature"] for r in df.orderBy(*order).collect()]  # k names
+        names_n = [r["feature"] for r in df.orderBy(*order).limit(MAX_LIST + 1).collect()]
+        if len(names_n) > MAX_LIST:
+            raise ValueError(f"list {n} has more than {MAX_LIST} names: pass top-k lists")
+        lists[n] = names_n
     names = list(lists)
     by_weight = sorted(names, key=lambda n: -weights.get(n, 0.0))  # stable: equal weights keep list order
     chosen: list[tuple[str, str, float, int]] = []
