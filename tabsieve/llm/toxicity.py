@@ -163,7 +163,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     share = min(1.0, fit_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     chosen = chosen.select(F.col("doc_id").alias("label_id"), "label")
-    joined = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"])  # fit_rows rows of 12 bytes
+    texts = docs.select("doc_id", "text")
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # fit_rows rows of 12 bytes
     return settle(joined.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("label") > 0).cast("int").alias("toxic")))
 
 

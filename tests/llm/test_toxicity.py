@@ -60,7 +60,7 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark, make_docs):
     texts = [(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "idiot"), (5, "word " * 30000)]
-    docs = make_docs(texts, score="x", predicted=3)
+    docs = make_docs(texts, score="x", predicted=3, label=1, label_id=2, toxic=0)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = {(r.doc_id, r.score, r.predicted) for r in tox.toxicity(docs, empty).collect()}
     assert {i for i, s, p in rows if p} == {3, None} and len({s for i, s, _ in rows if i in (1, 2, 5)}) == 1
