@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 from tabsieve.llm.common import buffer_of, cut_hashes, doc_chunks, fresh, prefix_hashes, span_hashes, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 NEVER = np.int64(1 << 40)
 SIEVE = 1 << 18
 LONG_WORD = 64

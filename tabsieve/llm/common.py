@@ -6,6 +6,8 @@ hashed over the whole batch buffer with numpy, never word by word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -173,6 +175,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return cut_hashes(prefix_hashes(data), starts, ends)
 
 
+def release() -> None:
+    """Give memory that finished arrays leave behind back to the system, so idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ------------------------------------------------------------------- settled tables
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts lineage, survives lost executors,

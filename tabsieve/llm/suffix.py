@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.llm import induced
-from tabsieve.llm.common import (buffer_of, cut_hashes, fresh, partitions_for, prefix_hashes, settle,
-                                 table, text_bytes)
+from tabsieve.llm.common import (buffer_of, cut_hashes, fresh, partitions_for, prefix_hashes, release, settle, table,
+                                 text_bytes)
 from tabsieve.llm.winnow import _slide
 
 LENGTH = 100
@@ -226,6 +226,7 @@ def _bucket(doc_buckets: int, length: int):
         if len(wanted):
             wanted["c"] = 0  # the content hash has served; zeros compress away
             out.append(_pack(WANTED, _doc_buckets(wanted, doc_buckets), wanted, length - 1))
+        release()
         schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("size", pa.int64()), ("blob", pa.binary())])
         return pa.Table.from_batches(out, schema)
     return run
@@ -345,6 +346,8 @@ def _shard(doc_buckets: int, length: int):
             rows.append(np.frombuffer(raw, SEGMENT, n, 8))
             texts.append(raw[8 + n * SEGMENT.itemsize:])
         spans = covered_windows(np.concatenate(rows), b"".join(texts), length)
+        del rows, texts
+        release()
         batch = _pack(SPANS, _doc_buckets(spans, doc_buckets), spans)
         return pa.Table.from_batches([batch])
     return run

@@ -42,7 +42,7 @@ STEMS = (4, 5, 6)
 LEAST_CONTEXTS = 3
 LEAST_SHARE = 0.003
 LEAST_ODDS = {"word": 3.0, "stem": 3.5}
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
 
 OTHER, END, TARGET, NEGATION, REPORT, THREAT, INSULT = range(7)
