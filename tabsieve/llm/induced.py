@@ -146,13 +146,13 @@ def order_stars(text: np.ndarray, s_type: np.ndarray, star: np.ndarray, depth: i
     rank[sep] = np.arange(int(sep.sum()))
     rank[~sep] = int(sep.sum())
     end = np.append(star[1:], len(text) - 1)
-    coded = text.astype(np.int64) * 2 + s_type
+    coded = text * np.int16(2) + s_type  # at most 513
     tied, offset = np.flatnonzero(~sep), 0
     while len(tied) and offset <= depth:  # name the star substrings, six symbols at a time
         key = np.zeros(len(tied), np.int64)
         for j in range(offset, offset + 6):
             at = star[tied] + j
-            key = key * 1024 + np.where(at <= end[tied], coded[np.minimum(at, len(text) - 1)] + 1, 0)
+            key = key * 1024 + np.where(at <= end[tied], coded[np.minimum(at, len(text) - 1)].astype(np.int64) + 1, 0)
         tied = refine(rank, tied, key)
         offset += 6
         tied = tied[star[tied] + offset <= end[tied]]
@@ -225,7 +225,8 @@ def suffixes(text: np.ndarray, depth: int, memory: int = MEMORY):
     seps = np.flatnonzero(is_star)
     is_star[1:] |= s_type[1:] & ~s_type[:-1]
     star = np.flatnonzero(is_star)
-    to_sep = np.repeat(seps, np.diff(seps, prepend=-1)) - np.arange(n)
+    small = np.int32 if n < 1 << 31 else np.int64
+    to_sep = np.repeat(seps.astype(small), np.diff(seps, prepend=-1)) - np.arange(n, dtype=small)
     star = star[order_stars(text, s_type, star, depth + 1)]
     star_lcp = np.zeros(len(star), np.uint8)
     star_lcp[1:] = common_prefix(text, to_sep, star[:-1], star[1:], depth)
