@@ -28,7 +28,6 @@ from tabsieve.llm.common import settle, table, text_bytes
 from tabsieve.session import checkpoint_dir
 
 LEAST_BYTES = 100
-FILE_BYTES = 24 << 20
 CLOSE = "\r\n\r\n"
 CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -85,11 +84,10 @@ def records(pages: DataFrame, repeated: DataFrame, key: str = "page_id", url: st
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Deduplicated archives of all pages under ``path``, in files of about ``FILE_BYTES`` of payload."""
+    """Deduplicated archives of all pages under ``path``, a file per partition of the join that marks revisits (or of
+    the scan, where the planner broadcasts the revisits), so payloads are shuffled once at most."""
     heads = settle(headers(pages, key, payload))
-    total = heads.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(1, -(-total // FILE_BYTES))
-    rows = records(pages, revisits(heads, key), key, url, payload).repartition(int(parts))
+    rows = records(pages, revisits(heads, key), key, url, payload)
     rows.write.text(path, compression="gzip", lineSep=CLOSE)
 
 
