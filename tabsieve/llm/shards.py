@@ -2,11 +2,19 @@
 
 Rows with equal texts form one indivisible group. A partial partition is k
 sums; differencing takes the two with the largest spread and adds them in
-opposite order until one is left. Tasks difference ``FAN_IN`` partial
-partitions at a time into one, and the results are differenced again, so a
-level shrinks the problem by that factor and no task or driver ever holds all
-groups. Every level keeps how its members' bins map to the parent's bins; the
-maps are composed from the top down to give each group its shard.
+opposite order until one is left. Up to ``FAN_IN`` groups are differenced as
+they are. More are first packed: tasks put about ``FAN_IN`` hashed groups at a
+time into bundles, which stay in one shard, and pack the bundles again while
+that still shrinks them. A bundle never exceeds a fixed share of a shard; a
+group above that share is a bundle of its own, so all large groups and all
+bundles meet in the last differencing, and bundles make room for large groups.
+
+Bundles of one size would leave shards a bundle apart. Groups are therefore
+dealt by hash to rungs: each has an eighth of the bytes of the rung before, in
+bundles an eighth as large, and the last has about as many bundles as groups,
+so each rung levels what the one before left. The number of bundles is bounded
+by rungs times shards, whatever the number of groups. The bundle that each
+member went to is kept and followed from the top down to give a group its shard.
 
 Only (id, digest, size, checksum) is shuffled, never text. A text that a third
 of all rows share is one row after map-side aggregation; its rows meet the
@@ -25,6 +33,8 @@ from tabsieve.llm.common import forget, settle, table, text_bytes
 
 SHARDS = 8
 FAN_IN = 4096
+BUNDLES = 32  # full bundles a shard in the first rung
+FINER = 8  # ratio of bytes and of bundle size between rungs
 SLOT_ROWS = 20_000
 
 
@@ -70,40 +80,64 @@ def difference(items: list[tuple]) -> tuple[list[int], list[list[int]]]:
     return heap[0][3], maps
 
 
-def _difference_group(group: pa.Table) -> pa.Table:
-    rows = sorted(zip(group["id"].to_pylist(), group["sums"].to_pylist()))
-    sums, maps = difference(rows)
-    n = len(rows)
-    return pa.table({"id": pa.array([r[0] for r in rows], pa.string()),
-                     "parent": group["parent"].slice(0, 1).combine_chunks().take(pa.array([0] * n)),
-                     "bins": pa.array(maps, pa.list_(pa.int32())),
-                     "sums": pa.array([sums if i == 0 else None for i in range(n)], pa.list_(pa.int64()))})
+def _difference_group(shards: int):
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["id"].to_pylist(), group["size"].to_pylist()))
+        _, maps = difference([(i, [size] + [0] * (shards - 1)) for i, size in rows])
+        return pa.table({"id": pa.array([i for i, _ in rows], pa.string()),
+                         "shard": pa.array([m[0] for m in maps], pa.int32())})
+    return run
+
+
+def _pack(limits: list[int], name: str):
+    """Bundles of at most ``limits[rung]`` bytes from one part; a larger member is a bundle of its own."""
+    def run(group: pa.Table) -> pa.Table:
+        part = group["part"][0].as_py()
+        rows = sorted(zip(group["rung"].to_pylist(), [-s for s in group["size"].to_pylist()], group["id"].to_pylist()))
+        place, sums, last = [], [], None
+        for rung, less, _ in rows:
+            if rung != last or sums[-1] - less > limits[rung]:
+                sums.append(0)
+                last = rung
+            sums[-1] -= less
+            place.append(len(sums) - 1)
+        # a bundle's size stands at its first member only
+        sizes = [sums[p] if n == 0 or place[n - 1] != p else None for n, p in enumerate(place)]
+        return pa.table({"id": pa.array([i for _, _, i in rows], pa.string()),
+                         "parent": pa.array([f"{name}:{part}:{p}" for p in place], pa.string()),
+                         "rung": pa.array([r for r, _, _ in rows], pa.int32()),
+                         "size": pa.array(sizes, pa.int64())})
+    return run
 
 
 def assign_groups(groups: DataFrame, shards: int = SHARDS, fan_in: int = FAN_IN) -> DataFrame:
     """(id, shard) for groups (id string, size long) with distinct ids; sums of the shards nearly equal."""
-    empty = F.array_repeat(F.lit(0).cast("long"), shards - 1)
-    level = settle(groups.select("id", F.concat(F.array("size"), empty).alias("sums")))
-    left, maps = level.count(), []
-    while True:
-        parents = -(-left // fan_in)
-        named = level.withColumn("parent", F.format_string("%d:%d", F.lit(len(maps)), F.pmod(
-            F.xxhash64("id"), F.lit(max(1, parents)))))
-        done = settle(named.groupBy("parent").applyInArrow(
-            _difference_group, "id string, parent string, bins array<int>, sums array<long>"))
-        maps.append(done)
+    level = settle(groups.select("id", "size"))
+    left, total = level.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    top = 0
+    while left > shards * BUNDLES * FINER ** top:
+        top += 1
+    limits = [total // (shards * BUNDLES * FINER ** r) for r in range(top + 1)]
+    dealt = F.xxhash64("id", F.lit("rung"))
+    rung = sum((F.when(F.pmod(dealt, F.lit(FINER ** r)) == 0, 1).otherwise(0) for r in range(1, top + 1)), F.lit(0))
+    rows, packed = level.withColumn("rung", rung.cast("int")), []
+    while left > fan_in:
+        parted = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(-(-left // fan_in))))
+        done = settle(parted.groupBy("part").applyInArrow(
+            _pack(limits, str(len(packed))), "id string, parent string, rung int, size long"))
+        packed.append(done)
         forget(level)
-        level = settle(done.where("sums is not null").select(F.col("parent").alias("id"), "sums"))
-        if left == 0 or parents <= 1:
-            forget(level)
+        rows = level = settle(done.where("size is not null").select(F.col("parent").alias("id"), "rung", "size"))
+        before, left = left, level.count()
+        if 2 * left > before:  # bundles are full
             break
-        left = level.count()
-    shard = maps[-1].select("id", F.col("bins").alias("final"))
-    for below in reversed(maps[:-1]):
-        up = shard.select(F.col("id").alias("parent"), "final")
-        shard = below.join(up, "parent").select("id", F.transform(
-            "bins", lambda b: F.element_at("final", b + 1)).alias("final"))
-    return shard.select("id", F.element_at("final", 1).alias("shard"))
+    whole = level.withColumn("part", F.lit(0)).groupBy("part")
+    shard = settle(whole.applyInArrow(_difference_group(shards), "id string, shard int"))
+    forget(level)
+    for below in reversed(packed):
+        up = shard.withColumnRenamed("id", "parent")
+        shard = below.join(up, "parent").select("id", "shard")
+    return shard
 
 
 def with_slots(rows: DataFrame, order: list[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
@@ -133,7 +167,7 @@ def byte_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards
     rows = settle(docs.select(F.col(key).alias("key"), digest(F.col(text)).alias("id"),
                               (text_bytes(body) + 1).alias("size"), F.crc32(body).alias("text_crc32")))
     groups = rows.groupBy("id").agg(F.sum("size").alias("size"))
-    placed = settle(rows.join(assign_groups(groups, shards), "id").withColumn("shard", F.col("shard").cast("int")))
+    placed = settle(rows.join(assign_groups(groups, shards), "id"))
     out = with_slots(placed, ["key", "id"])
     return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                       F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

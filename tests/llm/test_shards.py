@@ -67,6 +67,22 @@ def test_many_levels(spark):
     assert got.keys() == sizes.keys() and max(bins) - min(bins) < 0.01 * sum(bins)
 
 
+def test_large_groups_among_many(spark):
+    """Small groups make room for a group of 10 % of the bytes, however many parts they are packed in."""
+    prepare(spark)
+    rng = random.Random(5)
+    small = {f"g{i}": rng.randint(1, 5000) for i in range(9000)}
+    rest = sum(small.values())
+    for shares in ([0.1], [0.1, 0.1, 0.05, 0.02], [0.4]):
+        sizes = small | {f"large{i}": round(x / (1 - sum(shares)) * rest) for i, x in enumerate(shares)}
+        groups = spark.createDataFrame(list(sizes.items()), "id string, size long")
+        got = {r.id: r.shard for r in shards.assign_groups(groups, 8, fan_in=256).collect()}
+        bins = sorted(sum(v for g, v in sizes.items() if got[g] == s) for s in range(8))
+        if shares == [0.4]:  # more than a shard: alone, and the other seven are level
+            assert bins.pop() == sizes["large0"]
+        assert got.keys() == sizes.keys() and bins[-1] - bins[0] <= 0.001 * sum(bins)
+
+
 def test_edges(spark, make_docs, tmp_path):
     rows = [(None, None), (1, ""), (2, "same"), (2, "same"), (3, "same"), (4, "Ü" * 50000), *((i, f"t{i}") for i in range(5, 60))]
     docs = make_docs(rows, shard="x", size=1)
