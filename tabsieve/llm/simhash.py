@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.llm.common import forget, settle, table
+from tabsieve.llm.common import forget, fresh, settle, table
 from tabsieve.llm.components import components
 
 WORDS = 3
@@ -207,6 +207,12 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
     return out.distinct()
 
 
+def labelled(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, label): label is the smallest fingerprint reachable over links, the own one without any."""
+    joined = components(links(fps, distance)).withColumnRenamed("node", "fp")
+    return settle(joined.union(fps.join(joined, "fp", "left_anti").select("fp", F.col("fp").alias("label"))))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                     distance: int = DISTANCE) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links, the row's own included.
@@ -229,13 +235,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; repeated rows of it are dropped too.
+    """One row of each component: the one with the smallest doc_id, null ids last, then the smallest digest.
 
-    Documents without an id are taken as copies of one document without an id.
+    The digest covers all columns, so rows that share it are equal and any one of them stands for the others. Rows
+    without an id and rows that share one are told apart by it; they are copies only where their texts are.
     """
-    own = near_duplicates(docs)
-    kept = settle(own.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id")
-                  .agg(F.count(F.lit(1)).alias("n")))
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
+    own = fresh(docs, "digest")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    body = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    marked = docs.withColumn(own, F.sha2(F.concat(body, F.col("text").isNull().cast("string"), rest), 256))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", own)
+    marks = settle(fingerprints(marked.withColumn("doc_id", rank), "doc_id").select("doc_id.*", "fp"))
+    rows = marks.groupBy("fp", "last", "doc_id", own).agg(F.count(F.lit(1)).alias("n"))
+    # the least row of each fingerprint first, so a fingerprint of a third of all rows is one row in the join
+    least = settle(rows.groupBy("fp").agg(F.min(F.struct("last", "doc_id", own, "n")).alias("least")))
+    kept = settle(least.join(labelled(least.select("fp")), "fp").groupBy("label")
+                  .agg(F.min("least").alias("least")).select(F.col(f"least.{own}").alias(own), "least.n"))
+    out = marked.join(kept.select(own), own, "left_semi").select(*marked.columns)
+    out = out.dropDuplicates([own]) if kept.where("n > 1").limit(1).count() else out
+    return out.drop(own)

@@ -59,6 +59,20 @@ def test_edges(spark, make_docs):
     assert sorted(str(r.component_id) for r in nulls) == ["3", "3", "3", "None"]
 
 
+def test_one_row_of_each_component_is_kept(spark, make_docs):
+    """Rows without an id and rows that share one are lost only to copies of their texts."""
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randint(0, 10 ** 9)}" for _ in range(40)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a), (None, c), (1, c), (2, d), (2, e), (2, d), (3, e), (4, f), (4, f), (5, None),
+            (5, "")]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    assert min((x ^ y).bit_count() for x in fps for y in fps if x != y) > 2
+    kept = simhash.keep_first(make_docs(rows, digest="x", fp="y", n=1, last=False, label=0)).collect()
+    assert [r.text or "" for r in kept if r.doc_id == 5] == [""]
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.doc_id != 5) == sorted(
+        [("None", a), ("None", b), ("1", c), ("2", d), ("2", e), ("4", f)])
+
+
 def test_links_of_dense_and_biased_bits(spark):
     """Buckets far over the limit are split and lose no pair."""
     prepare(spark)
