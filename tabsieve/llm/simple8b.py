@@ -9,10 +9,10 @@ words of one selector unpack in one numpy operation.
 
 A file is a sequence of frames, each followed by a line feed. A frame holds
 whole documents: header, document ids, their token counts, block offsets,
-exceptions, words and a checksum. Documents are range-partitioned by doc_id
-(one shuffle of the texts), sorted, encoded and written by Spark's own writer,
-whose commit protocol drops files of lost or repeated tasks; part numbers
-ascend with doc_id.
+exceptions, words and a checksum. Documents are range-partitioned by doc_id and
+a hash of the text (one shuffle of the texts), sorted, encoded and written by
+Spark's own writer, whose commit protocol drops files of lost or repeated tasks;
+part numbers ascend with doc_id.
 """
 
 from __future__ import annotations
@@ -255,9 +255,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id
                  end_id: int = END_ID) -> None:
     """Token files of all documents in ascending key order under ``path`` (any store that Spark writes).
 
-    A null text is the empty text: only the end id. Null keys come first; equal keys are ordered by text.
+    A null text is the empty text: only the end id. Null keys come first; equal keys are ordered by the text's hash,
+    so the rows of one key spread over files unless their texts are equal too.
     """
-    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
+    mark = F.xxhash64(F.col(text))
+    ordered = docs.select(key, text).repartitionByRange(F.col(key), mark).sortWithinPartitions(F.col(key), mark, text)
     rows = ordered.mapInArrow(_encode(vocabulary, key, text, end_id), "frame binary")
     rows.select(F.col("frame").cast("string").alias("value")).write.text(path, lineSep="\n")
 

@@ -51,6 +51,24 @@ def test_edges(spark, make_docs, tmp_path):
     assert [(d, s, n, c) for s, d, n, c in got] == expect(rows)
 
 
+def test_rows_of_one_key_spread_over_files(spark, make_docs, tmp_path):
+    rows = [(None, f"text {i} of no id") for i in range(300)] + [(7, f"text {i} of seven") for i in range(300)]
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        simple8b.write_tokens(make_docs(rows), str(tmp_path / "h"), simple8b.vocabulary())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "h")).where("length > 0").collect()
+    held = [[i for ids, _, _ in simple8b.frames(memoryview(bytes(f.content))) for i in ids] for f in files]
+    assert sum(map(len, held)) == len(rows)
+    assert all(sum(key in own for own in held) > 1 for key in (None, 7))
+    got = sorted(simple8b.read_tokens(spark, str(tmp_path / "h")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    own = lambda r: (r[0] is not None, r[2], r[3])
+    assert sorted(own((r.doc_id, 0, r.n_tokens, r.ids_crc32)) for r in got) == sorted(own(x) for x in expect(rows))
+
+
 def test_empty_table_and_damage(spark, make_docs, tmp_path):
     simple8b.write_tokens(make_docs([]), str(tmp_path / "e"), simple8b.vocabulary())
     assert simple8b.read_tokens(spark, str(tmp_path / "e")).count() == 0
