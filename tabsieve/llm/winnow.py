@@ -141,7 +141,7 @@ class Block:
 def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, n: int, gram: int, block_bytes: int) -> list:
     """Broadcast blocks of at most ``block_bytes`` of item text (one longer item is a block of its own)."""
     rows = (benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-            .where("item_id is not null and text != ''").toLocalIterator())
+            .where("text != ''").toLocalIterator())
     blocks, ids, texts, size = [], [], [], 0
     for r in rows:
         raw = r["text"].encode()
@@ -185,7 +185,8 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep
                  n: int = NGRAM, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str, str, str]:
     """Columns ``keep`` (all by default) of ``docs`` with the word count, the flattened [start, end) word ranges shared with items, and the item ids.
 
-    Null or empty texts have no words. Items without an id or a word are ignored; repeated items count once.
+    Null or empty texts have no words. Items without a word are ignored; repeated items count once.
+    An item without an id makes ranges, but its id in the list is null.
     Ranges may overlap. Returns the frame and the names of the three new columns (chosen not to clash).
     """
     count, ranges, items = (fresh(docs, c) for c in ("n_words", "hit_ranges", "hit_items"))
@@ -214,7 +215,7 @@ def _digest(count: str, ranges: str, items: str, columns: list[str]):
         for batch in batches:
             take = lambda c: batch.column(batch.schema.names.index(c))
             hits = [covered(r) for r in take(ranges).to_pylist()]
-            ids = [sorted({str(x) for x in own}) for own in take(items).to_pylist()]
+            ids = [sorted({str(x) for x in own if x is not None}) for own in take(items).to_pylist()]
             words = take(count).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [take(c) for c in columns]
@@ -229,7 +230,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                   **options) -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated per document.
 
-    A kept column that has one of these names is replaced by the operator's result.
+    A kept column that has one of these names is replaced by the operator's result. Items without an id count in
+    n_hit and contaminated; n_items and items_sha256 are over ids.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]

@@ -70,6 +70,17 @@ def test_edges_blocks_and_clashes(spark, make_docs):
     assert rows(winnow.contamination(make_docs(docs), bench.limit(0))) == brute(docs, [])
 
 
+def test_items_without_an_id_are_found(spark, make_docs):
+    passage = " ".join(f"leak{i}" for i in range(20))
+    items = [(None, passage), (3, " ".join(f"other{i}" for i in range(20)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(1, f"so {passage} end"), (2, items[1][1]), (3, "nothing of either")])
+    none = hashlib.sha256(b"").hexdigest()
+    assert rows(winnow.contamination(docs, bench)) == {
+        1: (22, 20, 0, none, True), 2: (20, 20, 1, hashlib.sha256(b"3").hexdigest(), True), 3: (3, 0, 0, none, False)}
+    assert [r.doc_id for r in winnow.keep_clean(spark, docs, bench).collect()] == [3]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.integers(1, 12))
 def test_every_window_keeps_its_minimum(values, w):
