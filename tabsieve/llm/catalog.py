@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tabsieve.llm import bpe, line_rules, resample, shards, simhash, simple8b, suffix, toxicity, warc, winnow
+from tabsieve.llm import (
+    bpe, line_rules, periods, resample, shards, simhash, simple8b, suffix, toxicity, warc, winnow,
+)
 
 QUERIES = {
     "op1_importance_resampling": resample.op1_importance_resampling,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_karmarkar_karp": shards.op8_karmarkar_karp,
     "op9_simple8b": simple8b.op9_simple8b,
     "op10_pattern_grammar": toxicity.op10_pattern_grammar,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
