@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabsieve.llm import (
-    bpe, licences, line_rules, periods, resample, shards, simhash, simple8b, suffix, toxicity, warc, winnow,
+    bpe, collocations, licences, line_rules, periods, resample, shards, simhash, simple8b, suffix, toxicity, warc, winnow,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_karmarkar_karp": shards.op8_karmarkar_karp,
     "op9_simple8b": simple8b.op9_simple8b,
     "op10_pattern_grammar": toxicity.op10_pattern_grammar,
+    "op11_collocations": collocations.op11_collocations,
     "op12_rare_token_index": licences.op12_rare_token_index,
     "op13_periodic_runs": periods.op13_periodic_runs,
 }
@@ -24,5 +25,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_revisits": warc.OP3_SQL,
     "op5_line_rules": line_rules.OP5_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_rare_token_index": licences.OP12_SQL,
 }
