@@ -4,10 +4,11 @@ Words of a piece, joined by one space, lie in one byte buffer, and two prefix
 polynomials over it (modulo 2^64 and modulo a 32-bit prime) give fingerprint and
 check of every n-gram by a difference of two entries. Tasks sort and count the
 fingerprints of a few megabytes, and the shuffle sums them with the least check,
-the greatest check and an occurrence pointer (a hash of the document row, and
-the bytes). Fingerprints whose checks differ are collisions: their n-grams are
-counted again by their text. Only frequent phrases become text, read at their
-pointers and fingerprinted once more.
+the greatest check and an occurrence pointer (33 bits of a hash of the document
+row, 31 bits of the place in its text). Fingerprints whose checks differ are
+collisions: their n-grams are counted again by their text. Only frequent phrases
+become text, read at their pointers in every row with that hash, where both
+hashes must be the stored ones.
 
 Lengths are counted one after the other, since an n-gram is frequent only if its
 parts are: a bitmap of the frequent fingerprints of the length before, at most
@@ -26,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabsieve.llm.common import (
     buffer_of, class_table, cut_hashes, doc_chunks, mix, prefix_hashes, release, settle, table, word_spans,
@@ -39,11 +39,13 @@ UNKNOWN = "und"
 #: Bits of the broadcast filter: 16 per frequent n-gram of the length before, within these bounds (16 MB).
 FILTER_BITS = (1 << 16, 1 << 27)
 #: N-grams that a task sorts at once.
-HELD = 1 << 20
+HELD = 1 << 21
 OUT_ROWS = 1 << 16
 #: Rows that one ranking group may hold.
 GROUP_ROWS = 50_000
 
+_POINTER = ["mark", "check", "n", "at", "low", "high"]
+
 PRIME = np.uint64(4294967291)  # the largest prime below 2^32
 _ROOT = 2654435761
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -163,16 +165,17 @@ class _Counter:
 
     def out(self):
         if self.parts:
-            mark, check, doc, at = (np.concatenate(c) for c in zip(*self.parts))
+            mark, check, at = (np.concatenate(c) for c in zip(*self.parts))
             self.parts, self.size = [], 0
             order = np.argsort(mark, kind="stable")
             mark, check = mark[order], check[order]
             head = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (check[1:] != check[:-1])))
             count = np.diff(np.append(head, len(mark)))
-            columns = [mark[head].view(np.int64), check[head].view(np.int64), count, doc[order[head]], at[order[head]]]
+            both = (check[head].view(np.int64) << 31) | count  # one word in the shuffle: 32 bits of check, 31 of count
+            columns = [mark[head].view(np.int64), both, at[order[head]]]
             for i in range(0, len(head), OUT_ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i:i + OUT_ROWS]) for c in columns],
-                                                 ["mark", "check", "n", "doc", "at"])
+                                                 ["mark", "both", "at"])
 
 
 def _fitting(words: Words, prints: Prints, seed: np.ndarray, k: int, sieve: Sieve | None, width: int, bits: int):
@@ -201,8 +204,8 @@ def _count(lengths: list[int], held, width: int, bits: int):
                 for k in lengths:
                     a = _fitting(words, prints, seed, k, sieve, width, bits)
                     b = a + k - 1
-                    at = ((words.begin[a] - words.origin[a]) << 31) | (words.end[b] - words.begin[a])
-                    counter.add(*prints.of(words.start[a], words.stop[b], seed[a], bits), docs[i:j][words.own[a]], at)
+                    at = (docs[i:j][words.own[a]] << 31) | (words.begin[a] - words.origin[a])
+                    counter.add(*prints.of(words.start[a], words.stop[b], seed[a], bits), at)
                     if counter.size > HELD:
                         yield from counter.out()
         yield from counter.out()
@@ -212,17 +215,21 @@ def _count(lengths: list[int], held, width: int, bits: int):
 
 def frequent_marks(rows: DataFrame, lengths: list[int], sieve: Sieve | None, width: int, least: int,
                    bits: int) -> DataFrame:
-    """(mark, n, mixed, doc, at) of fingerprints with ``least`` occurrences or more; ``mixed`` tells a collision.
+    """(mark, check, n, mixed, at, low, high) of fingerprints with ``least`` occurrences or more.
+
+    ``mixed`` tells a collision; ``low`` and ``high`` are the least and greatest length counted here.
 
     Tasks have counted before the exchange, so a phrase that a third of all texts hold is a row per task and
     megabytes read.
     """
     held = rows.sparkSession.sparkContext.broadcast(sieve) if sieve else None
-    counted = rows.mapInArrow(_count(lengths, held, width, bits), "mark long, check long, n long, doc long, at long")
+    counted = rows.mapInArrow(_count(lengths, held, width, bits), "mark long, both long, at long")
+    n, check = F.expr(f"both & {(1 << 31) - 1}L"), F.shiftright("both", 31)
     sums = counted.repartition("mark").groupBy("mark").agg(
-        F.sum("n").alias("n"), F.min("check").alias("c0"), F.max("check").alias("c1"),
-        F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at"))
-    return settle(sums.where(F.col("n") >= least).select("mark", "n", (F.col("c0") != F.col("c1")).alias("mixed"), "doc", "at"))
+        F.sum(n).alias("n"), F.min(check).alias("check"), F.max(check).alias("other"), F.min("at").alias("at"))
+    return settle(sums.where(F.col("n") >= least).select(
+        "mark", "check", "n", (F.col("check") != F.col("other")).alias("mixed"), "at",
+        F.lit(lengths[0]).alias("low"), F.lit(lengths[-1]).alias("high")))
 
 
 def recounted(rows: DataFrame, marks: list[int], widest: int, least: int, bits: int) -> DataFrame:
@@ -251,33 +258,46 @@ def recounted(rows: DataFrame, marks: list[int], widest: int, least: int, bits:
             .agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least))
 
 
-def _agrees(bits: int):
-    """Rows whose phrase has the fingerprint that its pointer was stored under."""
+def _read(bits: int):
+    """Phrases at the pointers of each row, where fingerprint and check are the stored ones."""
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            seeds = _seeds(batch.column(0))
+            langs, seeds = batch.column(0).to_pylist(), _seeds(batch.column(0))
             data, offsets = buffer_of(batch.column(1))
-            mark, _ = Prints(data).of(offsets[:-1], offsets[1:], seeds, bits)
-            own = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(mark == own)).select([0, 1, 2, 3])
+            points = batch.column(2)
+            owner = points.value_parent_indices().to_numpy(zero_copy_only=False)
+            field = {x: points.flatten().field(x).to_numpy(zero_copy_only=False) for x in _POINTER}
+            for i, j in doc_chunks(offsets):
+                words = Words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                prints, raw = words.prints(), words.buffer.tobytes()
+                mine = np.flatnonzero((owner >= i) & (owner < j))
+                at = (field["at"][mine] & ((1 << 31) - 1)) + offsets[owner[mine]] - offsets[i]
+                first = np.minimum(np.searchsorted(words.begin, at), max(0, len(words.begin) - 1))
+                for k in range(1, int(field["high"].max(initial=0)) + 1):
+                    fit = (field["low"][mine] <= k) & (field["high"][mine] >= k) & (first + k <= len(words.begin))
+                    fit[fit] = words.begin[first[fit]] == at[fit]
+                    a, own = first[fit], mine[fit]
+                    mark, check = prints.of(words.start[a], words.stop[a + k - 1], seeds[owner[own]], bits)
+                    good = (mark.view(np.int64) == field["mark"][own]) & (check.view(np.int64) == field["check"][own])
+                    good &= words.piece[a] == words.piece[a + k - 1]
+                    a, own = a[good], own[good]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([langs[x] for x in owner[own]], pa.string()),
+                         pa.array([raw[b:e].decode() for b, e in zip(words.start[a], words.stop[a + k - 1])], pa.string()),
+                         pa.array(np.full(len(a), k)), pa.array(field["n"][own])], ["lang", "phrase", "k", "a"])
     return run
 
 
 def materialised(rows: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
-    """(lang, phrase, k, a) read at the pointers. ``rows`` has doc, lang and text."""
-    span = F.expr("substring(cast(text as binary), cast(shiftright(at, 31) as int) + 1, cast(at & 2147483647 as int))")
-    read = rows.join(marks, "doc").select("lang", phrase_text(span.cast("string")).alias("phrase"), "n", "mark")
-    parts = read.select("lang", "phrase", (F.size(F.split("phrase", " "))).cast("long").alias("k"),
-                        F.col("n").alias("a"), "mark")
-    return parts.mapInArrow(_agrees(bits), "lang string, phrase string, k long, a long").distinct()
-
+    """(lang, phrase, k, a) read at the pointers. ``rows`` has doc, lang and text.
 
-def phrase_text(text):
-    """Lower-case A-Z, one space between words."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(low, r"[\x20\x09]+", " ")
+    The pointers into one row, at most ``WIDEST`` for each of its words, travel as one list, so a text is joined once.
+    """
+    points = marks.groupBy(F.shiftrightunsigned("at", 31).alias("doc")).agg(
+        F.collect_list(F.struct(*_POINTER)).alias("points"))
+    read = rows.join(points, "doc").select("lang", "text", "points").mapInArrow(
+        _read(bits), "lang string, phrase string, k long, a long")
+    return read.distinct()
 
 
 def words_per_language(rows: DataFrame) -> DataFrame:
@@ -310,7 +330,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, widest: int = WIDEST,
     marks = levels[0]
     for level in levels[1:]:
         marks = marks.unionByName(level)
-    phrases = materialised(rows, marks.where("not mixed").drop("mixed"), bits)
+    phrases = materialised(rows, marks.where("not mixed"), bits)
     mixed = [r["mark"] for r in marks.where("mixed").select("mark").collect()]  # some of 2^64: a handful at any size
     if mixed:
         phrases = phrases.unionByName(recounted(rows, mixed, widest, least, bits))
@@ -320,7 +340,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, widest: int = WIDEST,
 def pointed(docs: DataFrame) -> DataFrame:
     """(doc, lang, text): the pointer's hash of the row; a null language is ``UNKNOWN``, a null text empty."""
     lang, text = F.coalesce(F.col("lang"), F.lit(UNKNOWN)), F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64(text, lang).alias("doc"), lang.alias("lang"), text.alias("text"))
+    return docs.select(F.shiftrightunsigned(F.xxhash64(text, lang), 31).alias("doc"), lang.alias("lang"), text.alias("text"))
 
 
 # ------------------------------------------------------------------------------ scores
