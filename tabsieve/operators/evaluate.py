@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.operators.ordered import global_index, prefix_sums
-from tabsieve.operators.profile import c_
+from tabsieve.operators.profile import c_, real
 
 # Threshold grid 0.05 + i * 0.01, i = 0..90 (computed in floating point).
 THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.05, 0.01, 91
@@ -257,7 +257,8 @@ def class_metrics(df: DataFrame, y: str, pred: str, betas=(1.0, 2.0)) -> DataFra
 
 # ------------------------------------------------------- ordered metrics
 def _score_counts(df: DataFrame, y: str, score: str, positive: int) -> DataFrame:
-    return df.where(c_(score).isNotNull()).groupBy(c_(score).alias("_s")).agg(
+    """(_s, pos, neg) per distinct score; rows whose score is NULL or NaN are left out."""
+    return df.where(real(df, score).isNotNull()).groupBy(c_(score).alias("_s")).agg(
         F.sum((c_(y) == positive).cast("long")).alias("pos"),
         F.sum((c_(y) != positive).cast("long")).alias("neg"))
 
@@ -278,8 +279,8 @@ def average_precision(df: DataFrame, y: str, score: str, positive: int = 1) -> D
 
 
 def log_loss(df: DataFrame, y: str, p1: str, eps: float = 2.220446049250313e-16) -> DataFrame:
-    # greatest and least skip NULL, so a row without a score is left out first
-    p = F.when(c_(p1).isNotNull(), F.least(F.greatest(c_(p1).cast("double"), F.lit(eps)), F.lit(1 - eps)))
+    # greatest and least skip NULL and NaN passes them, so a row without a score is left out first
+    p = F.when(real(df, p1).isNotNull(), F.least(F.greatest(c_(p1).cast("double"), F.lit(eps)), F.lit(1 - eps)))
     yv = c_(y).cast("double")
     return df.agg(F.avg(-(yv * F.log(p) + (1 - yv) * F.log(1 - p))).alias("log_loss"))
 

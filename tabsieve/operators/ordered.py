@@ -11,10 +11,6 @@ partition key over row data.
 
 from __future__ import annotations
 
-import bisect
-import functools
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,33 +232,3 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols: list[str], num_partitions:
     for i, c in enumerate(cols):
         out = out.withColumn(f"{prefix}{c}", (F.col(f"{prefix}{c}") + F.col(f"_o{i}")).cast("bigint"))
     return out.drop("_pid", *[f"_o{i}" for i in range(len(cols))])
-
-
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list]:
-    """Exact quantiles (linear between neighbours) of several columns; ``None`` for a column without values.
-
-    Values are counted per distinct (column, value), running counts come from :func:`prefix_sums` over range
-    partitions, and the rows that hold a wanted rank are picked: no task merges all values of a column.
-    """
-    if not cols:
-        return {}
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), c_(c).cast("double").alias("_v"))
-                                        for i, c in enumerate(cols)]))).where("_v is not null")
-    cum = prefix_sums(long.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n")), ["_i", "_v"], ["_n"])
-    sizes = {r["_i"]: r["n"] for r in cum.groupBy("_i").agg(F.sum("_n").alias("n")).collect()}  # one row per column
-    ranks, start = {}, 0
-    for i in range(len(cols)):
-        n = sizes.get(i, 0)
-        at = [p * (n - 1) for p in probs] if n else []
-        ranks[i] = [(start + math.floor(x), start + math.ceil(x), x - math.floor(x)) for x in at]
-        start += n
-    wanted = sorted({r for own in ranks.values() for lo, hi, _ in own for r in (lo, hi)})
-    if not wanted:
-        return {c: [None] * len(probs) for c in cols}
-    holds = functools.reduce(lambda a, b: a | b, [
-        (F.col("cum__n") > r) & (F.col("cum__n") - F.col("_n") <= r) for r in wanted])
-    rows = sorted((r["cum__n"], r["_v"]) for r in cum.where(holds).collect())  # at most one row per wanted rank
-    ends = [r[0] for r in rows]
-    value = lambda rank: rows[bisect.bisect_right(ends, rank)][1]
-    return {c: [value(lo) if lo == hi else (1 - f) * value(lo) + f * value(hi) for lo, hi, f in ranks[i]]
-            or [None] * len(probs) for i, c in enumerate(cols)}

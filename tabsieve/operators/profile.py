@@ -254,22 +254,29 @@ def column_match_rate(df: DataFrame, a: str, b: str) -> DataFrame:
                   .alias("match_rate"))
 
 
+def real(df: DataFrame, col: str) -> Column:
+    """The column with NaN as NULL; columns of other types as they are."""
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c_(col)), c_(col))
+    return c_(col)
+
+
 def order_share(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.avg(F.coalesce(c_(a) > c_(b), F.lit(False)).cast("double"))
                   .alias("order_share"))
 
 
 def missing_share(df: DataFrame, cols=None) -> DataFrame:
-    """(feature, missing_pct): percent of NULL values per column."""
+    """(feature, missing_pct): percent of NULL and NaN values per column."""
     cols = _cols(df, cols)
-    row = df.agg(*[(F.avg(c_(c).isNull().cast("double")) * 100.0).alias(f"m{i}")
+    row = df.agg(*[(F.avg(real(df, c).isNull().cast("double")) * 100.0).alias(f"m{i}")
                    for i, c in enumerate(cols)])
     return wide_row_to_long(row, cols, {"missing_pct": "m"})
 
 
 def quartiles(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     """Exact (q1, median, q3) per column."""
-    from tabsieve.operators.ordered import exact_quantiles
+    from tabsieve.operators.quantiles import exact_quantiles
     return {c: tuple(v) for c, v in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).items()}
 
 
@@ -285,8 +292,9 @@ def outlier_share(df: DataFrame, cols=None) -> DataFrame:
             continue
         iqr = q3 - q1
         lo, hi = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-        out = (c_(c) < F.lit(lo)) | (c_(c) > F.lit(hi))
-        aggs.append((F.sum(out.cast("double")) / F.count(c_(c)) * 100.0).alias(f"o{i}"))
+        x = real(df, c)
+        out = (x < F.lit(lo)) | (x > F.lit(hi))
+        aggs.append((F.sum(out.cast("double")) / F.count(x) * 100.0).alias(f"o{i}"))
     return wide_row_to_long(df.agg(*aggs), cols, {"outlier_pct": "o"})
 
 
@@ -309,7 +317,7 @@ def describe_column(df: DataFrame, cols=None) -> DataFrame:
     qs = quartiles(df, cols)
     aggs = []
     for i, c in enumerate(cols):
-        x = c_(c).cast("double")
+        x = real(df, c).cast("double")
         q1, q2, q3 = (F.lit(v).cast("double") for v in qs[c])
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),

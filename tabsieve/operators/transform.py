@@ -1,7 +1,7 @@
 """Missing values, outliers and numeric transforms.
 
 Fitted statistics (medians, quartiles, quantile edges) are exact quantiles over
-range partitions (``exact_quantiles``) and are applied as literals, so ``transform`` is a pure projection that also runs on a stream.
+narrowing histograms (``exact_quantiles``) and are applied as literals, so ``transform`` is a pure projection that also runs on a stream.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.text import col_of, regex_trim
-from tabsieve.operators.ordered import exact_quantiles
+from tabsieve.operators.profile import real
+from tabsieve.operators.quantiles import exact_quantiles
 from tabsieve.operators.profile import STRING_LIKE, c_
 
 
@@ -100,9 +101,9 @@ def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
 
 
 def fill_median(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
-    """NULL -> median fitted on ``fit_df`` (the train split), default the frame itself."""
+    """NULL and NaN -> median fitted on ``fit_df`` (the train split), default the frame itself."""
     med = medians(fit_df if fit_df is not None else df, cols)
-    return df.withColumns({c: F.coalesce(c_(c), F.lit(med[c])) if med[c] is not None else c_(c)
+    return df.withColumns({c: F.coalesce(real(df, c), F.lit(med[c])) if med[c] is not None else c_(c)
                            for c in cols})
 
 
@@ -135,7 +136,7 @@ def iqr_fences(df: DataFrame, col: str, k: float = 1.5):
 def iqr_outlier_to_median(df: DataFrame, col: str, out: str | None = None,
                           fit_df: DataFrame | None = None) -> DataFrame:
     lo, hi, med = iqr_fences(fit_df if fit_df is not None else df, col)
-    x = c_(col)
+    x = real(df, col)
     if med is None:
         return df.withColumn(out or col, x)
     return df.withColumn(out or col, F.when((x < lo) | (x > hi), F.lit(med)).otherwise(x))
@@ -146,7 +147,7 @@ def iqr_clip_upper(df: DataFrame, col: str, k: float = 2.0, out: str | None = No
     _, hi, _ = iqr_fences(fit_df if fit_df is not None else df, col, k)
     if hi is None:
         return df.withColumn(out or col, c_(col))
-    return df.withColumn(out or col, clip(c_(col), upper=hi))
+    return df.withColumn(out or col, clip(real(df, col), upper=hi))
 
 
 def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
@@ -164,7 +165,7 @@ def quantile_bins(df: DataFrame, col: str, out: str, q: int = 5,
     """Equal-frequency bins with duplicate edges merged; bin i covers (e_i, e_{i+1}],
     the first bin includes its lower edge; NULL and out-of-range -> NULL."""
     edges = quantile_edges(fit_df if fit_df is not None else df, col, q)
-    x = c_(col)
+    x = real(df, col)
     if len(edges) < 2:
         return df.withColumn(out, F.lit(None).cast("int"))
     expr = F.when(x.isNull(), None)
@@ -176,7 +177,7 @@ def quantile_bins(df: DataFrame, col: str, out: str, q: int = 5,
 
 def above_median_flag(df: DataFrame, col: str, out: str, fit_df: DataFrame | None = None) -> DataFrame:
     med = medians(fit_df if fit_df is not None else df, [col])[col]
-    return df.withColumn(out, F.coalesce(c_(col) > F.lit(med), F.lit(False)).cast("int"))
+    return df.withColumn(out, F.coalesce(real(df, col) > F.lit(med), F.lit(False)).cast("int"))
 
 
 def delay_days_features(df: DataFrame, start: str, end: str, prefix: str,

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ from tabsieve.operators import assoc as A
 from tabsieve.operators import dates as D
 from tabsieve.operators import evaluate as V
 from tabsieve.operators import models as M
-from tabsieve.operators import ordered as O
 from tabsieve.operators import pairs as PR
 from tabsieve.operators import profile as P
+from tabsieve.operators import quantiles as Q
 from tabsieve.operators import transform as T
 
 SF = "/root/testdata/sf0.001"
@@ -106,12 +107,54 @@ def test_exact_quantiles(spark):
     rng = np.random.default_rng(1)
     x = np.where(rng.random(2001) < 0.4, 5.0, rng.normal(size=2001)).round(3)
     df = spark.createDataFrame([(float(v), None, float(i % 7)) for i, v in enumerate(x)], "x double, e double, z double")
-    q = O.exact_quantiles(df, ["x", "e", "z"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    q = Q.exact_quantiles(df, ["x", "e", "z"], [0.0, 0.25, 0.5, 0.9, 1.0])
     assert q["x"] == pytest.approx(np.quantile(x, [0, 0.25, 0.5, 0.9, 1]).tolist()) and q["e"] == [None] * 5
     assert q["z"] == pytest.approx(np.quantile(np.arange(2001) % 7, [0, 0.25, 0.5, 0.9, 1]).tolist())
     assert T.medians(df.limit(0), ["x"]) == {"x": None}
 
 
+def test_quantiles_of_three_hundred_columns_with_nan(spark):
+    rng = np.random.default_rng(4)
+    n, width = 400, 300
+    table = rng.normal(size=(n, width)) * 10.0 ** rng.integers(-300, 300, width)
+    table[rng.random((n, width)) < 0.1] = np.nan
+    table[:, 0] = np.nan
+    table[:5, 1] = [np.inf, -np.inf, -0.0, 0.0, 5e-324]
+    names = [f"c{i}" for i in range(width)]
+    df = spark.createDataFrame(pd.DataFrame(table, columns=names)).repartition(5)
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    got = Q.exact_quantiles(df, names, probs)
+    assert got["c0"] == [None] * 5
+    for i in range(2, width):
+        own = table[:, i][~np.isnan(table[:, i])]
+        assert got[f"c{i}"] == pytest.approx(np.quantile(own, probs).tolist(), rel=1e-12), i
+    assert got["c1"][2] == pytest.approx(np.nanmedian(table[:, 1]))
+    rows = {r.feature: r for r in P.describe_column(df.select("c0", "c2")).collect()}
+    assert rows["c2"].n == (~np.isnan(table[:, 2])).sum() and rows["c2"].mean == pytest.approx(np.nanmean(table[:, 2]))
+    assert rows["c0"].n == 0 and rows["c0"].p50 is None
+    missing = {r.feature: r.missing_pct for r in P.missing_share(df.select("c0", "c2")).collect()}
+    assert missing == {"c0": 100.0, "c2": pytest.approx(np.isnan(table[:, 2]).mean() * 100)}
+    flags = T.above_median_flag(df, "c2", "f").agg(F.sum("f")).first()[0]
+    assert flags == (table[:, 2] > np.nanmedian(table[:, 2])).sum()
+    assert T.fill_median(df, ["c2"]).where(F.isnan("c2") | F.col("c2").isNull()).count() == 0
+    assert {r.feature for r in P.outlier_share(df).collect()} == set(names)
+
+
+def test_metrics_leave_out_scores_that_are_nan(spark):
+    rows = [(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.6), (1, 0.7)]
+    clean = spark.createDataFrame(rows, "y int, p double")
+    dirty = spark.createDataFrame(rows + [(0, float("nan")), (1, None)], "y int, p double")
+    for metric in (V.roc_auc, V.average_precision, V.log_loss):
+        assert metric(dirty, "y", "p").first()[0] == pytest.approx(metric(clean, "y", "p").first()[0])
+
+
+def test_quantiles_shuffle_bins_not_values(spark):
+    rows = spark.range(100000).select((F.col("id") * 0.7).alias("v0"))
+    plan = plan_of(Q.interval_histogram(rows, [(0, 0, 2**62)]))
+    for line in re.findall(r"Exchange ([^\n]*)", plan):
+        assert "interval" in line and "v0" not in line, line
+
+
 def test_two_hundred_columns_in_one_pass(spark):
     n = 200
     df = spark.range(50).select(*[((F.col("id") * (i % 23 + 1)) % 17).cast("string").alias(f"c{i}") for i in range(n)])
