@@ -299,10 +299,11 @@ class WordBpe:
             return self.common.findall(low)
         out = []
         for piece in _PIECES.findall(text):
-            if _BEYOND.search(piece):
+            composed = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()  # may leave the common alphabets
+            if _BEYOND.search(piece) or _BEYOND.search(composed):
                 out += self.rare(piece)
             else:
-                out += self.words(piece)
+                out += self.common.findall(composed)
         return out
 
     def rare(self, piece: str) -> list[bytes]:

@@ -27,6 +27,10 @@ def fuzzed(n=800):
     out = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 60))) for _ in range(n)]
     pick = lambda: rng.choice([rng.randint(32, 0x2FF), rng.randint(0x300, 0xD7FF), rng.randint(0x10000, 0x1FFFF)])
     out += ["".join(chr(pick()) for _ in range(40)) for _ in range(n)]
+    marks = "".join(map(chr, range(0x300, 0x345))) + "\u0483\u05b0\u064b\u093c\u0e31\u1100\u1161\u11a8\u200d\ufe0f"
+    out += ["".join(rng.choice("eEsScCaAoO uieEnN" + "ẹṡệαгアa'l1") + rng.choice(["", *rng.choices(marks, k=2)])
+                    + rng.choice(["", "", *rng.choices(marks, k=1)]) for _ in range(rng.randint(1, 25))) for _ in range(n)]
+    out += ["e\u0323", "s\u0307", "Vie\u0323\u0302t", "a e\u0323 b 中 s\u0307", "\u0323", "Vi\u1ec7t e\u0323\u0302"]
     return out + ["", " ", "x" * 5000, "aaab" * 300, "it's we'LL a<|endoftext|>b <|startoftext|><|endoftext|>"]
 
 
