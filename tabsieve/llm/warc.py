@@ -3,7 +3,8 @@
 Only headers (id, digest, size) are shuffled to resolve copies: the smallest id
 per payload digest is found with map-side aggregation, headers are joined to
 it (a digest of a third of all pages is split by the skew join), and the pages
-then meet the short list of revisits by id. Archives are written by Spark's own
+then meet the list of revisits by id and digest, which names a page row at most
+once, so ids may be missing or repeat with other payloads. Archives are written by Spark's own
 text writer: a row is one record and the line separator is the two line breaks
 that close a WARC record, so any store and the usual commit protocol work.
 
@@ -41,19 +42,21 @@ def headers(pages: DataFrame, key: str = "page_id", payload: str = "html") -> Da
 
 
 def revisits(heads: DataFrame, key: str = "page_id", least: int = LEAST_BYTES) -> DataFrame:
-    """(key, origin) of pages that repeat the payload of a page with a smaller id.
+    """(key, digest, origin), distinct, of pages that repeat the payload of a page with a smaller id.
 
-    Rows that share the smallest id are all originals; a page without an id is a revisit where an id is known.
+    Rows that share the smallest id of a payload are all originals; a page without an id is a revisit where an id is
+    known for its payload, else a response.
     """
     originals = (heads.where(F.col("bytes") >= least).groupBy("digest")
                  .agg(F.min(key).alias("origin"), F.count(F.lit(1)).alias("n"))
                  .where("n > 1 and origin is not null").select("digest", "origin"))
     repeated = heads.where(F.col("bytes") >= least).join(originals, "digest")
-    return repeated.where(~F.col(key).eqNullSafe(F.col("origin"))).select(key, "origin").distinct()
+    return repeated.where(~F.col(key).eqNullSafe(F.col("origin"))).select(key, "digest", "origin").distinct()
 
 
-def _uri(kind: str, value: Column) -> Column:
-    return F.concat(F.lit(f"<urn:{kind}:"), F.coalesce(value.cast("string"), F.lit("none")), F.lit(">"))
+def _uri(value: Column, digest: Column) -> Column:
+    """Record id: the page's id and its payload, so that a repeated id names one payload."""
+    return F.concat(F.lit("<urn:page:"), F.coalesce(value.cast("string"), F.lit("none")), F.lit(":"), digest, F.lit(">"))
 
 
 def records(pages: DataFrame, repeated: DataFrame, key: str = "page_id", url: str = "url",
@@ -61,13 +64,16 @@ def records(pages: DataFrame, repeated: DataFrame, key: str = "page_id", url: st
     """One WARC record per page, without its closing line breaks.
 
     Revisits keep the HTTP header but not the payload. Control characters and spaces in a url are percent-encoded;
-    a page without a url gets its record id as target.
+    a page without a url gets its record id as target. ``repeated`` comes from ``revisits``.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    again = repeated.select(F.col(key).alias("again_id"), F.col("origin").alias("again_origin"))
-    rows = pages.select(key, url, payload).join(again, pages[key].eqNullSafe(again["again_id"]), "left")
-    revisit = F.col("again_origin").isNotNull() & (F.octet_length(body) >= LEAST_BYTES)
-    rid = _uri("page", F.col(key))
+    again = repeated.select(F.col(key).alias("again_id"), F.col("digest").alias("again_digest"),
+                            F.col("origin").alias("again_origin"))
+    digest = F.col("own_digest")
+    rows = pages.select(F.col(key), F.col(url), F.col(payload), F.sha2(body, 256).alias("own_digest"))
+    rows = rows.join(again, F.col(key).eqNullSafe(F.col("again_id")) & (digest == F.col("again_digest")), "left")
+    revisit = F.col("again_origin").isNotNull()
+    rid = _uri(F.col(key), digest)
     target = F.regexp_replace(F.col(url), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
@@ -76,8 +82,8 @@ def records(pages: DataFrame, repeated: DataFrame, key: str = "page_id", url: st
         "\r\n", F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), rid), F.lit(f"WARC-Date: {CAPTURED}"),
         F.concat(F.lit("WARC-Target-URI: "), F.coalesce(target, rid)),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.sha2(body, 256)),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _uri("page", F.col("again_origin")))),
+        F.concat(F.lit("WARC-Payload-Digest: sha256:"), digest),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _uri(F.col("again_origin"), digest))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")), F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
     return rows.select(F.concat(head, F.lit(CLOSE), block).alias("value"))
@@ -151,7 +157,7 @@ def read_record(fields: dict, block: bytes, with_payload: bool) -> tuple:
     else:
         size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
         digest = declared
-    page = fields["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
+    page = fields["warc-record-id"].split(":")[2]
     return (None if page == "none" else int(page), fields["warc-type"], fields["warc-record-id"],
             fields.get("warc-refers-to"), fields["warc-target-uri"], digest, size,
             payload.decode() if response and with_payload else None)
@@ -206,7 +212,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h)::BIGINT AS n, sha256(h) AS d FROM p),
 o AS (SELECT d, min(page_id) AS origin FROM q WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, d AS payload_digest,
-    CASE WHEN origin IS NOT NULL AND origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN origin <> page_id THEN origin END AS refers_to
+    CASE WHEN origin IS NOT NULL AND origin IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN origin IS DISTINCT FROM page_id THEN origin END AS refers_to
 FROM q LEFT JOIN o USING (d)
 """

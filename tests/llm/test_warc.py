@@ -4,7 +4,9 @@ import glob
 import gzip
 import hashlib
 import io
+import random
 
+import duckdb
 import pytest
 
 from tabsieve.llm import warc
@@ -55,6 +57,27 @@ def test_edges(spark, tmp_path):
     assert len(list(warc.parse(io.BytesIO(raw)))) == len(pages)
 
 
+def test_missing_and_repeated_ids(spark, tmp_path):
+    """A third of the ids is null, the rest repeats with unlike payloads: every row comes back once, no payload is lost."""
+    prepare(spark)
+    rng = random.Random(8)
+    bodies = [f"<p>{i}</p>" * 20 for i in range(60)] + ["short", None]
+    pages = [(None if rng.random() < 0.33 else rng.randint(0, 40), rng.choice(bodies)) for _ in range(900)]
+    pages += [(7, "seven one " * 15), (7, "seven two " * 15), (7, "seven three " * 15)] + [(None, f"alone {i} " * 20) for i in range(4)]
+    df = spark.createDataFrame([(i, "http://e.com", h, "r") for i, h in pages], PAGES)
+    warc.write_archives(df, str(tmp_path / "a"))
+    back = warc.read_archives(spark, str(tmp_path / "a"))
+    got = rows(warc.resolve(back))
+    assert got == brute(pages)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    sql = "SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM"
+    assert got == sorted(con.sql(f"{sql} ({warc.OP3_SQL})").fetchall(), key=str)
+    held = {hashlib.sha256(r.payload.encode()).hexdigest() for r in back.collect() if r.type == "response"}
+    assert held == {hashlib.sha256((h or "").encode()).hexdigest() for _, h in pages}
+
+
 def test_empty_and_damaged(spark, tmp_path):
     prepare(spark)
     warc.write_archives(spark.createDataFrame([], PAGES), str(tmp_path / "e"))
