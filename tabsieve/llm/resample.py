@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm.common import buffer_of, class_table, cut_hashes, doc_chunks, fresh, mix, prefix_hashes, settle, table
+from tabsieve.llm.common import buffer_of, class_table, cut_hashes, doc_chunks, forget, fresh, mix, prefix_hashes, settle, table
 
 BUCKETS = 1 << 14
 #: Rows labelled good that the target model reads, at most about this many (chosen by a hash of the id).
@@ -99,7 +99,7 @@ def log_ratios(docs: DataFrame, good_ids: DataFrame, text: str = "text") -> np.n
 
 
 def importance(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataFrame:
-    """(doc_id, n_grams, log_weight) per document; texts without n-grams weigh 0."""
+    """(doc_id, mark, n_grams, log_weight) per document; ``mark`` is a hash of the text. Texts without n-grams weigh 0."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
@@ -110,15 +110,15 @@ def importance(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataF
                 grams, own = gram_buckets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 n[i:j] = np.bincount(own, minlength=j - i)
                 total[i:j] = np.bincount(own, held.value[grams], minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 6))],
-                                             ["doc_id", "n_grams", "log_weight"])
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_grams long, log_weight double"
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(np.round(total, 6))],
+                                             ["doc_id", "mark", "n_grams", "log_weight"])
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, n_grams long, log_weight double"
+    return docs.select("doc_id", text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
-def gumbel(key, seed: int = SEED):
-    """Gumbel noise from a hash of the id, so a retried task draws the same."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+def gumbel(*key, seed: int = SEED):
+    """Gumbel noise from a hash of the key columns, so a retried task draws the same."""
+    u = (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -127,9 +127,15 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
     low, high = rows.agg(F.min(column), F.max(column)).first()
     while True:
         inside = rows.where(F.col(column).between(low, high))
-        width = (high - low) / BINS
-        if width <= 0 or low + width == low:
+        if low == high:
             return high
+        width = (high - low) / BINS
+        if low + width == low:  # neighbours in floating point: few values can be left between them
+            distinct = inside.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(column)).collect()
+            for value, n in distinct:
+                if k <= n:
+                    return value
+                k -= n
         bin_ = F.least(F.floor((F.col(column) - low) / width), F.lit(BINS - 1))
         counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in inside.groupBy(bin_.alias("b")).agg(
             F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()}
@@ -146,19 +152,27 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
-    """(doc_id, n_grams, log_weight, gumbel_key, kept): the k = round(share * rows) largest keys are kept.
+    """(doc_id, n_grams, log_weight, gumbel_key, kept): exactly the k = round(share * rows) largest keys are kept.
 
-    ``share`` defaults to the share of good labels. Rows with the k-th key itself are all kept, so repeated rows of
-    one document stand or fall together. Null and empty texts weigh 0.
+    ``share`` defaults to the share of good labels. Every row draws for itself, by its id, a hash of its text and a
+    row number that is settled first, so null ids and repeated rows are sampled like any others; equal keys at the
+    cut are taken by row number. Null and empty texts weigh 0.
     """
     ids, good_share = good_sample(labels)
     if share is None:
         share = KEEP_SHARE if good_share is None else good_share
-    scored = importance(docs, log_ratios(docs, ids))
-    rows = settle(scored.withColumn("gumbel_key", F.round(F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(-1))), 9)))
+    scored = settle(importance(docs, log_ratios(docs, ids)).withColumn("row", F.monotonically_increasing_id()))
+    rows = settle(scored.withColumn("gumbel_key", F.round(F.col("log_weight") + gumbel("doc_id", "mark", "row"), 9)))
+    forget(scored)
     k = round(share * rows.count())
-    cut = kth_largest(rows, "gumbel_key", k) if k else None
-    return rows.withColumn("kept", F.col("gumbel_key") >= cut if cut is not None else F.lit(False))
+    kept = F.lit(False)
+    if k:
+        cut = kth_largest(rows, "gumbel_key", k)
+        above = rows.where(F.col("gumbel_key") > cut).count()
+        # rows with the very key of the cut: a few of equal hashes
+        last = rows.where(F.col("gumbel_key") == cut).select("row").orderBy("row").limit(k - above).agg(F.max("row")).first()[0]
+        kept = (F.col("gumbel_key") > cut) | ((F.col("gumbel_key") == cut) & (F.col("row") <= last))
+    return rows.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

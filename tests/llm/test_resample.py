@@ -67,6 +67,30 @@ def test_weights_and_top_k(spark, make_docs):
     assert rs.resample(make_docs([]), labels).count() == 0
 
 
+def test_every_row_draws_for_itself(spark, make_docs):
+    """Null ids and repeated rows are sampled like others, and exactly k rows are kept."""
+    rows = [(i if i % 3 else None, f"word{i % 7} and more") for i in range(600)] + [(5, "the same row")] * 300
+    out = rs.resample(make_docs(rows), spark.createDataFrame([], LABELS), share=0.5).collect()
+    assert sum(r.kept for r in out) == 450 and len(out) == 900
+    null, same = ([r.kept for r in out if r.doc_id == x] for x in (None, 5))
+    assert 70 < sum(null) < 130 and 115 < sum(same) < 190
+    assert sum(r.kept for r in rs.resample(make_docs(rows), spark.createDataFrame([], LABELS), share=0.0).collect()) == 0
+    assert sum(r.kept for r in rs.resample(make_docs(rows), spark.createDataFrame([], LABELS), share=1.0).collect()) == 900
+
+
+def test_kth_largest_between_neighbours(spark):
+    prepare(spark)
+    x = 1e16
+    values = [x, np.nextafter(x, 2e16), np.nextafter(np.nextafter(x, 2e16), 2e16)] * 30
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    small, rs.SMALL = rs.SMALL, 5
+    try:
+        assert [rs.kth_largest(df, "x", k) for k in (1, 30, 31, 60, 61, 90)] == [
+            sorted(values, reverse=True)[k - 1] for k in (1, 30, 31, 60, 61, 90)]
+    finally:
+        rs.SMALL = small
+
+
 def test_kth_largest(spark, monkeypatch):
     prepare(spark)
     rng = random.Random(5)
