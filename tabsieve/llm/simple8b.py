@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.llm.bpe import BYTE_SYMBOLS
-from tabsieve.llm.common import buffer_of, doc_chunks, table
+from tabsieve.llm.common import buffer_of, class_table, doc_chunks, table
 from tabsieve.session import checkpoint_dir
 
 #: Simple-8b's fixed packings by selector (0: exception).
@@ -39,7 +39,7 @@ BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 512
 FRAME_IDS = 1 << 20
 END_ID = 2
-CACHE_CHUNKS = 400_000
+CALL_BYTES = 8 << 20
 MAGIC = b"TS8B"
 _HEAD = struct.Struct("<4sIQQQQ")
 _LIMITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -147,71 +147,110 @@ def frames(content: memoryview):
 
 
 # ------------------------------------------------------------------ tokenizing
-#: Unicode white space. A token never starts before white space and ends after the text that precedes it, so a
-#: text can be cut where white space follows other text.
-_SPACES = "\t-\r \x85\xa0  -     　"
-_UNUSUAL = re.compile("[\x1c-\x1f]")
-#: Beyond these alphabets character classes differ between Unicode versions.
-_BEYOND = re.compile("[\u0500-\U0010ffff]")
-_CHUNKS = re.compile(r"\s*\S+|\s+")
-_CHUNKS_EXACT = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
+#: Beyond U+0500 (and in the bytes that start its letters) character classes differ between Unicode versions.
+_BEYOND = 0xD4
+_IS_SPACE = class_table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
+#: UTF-8 of white space beyond ASCII, as numbers of its last two or three bytes.
+_WIDE_SPACES = np.array([int.from_bytes(chr(c).encode(), "big") for c in
+                         [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]])
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where chunks of the texts start: at the texts, and where ASCII white space follows other text.
+
+    A token never starts before white space and ends after the text that precedes it, so texts may be cut there.
+    Texts marked in ``whole`` are one chunk.
+    """
+    space = _IS_SPACE[data]
+    cut = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    wide = np.flatnonzero(data[cut - 1] >= 0x80)  # the character before may be white space beyond ASCII
+    if len(wide):
+        cut = np.delete(cut, wide[ends_with_wide_space(data, cut[wide])])
+    if whole.any():
+        cut = cut[~whole[np.searchsorted(offsets, cut, "right") - 1]]
+    at = np.zeros(len(data), bool)
+    at[cut] = True
+    at[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(at)
+
+
+def ends_with_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is white space beyond ASCII."""
+    two = data[np.maximum(at - 2, 0)] * np.int64(256) + data[at - 1]
+    three = data[np.maximum(at - 3, 0)] * np.int64(65536) + two
+    return np.isin(two, _WIDE_SPACES) | np.isin(three, _WIDE_SPACES)
+
+
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all units of the spans (begin, size), span after span."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
 class ChunkTokenizer:
-    """Ids of the library's tokenizer file, over white-space separated chunks with a bounded table of finished chunks.
+    """Ids of the library's tokenizer file, each distinct white-space separated chunk of a buffer encoded once.
 
-    New chunks of common alphabets are encoded together by a faster encoder of the same vocabulary (ranks taken
-    from the file); all others, and texts with special tokens, go to the library itself.
+    Chunks are told apart by dictionary encoding. Those of common alphabets are encoded together by a faster encoder
+    of the same vocabulary (ranks taken from the file); all others, and texts with special tokens, go to the library.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)")
         as_byte = {c: b for b, c in BYTE_SYMBOLS.items()}
         ranks = {bytes(map(as_byte.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(False).items()}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
         self.bytes_of[list(ranks.values())] = list(map(len, ranks))
-        self.done: dict[str, bytes] = {}
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids)
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def add(self, chunks: list[str]) -> None:
-        """Chunks that start with white space and end with text keep their borders when joined, so one call
-        encodes all of them; token byte lengths give back the borders."""
-        plain = [c for c in chunks if c[0] in " \n" and not c[-1].isspace() and not _BEYOND.search(c)]
-        ids = np.array(self.fast.encode_ordinary("".join(plain)), "<u4")
-        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in plain])) + 1
-        raw, a = ids.tobytes(), 0
-        for c, b in zip(plain, (4 * cuts).tolist()):
-            self.done[c] = raw[a:b]
-            a = b
-        other = [c for c in chunks if c not in self.done]
-        self.done.update(zip(other, self.by_library(other)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        chunks = [[] if w else (_CHUNKS_EXACT if _UNUSUAL.search(t) else _CHUNKS).findall(t)
-                  for t, w in zip(texts, whole)]
-        wanted = set().union(*chunks)
-        missing = [c for c in wanted if c not in self.done]
-        if len(self.done) + len(missing) > self.limit:
-            self.done.clear()
-            missing = list(wanted)
-        if missing:
-            self.add(missing)
-        get = self.done.__getitem__
-        return [self.by_library([t])[0] if w else b"".join(map(get, own))
-                for t, w, own in zip(texts, whole, chunks)]
+
+    def distinct(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in a row, and how many each has.
+
+        Chunks that start with white space and end with text keep their borders when joined, so one call encodes all
+        of them; token byte lengths give back the borders.
+        """
+        end = begin + size
+        plain = np.isin(data[begin], (0x20, 0x0A)) & ~_IS_SPACE[data[end - 1]] & ~ends_with_wide_space(data, end)
+        plain &= np.maximum.reduceat(data, begin) < _BEYOND
+        for found in self.special.finditer(data.tobytes()):
+            plain[np.searchsorted(begin, found.start(), "right") - 1] = False
+        joined = data[gathered(begin[plain], size[plain])].tobytes().decode()
+        parts = [np.array(self.fast.encode_ordinary(joined), np.uint32)]
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[parts[0]]), np.cumsum(size[plain])) + 1
+        count, at = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        count[plain] = np.diff(cuts, prepend=0)
+        other = [data[a:b].tobytes().decode() for a, b in zip(begin[~plain], end[~plain])]
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []
+        count[~plain] = list(map(len, found))
+        parts += [np.array(e.ids, np.uint32) for e in found]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        at[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate(parts)[gathered(at, count)], count
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a buffer in a row, and how many each text has."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        whole = np.zeros(len(offsets) - 1, bool)
+        for found in self.special.finditer(data.tobytes()):
+            whole[np.searchsorted(offsets, found.start(), "right") - 1] = True
+        starts = chunk_starts(data, offsets, whole)
+        bounds = np.append(starts, len(data))
+        spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = spans.dictionary_encode()
+        chunks, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        raw, cuts = buffer_of(chunks)
+        ids, count = self.distinct(raw, cuts[:-1], np.diff(cuts))
+        n = count[of]
+        upto = np.append(0, np.cumsum(n))[np.searchsorted(starts, offsets)]
+        return ids[gathered((np.cumsum(count) - count)[of], n)], np.diff(upto)
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -224,30 +263,27 @@ def _tokenizer(path: str) -> ChunkTokenizer:
 
 
 def _encode(path: str, key: str, text: str, end_id: int):
-    closing = struct.pack("<I", end_id)
-
-    def flush(ids, sizes, raw):
-        values = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array([frame(ids, np.array(sizes), values)], pa.binary())], ["frame"])
+    def flush(ids, sizes, values):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([frame(ids, np.concatenate(sizes), np.concatenate(values).astype(np.uint64))], pa.binary())], ["frame"])
 
     def run(batches):
-        ids, sizes, raw, held = [], [], [], 0
+        ids, sizes, values, held = [], [], [], 0
         tokenizer = _tokenizer(path)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
             keys = batch.column(batch.schema.names.index(key)).to_pylist()
-            _, offsets = buffer_of(column)
-            for i, j in doc_chunks(offsets):
-                for d, own in zip(keys[i:j], tokenizer.encode([v or "" for v in column.slice(i, j - i).to_pylist()])):
-                    ids.append(d)
-                    sizes.append(len(own) // 4 + 1)
-                    raw.append(own + closing)
-                    held += sizes[-1]
+            data, offsets = buffer_of(batch.column(batch.schema.names.index(text)))
+            for i, j in doc_chunks(offsets, CALL_BYTES):
+                own, n = tokenizer.encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                ids += keys[i:j]
+                sizes.append(n + 1)
+                values.append(np.insert(own, np.cumsum(n), end_id))
+                held += len(values[-1])
                 if held >= FRAME_IDS:
-                    yield flush(ids, sizes, raw)
-                    ids, sizes, raw, held = [], [], [], 0
+                    yield flush(ids, sizes, values)
+                    ids, sizes, values, held = [], [], [], 0
         if ids:
-            yield flush(ids, sizes, raw)
+            yield flush(ids, sizes, values)
     return run
 
 
