@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.operators.joins import checked_broadcast, materialize
@@ -173,6 +173,59 @@ def ordinal_encode_apply(df: DataFrame, state: LevelTable, out: str,
             .drop("_code"))
 
 
+def level_codes(train: DataFrame, col: str, by: str = "value") -> LevelTable:
+    """Codes 0.. of the levels, NULL left out: in order of their text, or the most frequent first (ties by text)."""
+    from tabsieve.operators.ordered import global_index
+    counts = train.where(c_(col).isNotNull()).groupBy(c_(col).cast("string").alias("_lvl")).agg(F.count(F.lit(1)).alias("_n"))
+    order = ["_lvl"] if by == "value" else [F.desc("_n"), F.col("_lvl")]
+    t, n = materialize(global_index(counts, order, name="_code").select("_lvl", "_code"))
+    return LevelTable(col, t, n)
+
+
+def target_prior(df: DataFrame, target: str, counted: Column | None = None) -> float:
+    """Mean of the target over the rows that count; 0 without any."""
+    y = c_(target).cast("double")
+    return df.agg(F.avg(F.when(counted, y) if counted is not None else y)).first()[0] or 0.0
+
+
+def ordered_target_encode(df: DataFrame, col: str, target: str, out: str, order_cols: list, prior: float | None = None,
+                          strength: float = 1.0, counted: Column | None = None, block_rows: int = 1 << 18) -> DataFrame:
+    """Mean target of the earlier rows of the same level, drawn towards ``prior`` with ``strength`` rows' weight.
+
+    ``order_cols`` must make a total order; NULL is a level. Rows without a target, or where ``counted`` is false, get
+    a value and add nothing. Rows are numbered by (level, order) and cut into blocks; sums run inside a (level,
+    block) and a carry from the level's earlier blocks is joined in, so a level with a third of all rows spreads over
+    many tasks, and any number of levels takes the same path.
+    """
+    from tabsieve.operators.ordered import global_index
+    y = c_(target).cast("double")
+    use = y.isNotNull() if counted is None else y.isNotNull() & F.coalesce(counted, F.lit(False))
+    prior = target_prior(df, target, counted) if prior is None else prior
+    rows = df.withColumns({"_lvl": c_(col).cast("string"), "_ys": F.when(use, y).otherwise(0.0), "_yn": use.cast("long")})
+    g = global_index(rows, ["_lvl", *order_cols], "_g").withColumn("_blk", F.floor(F.col("_g") / block_rows))
+    before = Window.partitionBy("_lvl", "_blk").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    local = g.withColumns({x: F.coalesce(F.sum(c).over(before), F.lit(0)) for x, c in (("_ls", "_ys"), ("_ln", "_yn"))})
+    blocks = g.groupBy(F.col("_lvl").alias("_cl"), F.col("_blk").alias("_cb")).agg(
+        F.sum("_ys").alias("_bs"), F.sum("_yn").alias("_bn"))
+    earlier = Window.partitionBy("_cl").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    carry = blocks.select("_cl", "_cb", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(x)
+                                          for x, c in (("_cs", "_bs"), ("_cn", "_bn"))])
+    j = local.join(carry, F.col("_lvl").eqNullSafe(F.col("_cl")) & (F.col("_blk") == F.col("_cb")), "left")
+    value = (F.col("_ls") + F.col("_cs") + F.lit(float(prior * strength))) / (F.col("_ln") + F.col("_cn") + F.lit(float(strength)))
+    return j.withColumn(out, value).select(*[c_(c) for c in df.columns if c != out], out)
+
+
+def target_levels(df: DataFrame, col: str, target: str, prior: float, strength: float = 1.0,
+                  counted: Column | None = None) -> LevelTable:
+    """(_lvl, _val): the statistic of ``ordered_target_encode`` after all rows, for rows that come later."""
+    y = c_(target).cast("double")
+    y = y if counted is None else F.when(counted, y)
+    t = df.groupBy(c_(col).cast("string").alias("_lvl")).agg(
+        ((F.coalesce(F.sum(y), F.lit(0.0)) + F.lit(float(prior * strength))) / (F.count(y) + F.lit(float(strength)))).alias("_val"))
+    t, n = materialize(t)
+    return LevelTable(col, t, n)
+
+
 def fill_mode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """NULL -> most frequent value (ties by value ascending)."""
     top = top_k_levels(df, col, 1)

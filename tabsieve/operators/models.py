@@ -6,105 +6,120 @@ column; no model code runs outside Spark.
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabsieve.operators.encode import (
+    LevelTable, level_codes, ordered_target_encode, ordinal_encode_apply, ordinal_encode_fit, target_levels, target_prior,
+)
 
 
 def onehot_encode(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
-    """One-hot vectors ``<col>_ohe`` over the alphabetically ordered train levels.
+    """One-hot vectors ``<col>_ohe`` over the alphabetically ordered train levels, which get their codes in Spark.
 
-    The indexer sends unseen levels and NULL to an extra last index; the encoder's
-    ``dropLast`` removes exactly that slot, so they become all-zero vectors (ignored)."""
-    stages = []
+    Unseen levels and NULL get the code past the last one, which the encoder drops: all-zero vectors. A column
+    without a level gives empty vectors.
+    """
+    train = df if fit_df is None else fit_df
     for c in cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True))
-    model = Pipeline(stages=stages).fit(fit_df if fit_df is not None else df)
-    return model.transform(df).drop(*[f"{c}_idx" for c in cols])
+        codes = level_codes(train, c)
+        if not codes.rows:
+            df = df.withColumn(f"{c}_ohe", array_to_vector(F.array().cast("array<double>")))
+            continue
+        encoder = OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True, handleInvalid="keep")
+        model = encoder.fit(codes.table.select(F.col("_code").cast("double").alias(f"{c}_idx")))
+        coded = codes.join(df, F.col(_quoted(c)).cast("string"))
+        df = model.transform(coded.withColumn(f"{c}_idx", F.coalesce("_code", F.lit(codes.rows)).cast("double")))
+        df = df.drop("_code", f"{c}_idx")
+    return df
 
 
 # --------------------------------------------------------------- assembly
-import functools  # noqa: E402
-from dataclasses import dataclass  # noqa: E402
+#: Bins of a tree's numeric splits.
+BINS = 64
 
-from pyspark.ml.classification import (  # noqa: E402
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler  # noqa: E402
-from pyspark.ml.functions import vector_to_array  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-#: A category with more levels than this enters as a hashed numeric code: its levels would not fit the driver.
-WIDE_LEVELS = 1000
 
+@dataclass
+class CategoryEncoder:
+    """A category as one number: ``levels`` has (_lvl, _val); NULL and unseen levels get their own values."""
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    levels: LevelTable
+    out: str
+    missing: float
+    unseen: float
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        level = F.col(_quoted(self.levels.col)).cast("string")
+        rest = F.when(level.isNull(), F.lit(self.missing)).otherwise(F.lit(self.unseen))
+        return self.levels.join(df, level).withColumn(self.out, F.coalesce("_val", rest).cast("double")).drop("_val")
+
+
+def encode_for_trees(train: DataFrame, col: str, label: str, order_by: list[str], counted: Column | None):
+    """(encoder, ``train`` with its column): ordered target statistics, so a row's own label is not in its feature.
 
+    Later rows get the statistic over all of ``train``; NULL is a level, an unseen level gets the mean label. Equal
+    rows of ``order_by`` are ordered by a hash of the whole row; without ``order_by`` that hash is a permutation.
+    """
+    prior = target_prior(train, label, counted)
+    order = [*order_by, F.xxhash64(*[F.col(_quoted(c)) for c in train.columns])]
+    out = f"{col}__ts"
+    rows = ordered_target_encode(train, col, label, out, order, prior, counted=counted)
+    return CategoryEncoder(target_levels(train, col, label, prior, counted=counted), out, prior, prior), rows
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+def encode_for_linear(train: DataFrame, col: str):
+    """(encoder, ``train`` with its column): codes of the levels by frequency, for one-hot slots.
 
-def category_levels(df: DataFrame, cat_cols: list[str]) -> dict[str, int]:
-    """Distinct levels per category, exact, in one aggregate over (column, level) pairs."""
-    if not cat_cols:
-        return {}
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(_quoted(c)).cast("string").alias("v"))
-                                        for c in cat_cols]))).where("v is not null").distinct()
-    return {c: 0 for c in cat_cols} | {r["c"]: r["n"] for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    NULL is taken for the most frequent level; unseen levels get the code past the last one, a row of zeros.
+    """
+    codes = level_codes(train, col, by="frequency")
+    levels = LevelTable(col, codes.table.select("_lvl", F.col("_code").cast("double").alias("_val")), codes.rows)
+    encoder = CategoryEncoder(levels, f"{col}__code", 0.0, float(codes.rows))
+    return encoder, encoder.apply(train)
 
 
-def feature_pipeline(df: DataFrame, num_cols: list[str], cat_cols: list[str], linear: bool = False) -> tuple[list, int]:
-    """(stages, most levels of an indexed category) fitted on ``df``.
+def feature_stages(df: DataFrame, num_cols: list[str], encoders: list[CategoryEncoder], linear: bool = False) -> list:
+    """Stages that assemble ``features``; the encoders' columns are there already.
 
-    Numerics: exact medians fill NULL (0 when a column has no value). Categories: indexed, or a hashed code beyond
-    ``WIDE_LEVELS`` levels. ``linear`` also standardises numerics by population deviation, fills categories with
-    their most frequent level and one-hot encodes them; slots keep the name of their source before ``__``.
+    Numerics: exact medians fill NULL (0 when a column has no value). ``linear`` also standardises them by population
+    deviation and one-hot encodes the categories' codes; slots keep the name of their source before ``__``.
     """
-    from tabsieve.operators.encode import mode_value
     from tabsieve.operators.transform import medians
-    levels = category_levels(df, cat_cols)
-    wide = [c for c in cat_cols if levels[c] > WIDE_LEVELS]
-    narrow = [c for c in cat_cols if c not in wide]
     med = medians(df, num_cols) if num_cols else {}
-    filled = {c: f"coalesce(CAST({_quoted(c)} AS DOUBLE), {float(med[c] or 0.0)!r}D)" for c in num_cols}
-    filled |= {c: f"CAST(pmod(xxhash64({_quoted(c)}), 1048576) AS DOUBLE)" for c in wide}
+    filled = {c: f"coalesce(nanvl(CAST({_quoted(c)} AS DOUBLE), NULL), {float(med[c] or 0.0)!r}D)" for c in num_cols}
     if linear and filled:
         row = df.agg(*[f(F.expr(e)).alias(f"{n}{i}") for i, e in enumerate(filled.values())
                        for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         filled = {c: f"({e} - {float(row[f'm{i}'] or 0.0)!r}D) / {float(row[f's{i}'] or 0.0) or 1.0!r}D"
                   for i, (c, e) in enumerate(filled.items())}
-    picks = [f"{e} AS {_quoted(c + '__num')}" for c, e in filled.items()]
-    cats = {c: c for c in narrow}
-    if linear:
-        for c in narrow:
-            mode = mode_value(df, c)
-            if mode is not None:
-                picks.append(f"coalesce(CAST({_quoted(c)} AS STRING), {_text(str(mode))}) AS {_quoted(c + '__cat')}")
-                cats[c] = f"{c}__cat"
     stages, slots = [], [f"{c}__num" for c in filled]
-    if picks:
+    if filled:
+        picks = [f"{e} AS {_quoted(c + '__num')}" for c, e in filled.items()]
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(picks)} FROM __THIS__"))
-    for c in narrow:
-        stages.append(StringIndexer(inputCol=cats[c], outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType="frequencyDesc"))
+    for e in encoders:
         if linear:
-            stages.append(OneHotEncoder(inputCol=f"{c}__idx", outputCol=f"{c}__ohe", dropLast=True))
-        slots.append(f"{c}__ohe" if linear else f"{c}__idx")
+            stages.append(OneHotEncoder(inputCol=e.out, outputCol=f"{e.levels.col}__ohe", dropLast=True, handleInvalid="keep"))
+        slots.append(f"{e.levels.col}__ohe" if linear else e.out)
     stages.append(VectorAssembler(inputCols=slots, outputCol="features", handleInvalid="keep"))
-    return stages, max([levels[c] for c in narrow], default=0)
+    return stages
 
 
-def _classifier(kind: str, label: str, weight: str | None, params: dict, seed: int = 42, levels: int = 0):
-    bins = max(64, levels + 1)  # a tree needs a bin per level, and one for unseen levels
+def _classifier(kind: str, label: str, weight: str | None, params: dict, seed: int = 42):
     if kind == "gbt":
-        m = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=bins, **params)
+        m = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **{"maxBins": BINS, **params})
     elif kind == "rf":
-        m = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=bins, **params)
+        m = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **{"maxBins": BINS, **params})
     elif kind == "lr":  # numerics are standardised already; one-hot columns are penalised as they are
         m = LogisticRegression(labelCol=label, featuresCol="features", standardization=False, **params)
     else:
@@ -120,13 +135,16 @@ class FittedModel:
     num_cols: list
     cat_cols: list
     kind: str
+    encoders: list[CategoryEncoder]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        for e in self.encoders:
+            df = e.apply(df)
+        return self.model.transform(df).drop(*[e.out for e in self.encoders])
 
     def slot_sources(self, df: DataFrame) -> list[str]:
         """Source column of every slot of the assembled vector (from ML attribute metadata)."""
-        out = self.model.transform(df.limit(0))
+        out = self.transform(df.limit(0))
         meta = out.schema["features"].metadata.get("ml_attr", {})
         attrs = []
         for group in meta.get("attrs", {}).values():
@@ -141,31 +159,46 @@ class FittedModel:
 
 
 def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
-                   weight: str | None = None, params: dict | None = None, seed: int = 42) -> FittedModel:
-    # the statistics, indexers and the estimator each scan the input: read it once, then release it
-    cols = list(dict.fromkeys(list(num_cols) + list(cat_cols) + [label] + ([weight] if weight else [])
-                              + ([params["validationIndicatorCol"]] if params and "validationIndicatorCol" in params else [])))
-    src = train.select(*cols).persist()
+                   weight: str | None = None, params: dict | None = None, seed: int = 42,
+                   order_by: list[str] | None = None) -> FittedModel:
+    """Fit on numerics and categories of any width. Trees read a category as ordered target statistics in the order of
+    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels."""
+    # the statistics, encoders and the estimator each scan the input: read it once, then release it
+    params = params or {}
+    val = params.get("validationIndicatorCol")
+    cols = dict.fromkeys([*num_cols, *cat_cols, label, *(order_by or []), *filter(None, [weight, val])])
+    src = train.select(*[F.col(_quoted(c)) for c in cols]).persist()
     try:
-        stages, levels = feature_pipeline(src, list(num_cols), list(cat_cols), linear=(kind == "lr"))
-        stages.append(_classifier(kind, label, weight, params or {}, seed, levels))
-        model = Pipeline(stages=stages).fit(src)
+        encoders, rows = [], src
+        for c in cat_cols:
+            if kind == "lr":
+                encoder, rows = encode_for_linear(rows, c)
+            else:
+                encoder, rows = encode_for_trees(rows, c, label, order_by or [], ~F.col(_quoted(val)) if val else None)
+            if kind != "lr" or encoder.levels.rows:  # a category without a level has no slot
+                encoders.append(encoder)
+        rows = rows.persist() if encoders else rows
+        stages = feature_stages(src, list(num_cols), encoders, linear=(kind == "lr"))
+        stages.append(_classifier(kind, label, weight, params, seed))
+        model = Pipeline(stages=stages).fit(rows)
+        rows.unpersist()
     finally:
         src.unpersist()
-    return FittedModel(model, list(num_cols), list(cat_cols), kind)
+    return FittedModel(model, list(num_cols), list(cat_cols), kind, encoders)
 
 
 def fit_boosted_trees(train: DataFrame, label: str, num_cols, cat_cols, weight=None, max_iter: int = 20,
-                      depth: int = 5, step: float = 0.1, val_col: str | None = None, seed: int = 42) -> FittedModel:
+                      depth: int = 5, step: float = 0.1, val_col: str | None = None, seed: int = 42,
+                      order_by: list[str] | None = None) -> FittedModel:
     params = dict(maxIter=max_iter, maxDepth=depth, stepSize=step)
     if val_col:
         params["validationIndicatorCol"] = val_col
-    return fit_classifier(train, label, num_cols, cat_cols, "gbt", weight, params, seed)
+    return fit_classifier(train, label, num_cols, cat_cols, "gbt", weight, params, seed, order_by)
 
 
 def fit_random_forest(train: DataFrame, label: str, num_cols, cat_cols, n_trees: int = 20, depth: int = 5,
-                      seed: int = 42) -> FittedModel:
-    return fit_classifier(train, label, num_cols, cat_cols, "rf", None, dict(numTrees=n_trees, maxDepth=depth), seed)
+                      seed: int = 42, order_by: list[str] | None = None) -> FittedModel:
+    return fit_classifier(train, label, num_cols, cat_cols, "rf", None, dict(numTrees=n_trees, maxDepth=depth), seed, order_by)
 
 
 def fit_elastic_net(train: DataFrame, label: str, num_cols, cat_cols, C: float = 1.0, l1_ratio: float = 0.5,
@@ -305,18 +338,31 @@ def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[st
     return train.sparkSession.createDataFrame(rows, "dropped int, ap double, improved boolean")
 
 
-def score_rows(model: PipelineModel | FittedModel, df: DataFrame, id_col: str, cls: int = 0) -> DataFrame:
+def score_rows(model: FittedModel, df: DataFrame, id_col: str, cls: int = 0) -> DataFrame:
     """(id, score) = probability of class ``cls``; works on unlabelled rows."""
-    m = model.model if isinstance(model, FittedModel) else model
-    return probability_of(m.transform(df), cls, "score").select(F.col(id_col).alias("id"), "score")
+    return probability_of(model.transform(df), cls, "score").select(F.col(id_col).alias("id"), "score")
 
 
 def save_model(fm: FittedModel, path: str) -> None:
-    fm.model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """The pipeline, a table per category and a row per category with its settings, under ``path``."""
+    fm.model.write().overwrite().save(f"{path}/model")
+    for i, e in enumerate(fm.encoders):
+        e.levels.table.write.mode("overwrite").parquet(f"{path}/levels/{i}")
+    spark = SparkSession.active()
+    rows = [(i, e.levels.col, e.out, e.missing, e.unseen, e.levels.rows) for i, e in enumerate(fm.encoders)]
+    spark.createDataFrame(rows, "i int, col string, out string, missing double, unseen double, rows long").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/encoders")
+    spark.createDataFrame([(fm.num_cols, fm.cat_cols, fm.kind)], "num array<string>, cat array<string>, kind string").write.mode(
+        "overwrite").parquet(f"{path}/columns")
+
+
+def load_model(path: str) -> FittedModel:
+    spark = SparkSession.active()
+    about = spark.read.parquet(f"{path}/columns").first()
+    encoders = [CategoryEncoder(LevelTable(r["col"], spark.read.parquet(f"{path}/levels/{r['i']}"), r["rows"]), r["out"],
+                                r["missing"], r["unseen"])
+                for r in spark.read.parquet(f"{path}/encoders").orderBy("i").collect()]  # a row per category
+    return FittedModel(PipelineModel.load(f"{path}/model"), list(about["num"]), list(about["cat"]), about["kind"], encoders)
 
 
 # ----------------------------------------------------------- error clusters
@@ -329,15 +375,13 @@ def cluster_errors(df: DataFrame, num_cols, cat_cols, k: int = 4, max_pcs: int =
     if n < 2:
         return df.withColumn("cluster", F.lit(None).cast("int"))
     filled = df.fillna(0, subset=list(num_cols))
-    stages, codes = [], []
-    for c in cat_cols:
-        filled = filled.withColumn(f"{c}__text", F.coalesce(F.col(_quoted(c)).cast("string"), F.lit("missing")))
-        stages.append(StringIndexer(inputCol=f"{c}__text", outputCol=f"{c}__code", stringOrderType="alphabetAsc"))
-        codes.append(f"{c}__code")
+    stages, codes = [], [f"{c}__code" for c in cat_cols]
+    for c in cat_cols:  # codes are given out in Spark, whatever the number of levels
+        filled = ordinal_encode_apply(filled, ordinal_encode_fit(df, c), f"{c}__code")
     stages.append(VectorAssembler(inputCols=list(num_cols) + codes, outputCol="_raw", handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="_raw", outputCol="_z", withMean=True, withStd=True))
     n_pc = max(1, min(max_pcs, len(num_cols) + len(codes)))
     stages.append(PCA(k=n_pc, inputCol="_z", outputCol="_pc"))
     stages.append(KMeans(k=min(k, n), seed=seed, featuresCol="_pc", predictionCol="cluster"))
     model = Pipeline(stages=stages).fit(filled)
-    return model.transform(filled).drop("_raw", "_z", "_pc", *codes, *[f"{c}__text" for c in cat_cols])
+    return model.transform(filled).drop("_raw", "_z", "_pc", *codes)

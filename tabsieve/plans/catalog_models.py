@@ -36,6 +36,7 @@ ML_COLUMNS = [
 ML_SQL = "SELECT " + ", ".join(f"{e} AS {a}" for a, e in ML_COLUMNS) + " FROM lineitem"
 NUM = ["quantity", "price", "discount", "tax"]
 CAT = ["status", "flag"]
+TIME = ["ship_dt", "lead_id"]
 # Settings of the registered fits. They are small so that every key can be run for each check; the operators take
 # any size (the reference's own runs use 2,000 iterations and 10-25 tuning trials).
 GBT_ITER, GBT_DEPTH, RF_TREES, QUICK_ITER, QUICK_DEPTH, TRIALS = 8, 4, 10, 4, 3, 2
@@ -57,19 +58,36 @@ def _class_weights(spark, sf):
     return d.groupBy("y").agg(F.first("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
+@query("ordered_target_encode", with_cte(
+    "SELECT lead_id, round((coalesce(sum(y) OVER w, 0) + (SELECT avg(y) FROM m)) / (count(*) OVER w + 1.0), 9) AS part_ts, "
+    "round((coalesce(sum(y) OVER v, 0) + (SELECT avg(y) FROM m)) / (count(*) OVER v + 1.0), 9) AS flag_ts "
+    "FROM m "
+    "WINDOW w AS (PARTITION BY l_partkey ORDER BY ship_dt, lead_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), "
+    "v AS (PARTITION BY flag ORDER BY ship_dt, lead_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    m=ML_SQL.replace(" FROM lineitem", ", l_partkey FROM lineitem")))
+def _ordered_target(spark, sf):
+    """A category with as many levels as parts, and one of three levels, by the same path."""
+    from tabsieve.operators.encode import ordered_target_encode
+    rows = read(spark, sf, "lineitem").selectExpr(*[f"{e} AS {a}" for a, e in ML_COLUMNS], "l_partkey")
+    out = ordered_target_encode(rows, "l_partkey", "y", "part_ts", TIME, block_rows=4096)
+    out = ordered_target_encode(out, "flag", "y", "flag_ts", TIME, block_rows=4096)
+    return out.select("lead_id", *[F.round(c, 9).alias(c) for c in ("part_ts", "flag_ts")])
+
+
 @query("fit_boosted_trees", None)
 def _fit_gbt(spark, sf):
     s = V.time_split_val(ml_table(spark, sf), "ship_dt", "lead_id")  # train / val / test by time
     trval = s.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
     wt = V.class_weight_column(trval, "y", "fixed", {0: 5.0, 1: 1.0})
-    fm = M.fit_boosted_trees(wt, "y", NUM, CAT, weight="weight", max_iter=GBT_ITER, depth=GBT_DEPTH, val_col="is_val")
+    fm = M.fit_boosted_trees(wt, "y", NUM, CAT, weight="weight", max_iter=GBT_ITER, depth=GBT_DEPTH, val_col="is_val",
+                             order_by=TIME)
     return M.score_rows(fm, s.where("split = 'test'"), "lead_id", cls=0)
 
 
 @query("fit_random_forest", None)
 def _fit_rf(spark, sf):
     s = _split(spark, sf)
-    fm = M.fit_random_forest(s.where("split = 'train'"), "y", NUM, CAT, n_trees=RF_TREES, depth=GBT_DEPTH)
+    fm = M.fit_random_forest(s.where("split = 'train'"), "y", NUM, CAT, n_trees=RF_TREES, depth=GBT_DEPTH, order_by=TIME)
     return M.score_rows(fm, s.where("split = 'test'"), "lead_id", cls=0)
 
 
@@ -84,7 +102,7 @@ def _fit_en(spark, sf):
 def _importance(spark, sf):
     s = _split(spark, sf)
     train = s.where("split = 'train'")
-    fm = M.fit_random_forest(train, "y", NUM, CAT, n_trees=RF_TREES, depth=GBT_DEPTH)
+    fm = M.fit_random_forest(train, "y", NUM, CAT, n_trees=RF_TREES, depth=GBT_DEPTH, order_by=TIME)
     return M.feature_importance(fm, train)
 
 
@@ -100,7 +118,7 @@ def _fold_onehot(spark, sf):
 def _select_top(spark, sf):
     s = _split(spark, sf)
     train = s.where("split = 'train'")
-    fm = M.fit_boosted_trees(train, "y", NUM, CAT, max_iter=GBT_ITER, depth=GBT_DEPTH)
+    fm = M.fit_boosted_trees(train, "y", NUM, CAT, max_iter=GBT_ITER, depth=GBT_DEPTH, order_by=TIME)
     imp = M.feature_importance(fm, train)
     return imp.orderBy(F.desc("importance"), "feature").limit(4)
 
@@ -129,7 +147,7 @@ def _ablation(spark, sf):
 def _tail(spark, sf):
     s = _split(spark, sf)
     train = s.where("split = 'train'")
-    imp = M.feature_importance(M.fit_random_forest(train, "y", NUM, CAT, n_trees=RF_TREES, depth=GBT_DEPTH), train)
+    imp = M.feature_importance(M.fit_random_forest(train, "y", NUM, CAT, n_trees=RF_TREES, depth=GBT_DEPTH, order_by=TIME), train)
     ranked = [r["feature"] for r in imp.orderBy(F.desc("importance"), "feature").collect()]  # one row per feature
     return M.tail_pruning(train, s.where("split = 'test'"), "y", ranked, NUM, CAT,
                           sizes=[3, 2, 1], params=dict(maxIter=QUICK_ITER, maxDepth=QUICK_DEPTH))
@@ -138,7 +156,7 @@ def _tail(spark, sf):
 @query("score_rows", None)
 def _score(spark, sf):
     s = _split(spark, sf)
-    fm = M.fit_boosted_trees(s.where("split = 'train'"), "y", NUM, CAT, max_iter=GBT_ITER, depth=QUICK_DEPTH)
+    fm = M.fit_boosted_trees(s.where("split = 'train'"), "y", NUM, CAT, max_iter=GBT_ITER, depth=QUICK_DEPTH, order_by=TIME)
     path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     M.save_model(fm, path)
     unlabelled = s.where("split = 'test'").drop("y")

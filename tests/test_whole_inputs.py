@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.operators import assoc as A
 from tabsieve.operators import dates as D
+from tabsieve.operators import encode as E
 from tabsieve.operators import evaluate as V
 from tabsieve.operators import models as M
 from tabsieve.operators import pairs as PR
@@ -46,11 +47,42 @@ def test_every_test_fold_is_scored(spark):
         M.tune_params(one_class, "y", ["t"], [], {"maxDepth": [2]}, n_trials=1, kind="rf")
 
 
-@pytest.mark.parametrize("levels", [100, 1200])
-def test_wide_categories_train(spark, levels):
-    df = spark.range(2400).select(F.concat(F.lit("c"), F.col("id") % levels).alias("c"), (F.col("id") % 2).cast("int").alias("y"))
-    fm = M.fit_random_forest(df, "y", [], ["c"], n_trees=2, depth=3)
-    assert M.score_rows(fm, df.withColumn("id", F.col("c")), "id").count() == 2400
+@pytest.mark.parametrize("levels", [3, 1001, 1_000_000])
+def test_categories_of_any_width_train_on_one_path(spark, levels):
+    n = max(2400, levels)
+    df = spark.range(n).select("id", F.concat(F.lit("c"), F.col("id") % levels).alias("c"), (F.col("id") % 2).cast("int").alias("y"))
+    fm = M.fit_random_forest(df, "y", [], ["c"], n_trees=1, depth=2, order_by=["id"])
+    assert [type(s).__name__ for s in fm.model.stages] == ["VectorAssembler", "RandomForestClassificationModel"]
+    assert fm.encoders[0].levels.rows == levels
+    assert M.score_rows(fm, df.limit(500).union(spark.createDataFrame([(-1, None, 0), (-2, "new", 0)], df.schema)), "id").count() == 502
+    if levels <= 1001:
+        lin = M.fit_elastic_net(df, "y", [], ["c"])
+        assert lin.model.stages[-1].numFeatures == levels
+
+
+def test_ordered_statistics_follow_their_definition(spark):
+    """Against a running mean in Python; a hot level over many blocks, null levels, rows that do not count."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["hot", "hot", "hot", None, f"lv{rng.randint(0, 40)}"]), rng.choice([0, 1, 1, None]), rng.random() < 0.8)
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, c string, y int, used boolean")
+    got = {r.id: r.ts for r in E.ordered_target_encode(df, "c", "y", "ts", ["id"], prior=0.25, strength=2.0,
+                                                       counted=F.col("used"), block_rows=50).collect()}
+    sums = {}
+    for i, c, y, used in rows:
+        s, n = sums.get(c, (0, 0))
+        assert got[i] == pytest.approx((s + 0.5) / (n + 2.0)), i
+        sums[c] = (s + y, n + 1) if used and y is not None else (s, n)
+    after = {r._lvl: r._val for r in E.target_levels(df, "c", "y", 0.25, 2.0, F.col("used")).table.collect()}
+    assert after == {c: pytest.approx((s + 0.5) / (n + 2.0)) for c, (s, n) in sums.items()}
+
+
+def test_saved_models_score_the_same(spark, tmp_path):
+    df = labelled(spark)
+    fm = M.fit_boosted_trees(df, "y", ["t"], ["wide", "cat"], max_iter=2, depth=2, order_by=["lead_id"])
+    M.save_model(fm, str(tmp_path / "m"))
+    a, b = (sorted(map(tuple, M.score_rows(m, df, "lead_id").collect())) for m in (fm, M.load_model(str(tmp_path / "m"))))
+    assert a == b and len(a) == 600
 
 
 def test_saturated_logistic_gives_group_rates(spark):
@@ -64,20 +96,34 @@ def test_saturated_logistic_gives_group_rates(spark):
     assert got[None] == pytest.approx(got["a"])
 
 
+UNBAGGED = dict(numTrees=1, maxDepth=4, bootstrap=False, featureSubsetStrategy="all")
+
+
 def test_unbagged_tree_splits_cells(spark):
     # siblings predict different classes; Spark merges leaves that predict the same one
-    cells = {(0.0, "a"): 10, (0.0, "b"): 60, (1.0, "a"): 30, (1.0, "b"): 90}
+    cells = {(0.0, 0.0): 10, (0.0, 1.0): 60, (1.0, 0.0): 30, (1.0, 1.0): 90}
     rows = [(x, c, int(i < k)) for (x, c), k in cells.items() for i in range(100)]
-    df = spark.createDataFrame(rows, "x double, c string, y int")
-    fm = M.fit_classifier(df, "y", ["x"], ["c"], "rf", None, dict(numTrees=1, maxDepth=4, bootstrap=False,
-                                                                  featureSubsetStrategy="all"))
+    df = spark.createDataFrame(rows, "x double, c double, y int")
+    fm = M.fit_classifier(df, "y", ["x", "c"], [], "rf", None, UNBAGGED)
     got = {(r.x, r.c): r.p for r in M.probability_of(fm.transform(df), 1, "p").select("x", "c", "p").distinct().collect()}
-    assert got[(0.0, "b")] > 0.5 > got[(0.0, "a")] and got[(1.0, "b")] > 0.5 > got[(1.0, "a")]
+    assert got[(0.0, 1.0)] > 0.5 > got[(0.0, 0.0)] and got[(1.0, 1.0)] > 0.5 > got[(1.0, 0.0)]
     assert sum(got.values()) / 4 == pytest.approx(0.475, abs=0.1)
     imp = {r.feature: r.importance for r in M.feature_importance(fm, df).collect()}
     assert imp["c"] > imp.get("x", 0.0) and sum(imp.values()) == pytest.approx(1)
 
 
+def test_tree_learns_a_category(spark):
+    """Training rows carry the statistic of earlier rows, which settles on the level's rate."""
+    rng = random.Random(5)
+    rate = {"a": 0.1, "b": 0.6, "c": 0.3, "d": 0.9, None: 0.75}
+    rows = [(i, v, int(rng.random() < rate[v])) for i, v in enumerate(rng.choices(list(rate), k=8000))]
+    df = spark.createDataFrame(rows, "id long, v string, y int")
+    fm = M.fit_classifier(df, "y", [], ["v"], "rf", None, UNBAGGED, order_by=["id"])
+    got = {r.v: r.p for r in M.probability_of(fm.transform(df), 1, "p").select("v", "p").distinct().collect()}
+    assert sorted(got, key=got.get)[:2] in (["a", "c"], ["c", "a"]) and all((got[v] > 0.5) == (rate[v] > 0.5) for v in rate)
+    assert V.roc_auc(M.probability_of(fm.transform(df), 1, "p"), "y", "p").first()[0] > 0.75
+
+
 def test_planted_clusters(spark):
     rows = [(float(100 * g + i % 3), "k%d" % g) for g, n in enumerate((20, 30, 50)) for i in range(n)]
     df = spark.createDataFrame(rows, "x double, c string")
