@@ -439,12 +439,21 @@ STRUCTURED_COLUMNS = [
 ]
 
 
+# dates that the structured transforms clip, by transform
+CLIPPED_DATES = {
+    "contact_update_delay": ["contact_created_dt", "contact_updated_dt"],
+    "delivery_delays": ["lead_created_dt", "handed_to_delivery_dt", "sale_date_dt"],
+    "assembly_delay": ["lead_created_dt", "lead_Дата перехода в Сборку"],
+}
+
+
 def structured_leads(spark, sf):
     j = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return j.selectExpr(*[f"{e} AS `{a}`" for a, e, _ in STRUCTURED_COLUMNS])
 
 
-def _lead_set_sql():
+def _lead_set_sql(clip=None):
+    """SQL of the features; ``clip`` (start, end) sets the clipped date columns outside it to NULL first."""
     from tabsieve.plans import structured as SX
     raw = ("SELECT " + ", ".join(f'{d or e} AS "{a}"' for a, e, d in STRUCTURED_COLUMNS)
            + " FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -492,7 +501,9 @@ def _lead_set_sql():
         "problem_grouped": f'CASE WHEN "lead_Проблема" IN ({main}) THEN "lead_Проблема" ELSE \'other\' END',
     }
     return with_cte(
-        "SELECT " + ", ".join(f"{e} AS {a}" for a, e in cols.items()) + " FROM t", r=raw,
+        "SELECT " + ", ".join(f"{e} AS {a}" for a, e in cols.items()) + " FROM t", r=raw if not clip else "SELECT * REPLACE (" + ", ".join(
+            f'CASE WHEN "{c}" BETWEEN TIMESTAMP \'{clip[0]}\' AND TIMESTAMP \'{clip[1]}\' THEN "{c}" END AS "{c}"'
+            for c in sorted({c for own in CLIPPED_DATES.values() for c in own})) + f") FROM ({raw})",
         t="SELECT *, " + clean("lead_utm_campaign", ["{campaing_id}", "Неизвестно"]) + ' AS camp, "contact_Источник трафика" AS src, '
           + clean("lead_utm_term", ["Неизвестно"]) + " AS term, " + clean("lead_utm_sky", ["{keyword}"]) + " AS sky, "
           'CASE WHEN "lead_Категория и варианты выбора" = \'Нет категории\' THEN \'unknown\' ELSE '
@@ -508,14 +519,52 @@ def _lead_set(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in rounded})
 
 
-@query("lead_feature_plan", "SELECT * FROM (VALUES ('payment_type', 'lead_Вид оплаты', 'lead_Вид оплаты', '', true), "
-       "('delivery_type', 'lead_Служба доставки', 'lead_Служба доставки', '', true), ('utm_campaign', 'lead_utm_campaign', "
-       "'lead_utm_campaign', '', true), ('lead_group', 'lead_group', 'lead_group', '', true), ('width', 'lead_Ширина', '', "
-       "'lead_Ширина', false)) t(transform, required, available, missing, runnable)")
-def _lead_plan(spark, sf):
+CLIP = ("1993-01-01", "1998-01-01")
+
+
+def _observed_plan_sql():
+    from tabsieve.plans import structured as SX
+    raw = ("SELECT " + ", ".join(f'{d or e} AS "{a}"' for a, e, d in STRUCTURED_COLUMNS)
+           + " FROM orders JOIN customer ON o_custkey = c_custkey")
+    have = [a for a, _, _ in STRUCTURED_COLUMNS]
+    rows, done = [], set()
+    for t in SX.transforms():
+        new = [c for c in CLIPPED_DATES.get(t.name, []) if c not in done]  # a date that is NULL already is not clipped again
+        done |= set(new)
+        clipped = " + ".join(f"count(*) FILTER (\"{c}\" NOT BETWEEN TIMESTAMP '{CLIP[0]}' AND TIMESTAMP '{CLIP[1]}')" for c in new)
+        rows.append(f"SELECT '{t.name}' AS transform, '{','.join(t.needs)}' AS required, '' AS missing, true AS runnable, "
+                    f"'{','.join(t.makes)}' AS new_columns, '{','.join(c for c in t.drops if c in have)}' AS dropped, "
+                    f"'{','.join(c for c in t.drops if c not in have)}' AS skipped_drops, (SELECT count(*) FROM f) AS rows, "
+                    f"(SELECT {' + '.join(f'count({c})' for c in t.makes)} FROM f) AS filled, "
+                    f"(SELECT {clipped or '0'}::BIGINT FROM x{'' if clipped else ' LIMIT 1'}) AS clipped")
+    return with_cte(" UNION ALL ".join(rows), f=_lead_set_sql(CLIP), x=raw)
+
+
+def _observed_stats_sql():
     from tabsieve.plans import structured as SX
-    plan = SX.plan(raw_leads(spark, sf), SX.transforms())
-    return plan.where(F.col("transform").isin("payment_type", "delivery_type", "utm_campaign", "lead_group", "width"))
+    text = {"width_cat", "lead_payment_type", "lead_delivery_type"}
+    rows = [f"SELECT '{t.name}' AS transform, '{c}' AS feature, count({c}) AS filled, "
+            + (f"CAST(NULL AS DOUBLE) AS mean, count(DISTINCT {c}) AS levels" if c in text or c.endswith("_grouped") else
+               f"round(avg({c}), 6) AS mean, CAST(NULL AS BIGINT) AS levels") + " FROM f"
+            for t in SX.transforms() for c in t.makes]
+    return with_cte(" UNION ALL ".join(rows), f=_lead_set_sql(CLIP))
+
+
+def _observed(spark, sf):
+    from tabsieve.plans import structured as SX
+    path = f"{checkpoint_dir(spark)}/lead-features-{uuid.uuid4().hex}"
+    return SX.write_observed(structured_leads(spark, sf), SX.transforms(start=CLIP[0], end=CLIP[1]), path)
+
+
+@query("lead_feature_plan", _observed_plan_sql())
+def _lead_plan(spark, sf):
+    """All transforms with what they did to the whole table, seen by the write itself."""
+    return _observed(spark, sf)[0]
+
+
+@query("lead_feature_statistics", _observed_stats_sql())
+def _lead_statistics(spark, sf):
+    return _observed(spark, sf)[1].withColumn("mean", F.round("mean", 6))
 
 
 def _cleaning_sql(cols=None, steps=("empty", "dominant", "duplicate", "manual"), step_type="INT",

@@ -8,10 +8,11 @@ the level; everything else is one projection.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabsieve.functions import rules as R
@@ -49,6 +50,9 @@ PROBLEM_MAIN = [
 CAMPAIGN_TOP, SOURCE_TOP, TERM_TOP = 20, 20, 40
 # ---------------------------------------------------------------------------
 
+#: Prefix of the columns that count clipped dates while the transforms run.
+CLIPPED = "_clipped_"
+
 
 @dataclass
 class Transform:
@@ -70,9 +74,14 @@ def _join_level(df: DataFrame, level: Column, stat: DataFrame, out: str) -> Data
 
 
 def transforms(target: str = "buyout_flag", start: str | None = None, end: str | None = None) -> list[Transform]:
-    """The eighteen transforms in order; with ``start`` and ``end``, dates outside them become NULL first."""
-    def clipped(df: DataFrame, cols: list[str]) -> DataFrame:
-        return df.withColumns({c: date_out_of_range_to_null(c_(c), start, end) for c in cols}) if start and end else df
+    """The eighteen transforms in order; with ``start`` and ``end``, dates outside them become NULL first (and a mark
+    per transform counts them until the drops)."""
+    def clipped(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        if not (start and end):
+            return df
+        inside = {c: date_out_of_range_to_null(c_(c), start, end) for c in cols}
+        lost = [(c_(c).isNotNull() & x.isNull()).cast("int") for c, x in inside.items()]
+        return df.withColumns({CLIPPED + name: functools.reduce(lambda a, b: a + b, lost)}).withColumns(inside)
 
     def group_quality(df):
         level = F.coalesce(c_("lead_group_id").cast("string"), F.lit("unknown"))
@@ -87,17 +96,18 @@ def transforms(target: str = "buyout_flag", start: str | None = None, end: str |
         return _join_level(df, level, stat, "lead_category_freq")
 
     def contact_delay(df):
-        df = clipped(df, ["contact_created_dt", "contact_updated_dt"])
+        df = clipped(df, ["contact_created_dt", "contact_updated_dt"], "contact_update_delay")
         return T.delay_days_features(df, "contact_created_dt", "contact_updated_dt", "contact_update_delay", fill="median")
 
     def delivery_delays(df):
-        df = clipped(df, ["lead_created_dt", "handed_to_delivery_dt", "sale_date_dt"])
+        df = clipped(df, ["lead_created_dt", "handed_to_delivery_dt", "sale_date_dt"], "delivery_delays")
         df = T.delay_days_features(df, "lead_created_dt", "handed_to_delivery_dt", "lead_to_delivery_days")
         return T.delay_days_features(df, "sale_date_dt", "handed_to_delivery_dt", "sale_to_delivery")
 
     def assembly(df):
         end_col = "lead_Дата перехода в Сборку"
-        df = T.capped_delay(clipped(df, ["lead_created_dt", end_col]), "lead_created_dt", end_col, "lead_to_assembly")
+        df = T.capped_delay(clipped(df, ["lead_created_dt", end_col], "assembly_delay"), "lead_created_dt", end_col,
+                            "lead_to_assembly")
         return df.withColumnRenamed("lead_to_assembly_flag", "assembly_flag")
 
     def grouped(col, missing, out, k, other, placeholders=()):
@@ -118,30 +128,30 @@ def transforms(target: str = "buyout_flag", start: str | None = None, end: str |
         return lambda df: df.withColumns({missing: c_(col).isNull().cast("int"), out: X.whitelist_group(c_(col), main)})
 
     def with_(**columns):
-        return lambda df: df.withColumns(columns)
+        return lambda df: df.withColumns({name: make() for name, make in columns.items()})
 
-    mass = c_("lead_Масса (гр)")
+    mass = "lead_Масса (гр)"
     return [
-        Transform("width", ["lead_Ширина"], ["width_cat"], ["lead_Ширина"], with_(width_cat=R.width_category(c_("lead_Ширина")))),
+        Transform("width", ["lead_Ширина"], ["width_cat"], ["lead_Ширина"], with_(width_cat=lambda: R.width_category(c_("lead_Ширина")))),
         Transform("height", ["lead_Линейная высота (см)"], ["lead_height_known"], ["lead_Линейная высота (см)"],
-                  with_(lead_height_known=T.known_flag(c_("lead_Линейная высота (см)")))),
+                  with_(lead_height_known=lambda: T.known_flag(c_("lead_Линейная высота (см)")))),
         Transform("payment_type", ["lead_Вид оплаты"], ["lead_payment_type"], ["lead_Вид оплаты", "returned_dt"],
-                  with_(lead_payment_type=R.payment_type(c_("lead_Вид оплаты")))),
+                  with_(lead_payment_type=lambda: R.payment_type(c_("lead_Вид оплаты")))),
         Transform("delivery_type", ["lead_Служба доставки"], ["lead_delivery_type"],
                   ["lead_Служба доставки", "lead_Компания Отправитель"],
-                  with_(lead_delivery_type=R.delivery_type(c_("lead_Служба доставки")))),
+                  with_(lead_delivery_type=lambda: R.delivery_type(c_("lead_Служба доставки")))),
         Transform("group_quality", ["lead_group_id", target], ["lead_group_quality"], ["lead_group_id"], group_quality),
         Transform("mass", ["lead_Масса (гр)"], ["lead_mass_known", "lead_mass_log"], ["lead_Масса (гр)", "lead_closed_dt"],
-                  with_(lead_mass_known=T.known_flag(mass), lead_mass_log=T.log1p_nonnegative(mass, fill=0.0))),
+                  with_(lead_mass_known=lambda: T.known_flag(c_(mass)), lead_mass_log=lambda: T.log1p_nonnegative(c_(mass), fill=0.0))),
         Transform("contact_update_delay", ["contact_created_dt", "contact_updated_dt"], ["contact_update_delay_log"],
                   ["contact_created_dt", "contact_updated_dt"], contact_delay),
         Transform("paid_traffic", ["lead_utm_medium"], ["is_paid_traffic"], ["lead_utm_medium"],
-                  with_(is_paid_traffic=_flag(F.lower(c_("lead_utm_medium")).rlike(PAID_TRAFFIC)))),
+                  with_(is_paid_traffic=lambda: _flag(F.lower(c_("lead_utm_medium")).rlike(PAID_TRAFFIC)))),
         Transform("category_freq", ["lead_Категория и варианты выбора"], ["lead_category_freq"],
                   ["lead_Категория и варианты выбора", "received_dt"], category_freq),
         Transform("phone_model", ["lead_Модель телефона"], ["is_feature_phone"],
                   ["lead_Модель телефона", "lead_Дата перехода Передан в доставку"],
-                  with_(is_feature_phone=_flag(c_("lead_Модель телефона") == FEATURE_PHONE))),
+                  with_(is_feature_phone=lambda: _flag(c_("lead_Модель телефона") == FEATURE_PHONE))),
         Transform("delivery_delays", ["lead_created_dt", "handed_to_delivery_dt", "sale_date_dt"],
                   ["lead_to_delivery_days_log", "lead_to_delivery_days_missing", "sale_to_delivery_log",
                    "sale_to_delivery_missing"], ["handed_to_delivery_dt"], delivery_delays),
@@ -172,12 +182,9 @@ def plan(df: DataFrame, steps: list[Transform]) -> DataFrame:
         rows, "transform string, required string, available string, missing string, runnable boolean")
 
 
-def apply(df: DataFrame, steps: list[Transform], strict: bool = True) -> tuple[DataFrame, list[str]]:
-    """(features, dropped columns): every transform in order, then the deferred drops.
-
-    ``strict`` raises on a missing column; otherwise such a transform is left out, and its drops with it.
-    """
-    out, gone = df, []
+def _transformed(df: DataFrame, steps: list[Transform], strict: bool) -> tuple[DataFrame, list[str], list[Transform]]:
+    """(all columns after the transforms, columns to drop, transforms that ran)."""
+    out, gone, ran = df, [], []
     for t in steps:
         missing = [c for c in t.needs if c not in out.columns]
         if missing and strict:
@@ -185,19 +192,55 @@ def apply(df: DataFrame, steps: list[Transform], strict: bool = True) -> tuple[D
         if not missing:
             out = t.apply(out)
             gone += [c for c in t.drops if c in df.columns]
-    return out.drop(*gone), gone
-
-
-def statistics(features: DataFrame, steps: list[Transform]) -> DataFrame:
-    """(transform, feature, mean, levels): mean of numeric features, distinct values of text features, in one pass."""
-    names = [(t.name, c) for t in steps for c in t.makes if c in features.columns]
-    text = {f.name for f in features.schema.fields if f.dataType.simpleString() == "string"}
-    # grouped text features have at most a few dozen levels by construction
-    aggs = [F.size(F.collect_set(c_(c))).cast("double").alias(f"s{i}")
-            if c in text else F.avg(c_(c).cast("double")).alias(f"s{i}") for i, (_, c) in enumerate(names)]
-    row = features.agg(*aggs)
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(t).alias("transform"), F.lit(c).alias("feature"),
-                 (F.lit(None).cast("double") if c in text else F.col(f"s{i}")).alias("mean"),
-                 (F.col(f"s{i}") if c in text else F.lit(None).cast("double")).cast("bigint").alias("levels"))
-        for i, (t, c) in enumerate(names)])))
+            ran.append(t)
+    return out, gone, ran
+
+
+def apply(df: DataFrame, steps: list[Transform], strict: bool = True) -> tuple[DataFrame, list[str]]:
+    """(features, dropped columns): every transform in order, then the deferred drops.
+
+    ``strict`` raises on a missing column; otherwise such a transform is left out, and its drops with it.
+    """
+    out, gone, _ = _transformed(df, steps, strict)
+    return out.drop(*gone, *[c for c in out.columns if c.startswith(CLIPPED)]), gone
+
+
+def write_observed(df: DataFrame, steps: list[Transform], path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Write the features under ``path``; returns (plan, statistics) observed while they were written.
+
+    plan: (transform, required, missing, runnable, new_columns, dropped, skipped_drops, rows, filled, clipped), a row
+    per transform; ``skipped_drops`` are columns to drop that the input lacks, ``filled`` the values of the new columns
+    that are not NULL, ``clipped`` the dates that became NULL. statistics: (transform, feature, filled, mean, levels)
+    with the mean of a numeric feature or the distinct values of a text feature. No second pass reads the features.
+    """
+    out, gone, ran = _transformed(df, steps, strict)
+    text = {f.name for f in out.schema.fields if f.dataType.simpleString() == "string"}
+    made = [(t.name, c) for t in ran for c in t.makes]
+    clips = [t.name for t in ran if CLIPPED + t.name in out.columns]
+    # text features are grouped: at most a few dozen levels by construction
+    seen = [F.count(F.lit(1)).alias("rows")]
+    for i, (_, c) in enumerate(made):
+        seen.append(F.count(c_(c)).alias(f"n{i}"))
+        seen.append((F.size(F.collect_set(c_(c))) if c in text else F.avg(c_(c).cast("double"))).alias(f"s{i}"))
+    seen += [F.sum(F.col(CLIPPED + name)).alias(f"c{i}") for i, name in enumerate(clips)]
+    watch = Observation("structured transforms")
+    out.observe(watch, *seen).drop(*gone, *[CLIPPED + name for name in clips]).write.mode("overwrite").parquet(path)
+    got = watch.get
+    filled: dict[str, int] = {}
+    stats = []
+    for i, (name, c) in enumerate(made):
+        filled[name] = filled.get(name, 0) + got[f"n{i}"]
+        value = got[f"s{i}"]
+        stats.append((name, c, got[f"n{i}"], None if c in text or value is None else float(value), value if c in text else None))
+    lost = {name: got[f"c{i}"] or 0 for i, name in enumerate(clips)}
+    rows = []
+    for t in steps:
+        runs = t in ran
+        rows.append((t.name, ",".join(t.needs), ",".join(c for c in t.needs if c not in df.columns), runs,
+                     ",".join(t.makes) if runs else "", ",".join(c for c in t.drops if runs and c in df.columns),
+                     ",".join(c for c in t.drops if c not in df.columns), got["rows"] if runs else None,
+                     filled.get(t.name) if runs else None, lost.get(t.name, 0) if runs else None))
+    spark = df.sparkSession
+    return (spark.createDataFrame(rows, "transform string, required string, missing string, runnable boolean, new_columns string, "
+                                        "dropped string, skipped_drops string, rows long, filled long, clipped long"),
+            spark.createDataFrame(stats, "transform string, feature string, filled long, mean double, levels long"))

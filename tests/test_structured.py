@@ -15,9 +15,23 @@ def test_eighteen_transforms_and_drops(spark):
     assert len(steps) == 18 and out.count() == df.count()
     made = [c for t in steps for c in t.makes]
     assert len(made) == 33 and set(made) <= set(out.columns) and not set(gone) & set(out.columns)
-    stats = {(r.transform, r.feature): r for r in S.statistics(out, steps).collect()}
-    assert len(stats) == 33 and 0 < stats[("mass", "lead_mass_known")].mean < 1
+
+
+def test_statistics_come_with_the_write(spark, tmp_path):
+    steps, df = S.transforms(start="1993-01-01", end="1998-01-01"), structured_leads(spark, SF)
+    plan, stats = S.write_observed(df, steps, str(tmp_path / "f"))
+    plan, stats = {r.transform: r for r in plan.collect()}, {(r.transform, r.feature): r for r in stats.collect()}
+    out = spark.read.parquet(str(tmp_path / "f"))
+    assert sorted(out.columns) == sorted(S.apply(df, steps)[0].columns) and out.count() == df.count()
+    assert len(plan) == 18 and len(stats) == 33 and 0 < stats[("mass", "lead_mass_known")].mean < 1
     assert stats[("utm_campaign", "lead_utm_campaign_grouped")].levels <= S.CAMPAIGN_TOP + 1
+    outside = df.where("lead_created_dt not between timestamp_ntz'1993-01-01' and timestamp_ntz'1998-01-01'").count()
+    assert plan["delivery_delays"].clipped > outside > 0 and plan["width"].clipped == 0
+    assert plan["mass"].skipped_drops == "lead_closed_dt" and all(r.rows == df.count() for r in plan.values())
+    plan, _ = S.write_observed(raw_leads(spark, SF), S.transforms(), str(tmp_path / "g"), strict=False)
+    ran = {r.transform: r for r in plan.collect()}
+    assert {t for t, r in ran.items() if r.runnable} == {"payment_type", "delivery_type", "utm_campaign", "lead_group"}
+    assert ran["width"].rows is None and ran["width"].missing == "lead_Ширина"
 
 
 def test_missing_columns(spark):
