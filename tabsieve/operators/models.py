@@ -7,8 +7,10 @@ column; no model code runs outside Spark.
 from __future__ import annotations
 
 import functools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
@@ -44,6 +46,8 @@ def onehot_encode(df: DataFrame, cols: list[str], fit_df: DataFrame | None = Non
 # --------------------------------------------------------------- assembly
 #: Bins of a tree's numeric splits.
 BINS = 64
+#: Fits that run at once.
+THREADS = 4
 
 
 def _quoted(name: str) -> str:
@@ -262,58 +266,136 @@ def _folds(df: DataFrame, fold_col: str, seg: str) -> list[tuple[int, int]]:
     return [(r[0], r["s"]) for r in rows]
 
 
-def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "test_fold",
-               kind: str = "gbt", params: dict | None = None, positive: int = 0, seg: str = "_seg") -> DataFrame:
+def concurrently(spark: SparkSession, tasks: list, threads: int = THREADS) -> list:
+    """Results of the calls in ``tasks``, in their order; at most ``threads`` run at once, each in a scheduler pool of
+    its own, so that short stages of one fit fill what another leaves free."""
+    def run(place, task):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{place % threads}")
+        return task()
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(run), i, t) for i, t in enumerate(tasks)]]
+
+
+def oof_scores(df: DataFrame, label: str, num_cols, cat_cols, fold_col: str = "test_fold", kind: str = "gbt",
+               params: dict | None = None, positive: int = 0, seg: str = "_seg", threads: int = THREADS) -> DataFrame:
     """Out-of-fold probabilities over expanding time folds: every fold trains on the rows before its test block.
 
-    Rows in no test fold keep NULL. Scored folds and unscored rows are put together by union, so keys may repeat.
+    The folds are fitted concurrently. Rows in no test fold keep NULL. Scored folds and unscored rows are put together
+    by union, so keys may repeat.
     """
-    parts = [df.where(F.col(fold_col).isNull()).withColumn("oof_p", F.lit(None).cast("double"))]
-    for i, first in _folds(df, fold_col, seg):
+    def scored(i, first):
         fm = fit_classifier(df.where(F.col(seg) < first), label, num_cols, cat_cols, kind, None, params or {})
-        scored = probability_of(fm.transform(df.where(F.col(fold_col) == i)), positive, "oof_p")
-        parts.append(scored.select(*df.columns, "oof_p"))
-    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+        return probability_of(fm.transform(df.where(F.col(fold_col) == i)), positive, "oof_p").select(*df.columns, "oof_p")
+    folds = _folds(df, fold_col, seg)
+    parts = concurrently(df.sparkSession, [functools.partial(scored, *f) for f in folds], threads)
+    rest = df.where(F.col(fold_col).isNull()).withColumn("oof_p", F.lit(None).cast("double"))
+    return functools.reduce(lambda a, b: a.unionByName(b), [rest, *parts])
 
 
-def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_trials: int = 4,
-                fold_col: str = "test_fold", kind: str = "gbt", seed: int = 42,
-                positive: int = 0, seg: str = "_seg") -> DataFrame:
-    """Seeded random search: each trial draws one value per parameter and scores the mean average precision of
-    ``positive`` over all time folds; returns (trial, params, mean_ap). A fold without that class is an error."""
-    import json
+def draw_params(space: dict, n_trials: int, seed: int) -> list[dict]:
+    """Seeded draws: a list is a choice, ("log", low, high) log-uniform, ("float", low, high) uniform, ("int", low, high)
+    a whole number. ``n_trials`` of 0 is the whole grid of the lists, in order."""
+    import itertools
+    import math
     import random
+    if not n_trials:
+        return [dict(zip(space, values)) for values in itertools.product(*space.values())]
     rng = random.Random(seed)
-    rows = []
-    folds = _folds(df, fold_col, seg)
+
+    def draw(v):
+        if not isinstance(v, tuple):
+            return rng.choice(v)
+        kind, low, high = v
+        if kind == "log":
+            return math.exp(rng.uniform(math.log(low), math.log(high)))
+        return rng.randint(low, high) if kind == "int" else rng.uniform(low, high)
+    return [{p: draw(v) for p, v in space.items()} for _ in range(n_trials)]
+
+
+def objective_score(scored: DataFrame, label: str, objective: str, positive: int) -> float:
+    """"ap" and "auc" of class ``positive``, or "f2": the best F2 of class 0 over the threshold grid."""
+    from tabsieve.operators import evaluate as V
+    if objective == "ap":
+        return ap_of(scored, label, positive)
+    p = probability_of(scored, 0 if objective == "f2" else positive, "_p")
+    if objective == "f2":
+        value = V.threshold_table(p, label, "_p").agg(F.max("f2_0")).first()[0]
+    else:
+        value = V.roc_auc(p, label, "_p", positive=positive).first()[0]
+    if value is None:
+        raise ValueError(f"{objective} needs rows of both classes")
+    return float(value)
+
+
+def fit_trial(train: DataFrame, label: str, num_cols, cat_cols, kind: str, params: dict) -> FittedModel:
+    """Fit with drawn parameters: ``class_weight`` ("none", "balanced" or a ratio per class) becomes row weights; a
+    linear model takes ``C`` and ``l1_ratio``."""
+    from tabsieve.operators.evaluate import class_weight_column
+    params = dict(params)
+    weight = params.pop("class_weight", "none")
+    if weight != "none":
+        train = class_weight_column(train, label, weight if isinstance(weight, str) else "fixed",
+                                    weight if isinstance(weight, dict) else None, out="_class_weight")
+    weights = None if weight == "none" else "_class_weight"
+    if kind == "lr" and "C" in params:
+        total = train.agg(F.sum(weights) if weights else F.count(F.lit(1))).first()[0] or 0
+        params["regParam"] = 1.0 / (params.pop("C") * max(float(total), 1.0))
+        params["elasticNetParam"] = params.pop("l1_ratio", 0.0)
+    return fit_classifier(train, label, num_cols, cat_cols, kind, weights, params)
+
+
+def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_trials: int = 4, fold_col: str = "test_fold",
+                kind: str = "gbt", seed: int = 42, positive: int = 0, seg: str = "_seg", objective: str = "ap",
+                fixed: dict | None = None, startup: int = 5, warmup: int = 1, threads: int = THREADS) -> DataFrame:
+    """Seeded random search over expanding time folds with median stopping: (trial, params, folds, mean_score, state).
+
+    A fold is fitted for all trials that are left, concurrently, before the next one starts. From fold ``warmup`` on
+    (counted from 0) a trial whose running mean lies below the median of all trials' running means at that fold is
+    pruned, but the first ``startup`` trials never are. So the table is the same for any number of threads. A fold
+    without class ``positive`` is an error.
+    """
+    import json
+    import statistics
+    spark, folds = df.sparkSession, _folds(df, fold_col, seg)
     if not folds:
         raise ValueError("no test folds")
-    for t in range(n_trials):
-        params = {p: rng.choice(v) for p, v in space.items()}
-        aps = []
-        for i, first in folds:
-            test = df.where(F.col(fold_col) == i)
-            fm = fit_classifier(df.where(F.col(seg) < first), label, num_cols, cat_cols, kind, None, params)
-            aps.append(ap_of(fm.transform(test), label, positive))
-        rows.append((t, json.dumps(params, sort_keys=True), float(sum(aps) / len(aps))))
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_ap double")
+    draws = draw_params(space, n_trials, seed)
+    scores: list[list[float]] = [[] for _ in draws]
+    alive = list(range(len(draws)))
+
+    def score(t, i, first):
+        fm = fit_trial(df.where(F.col(seg) < first), label, num_cols, cat_cols, kind, {**(fixed or {}), **draws[t]})
+        return objective_score(fm.transform(df.where(F.col(fold_col) == i)), label, objective, positive)
+    df = df.persist()
+    try:
+        for step, (i, first) in enumerate(folds):
+            found = concurrently(spark, [functools.partial(score, t, i, first) for t in alive], threads)
+            for t, value in zip(alive, found):
+                scores[t].append(value)
+            if warmup <= step < len(folds) - 1:
+                middle = statistics.median(statistics.fmean(scores[t]) for t in alive)
+                alive = [t for t in alive if t < startup or statistics.fmean(scores[t]) >= middle]
+    finally:
+        df.unpersist()
+    rows = [(t, json.dumps(p, sort_keys=True), len(scores[t]), statistics.fmean(scores[t]),
+             "complete" if t in alive else "pruned") for t, p in enumerate(draws)]
+    return spark.createDataFrame(rows, "trial int, params string, folds int, mean_score double, state string")
 
 
 def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt",
-                      params: dict | None = None, positive: int = 0) -> DataFrame:
-    """Refit without each feature; (feature, ap, delta_vs_baseline). Inputs are cached once."""
+                      params: dict | None = None, positive: int = 0, threads: int = THREADS) -> DataFrame:
+    """Refit without each feature, concurrently; (feature, ap, delta_vs_baseline). Inputs are cached once."""
     train, valid = train.persist(), valid.persist()
-    base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}).transform(valid),
-                 label, positive)
-    rows = [("<baseline>", base, 0.0)]
-    for c in list(num_cols) + list(cat_cols):
-        n2 = [x for x in num_cols if x != c]
-        c2 = [x for x in cat_cols if x != c]
-        ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}).transform(valid), label, positive)
-        rows.append((c, ap, ap - base))
+
+    def ap_without(drop):
+        n, c = ([x for x in cols if x != drop] for cols in (num_cols, cat_cols))
+        return ap_of(fit_classifier(train, label, n, c, kind, None, params or {}).transform(valid), label, positive)
+    features = [*num_cols, *cat_cols]
+    base, *found = concurrently(train.sparkSession, [functools.partial(ap_without, c) for c in [None, *features]], threads)
     train.unpersist()
     valid.unpersist()
-    return train.sparkSession.createDataFrame(rows, "feature string, ap double, delta double")
+    return train.sparkSession.createDataFrame([("<baseline>", base, 0.0)] + [(c, ap, ap - base) for c, ap in zip(features, found)],
+                                              "feature string, ap double, delta double")
 
 
 def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[str], num_cols, cat_cols,
@@ -343,6 +425,23 @@ def score_rows(model: FittedModel, df: DataFrame, id_col: str, cls: int = 0) ->
     return probability_of(model.transform(df), cls, "score").select(F.col(id_col).alias("id"), "score")
 
 
+def score_metrics(scored: DataFrame, label: str, score: str = "score", cls: int = 0) -> DataFrame:
+    """(metric, value) of labelled rows scored with the probability of class ``cls``: rows, roc_auc, average_precision,
+    log_loss, and the best F1 and F2 of that class over the threshold grid (for class 0)."""
+    from tabsieve.operators import evaluate as V
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+        F.col(label).alias("_y"), F.col(score).alias("_p0"), (1 - F.col(score)).alias("_p1"))
+    p1 = "_p1" if cls == 0 else "_p0"
+    parts = {"rows": rows.agg(F.count(F.lit(1)).cast("double")), "roc_auc": V.roc_auc(rows, "_y", "_p0", positive=cls),
+             "average_precision": V.average_precision(rows, "_y", "_p0", positive=cls), "log_loss": V.log_loss(rows, "_y", p1)}
+    if cls == 0:
+        table = V.threshold_table(rows, "_y", "_p0")
+        parts |= {"best_f1": table.agg(F.max("f1_0")), "best_f2": table.agg(F.max("f2_0"))}
+    return functools.reduce(lambda a, b: a.unionByName(b), [
+        part.toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        for name, part in parts.items()])
+
+
 def save_model(fm: FittedModel, path: str) -> None:
     """The pipeline, a table per category and a row per category with its settings, under ``path``."""
     fm.model.write().overwrite().save(f"{path}/model")

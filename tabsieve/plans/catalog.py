@@ -9,6 +9,7 @@ MODULES = [
     "tabsieve.plans.catalog_transform",
     "tabsieve.plans.catalog_analysis",
     "tabsieve.plans.catalog_models",
+    "tabsieve.plans.catalog_closed_forms",
 ]
 
 

@@ -1,6 +1,7 @@
 """Nothing is cut: all folds, wide categories, missing scores, junk dates, table folders, wide tables."""
 
 import itertools
+import json
 import random
 import re
 
@@ -41,7 +42,7 @@ def test_every_test_fold_is_scored(spark):
     assert all(r.scored == (0 if r.test_fold is None else r.n) for r in rows)
     blocks = V.expanding_folds_blocks(labelled(spark), "when", "lead_id", 3)
     tuned = M.tune_params(blocks, "y", ["t"], [], {"maxDepth": [2]}, n_trials=1, kind="rf").first()
-    assert 0 < tuned.mean_ap <= 1
+    assert 0 < tuned.mean_score <= 1 and tuned.state == "complete" and tuned.folds == 2
     one_class = f.where("y = 1")
     with pytest.raises(ValueError):
         M.tune_params(one_class, "y", ["t"], [], {"maxDepth": [2]}, n_trials=1, kind="rf")
@@ -124,6 +125,27 @@ def test_tree_learns_a_category(spark):
     assert V.roc_auc(M.probability_of(fm.transform(df), 1, "p"), "y", "p").first()[0] > 0.75
 
 
+def test_tuning_prunes_the_same_trials_on_any_number_of_threads(spark):
+    rows = [(i, float(i), float(i % 2), int(i % 10 != 9 if i % 2 else i % 10 == 0)) for i in range(800)]
+    df = spark.createDataFrame(rows, "lead_id long, t double, x double, y int").withColumn(
+        "when", F.timestamp_seconds(F.col("t") * 86400).cast("timestamp_ntz"))
+    f = V.expanding_folds(df, "when", "lead_id", 3)
+    space = {"maxDepth": [0, 1, 1], "class_weight": ["none", "balanced", {0: 3.0, 1: 1.0}], "minInfoGain": ("log", 1e-6, 1e-4)}
+    runs = [M.tune_params(f, "y", ["x"], [], space, n_trials=6, kind="rf", objective="auc", startup=2, seed=6, threads=n,
+                          fixed=dict(numTrees=1, bootstrap=False, featureSubsetStrategy="all")).collect() for n in (1, 4)]
+    assert runs[0] == runs[1] and len(runs[0]) == 6
+    depth = [json.loads(r.params)["maxDepth"] for r in runs[0]]
+    assert {0, 1} == set(depth)
+    for d, r in zip(depth, runs[0]):
+        assert r.mean_score == pytest.approx(0.5 if d == 0 else 0.8, abs=0.03)
+        assert r.state == "complete" if d == 1 or r.trial < 2 else r.state in ("pruned", "complete")
+        assert r.folds == (3 if r.state == "complete" else 2)
+    assert any(r.state == "pruned" for r in runs[0])
+    lin = M.tune_params(f, "y", ["x"], [], {"C": ("log", 0.1, 3.0), "l1_ratio": [0.5, 1.0], "class_weight": ["balanced"]},
+                        n_trials=2, kind="lr", objective="f2").collect()
+    assert all(0.5 < r.mean_score <= 1 for r in lin)
+
+
 def test_planted_clusters(spark):
     rows = [(float(100 * g + i % 3), "k%d" % g) for g, n in enumerate((20, 30, 50)) for i in range(n)]
     df = spark.createDataFrame(rows, "x double, c string")
