@@ -39,6 +39,23 @@ query("scan_csv", with_cte("SELECT lead_id, contact_id, buyout_flag, priority, s
                            l=L))(_scan_csv)
 
 
+@query("scan_csv_checked", with_cte(
+    "SELECT CASE WHEN lead_id % 50 = 0 OR lead_id % 71 = 0 OR lead_id % 83 = 0 THEN 'rejected' ELSE 'read' END AS kind, count(*) AS n, "
+    "CAST(sum(CASE WHEN lead_id % 50 = 0 OR lead_id % 71 = 0 OR lead_id % 83 = 0 THEN 0 ELSE lead_id END) AS BIGINT) AS id_sum FROM l "
+    "GROUP BY 1", l=L))
+def _scan_csv_checked(spark, sf):
+    """A table with values of another type, short lines and long lines, written as text and read back."""
+    base = f"{checkpoint_dir(spark)}/checked-csv-{uuid.uuid4().hex}"
+    i = F.col("lead_id")
+    amount = F.when(i % 50 == 0, "n/a").otherwise(F.floor("amount").cast("string"))
+    line = F.when(i % 71 == 0, i.cast("string")).otherwise(F.concat_ws(
+        ",", i.cast("string"), amount, F.col("buyout_flag").cast("string"), F.when(i % 83 == 0, F.lit("more,fields"))))
+    leads(spark, sf).select(line.alias("value")).write.text(f"{base}/in")
+    rows, rejected = IO.scan_csv_checked(spark, f"{base}/in", "lead_id long, amount long, buyout_flag int", f"{base}/out", header=False)
+    return (rows.select(F.lit("read").alias("kind"), "lead_id").union(rejected.select(F.lit("rejected"), F.lit(0).cast("long")))
+            .groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("lead_id").alias("id_sum")))
+
+
 @query("load_labelled", with_cte(
     "SELECT lead_id, CAST(y AS INT) AS buyout_flag, sale_dt FROM "
     "(SELECT lead_id, CASE WHEN priority = '1-URGENT' THEN NULL ELSE buyout_flag END AS y, "

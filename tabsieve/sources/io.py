@@ -17,6 +17,23 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None,
     return r.option("inferSchema", True).csv(path)
 
 
+def scan_csv_checked(spark: SparkSession, path: str, schema: str, out: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): rows that fit ``schema``, and the lines that do not (a value of another type, too few or too many
+    fields) as (_file, line).
+
+    One pass parses every column of every line and writes both as Parquet under ``out``, parted by whether a line fits:
+    a plain scan would judge a line by the columns that a query happens to read.
+    """
+    bad = "_rejected_line"
+    lines = (spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+             .schema(f"{schema}, {bad} string").csv(path))
+    marked = lines.withColumns({"_file": F.when(F.col(bad).isNotNull(), F.input_file_name()), "_fits": F.col(bad).isNull()})
+    marked.write.mode("overwrite").partitionBy("_fits").parquet(out)
+    kept = spark.read.schema(marked.schema).parquet(out)
+    return (kept.where("_fits").drop("_file", bad, "_fits"),
+            kept.where("not _fits").select("_file", F.col(bad).alias("line")))
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
