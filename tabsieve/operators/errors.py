@@ -94,6 +94,31 @@ def compare_datasets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return diffs.unionByName(miss)
 
 
+def difference_sample(left: DataFrame, right: DataFrame, key: str, rows: int = 100, buckets: int = 4096) -> DataFrame:
+    """(key, feature, left_value, right_value): the first ``rows`` values, by key and feature, that differ where both sides
+    have one.
+
+    Buckets of keys are compared by row counts and sums of row hashes first; only rows of buckets that differ are joined.
+    """
+    common = sorted((set(left.columns) & set(right.columns)) - {key})
+    bucket = F.pmod(F.xxhash64(c_(key).cast("string")), F.lit(buckets)).alias("_bucket")
+
+    def digests(df, n, h):  # at most ``buckets`` rows
+        row = F.xxhash64(c_(key).cast("string"), *[c_(c).cast("string") for c in common]).cast("decimal(20)")
+        return df.groupBy(bucket).agg(F.count(F.lit(1)).alias(n), F.sum(row).alias(h))
+    both = digests(left, "ln", "lh").join(digests(right, "rn", "rh"), "_bucket", "full")
+    differing = both.where(~(F.col("ln").eqNullSafe(F.col("rn")) & F.col("lh").eqNullSafe(F.col("rh")))).select("_bucket")
+
+    def suspects(df, prefix):
+        kept = df.select(c_(key), bucket, *[c_(c).cast("string").alias(f"{prefix}{c}") for c in common])
+        return kept.join(F.broadcast(differing), "_bucket", "left_semi").drop("_bucket")
+    pairs = suspects(left, "l__").join(suspects(right, "r__"), key)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`l__{c}`").alias("left_value"),
+                               F.col(f"`r__{c}`").alias("right_value")) for c in common])
+    return (pairs.select(c_(key), F.inline(cells)).where("left_value != right_value")
+            .orderBy(key, "feature", "left_value", "right_value").limit(rows))
+
+
 def sanity_assert_nonnegative(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, min_value, ok): one aggregate; ``ok`` is min >= 0 (NULL-only columns pass)."""
     row = df.agg(*[F.min(c_(c)).alias(f"m{i}") for i, c in enumerate(cols)])

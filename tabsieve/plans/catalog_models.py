@@ -730,6 +730,23 @@ def _compare(spark, sf):
     return ER.compare_datasets(a, b, "lead_id")
 
 
+_PAIR = ("SELECT CAST(lead_id AS BIGINT) AS lead_id, a.segment AS ls, b.segment AS rs, a.amount AS la, b.amount AS ra FROM a JOIN b USING (lead_id)")
+
+
+@query("dataset_differences", with_cte(
+    "SELECT * FROM (SELECT lead_id, 'amount' AS feature, CAST(la AS VARCHAR) AS left_value, CAST(ra AS VARCHAR) AS right_value FROM j "
+    "WHERE la <> ra UNION ALL SELECT lead_id, 'segment', ls, rs FROM j WHERE ls <> rs) ORDER BY lead_id, feature LIMIT 200",
+    l=L, a="SELECT lead_id, segment, CAST(floor(amount) AS BIGINT) AS amount FROM l",
+    b="SELECT lead_id, CASE WHEN lead_id % 29 = 0 THEN 'other' ELSE segment END AS segment, "
+      "CAST(floor(amount) AS BIGINT) + CASE WHEN lead_id % 37 = 0 THEN 1 ELSE 0 END AS amount FROM l", j=_PAIR))
+def _differences(spark, sf):
+    d = leads(spark, sf)
+    a = d.select(F.col("lead_id").cast("long").alias("lead_id"), "segment", F.floor("amount").alias("amount"))
+    b = a.select("lead_id", F.when(F.col("lead_id") % 29 == 0, "other").otherwise(F.col("segment")).alias("segment"),
+                 (F.col("amount") + F.when(F.col("lead_id") % 37 == 0, 1).otherwise(0)).alias("amount"))
+    return ER.difference_sample(a, b, "lead_id", rows=200)
+
+
 @query("sanity_assert", with_cte(
     "SELECT 'spend_before' AS feature, CAST(min(s) AS DOUBLE) AS min_value, coalesce(min(s) >= 0, true) AS ok FROM "
     "(SELECT sum(greatest(coalesce(amount, 0), 0)) OVER (PARTITION BY contact_id ORDER BY sale_dt, lead_id ROWS BETWEEN "
