@@ -1,14 +1,17 @@
 """Structured Streaming reuse of fitted transforms.
 
 State is fitted once on a batch DataFrame (a top-k list and a median: a few
-literals); the stream applies it as a stateless projection, so the same
-transform code serves batch and stream. The sink is a parquet folder with a
-checkpoint location in the shared checkpoint directory; ``availableNow``
-processes what is there and stops.
+literals) and stored beside the stream's progress, in a folder that the caller
+names; the stream applies it as a stateless projection, so the same transform
+code serves batch and stream. A later call on the same folder takes the stored
+state and goes on after the files that are done: the parquet sink logs every
+batch id, so a repeated batch adds nothing. ``availableNow`` processes what is
+there and stops.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,11 +42,20 @@ def _table_files(spark: SparkSession, path: str) -> str:
     return path if fs.getFileStatus(jpath).isDirectory() else path.replace(".parquet", ".parque[t]")
 
 
-def fitted_transform_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_state(spark: SparkSession, path: str, fit) -> dict:
+    """The state kept under ``path``; fitted and written there if there is none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        spark.createDataFrame([(json.dumps(fit()),)], "state string").coalesce(1).write.mode("overwrite").parquet(path)
+    return json.loads(spark.read.parquet(path).first()["state"])
+
+
+def fitted_transform_stream(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """All rows transformed so far. ``base`` holds state, progress and output; without it the run is a new one."""
     path = f"{sf_dir}/orders.parquet"
     batch = spark.read.parquet(path)
-    st = fit_order_state(batch)
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    st = stored_state(spark, f"{base}/state", lambda: fit_order_state(batch))
     # the table is one file or a folder of part files; a file source takes a glob of either
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 8).parquet(_table_files(spark, path))
     q = (apply_order_state(stream, st).writeStream.format("parquet")

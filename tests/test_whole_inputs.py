@@ -250,6 +250,31 @@ def test_stream_reads_a_folder_table(spark, tmp_path):
     assert fitted_transform_stream(spark, str(tmp_path)).count() == orders.count()
 
 
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    from tabsieve.streaming import stream as S
+    orders = spark.read.parquet(f"{SF}/orders.parquet").repartition(6)
+    halves = orders.randomSplit([0.5, 0.5], 3)
+    src, base = str(tmp_path / "in"), str(tmp_path / "run")
+    halves[0].write.parquet(f"{src}/orders.parquet")
+    first = S.fitted_transform_stream(spark, src, base)
+    assert first.count() == halves[0].count() == S.fitted_transform_stream(spark, src, base).count()
+    state = spark.read.parquet(f"{base}/state").first()
+    halves[1].write.mode("append").parquet(f"{src}/orders.parquet")
+    out = S.fitted_transform_stream(spark, src, base)
+    assert out.count() == orders.count() == out.select("o_orderkey").distinct().count()
+    assert spark.read.parquet(f"{base}/state").first() == state
+
+
+def test_only_differing_buckets_are_joined(spark):
+    from tabsieve.operators import errors as ER
+    a = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("x"), F.when(F.col("id") % 3 > 0, F.lit("t")).alias("s"))
+    b = a.withColumn("x", F.when(F.col("k").isin(17, 4000), F.lit(99)).otherwise(F.col("x"))).withColumn(
+        "s", F.when(F.col("k").isin(3, 4), F.lit("u")).otherwise(F.col("s")))
+    got = [tuple(r) for r in ER.difference_sample(a, b, "k").collect()]
+    assert got == [(4, "s", "t", "u"), (17, "x", "3", "99"), (4000, "x", "3", "99")]
+    assert ER.difference_sample(a, b, "k", rows=1).count() == 1 and ER.difference_sample(a, a, "k").count() == 0
+
+
 PLAN_KEYS = """outlier_share describe_column fill_median iqr_outlier_to_median iqr_clip_upper quantile_bins above_median_flag
 exact_duplicate_columns numeric_target_corr numeric_feature_corr date_pair_stats numeric_vs_text_levels
 categorical_target_assoc map_city_to_region lookup_region_by_prefix left_join_raw_columns compare_datasets rolling_mean_30
