@@ -13,6 +13,8 @@ from tabsieve.functions.text import col_of, first_keyword_category
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference's rules).
 PAYMENT_CASH_ON_DELIVERY = "Наложенный платеж"
+WIDTH_RANGE, WIDTH_SMALL_BELOW, WIDTH_NORMAL_TO = (10, 50), 25, 35
+HEIGHT_SMALL_TO, HEIGHT_MEDIUM_TO = 4, 12
 DELIVERY_RULES = [
     (["СДЭК до ПВЗ", "Самовывоз"], "pickup_point"),
     (["СДЭК до Двери", "Курьер ЕМС"], "door_delivery"),
@@ -53,17 +55,17 @@ def delivery_type(c, default: str = "unknown") -> Column:
 def width_category(c) -> Column:
     x = col_of(c)
     return (F.when(x.isNull(), F.lit("unknown"))
-            .when((x < 10) | (x > 50), F.lit("anomaly"))
-            .when(x < 25, F.lit("small"))
-            .when(x <= 35, F.lit("normal"))
+            .when((x < WIDTH_RANGE[0]) | (x > WIDTH_RANGE[1]), F.lit("anomaly"))
+            .when(x < WIDTH_SMALL_BELOW, F.lit("small"))
+            .when(x <= WIDTH_NORMAL_TO, F.lit("normal"))
             .otherwise(F.lit("large")))
 
 
 def height_bin(c) -> Column:
     x = col_of(c)
     return (F.when(x.isNull(), F.lit("unknown"))
-            .when(x <= 4, F.lit("small"))
-            .when(x <= 12, F.lit("medium"))
+            .when(x <= HEIGHT_SMALL_TO, F.lit("small"))
+            .when(x <= HEIGHT_MEDIUM_TO, F.lit("medium"))
             .otherwise(F.lit("large")))
 
 

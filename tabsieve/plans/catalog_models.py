@@ -258,6 +258,7 @@ def _reduce(spark, sf):
 
 
 # ---------------------------------------------------------------- pipelines
+# The source's column names (the expressions beside them stand in for its data).
 RAW_LEAD_COLUMNS = [
     ("lead_id", "o_orderkey"),
     ("buyout_flag", "CAST(o_orderstatus = 'F' AS INT)"),
