@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tabsieve.functions.text import (
     is_empty, non_empty_text, normalize_text,
 )
-from tabsieve.operators.pairs import equality_counts
+from tabsieve.operators.pairs import equality_counts, similar_pairs
 
 STRING_LIKE = (T.StringType, T.VarcharType, T.CharType)
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -225,15 +225,22 @@ def column_pair_stats(df: DataFrame, cols=None, pairs=None) -> DataFrame:
 
 
 def duplicate_columns(df: DataFrame, cols=None, near_threshold: float = 0.95) -> tuple[Findings, Findings]:
-    """Exact duplicates (all normalised rows equal) and near duplicates (report only)."""
-    ps = settle(column_pair_stats(df, cols))
+    """Exact duplicates (all normalised rows equal) and near duplicates (report only).
+
+    Only pairs that a lower bound on their unequal rows cannot rule out are compared (``pairs.similar_pairs``).
+    """
+    cols = _cols(df, cols)
+    texts = {c: F.coalesce(normalize_text(c_(c)), F.lit("")) for c in dict.fromkeys(cols)}
+    rows = [(a, b, n, both, both - n) for a, b, n, both in similar_pairs(df, texts, near_threshold)]
+    ps = df.sparkSession.createDataFrame(rows, "left string, right string, mismatches bigint, comparable bigint, "
+                                               "equal_comparable bigint")
     sim = F.coalesce(F.col("equal_comparable") / F.when(F.col("comparable") > 0,
                                                          F.col("comparable")), F.lit(0.0))
     exact = ps.where(F.col("mismatches") == 0).select("left", "right",
                                                        F.lit(1.0).alias("similarity"))
     near = (ps.where((F.col("mismatches") > 0) & (sim >= near_threshold))
             .select("left", "right", F.round(sim, 4).alias("similarity")))
-    order = {c: i for i, c in enumerate(_cols(df, cols))}
+    order = {c: i for i, c in enumerate(cols)}
     drop: list[str] = []
     for r in sorted(exact.collect(), key=lambda r: (order[r["left"]], order[r["right"]])):
         if r["right"] not in drop:

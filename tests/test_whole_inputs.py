@@ -236,6 +236,62 @@ def test_two_hundred_columns_in_one_pass(spark):
         assert "stack(" not in plan and "Generate" not in plan
 
 
+def brute_pairs(table, threshold):
+    exact, near = set(), {}
+    for a, b in itertools.combinations(table.columns, 2):
+        x, y = table[a], table[b]
+        unequal, both = int((x != y).sum()), int(((x != "") | (y != "")).sum())
+        if unequal == 0:
+            exact.add((a, b))
+        elif (both - unequal) / max(both, 1) >= threshold:
+            near[a, b] = round((both - unequal) / both, 4)
+    return exact, near
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.6])
+def test_duplicates_by_bound_lose_no_pair(spark, threshold):
+    rng = np.random.default_rng(3)
+    n, table = 700, {}
+    for k in range(12):
+        base = rng.choice(["", "a", "b", "c", "dd"], n, p=[0.5, 0.2, 0.1, 0.1, 0.1])
+        for j, share in enumerate([0, 0, 0.01, 0.03, 0.05, 0.3]):
+            values = base.copy()
+            values[rng.random(n) < share] = "other"
+            table[f"c{k}_{j}"] = values
+    table |= {"blank1": [""] * n, "blank2": [""] * n, "id": [f"v{i}" for i in range(n)],
+              "shuffled": [f"v{i}" for i in rng.permutation(n)]}
+    table = pd.DataFrame(table)
+    df = spark.createDataFrame(table)
+    exact, near = P.duplicate_columns(df, near_threshold=threshold)
+    want, want_near = brute_pairs(table, threshold)
+    assert {(r.left, r.right) for r in exact.table.collect()} == want
+    assert {(r.left, r.right): r.similarity for r in near.table.collect()} == pytest.approx(want_near)
+    assert PR.similar_pairs(df.limit(0), {c: F.col(c) for c in ("id", "blank1")}, 0.95) == [("id", "blank1", 0, 0)]
+
+
+def test_columns_that_agree_by_sketch_only_are_told_apart(spark, monkeypatch):
+    df = spark.createDataFrame([("x", "x", "y"), ("x", "x", "z"), ("x", "x", "x")], "a string, b string, c string")
+    sketch = PR.column_sketches
+    monkeypatch.setattr(PR, "column_sketches", lambda df, texts: sketch(df, {c: F.lit("x") for c in texts}))
+    got = PR.similar_pairs(df, {c: F.col(c) for c in df.columns}, 0.95)
+    assert got == [("a", "b", 0, 3), ("a", "c", 2, 3), ("b", "c", 2, 3)]
+
+
+def test_two_thousand_columns_compare_few_pairs(spark, monkeypatch):
+    n, seen = 2000, []
+    count = PR.value_counts_of_pairs
+    monkeypatch.setattr(PR, "value_counts_of_pairs", lambda df, texts, pairs: seen.extend(pairs) or count(df, texts, pairs))
+    table = np.random.default_rng(1).integers(0, 50, (300, n)).astype(str)
+    table[:, 1500] = table[:, 7]
+    table[:, 1600] = table[:, 8]
+    table[0, 1600] = "other"
+    df = spark.createDataFrame(pd.DataFrame(table, columns=[f"c{i}" for i in range(n)]))
+    exact, near = P.duplicate_columns(df)
+    assert [(r.left, r.right) for r in exact.table.collect()] == [("c7", "c1500")]
+    assert [(r.left, r.right) for r in near.table.collect()] == [("c8", "c1600")]
+    assert len(seen) < n
+
+
 def test_dominant_value_needs_no_shuffle_of_ids(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 != 0, "x").otherwise(
         F.col("id").cast("string")).alias("most"), F.lit("k").alias("one"))
