@@ -88,58 +88,104 @@ def lookup_by_prefix(df: DataFrame, prefix_col: str, ref: DataFrame, ref_prefix:
 
 
 # --------------------------------------------------------- city -> region
-def _substrings(col: str, lengths: list[int]):
-    """All substrings of ``col`` whose length is in ``lengths`` (an array column)."""
-    def cut(n):
-        return lambda i: F.col(col).substr(i, F.lit(n))  # one-argument lambda: element only
+NAMES_MAX_BYTES = 16 << 20  # names of one automaton, in UTF-8
 
-    parts = []
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.length(col) - n + 1)
-        parts.append(F.when(F.length(col) >= n, F.transform(starts, cut(n)))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
+
+def _normal_name(c):
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\d{6}", ""), r"[\s,]+", " ")))
+
+
+def name_blocks(names: DataFrame, max_bytes: int = NAMES_MAX_BYTES) -> list[DataFrame]:
+    """The rows (kind, name, normal, region) dealt by hash into blocks of about ``max_bytes`` of names each."""
+    size = names.agg(F.sum(F.octet_length("name") + F.octet_length("normal") + F.octet_length(
+        F.coalesce("region", F.lit(""))).cast("long"))).first()[0] or 0
+    n = -(-size // max_bytes)
+    return [names.where(F.pmod(F.xxhash64("kind", "name"), F.lit(n)) == b) for b in range(n)]
+
+
+def contained_names(values: DataFrame, names: DataFrame, max_bytes: int = NAMES_MAX_BYTES) -> DataFrame:
+    """(_v, exact_r, exact_c, len_r, name_r, len_c, name_c, region_c): for every value ``_v`` with normal text ``_vn``
+    the names equal to the value, and the longest region and city whose normal name the normal text contains (ties:
+    greatest name).
+
+    An Aho-Corasick automaton of the names reads each value once, in Arrow batches; a value of any length is one row.
+    A dictionary of more than ``max_bytes`` is dealt into blocks, one automaton after the other, each settled before
+    the next is built; the best match of all blocks wins.
+    """
+    spark, schema = values.sparkSession, ("_v string, exact_r string, exact_c boolean, exact_cr string, len_r int, "
+                                          "name_r string, len_c int, name_c string, region_c string")
+    found = [spark.createDataFrame([], schema)]
+    for block in name_blocks(names, max_bytes):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])  # bounded by max_bytes
+
+        def run(batches, shared=shared):
+            import ahocorasick
+            import pyarrow as pa
+            machine, best = ahocorasick.Automaton(), {}
+            regions, cities = set(), {}
+            for kind, name, normal, region in shared.value:
+                if kind == "r":
+                    regions.add(name)
+                else:
+                    cities[name] = region
+                if normal:
+                    slot = best.setdefault(normal, {})
+                    slot[kind] = max(slot.get(kind, ("", None)), (name, region), key=lambda t: t[0])
+            for normal, slot in best.items():
+                machine.add_word(normal, (len(normal), slot))
+            if best:
+                machine.make_automaton()
+            for batch in batches:
+                rows = []
+                for value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    top = {}
+                    for _, (length, slot) in (machine.iter(text) if best else ()):
+                        for kind, (name, region) in slot.items():
+                            if (length, name) > top.get(kind, (0, ""))[:2]:
+                                top[kind] = (length, name, region)
+                    r, c = top.get("r", (None, None, None)), top.get("c", (None, None, None))
+                    here = value in cities
+                    if top or here or value in regions:
+                        rows.append((value, value if value in regions else None, here, cities.get(value), *r[:2], *c))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[i] for row in rows], t) for i, t in enumerate(
+                        [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.int32(),
+                         pa.string(), pa.string()])], [part.split()[0] for part in schema.split(", ")])
+        part, _ = materialize(values.select("_v", "_vn").mapInArrow(run, schema))
+        shared.unpersist()
+        found.append(part)
+    long = functools.reduce(DataFrame.unionByName, found)
+    pick = lambda what, size, name: F.max_by(what, F.when(F.col(size).isNotNull(), F.struct(size, name)))
+    return long.groupBy("_v").agg(
+        F.max("exact_r").alias("exact_r"), F.max(F.when(F.col("exact_c"), F.col("exact_cr"))).alias("exact_c"),
+        pick("name_r", "len_r", "name_r").alias("name_r"), pick("region_c", "len_c", "name_c").alias("region_c"))
 
 
 def map_city_to_region(df: DataFrame, city_col: str, regions: DataFrame, region_col: str,
                        cities: DataFrame, city_name_col: str, city_region_col: str,
-                       out: str) -> DataFrame:
+                       out: str, max_bytes: int = NAMES_MAX_BYTES) -> DataFrame:
     """Map free-text city to a region.
 
     Order of rules: exact region name, exact city name, then after stripping a
     6-digit postcode and normalising: longest region name contained, longest
     city name contained, else the original text.
 
-    Only the *distinct* city values take part. "Name contained in value" is
-    answered with equi-joins: every value is cut into its substrings of the
-    lengths that dictionary names have, and those are joined to the names, so
-    there is no nested-loop or cross join. Dictionaries are materialised and
-    broadcast only below the row limit.
+    Only the *distinct* city values take part; an automaton of all names reads each of them once
+    (``contained_names``). The mapping comes back by a join that broadcasts it only below the row and byte limits.
     """
-    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\d{6}", ""),
-                                                     r"[\s,]+", " ")))
-    values = df.select(F.col(city_col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    reg, nr = materialize(regions.select(F.col(region_col).alias("_r")).distinct()
-                          .select("_r", norm(F.col("_r")).alias("_rn")))
-    cit, nc = materialize(cities.groupBy(F.col(city_name_col).alias("_c")).agg(
-        F.min(F.col(city_region_col)).alias("_cr")).select("_c", "_cr", norm(F.col("_c")).alias("_cn")))
-    reg_b, cit_b = checked_broadcast(reg, known_rows=nr), checked_broadcast(cit, known_rows=nc)
-    lengths = sorted({r[0] for r in reg.select(F.length("_rn")).union(cit.select(F.length("_cn"))).distinct().collect()
-                      if r[0]})  # distinct name lengths: bounded by the longest name
-    v = values.withColumn("_vn", norm(F.col("_v")))
-    exact_r = v.join(reg_b, v["_v"] == reg_b["_r"], "inner").select("_v", F.col("_r").alias("_m1"))
-    exact_c = v.join(cit_b, v["_v"] == cit_b["_c"], "inner").select("_v", F.col("_cr").alias("_m2"))
-    subs = v.select("_v", F.explode(_substrings("_vn", lengths)).alias("_s"))
-    cont_r = (subs.join(reg_b, subs["_s"] == reg_b["_rn"])
-              .groupBy("_v").agg(F.max_by("_r", F.struct(F.length("_rn"), F.col("_r"))).alias("_m3")))
-    cont_c = (subs.join(cit_b, subs["_s"] == cit_b["_cn"])
-              .groupBy("_v").agg(F.max_by("_cr", F.struct(F.length("_cn"), F.col("_c"))).alias("_m4")))
-    m = (values.join(exact_r, "_v", "left").join(exact_c, "_v", "left")
-         .join(cont_r, "_v", "left").join(cont_c, "_v", "left")
-         .select("_v", F.coalesce("_m1", "_m2", "_m3", "_m4", "_v").alias("_mapped")))
+    reg = regions.select(F.col(region_col).alias("name")).where("name is not null").distinct().select(
+        F.lit("r").alias("kind"), "name", _normal_name(F.col("name")).alias("normal"), F.lit(None).cast("string").alias("region"))
+    cit = (cities.where(F.col(city_name_col).isNotNull()).groupBy(F.col(city_name_col).alias("name"))
+           .agg(F.min(F.col(city_region_col)).alias("region"))
+           .select(F.lit("c").alias("kind"), "name", _normal_name(F.col("name")).alias("normal"), "region"))
+    names, _ = materialize(reg.unionByName(cit))
+    values, _ = materialize(df.select(F.col(city_col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+                            .withColumn("_vn", _normal_name(F.col("_v"))))
+    m = contained_names(values, names, max_bytes).select(
+        "_v", F.coalesce("exact_r", "exact_c", "name_r", "region_c", "_v").alias("_mapped"))
     m, n = materialize(m)
     j = df.join(checked_broadcast(m, known_rows=n), df[city_col] == F.col("_v"), "left")
-    return j.withColumn(out, F.col("_mapped")).drop("_v", "_mapped")
+    return j.withColumn(out, F.coalesce(F.col("_mapped"), df[city_col])).drop("_v", "_mapped")
 
 
 def explode_cities(df: DataFrame, list_col: str, keep: list[str], out: str = "city") -> DataFrame:

@@ -292,6 +292,41 @@ def test_two_thousand_columns_compare_few_pairs(spark, monkeypatch):
     assert len(seen) < n
 
 
+CITY_ROWS = [None, "", "  ", "Omsk", "omsk", "123456 OMSK , centre", "Tver", "tver oblast omsk", "Nowhere", "ab", "xabcx",
+             "New  Omsk,Tver", "x" * 9000 + " tver " + "y" * 1000, "123456"]
+
+
+def by_plain_search(value, regions, cities):
+    def normal(t):
+        return re.sub(r"[\s,]+", " ", re.sub(r"\d{6}", "", t)).strip(" ").lower()
+    if value is None or value in regions:
+        return value
+    own = {n: min(r for m, r in cities if m == n) for n, _ in cities}
+    if value in own:
+        return own[value]
+    inside = [r for r in regions if normal(r) and normal(r) in normal(value)]
+    if inside:
+        return max(inside, key=lambda r: (len(normal(r)), r))
+    inside = [c for c in own if normal(c) and normal(c) in normal(value)]
+    return own[max(inside, key=lambda c: (len(normal(c)), c))] if inside else value
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 12])
+def test_city_names_by_automaton(spark, limit):
+    from tabsieve.operators import joins as J
+    regions = ["Tver oblast", "abc", "ABC", "Omsk region", "", "Ivanovo"]
+    cities = [("Omsk", "Omsk region"), ("New Omsk", "Far"), ("Tver", "Tver oblast"), ("b", "B-land"), ("ab", "AB-land"),
+              ("ab", "AA-land"), ("123456", "digits"), ("", "blank")]
+    reg = spark.createDataFrame([(r,) for r in regions + [None]], "region string")
+    cit = spark.createDataFrame(cities + [(None, "none")], "city string, region string")
+    df = spark.createDataFrame(list(enumerate(CITY_ROWS * 2)), "id int, city string")
+    out = J.map_city_to_region(df, "city", reg, "region", cit, "city", "region", "to", max_bytes=limit)
+    got = {r["id"]: r["to"] for r in out.collect()}
+    assert got == {i: by_plain_search(v, regions, cities) for i, v in enumerate(CITY_ROWS * 2)}
+    names = spark.createDataFrame([("c", n, n, "r") for n in ("aa", "bbb", "cccc")], "kind string, name string, normal string, region string")
+    assert sum(b.count() for b in J.name_blocks(names, 4)) == 3 and len(J.name_blocks(names, 4)) == 6
+
+
 def test_dominant_value_needs_no_shuffle_of_ids(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 != 0, "x").otherwise(
         F.col("id").cast("string")).alias("most"), F.lit("k").alias("one"))
