@@ -13,7 +13,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.operators.profile import c_
+from tabsieve.operators.profile import c_, q
 
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 128 << 20
@@ -43,7 +43,15 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
 
 # ------------------------------------------------------------ block assembly
 def assemble_blocks(blocks: list[DataFrame], key: str = "row_id", how: str = "inner") -> DataFrame:
-    """Inner-join feature blocks on ``key``; duplicate non-key columns are rejected up front."""
+    """Inner-join feature blocks on ``key``; duplicate non-key columns are rejected up front.
+
+    For blocks that are joined more than once, ``store_block`` and ``assemble_stored`` pay the shuffle once.
+    """
+    _check_blocks(blocks, key)
+    return functools.reduce(lambda a, b: a.join(b, on=key, how=how), blocks)
+
+
+def _check_blocks(blocks: list[DataFrame], key: str) -> None:
     seen: dict[str, int] = {}
     for i, b in enumerate(blocks):
         if key not in b.columns:
@@ -54,7 +62,33 @@ def assemble_blocks(blocks: list[DataFrame], key: str = "row_id", how: str = "in
             if c in seen:
                 raise ValueError(f"column {c!r} appears in blocks {seen[c]} and {i}")
             seen[c] = i
-    return functools.reduce(lambda a, b: a.join(b, on=key, how=how), blocks)
+
+
+def store_block(block: DataFrame, table: str, path: str, key: str = "row_id", buckets: int | None = None) -> str:
+    """Write a block as table ``table`` at ``path`` (shared storage), bucketed and sorted by ``key``; returns the name.
+
+    Rows are dealt by the bucket hash first, so every bucket is one file. Blocks that are to be joined need the same
+    ``buckets`` (default: the shuffle partitions); a bucket should be a few hundred MB of the widest block. An existing
+    table of this name is replaced, so a repeated write leaves the same rows.
+    """
+    n = buckets or int(block.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (block.repartition(n, c_(key)).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(n, key).sortBy(key).saveAsTable(table))
+    return table
+
+
+def assemble_stored(spark, tables: list[str], key: str = "row_id", how: str = "inner") -> DataFrame:
+    """Join stored blocks bucket by bucket: sort-merge joins without an exchange.
+
+    Blocks with unlike numbers of buckets are refused, because joining them would shuffle again.
+    """
+    described = [{r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {q(t)}").collect()} for t in tables]
+    layouts = {(d.get("Num Buckets"), d.get("Bucket Columns")) for d in described}
+    if len(layouts) != 1 or (None, None) in layouts:
+        raise ValueError(f"blocks are bucketed differently: {sorted(map(str, layouts))}")
+    blocks = [spark.table(q(t)) for t in tables]
+    _check_blocks(blocks, key)
+    return functools.reduce(lambda a, b: a.join(b.hint("merge"), on=key, how=how), blocks)
 
 
 def left_join_fill(df: DataFrame, other: DataFrame, key: str, fill: dict | None = None,

@@ -3,6 +3,8 @@ aggregation/time series (§2.9), splits and metrics (§2.10)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabsieve.operators import assoc as A
@@ -12,6 +14,7 @@ from tabsieve.operators import joins as J
 from tabsieve.operators import ordered as O
 from tabsieve.plans.inputs import leads, leads_sql, read, with_cte
 from tabsieve.plans.registry import d_norm, query
+from tabsieve.session import checkpoint_dir
 from tabsieve.sources.io import load_reference_table
 
 L = leads_sql()
@@ -305,8 +308,10 @@ def _uni_auc(spark, sf):
     "SELECT lead_id AS row_id, segment, nation, priority, amount, status FROM l", l=L))
 def _assemble(spark, sf):
     d = leads(spark, sf).withColumnRenamed("lead_id", "row_id")
-    return J.assemble_blocks([d.select("row_id", "segment", "nation"), d.select("row_id", "priority", "amount"),
-                              d.select("row_id", "status")])
+    base = f"blocks_{uuid.uuid4().hex}"
+    blocks = [d.select("row_id", "segment", "nation"), d.select("row_id", "priority", "amount"), d.select("row_id", "status")]
+    return J.assemble_stored(spark, [J.store_block(b, f"{base}_{i}", f"{checkpoint_dir(spark)}/{base}/{i}")
+                                     for i, b in enumerate(blocks)])
 
 
 @query("left_join_raw_columns", with_cte(
