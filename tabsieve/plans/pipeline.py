@@ -21,6 +21,9 @@ from tabsieve.operators import profile as P
 from tabsieve.operators import transform as T
 
 
+ROW_INDEX = "_row_index"
+
+
 @dataclass
 class AuditReport:
     target: str
@@ -45,10 +48,15 @@ def cleaning_pipeline(df: DataFrame, target: str, manual: dict[str, str] | None
     """empty -> dominant -> (high cardinality) -> duplicates -> manual drop, then ``row_id``.
 
     The target is never dropped. ``row_id`` is the distributed 0..n-1 index in
-    ``order_cols`` order (default: all columns, so the id is deterministic).
+    ``order_cols`` order (default: all input columns, so the id is deterministic).
+    Rows are numbered first: the index settles the sorted input, and that one copy
+    is what all audits read.
     """
     from tabsieve.operators.ordered import global_index
-    if snapshot:
+    if row_id:
+        numbered = global_index(df, order_cols or list(df.columns), ROW_INDEX)
+        df = numbered.drop(ROW_INDEX)
+    elif snapshot:
         df = df.checkpoint(eager=True)
     n = df.count()
     rep = AuditReport(target, (n, len(df.columns)))
@@ -69,7 +77,8 @@ def cleaning_pipeline(df: DataFrame, target: str, manual: dict[str, str] | None
     step("duplicate_features", exact)
     step("manual_drop", P.manual_drop(cur, manual or {}))
     if row_id:
-        cur = global_index(cur, order_cols or list(cur.columns), row_id)
+        kept = [P.c_(c) for c in cur.columns if c != row_id]
+        cur = numbered.select(*kept, F.col(ROW_INDEX).alias(row_id))
     rep.final_shape = (n, len(cur.columns))
     return cur, rep
 
