@@ -190,6 +190,17 @@ def dominant_value(df: DataFrame, cols=None, threshold: float = 1.0,
     return Findings("dominant_value", table, [r["feature"] for r in rows])
 
 
+def hashed_levels(df: DataFrame, texts: list, aggs: list, keep=()) -> DataFrame:
+    """One row per column number ``i`` and distinct non-NULL text, told apart by two independent 64-bit hashes.
+
+    Texts stay in the task that reads them: hashes, the ``keep`` expressions over the text ``v`` and partial ``aggs``
+    are all that is shuffled.
+    """
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("v")) for i, t in enumerate(texts)])))
+    rows = long.where("v is not null").select("i", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"), *keep)
+    return rows.groupBy(*rows.columns).agg(*aggs)
+
+
 def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
                      min_unique: int = 50, only_string_like: bool = True) -> Findings:
     """Columns whose exact distinct share reaches the threshold."""
@@ -198,7 +209,11 @@ def high_cardinality(df: DataFrame, cols=None, share_threshold: float = 0.90,
         empty = df.sparkSession.createDataFrame(
             [], "feature string, nunique bigint, non_empty_count bigint, unique_share double")
         return Findings("high_cardinality", empty, [])
-    st = column_level_stats(value_counts_long(df, cols))
+    ty = _types(df)
+    st = hashed_levels(df, [value_text_expr(c, ty[c]) for c in cols], [F.count(F.lit(1)).alias("cnt")]).groupBy("i").agg(
+        F.sum("cnt").alias("non_empty_count"), F.count(F.lit(1)).alias("nunique"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, feature string")  # one row per column
+    st = names.join(st, "i")
     share = F.col("nunique") / F.col("non_empty_count")
     flagged = (st.where((F.col("nunique") >= min_unique) & (share >= share_threshold))
                .select("feature", "nunique", "non_empty_count",
@@ -308,11 +323,10 @@ def outlier_share(df: DataFrame, cols=None) -> DataFrame:
 def numeric_vs_text_levels(df: DataFrame, cols=None) -> DataFrame:
     """(feature, numeric_levels, text_levels): distinct values split by number-likeness."""
     cols = _cols(df, cols)
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.when(
-        c_(c).isNotNull(), normalize_text(c_(c))).alias("v")) for i, c in enumerate(cols)]))).where("v is not null")
-    is_num = F.col("v").try_cast("double").isNotNull()
-    per = (long.groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i")
-           .agg(F.sum(is_num.cast("long")).alias("n"), F.sum((~is_num).cast("long")).alias("t")))
+    texts = [F.when(c_(c).isNotNull(), normalize_text(c_(c))) for c in cols]
+    is_num = F.col("v").try_cast("double").isNotNull().alias("is_num")
+    per = (hashed_levels(df, texts, [F.lit(1).alias("one")], [is_num]).groupBy("i")
+           .agg(F.sum(F.col("is_num").cast("long")).alias("n"), F.sum((~F.col("is_num")).cast("long")).alias("t")))
     names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, feature string")  # one row per column
     return names.join(per, "i", "left").select("feature", F.coalesce("n", F.lit(0)).alias("numeric_levels"),
                                                F.coalesce("t", F.lit(0)).alias("text_levels"))

@@ -327,6 +327,53 @@ def test_city_names_by_automaton(spark, limit):
     assert sum(b.count() for b in J.name_blocks(names, 4)) == 3 and len(J.name_blocks(names, 4)) == 6
 
 
+def test_stored_blocks_join_without_exchange(spark, tmp_path):
+    from tabsieve.operators import joins as J
+    parts = [spark.range(k, 1000).select(F.col("id").alias("row_id"), (F.col("id") * k).alias(f"x{k}")) for k in (1, 2, 3)]
+    names = [J.store_block(p, f"part_{i}", str(tmp_path / str(i)), buckets=4) for i, p in enumerate(parts)]
+    out = J.assemble_stored(spark, names)
+    assert "Exchange" not in plan_of(out) and plan_of(out).count("SortMergeJoin") == 2
+    assert sorted(map(tuple, out.collect())) == [(i, i, 2 * i, 3 * i) for i in range(3, 1000)]
+    J.store_block(parts[0], "part_0", str(tmp_path / "0"), buckets=4)  # written again: same rows
+    assert J.assemble_stored(spark, names).count() == 997
+    J.store_block(parts[1], "part_1", str(tmp_path / "1"), buckets=5)
+    with pytest.raises(ValueError, match="bucketed differently"):
+        J.assemble_stored(spark, names)
+    J.store_block(parts[0], "part_1", str(tmp_path / "1"), buckets=4)
+    with pytest.raises(ValueError, match="appears in blocks"):
+        J.assemble_stored(spark, names)
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
+
+
+def test_level_audits_shuffle_hashes_not_texts(spark):
+    rows = [(f"id{i}", ["1", "2.0", "abc", None][i % 4], "x" if i % 3 else f"y{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    levels = P.hashed_levels(df, [F.col("a"), F.col("b")], [F.count(F.lit(1)).alias("n")])
+    for line in re.findall(r"Exchange ([^\n]*)", plan_of(levels)):
+        assert "v#" not in line, line
+    assert {(r.i, r.n) for r in levels.groupBy("i").agg(F.sum("n").alias("n")).collect()} == {(0, 300), (1, 225)}
+    got = {r.feature: tuple(r)[1:] for r in P.high_cardinality(df, share_threshold=0.3).table.collect()}
+    assert got == {"a": (300, 300, 1.0), "c": (101, 300, 0.3367)}
+    assert {tuple(r) for r in P.numeric_vs_text_levels(df).collect()} == {("a", 0, 300), ("b", 2, 1), ("c", 0, 101)}
+
+
+def test_cleaning_settles_one_copy(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from tabsieve.plans import pipeline as PL
+    rows = [(i % 50, f"t{i}", "one", f"t{i}", None, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, a2 string, e string, y int")
+    seen, settle = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: seen.append(len(self.columns)) or settle(self, *a, **k))
+    out, rep = PL.cleaning_pipeline(df, "y", order_cols=["k", "a"])
+    assert out.columns == ["k", "a", "y", "row_id"] and rep.final_shape == (200, 4)
+    want = sorted((r[0], r[1]) for r in rows)
+    assert [(r.k, r.a) for r in out.orderBy("row_id").collect()] == want
+    assert [n for n in seen if n >= len(df.columns)] == [8]  # the columns, partition and position: written once
+    with_own, _ = PL.cleaning_pipeline(df.withColumnRenamed("k", "row_id"), "y")
+    assert sorted(r.row_id for r in with_own.collect()) == list(range(200)) and "k" not in with_own.columns
+
+
 def test_dominant_value_needs_no_shuffle_of_ids(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 != 0, "x").otherwise(
         F.col("id").cast("string")).alias("most"), F.lit("k").alias("one"))
