@@ -3,9 +3,11 @@
 Both sides turn their words into 64-bit hashes, hash every ``k`` consecutive
 words and keep the minimum hash of each sliding window (winnowing): any span
 of ``n`` shared words holds a whole window, so both sides keep the same
-fingerprint in it. A document fingerprint that the benchmark also has gives a
-diagonal (document offset against item offset); the hit is extended along that
-diagonal and runs of at least ``n`` equal words count.
+fingerprint in it. Where a document fingerprint is also a benchmark's, the hit is
+extended to both sides within the words that a window around it can reach, and
+runs of at least ``n`` equal words count. Places with the same words around them
+are compared once, so repetitive texts cost no more than their different
+surroundings.
 
 The benchmark is the stated query set: it travels in blocks of at most
 ``block_bytes`` bytes, each broadcast within that proven bound, and one narrow
@@ -29,6 +31,7 @@ from tabsieve.llm.common import add_fields, buffer_of, class_table, doc_chunks,
 NGRAM = 13
 GRAM = 6
 BLOCK_BYTES = 16 << 20
+SLICE = 1 << 15  # places or pairs of places whose surroundings are compared at once
 
 #: Word bytes: digits, letters and every byte of a non-ASCII character. Upper case is folded first.
 _IS_WORD = class_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -75,6 +78,113 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_slide(padded, w, np.maximum) == grams)
 
 
+def _surroundings(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, before: int, after: int,
+                  beyond: int) -> np.ndarray:
+    """Words from ``before`` in front of each place up to ``after`` behind it, ``beyond`` outside [low, high)."""
+    spot = at[:, None] + np.arange(-before, after)
+    inside = (spot >= low[:, None]) & (spot < high[:, None])
+    return np.where(inside, words[np.clip(spot, 0, max(0, len(words) - 1))], np.uint64(beyond))
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        h = h * np.uint64(0xD6E8FEB86659FD93) + column
+    return mix(h)
+
+
+def _fan(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, member) of every member of the ranges [start, start + count)."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + start[which]
+
+
+class Marks:
+    """Fingerprints of the items that need ``length`` shared words, each with the words around it.
+
+    A shared window of ``length`` words holds a fingerprint of both sides, so it lies within the words around that
+    fingerprint. Places with the same words around them give the same answer: they are one entry with many owners.
+    """
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, chosen: np.ndarray, length: int, gram: int):
+        self.length, self.k = length, min(gram, length)
+        self.w, self.before = length - self.k + 1, length - self.k
+        marks, at, item = [], [], []
+        for i in chosen:
+            grams = gram_hashes(words[first[i]:first[i + 1]], self.k)
+            pos = winnow(grams, self.w)
+            marks.append(grams[pos])
+            at.append(pos + first[i])
+            item.append(np.full(len(pos), i))
+        marks, at, item = map(np.concatenate, (marks, at, item))
+        around = np.concatenate([_row_hashes(self.of_items(words, first, at[c:c + SLICE], item[c:c + SLICE]))
+                                 for c in range(0, len(at), SLICE)])
+        order = np.lexsort((item, around, marks))
+        marks, at, item, around = marks[order], at[order], item[order], around[order]
+        new = np.concatenate([[True], (marks[1:] != marks[:-1]) | (around[1:] != around[:-1])])
+        entry = np.cumsum(new) - 1
+        lead = np.flatnonzero(new)
+        for c in range(0, len(at), SLICE):  # a hash may collide: places that differ from their entry's stand alone
+            own = self.of_items(words, first, at[c:c + SLICE], item[c:c + SLICE])
+            led = lead[entry[c:c + SLICE]]
+            new[c:c + SLICE] |= (own != self.of_items(words, first, at[led], item[led])).any(axis=1)
+        entry, lead = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.marks, self.at, self.item = marks[lead], at[lead], item[lead]
+        pairs = np.unique(np.stack([entry, item], axis=1), axis=0)
+        self.owners = pairs[:, 1]
+        self.owned = np.searchsorted(pairs[:, 0], np.arange(len(lead) + 1))
+        self.sieve = np.zeros(1 << max(16, int(len(self.marks) * 16).bit_length()), bool)
+        self.sieve[(self.marks & np.uint64(len(self.sieve) - 1)).astype(np.int64)] = True
+
+    def of_items(self, words, first, at, item):
+        return _surroundings(words, at, first[item], first[item + 1], self.before, self.length, 1)
+
+    def hits(self, words: np.ndarray, first: np.ndarray, item_words: np.ndarray, item_first: np.ndarray):
+        """(text, start, end, items' text, item) arrays of hit words and of the items that hit, slice by slice."""
+        grams = gram_hashes(words, self.k)
+        pos = winnow(grams, self.w)
+        value = grams[pos]
+        near = self.sieve[(value & np.uint64(len(self.sieve) - 1)).astype(np.int64)]
+        pos, value = pos[near], value[near]
+        lo, hi = np.searchsorted(self.marks, value, "left"), np.searchsorted(self.marks, value, "right")
+        pos, lo, hi = pos[hi > lo], lo[hi > lo], hi[hi > lo]
+        for c in range(0, len(pos), SLICE):
+            yield self._slice(words, first, pos[c:c + SLICE], lo[c:c + SLICE], hi[c:c + SLICE], item_words, item_first)
+
+    def _slice(self, words, first, pos, lo, hi, item_words, item_first):
+        text = np.searchsorted(first, pos, "right") - 1
+        around = _surroundings(words, pos, first[text], first[text + 1], self.before, self.length, 0)
+        _, lead, kind = np.unique(_row_hashes(around), return_index=True, return_inverse=True)
+        if (around != around[lead[kind]]).any():  # a collision: every place by itself
+            lead = kind = np.arange(len(pos))
+        left, right = np.full(len(lead), -1), np.full(len(lead), -1)
+        kinds, entries = [], []
+        count = hi[lead] - lo[lead]
+        ends = np.cumsum(count)
+        for c in range(0, int(ends[-1]), SLICE):
+            flat = np.arange(c, min(c + SLICE, int(ends[-1])))
+            one = np.searchsorted(ends, flat, "right")
+            entry = lo[lead[one]] + flat - (ends[one] - count[one])
+            equal = around[lead[one]] == self.of_items(item_words, item_first, self.at[entry], self.item[entry])
+            to_left = np.minimum.accumulate(equal[:, :self.before][:, ::-1], axis=1).sum(axis=1)
+            to_right = np.minimum.accumulate(equal[:, self.length:], axis=1).sum(axis=1)
+            good = equal[:, self.before:self.length].all(axis=1) & (to_left + self.k + to_right >= self.length)
+            np.maximum.at(left, one[good], to_left[good])
+            np.maximum.at(right, one[good], to_right[good])
+            kinds.append(one[good])
+            entries.append(entry[good])
+        kinds, entries = np.concatenate(kinds), np.concatenate(entries)
+        hit = left[kind] >= 0
+        text, kind, pos = text[hit], kind[hit], pos[hit]
+        seen = np.unique(np.stack([text, kind], axis=1), axis=0)
+        a = np.searchsorted(kinds, seen[:, 1], "left")
+        which, k = _fan(a, np.searchsorted(kinds, seen[:, 1], "right") - a)
+        whose, found = seen[which, 0], entries[k]
+        which, k = _fan(self.owned[found], self.owned[found + 1] - self.owned[found])
+        owners = np.unique(np.stack([whose[which], self.owners[k]], axis=1), axis=0)
+        return text, pos - left[kind], pos + self.k + right[kind], owners[:, 0], owners[:, 1]
+
+
 class Block:
     """Word hashes of some items and, per window length, the winnowed fingerprints that lead back to them."""
 
@@ -83,59 +193,26 @@ class Block:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.ids = ids
         self.words, self.first = text_words(data, offsets)
-        lengths = np.diff(self.first)
-        self.need = np.minimum(lengths, n)
-        self.classes = []
-        for length in sorted({int(x) for x in self.need if x}):
-            k = min(gram, length)
-            w = length - k + 1
-            marks, at, item = [], [], []
-            for i in np.flatnonzero(self.need == length):
-                a, b = self.first[i], self.first[i + 1]
-                grams = gram_hashes(self.words[a:b], k)
-                pos = winnow(grams, w)
-                marks.append(grams[pos])
-                at.append(pos)
-                item.append(np.full(len(pos), i))
-            marks, at, item = map(np.concatenate, (marks, at, item))
-            order = np.argsort(marks, kind="stable")
-            sieve = np.zeros(1 << max(16, int(len(marks) * 16).bit_length()), bool)
-            sieve[(marks & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
-            self.classes.append((length, k, w, marks[order], at[order], item[order], sieve))
+        need = np.minimum(np.diff(self.first), n)
+        self.classes = [Marks(self.words, self.first, np.flatnonzero(need == length), length, gram)
+                        for length in sorted({int(x) for x in need if x})]
 
     def runs(self, words: np.ndarray, first: np.ndarray):
-        """Per text that shares a window: (text index, hit word ranges, item indexes)."""
-        diagonals: dict[int, set[tuple[int, int]]] = {}
-        for _, k, w, marks, at, item, sieve in self.classes:
-            grams = gram_hashes(words, k)
-            pos = winnow(grams, w)
-            value = grams[pos]
-            near = sieve[(value & np.uint64(len(sieve) - 1)).astype(np.int64)]
-            pos, value = pos[near], value[near]
-            lo = np.searchsorted(marks, value, "left")
-            hi = np.searchsorted(marks, value, "right")
-            for p, a, b in zip(pos[hi > lo], lo[hi > lo], hi[hi > lo]):
-                text = int(np.searchsorted(first, p, "right")) - 1
-                diagonals.setdefault(text, set()).update(
-                    (int(item[j]), int(p - first[text] - at[j])) for j in range(a, b))
-        for text, found in sorted(diagonals.items()):
-            doc = words[first[text]:first[text + 1]]
-            ranges, items = [], set()
-            for i, d in sorted(found):
-                own = self.words[self.first[i]:self.first[i + 1]]
-                lo, hi = max(0, d), min(len(doc), d + len(own))
-                if hi - lo < self.need[i]:
-                    continue
-                equal = np.zeros(hi - lo + 2, np.int8)
-                equal[1:-1] = doc[lo:hi] == own[lo - d:hi - d]
-                edge = np.diff(equal)
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                long = end - begin >= self.need[i]
-                if long.any():
-                    items.add(i)
-                    ranges += [(int(a) + lo, int(b) + lo) for a, b in zip(begin[long], end[long])]
-            if items:
-                yield text, ranges, sorted(items)
+        """Per text that shares a window: (text index, disjoint hit word ranges, item indexes)."""
+        parts = [p for m in self.classes for p in m.hits(words, first, self.words, self.first)]
+        if not parts:
+            return
+        text, start, end, whose, item = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((start, text))
+        text, start, end = text[order], start[order], end[order]
+        owners = np.unique(np.stack([whose, item], axis=1), axis=0)
+        for t in np.unique(text):
+            a, b = np.searchsorted(text, t, "left"), np.searchsorted(text, t, "right")
+            low, reach = start[a:b], np.maximum.accumulate(end[a:b])
+            cut = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+            ranges = zip(low[cut] - first[t], np.append(reach[cut[1:] - 1], reach[-1]) - first[t])
+            own = owners[np.searchsorted(owners[:, 0], t, "left"):np.searchsorted(owners[:, 0], t, "right"), 1]
+            yield int(t), [(int(x), int(y)) for x, y in ranges], own.tolist()
 
 
 def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, n: int, gram: int, block_bytes: int) -> list:

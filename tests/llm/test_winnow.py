@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -81,6 +82,46 @@ def test_items_without_an_id_are_found(spark, make_docs):
     assert [r.doc_id for r in winnow.keep_clean(spark, docs, bench).collect()] == [3]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=5),
+       st.lists(st.lists(st.integers(0, 2), max_size=60), min_size=1, max_size=4), st.integers(1, 6), st.booleans())
+def test_runs_on_few_words(items, docs, n, small):
+    texts = [" ".join(f"w{x}" for x in t) for t in items]
+    block = winnow.Block(list(range(len(items))), [t.encode() for t in texts], n, 2)
+    size = winnow.SLICE
+    winnow.SLICE = 3 if small else size
+    try:
+        data = [" ".join(f"w{x}" for x in t).encode() for t in docs]
+        offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
+        got = {t: (r, own) for t, r, own in block.runs(*winnow.text_words(np.frombuffer(b"".join(data), np.uint8), offsets))}
+    finally:
+        winnow.SLICE = size
+    for t, doc in enumerate(docs):
+        hit, own = set(), set()
+        for i, item in enumerate(items):
+            k = min(n, len(item))
+            known = {tuple(item[a:a + k]) for a in range(len(item) - k + 1)} if k else set()
+            for p in range(len(doc) - k + 1):
+                if tuple(doc[p:p + k]) in known:
+                    hit |= set(range(p, p + k))
+                    own.add(i)
+        ranges, items_hit = got.get(t, ([], []))
+        assert {x for a, b in ranges for x in range(a, b)} == hit and set(items_hit) == own
+        assert sum(b - a for a, b in ranges) == len(hit) and len(items_hit) == len(own)
+
+
+def test_repetitive_texts_on_both_sides_take_linear_time(spark, make_docs):
+    items = [(1, "the " * 20000), (2, "a b " * 10000), (3, "the " * 20 + "end")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs([(1, "the " * 60000), (2, "x " + "b a " * 30000), (3, "the " * 12 + "x"), (4, "the " * 15 + "end")])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    start = time.monotonic()
+    assert rows(winnow.contamination(docs, bench)) == {
+        1: (60000, 60000, 2, sha("1,3"), True), 2: (60001, 60000, 1, sha("2"), True), 3: (13, 0, 0, sha(""), False),
+        4: (16, 16, 2, sha("1,3"), True)}
+    assert time.monotonic() - start < 60  # all pairs of equal fingerprints would be a thousand million
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.integers(1, 12))
 def test_every_window_keeps_its_minimum(values, w):
