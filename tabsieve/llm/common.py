@@ -158,11 +158,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
     """Prefix sums of code[byte] * base^i; ``cut_hashes`` turns two of them into a span's hash."""
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE_CODES[data] * _power("up", len(data))[:len(data)], out=total[1:])
+    np.cumsum(codes[data] * _power("up", len(data))[:len(data)], out=total[1:])
     return total
 
 

@@ -40,6 +40,7 @@ from tabsieve.llm.winnow import _slide
 
 LENGTH = 100
 ANCHOR = 24
+SECOND_CODES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text per anchor bucket, bytes of segments per suffix shard, and segments that a map task gathers at once.
 BUCKET_BYTES = 12 << 20
 SHARD_BYTES = 3 << 20
@@ -88,7 +89,9 @@ def _unpack(blobs, dtype: np.dtype) -> np.ndarray:
 
 
 def _doc_buckets(rows: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = rows["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """Bucket of each row's document, by id and tie-break, so rows without an id (or of one id) spread."""
+    mixed = (rows["doc"].astype(np.uint64) + rows["tie"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(
+        0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -279,11 +282,11 @@ def _cut(shards: int, length: int):
 
 
 def _single_windows(data: np.ndarray, rows: np.ndarray, length: int) -> np.ndarray:
-    """The windows of crowded segments as segments of their own, under the hash of the whole window."""
-    total = prefix_hashes(data)
+    """The windows of crowded segments as segments of their own, under two independent hashes of the whole window."""
+    total, second = prefix_hashes(data), prefix_hashes(data, SECOND_CODES)
     start = np.concatenate([np.arange(a, a + n) for a, n in zip(rows["start"].tolist(), rows["n"].tolist())])
     out = np.empty(len(start), SEGMENT)
-    out["h"] = out["c"] = cut_hashes(total, start, start + length)
+    out["h"], out["c"] = cut_hashes(total, start, start + length), cut_hashes(second, start, start + length)
     out["doc"], out["tie"], out["start"], out["n"] = rows["doc"][0], rows["tie"][0], start, 1
     return out
 

@@ -104,3 +104,22 @@ def test_removed_text(spark, make_docs):
     out = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
     assert out[1].text == "one " + passage and out[3].text is None and out[2].spans == 1
     assert out[2].text == "two éé end"
+
+
+def test_rows_without_an_id_spread_over_buckets():
+    rows = np.zeros(1000, suffix.SPAN)
+    rows["doc"], rows["tie"] = suffix.NO_ID, np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 1000)
+    assert np.bincount(suffix._doc_buckets(rows, 64), minlength=64).max() < 50
+    own = np.zeros(1000, suffix.SPAN)
+    own["doc"] = np.arange(1000)  # unique ids have no tie-break
+    assert np.bincount(suffix._doc_buckets(own, 64), minlength=64).max() < 50
+
+
+def test_windows_of_crowded_segments_have_two_hashes():
+    data = np.frombuffer(bytes(random.Random(2).choices(range(97, 123), k=400)), np.uint8)
+    segment = np.zeros(1, suffix.SEGMENT)
+    segment["n"] = 301
+    out = suffix._single_windows(data, segment, 100)
+    assert len(out) == 301 and len(np.unique(out["c"])) == 301 and not (out["h"] == out["c"]).any()
+    twice = suffix._single_windows(np.concatenate([data[:100], data[:100]]), np.array([(0, 0, 1, 0, 0, 101)], suffix.SEGMENT), 100)
+    assert twice["h"][0] == twice["h"][100] and twice["c"][0] == twice["c"][100]
