@@ -157,7 +157,10 @@ def held_out(key):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(text, toxic) of about ``fit_rows`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """(text, toxic) of about ``fit_rows`` labelled ids outside the held-out fold, chosen by a hash of the id.
+
+    An id that several rows have gives one text, the one of least digest, so the sample's rows are bounded as well.
+    """
     known = (labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")))
     share = min(1.0, fit_rows / max(1, known.count()))
@@ -165,7 +168,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     chosen = chosen.select(F.col("doc_id").alias("label_id"), "label")
     texts = docs.select("doc_id", "text")
     joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # fit_rows rows of 12 bytes
-    return settle(joined.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("label") > 0).cast("int").alias("toxic")))
+    text = F.coalesce("text", F.lit(""))
+    one = joined.groupBy("label_id", "label").agg(F.min(F.struct(F.xxhash64(text).alias("digest"), text.alias("text"))).alias("least"))
+    return settle(one.select("least.text", (F.col("label") > 0).cast("int").alias("toxic")))
 
 
 def _terms(word: str):
@@ -226,15 +231,16 @@ def learn_terms(sample: DataFrame) -> Grammar:
     return Grammar(words, stems)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Maximum a posteriori weights under ``PRIOR`` by Newton steps; the prior alone without rows."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Maximum a posteriori weights under ``PRIOR`` by Newton steps, a row counting ``times`` times; the prior alone
+    without rows."""
     mean, precision = PRIOR
     x = np.hstack([np.ones((len(x), 1)), x])
     beta = mean.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (y - p) - precision * (beta - mean)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(precision)
+        grad = x.T @ (times * (y - p)) - precision * (beta - mean)
+        hess = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(precision)
         step = np.linalg.solve(hess, grad)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
@@ -254,10 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[G
     schema = "toxic int, " + ", ".join(f"{k} double" for k in KINDS)
     rows = sample.mapInArrow(run, schema).groupBy("toxic", *KINDS).agg(F.count(F.lit(1)).alias("n")).collect()
     rows = sorted(rows, key=lambda r: tuple(r))
-    x = np.array([[r[k] for k in KINDS] for r in rows for _ in range(r["n"])]).reshape(-1, len(KINDS))
-    y = np.array([r["toxic"] for r in rows for _ in range(r["n"])], float)
+    x = np.array([[r[k] for k in KINDS] for r in rows]).reshape(-1, len(KINDS))
+    y, times = (np.array([r[c] for r in rows], float) for c in ("toxic", "n"))
     forget(sample)
-    return grammar, fit_logistic(x, y)
+    return grammar, fit_logistic(x, y, times)
 
 
 # ------------------------------------------------------------------ scoring

@@ -69,3 +69,19 @@ def test_edges(spark, make_docs):
     kept = tox.keep_civil(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5}
     assert tox.toxicity(make_docs([]), labels).count() == 0
+
+
+def test_sample_is_bounded_when_ids_repeat(spark, make_docs):
+    docs = make_docs([(3, f"text {i}") for i in range(3000)] + [(5, "you idiot"), (9, None)])
+    labels = spark.createDataFrame([(3, 0, 0), (5, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = tox.training_sample(docs, labels).collect()
+    kept = {i for i in (3, 5, 9) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(rows) == len(kept)
+    again = tox.training_sample(docs.orderBy("text", ascending=False), labels).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_counts_weigh_as_rows():
+    rng = np.random.default_rng(4)
+    x, y, n = rng.random((6, len(tox.KINDS))), np.array([0, 1, 0, 1, 1, 0.0]), np.array([3, 1, 7, 2, 5, 4])
+    assert np.allclose(tox.fit_logistic(x, y, n), tox.fit_logistic(np.repeat(x, n, 0), np.repeat(y, n), np.ones(n.sum())))
