@@ -1,18 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become classes: insult (weighted), threat, target, negation, report,
-clause end or other. Five small transducers read the classes:
-
-* insult: an insult term fires with its weight;
-* threat: a threat verb fires when a target follows within ``REACH`` words;
-* target: a target within ``REACH`` words before or after makes an insult aimed;
-* negation: a negation within ``REACH`` words before turns a match negated;
-* report: a reporting verb earlier in the clause turns a match reported.
-
-Their product is one state machine (target and negation distances, report
-flag), compiled to a transition table. Every clause that holds a match is run
-through it and yields weights per kind of match; a document's score is a
-logistic function of the five sums. Insult weights and the logistic
+clause end or other. Five small weighted transducers read a clause one after
+the other, each reading what the one before wrote:
+
+* insult: an insult term is written as a plain match;
+* threat: a threat verb is written as a threat if a target follows within ``REACH`` words, else as other;
+* target: a plain match near a target (``REACH`` words after, one more before) becomes aimed;
+* negation: a match with a negation just before becomes negated;
+* report: a match after a reporting verb of the clause becomes reported.
+
+What follows a word is guessed: the threat and target transducers branch and
+remember which guess is due, and a branch dies when its guess fails, so of all
+paths of a clause exactly one is accepted. ``compose`` builds the product of
+two transducers (weights multiply) and drops states that cannot be accepted;
+the five become one machine by four compositions. Every clause that holds a
+match is run through it and yields weights per kind of match; a document's
+score is a logistic function of the five sums. Insult weights and the logistic
 coefficients are learned from labelled rows outside the held-out fold:
 word and word-stem log-odds, counted over distinct contexts so that copies of
 one text do not look like evidence.
@@ -25,6 +29,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
+from typing import Callable, Hashable, Iterable, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,7 @@ CACHE_WORDS = 100_000
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
 
 OTHER, END, TARGET, NEGATION, REPORT, THREAT, INSULT = range(7)
+PLAIN, AIMED, NEGATED, REPORTED, THREATENED = MATCHES = range(7, 7 + len(KINDS))
 
 #: Starting vocabulary of each class; insult weights are refitted from the labels.
 TERMS = {
@@ -66,46 +73,136 @@ _TOKENS = re.compile(r"[^\W\d_]+|[.!?;:\n]+")
 PRIOR = np.array([-3.0, 2.5, 3.0, 0.5, 1.0, 3.0]), np.array([0.05, 0.5, 0.5, 0.5, 0.5, 0.5])
 
 
-# ------------------------------------------------------------------ the composed machine
-def compile_grammar() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, reading) by state and class of the product of the target, negation and report transducers.
+# ------------------------------------------------------------------ weighted transducers
+class Transducer(NamedTuple):
+    """``arcs[state][symbol read]`` holds (symbol written, weight, next state) for every way to go on."""
+    start: Hashable
+    arcs: dict
+    final: frozenset
+
+
+def transducer(start: Hashable, step: Callable, reads: Iterable[int], final: Callable = lambda s: True) -> Transducer:
+    """All states that ``step(state, symbol)`` reaches from ``start``, without those that reach no final state."""
+    arcs, todo = {}, [start]
+    while todo:
+        state = todo.pop()
+        if state not in arcs:
+            arcs[state] = {c: tuple(step(state, c)) for c in reads}
+            todo += [after for ways in arcs[state].values() for _, _, after in ways]
+    before: dict = {}
+    for state, ways in arcs.items():
+        for _, _, after in (w for ws in ways.values() for w in ws):
+            before.setdefault(after, []).append(state)
+    todo = [s for s in arcs if final(s)]
+    ends, alive = frozenset(todo), set(todo)
+    while todo:
+        for state in before.get(todo.pop(), ()):
+            if state not in alive:
+                alive.add(state)
+                todo.append(state)
+    kept = {s: {c: tuple(w for w in ws if w[2] in alive) for c, ws in ways.items()}
+            for s, ways in arcs.items() if s in alive}
+    return Transducer(start, kept, ends)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """What ``b`` writes when it reads what ``a`` writes; the weights of the two arcs are multiplied."""
+    def step(state, c):
+        for middle, w, p in a.arcs[state[0]].get(c, ()):
+            for written, v, q in b.arcs[state[1]].get(middle, ()):
+                yield written, w * v, (p, q)
+    return transducer((a.start, b.start), step, list(a.arcs[a.start]), lambda s: s[0] in a.final and s[1] in b.final)
+
+
+def _wait(due: int, barred: int, target: bool):
+    """Guesses after one more word: words in which a target is due, words in which it is barred (0: none);
+    None if a guess failed."""
+    if target:
+        return None if barred else (0, 0)
+    return None if due == 1 else (max(due - 1, 0), max(barred - 1, 0))
+
+
+def _insult(state, c):
+    yield PLAIN if c == INSULT else c, 1.0, state
+
+
+def _threat(state, c):
+    wait = _wait(*state, c == TARGET)
+    if wait and c == THREAT:
+        yield THREATENED, 1.0, (wait[0] or REACH, wait[1])
+        yield OTHER, 1.0, (wait[0], REACH)
+    elif wait:
+        yield c, 1.0, wait
+
+
+def _target(state, c):
+    since, wait = state[0], _wait(*state[1:], c == TARGET)
+    now = 0 if c == TARGET else min(since + 1, REACH + 1)
+    if wait and c == PLAIN and since > REACH:
+        yield AIMED, 1.0, (now, wait[0] or REACH, wait[1])
+        yield PLAIN, 1.0, (now, wait[0], REACH)
+    elif wait:
+        yield AIMED if c == PLAIN else c, 1.0, (now, *wait)
+
+
+def _negation(since, c):
+    yield NEGATED if c in MATCHES and since <= REACH else c, 1.0, 0 if c == NEGATION else min(since + 1, REACH + 1)
+
+
+def _report(reported, c):
+    yield REPORTED if c in MATCHES and reported else c, 1.0, reported or c == REPORT
+
+
+def parts() -> list[Transducer]:
+    """The five transducers in the order in which they read."""
+    words = [OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT]
+    found = words + list(MATCHES)
+    settled = lambda s: s[-2] == 0  # noqa: E731  no target is due
+    return [transducer(0, _insult, words), transducer((0, 0), _threat, found, settled),
+            transducer((REACH + 1, 0, 0), _target, found, settled),
+            transducer(REACH + 1, _negation, found), transducer(False, _report, found)]
+
+
+@lru_cache(1)
+def machine() -> tuple[list[list[tuple]], int, frozenset]:
+    """The composition of the five with numbered states: (arcs by state and class, start, final states); an arc is
+    (kind of match or -1, weight, next state)."""
+    whole, *others = parts()
+    for other in others:
+        whole = compose(whole, other)
+    number = {s: i for i, s in enumerate(whole.arcs)}
+    arcs = [[tuple((m - PLAIN if m in MATCHES else -1, w, number[after]) for m, w, after in ways.get(c, ()))
+             for c in range(len(TERMS) + 2)] for ways in whole.arcs.values()]
+    return arcs, number[whole.start], frozenset(number[s] for s in whole.final)
+
+
+def matches(classes: Iterable[int]) -> list[tuple[int, int, float]]:
+    """(place, kind, weight) of every match on the one accepted path of a clause."""
+    arcs, start, final = machine()
+    live = {start: None}  # one open path a state, as a chain of its matches
+    for i, c in enumerate(classes):
+        after = {}
+        for state, path in live.items():
+            for kind, weight, to in arcs[state][c]:
+                after[to] = path if kind < 0 else (path, i, kind, weight)
+        live = after
+    path = next(p for s, p in live.items() if s in final)
+    found = []
+    while path:
+        path, *match = path
+        found.append(tuple(match))
+    return found[::-1]
 
-    A state is (words since a target, words since a negation, reported), distances capped at REACH + 1;
-    the reading says how a match in that state counts: index into KINDS without threats.
-    """
-    far = REACH + 1
-    states = [(t, n, r) for t in range(far + 1) for n in range(far + 1) for r in (0, 1)]
-    number = {s: i for i, s in enumerate(states)}
-    move = np.zeros((len(states), 7), np.int64)
-    reading = np.zeros(len(states), np.int64)
-    for (t, n, r), i in number.items():
-        reading[i] = 3 if r else 2 if n < far else 1 if t < far else 0
-        for c in range(7):
-            if c == END:
-                move[i, c] = number[(far, far, 0)]
-            else:
-                move[i, c] = number[(0 if c == TARGET else min(t + 1, far), 0 if c == NEGATION else min(n + 1, far),
-                                     1 if c == REPORT else r)]
-    return move, reading
-
-
-MOVE, READING = compile_grammar()
-START = int(MOVE[0, END])
+
+_short = lru_cache(20_000)(matches)
+SHORT = 48
 
 
 def run_clause(classes: list[int], weights: list[float]) -> list[float]:
-    """Weight per kind of match in one clause."""
-    out, state = [0.0] * len(KINDS), START
-    for i, c in enumerate(classes):
-        if c == INSULT:
-            kind = int(READING[state])
-            if kind == 0 and TARGET in classes[i + 1:i + 1 + REACH]:
-                kind = 1
-            out[kind] += weights[i]
-        elif c == THREAT and TARGET in classes[i + 1:i + 1 + REACH]:
-            kind = int(READING[state])
-            out[4 if kind < 2 else kind] += weights[i]
-        state = int(MOVE[state, c])
+    """Weight per kind of match in one clause: the weight of the path's arc times that of the term."""
+    out = [0.0] * len(KINDS)
+    for i, kind, weight in _short(tuple(classes)) if len(classes) <= SHORT else matches(classes):
+        out[kind] += weight * weights[i]
     return out
 
 
