@@ -141,16 +141,30 @@ def assign_groups(groups: DataFrame, shards: int = SHARDS, fan_in: int = FAN_IN)
 
 
 def with_slots(rows: DataFrame, order: list[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """A gapless ``slot`` from 0 within each shard: rows are numbered inside hashed parts of a shard, and each part
-    starts where the parts before it end."""
+    """A gapless ``slot`` from 0 within each shard.
+
+    Rows that agree in all columns are one counted row until the end. Counted rows are ordered inside hashed parts of
+    a shard, each part starts where the parts before it end, and a counted row takes as many slots as it has copies.
+    Copies are written out in blocks of ``slot_rows``, which spread over tasks, so no task holds all copies of a row.
+    """
     parts = max(1, -(-rows.count() // slot_rows))
-    parted = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    counts = parted.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "_part", (F.sum("n").over(
-        Window.partitionBy("shard").orderBy("_part")) - F.col("n")).alias("before"))
-    numbered = parted.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*order)))
-    return (numbered.join(before, ["shard", "_part"])
-            .withColumn("slot", F.col("_row") - 1 + F.col("before")).drop("_part", "_row", "before"))
+    counted = (rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts))))
+    before = (counted.groupBy("shard", "_part").agg(F.sum("_n").alias("_sum"))
+              .select("shard", "_part", (F.sum("_sum").over(Window.partitionBy("shard").orderBy("_part"))
+                                         - F.col("_sum")).alias("_before")))
+    within = F.sum("_n").over(Window.partitionBy("shard", "_part").orderBy(*order)
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = settle(counted.withColumn("_end", within).join(before, ["shard", "_part"])
+                    .withColumn("_first", F.col("_before") + F.col("_end") - F.col("_n"))
+                    .select(*rows.columns, "_first", (F.col("_first") + F.col("_n") - 1).alias("_last")))
+    single = placed.where("_first = _last").select(*rows.columns, F.col("_first").alias("slot"))
+    blocks = (placed.where("_first < _last")
+              .withColumn("_block", F.explode(F.sequence("_first", "_last", F.lit(slot_rows).cast("long"))))
+              .repartition(*rows.columns, "_block"))
+    copies = blocks.select(*rows.columns, F.explode(F.sequence(
+        "_block", F.least("_last", F.col("_block") + F.lit(slot_rows - 1).cast("long")))).alias("slot"))
+    return single.unionByName(copies)
 
 
 def digest(text):
@@ -161,7 +175,8 @@ def byte_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards
     """(key, size, text_crc32, law, shard, slot, grown_shard): law ``bytes``; size is the text's bytes plus 1.
 
     Null and empty texts are equal (size 1). Rows with equal texts share a shard, repeated rows included; slots
-    follow a hash of the id, so no row depends on how the input was split.
+    follow a hash of the id, so no row depends on how the input was split; rows equal in id and text take slots in a
+    row and spread over tasks.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = settle(docs.select(F.col(key).alias("key"), digest(F.col(text)).alias("id"),

@@ -83,6 +83,27 @@ def test_large_groups_among_many(spark):
         assert got.keys() == sizes.keys() and bins[-1] - bins[0] <= 0.001 * sum(bins)
 
 
+def test_slots_of_many_equal_rows(spark):
+    """Rows equal in all columns are numbered as one counted row and written out in blocks."""
+    prepare(spark)
+    data = [(1, "a", 0)] * 5003 + [(None, "b", 1)] * 250 + [(i, "c", i % 3) for i in range(400)] + [(7, "d", 2)] * 2
+    rows = spark.createDataFrame(data, "key long, id string, shard int").repartition(5)
+    out = shards.with_slots(rows, ["key", "id"], slot_rows=100)
+    got = out.collect()
+    assert sorted((r.id, r.key or -1, r.shard) for r in got) == sorted((d, k or -1, s) for k, d, s in data)
+    for s in range(3):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    again = shards.with_slots(rows.orderBy("id", ascending=False), ["key", "id"], slot_rows=100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.where("id = 'a'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 5003 / 2
+
+
 def test_edges(spark, make_docs, tmp_path):
     rows = [(None, None), (1, ""), (2, "same"), (2, "same"), (3, "same"), (4, "Ü" * 50000), *((i, f"t{i}") for i in range(5, 60))]
     docs = make_docs(rows, shard="x", size=1)
