@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,21 +32,32 @@ def has_date_name_hint(name: str, ts_suffix: str = "_ts") -> bool:
     return low.endswith(ts_suffix) or any(h in low for h in DATE_NAME_HINTS)
 
 
+def _shape(fmt: str) -> str:
+    """Pattern of every text that ``fmt`` can parse: a number per field (four digits at least for ``yyyy``)."""
+    field = lambda m: r"[+-]?[0-9]{4,}" if m[0] == "yyyy" else "T" if m[0] == "'T'" else r"[+-]?[0-9]+"
+    return "(?i)^" + re.sub(r"yyyy|'T'|[A-Za-z]", field, fmt.replace(".", r"\.")) + "$"
+
+
 def parse_date_text(c) -> Column:
-    s = regex_trim(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]).cast("timestamp_ntz")
+    return parse_trimmed(regex_trim(col_of(c).cast("string")))
+
+
+def parse_trimmed(s: Column) -> Column:
+    """A failed parse is slow, so a format is tried only on texts of its shape."""
+    return F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in DATE_FORMATS]).cast("timestamp_ntz")
 
 
 def date_shares(df: DataFrame, cols=None) -> DataFrame:
     """(feature, numeric_share, s_share, ms_share, pattern_share, parse_share) over the
     non-NULL values of each column, all columns in one aggregate pass (no sampling)."""
     cols = list(cols) if cols is not None else list(df.columns)
+    # the trimmed text and the number of a value are made once, below the aggregate that uses them several times
+    texts = df.select(*[regex_trim(c_(c).cast("string")).alias(f"x{i}") for i, c in enumerate(cols)])
+    found = texts.select("*", *[F.col(f"x{i}").try_cast("double").alias(f"v{i}") for i in range(len(cols))])
     aggs = []
-    for i, c in enumerate(cols):
-        x = c_(c)
-        nn = x.isNotNull()
-        txt = regex_trim(x.cast("string"))
-        num = txt.try_cast("double")
+    for i in range(len(cols)):
+        txt, num = F.col(f"x{i}"), F.col(f"v{i}")
+        nn = txt.isNotNull()
         num = F.when(~F.isnan(num), num)
         share = lambda cond: F.try_divide(F.sum(F.when(nn, F.coalesce(cond, F.lit(False)).cast("double"))),
                                           F.sum(nn.cast("double")))
@@ -53,13 +65,14 @@ def date_shares(df: DataFrame, cols=None) -> DataFrame:
                  share(num.between(EPOCH_S_LO, EPOCH_S_HI)).alias(f"s{i}"),
                  share(num.between(EPOCH_S_LO * 1000, EPOCH_S_HI * 1000)).alias(f"m{i}"),
                  share(txt.rlike(DATE_TEXT_PATTERN)).alias(f"p{i}"),
-                 share(parse_date_text(x).isNotNull()).alias(f"d{i}")]
-    return wide_row_to_long(df.agg(*aggs), cols, {
+                 share(parse_trimmed(txt).isNotNull()).alias(f"d{i}")]
+    return wide_row_to_long(found.agg(*aggs), cols, {
         "numeric_share": "n", "s_share": "s", "ms_share": "m", "pattern_share": "p", "parse_share": "d"})
 
 
 def detect_epoch_columns(shares: DataFrame, threshold: float = 0.80, ts_suffix: str = "_ts") -> DataFrame:
     """Hinted, mostly numeric columns whose values fall in the epoch window (ms wins ties)."""
+    shares = settle(shares)  # read for the names and for the result, computed once
     names = [r["feature"] for r in shares.select("feature").collect()]  # one row per column
     hinted = [n for n in names if has_date_name_hint(n, ts_suffix)]
     unit = F.when(F.col("ms_share") >= F.col("s_share"), "ms").otherwise("s")
