@@ -185,12 +185,20 @@ def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols:
         stages = feature_stages(src, list(num_cols), encoders, linear=(kind == "lr"))
         stages.append(_classifier(kind, label, weight, params, seed))
         model = Pipeline(stages=stages).fit(rows)
+        _drop_summary(src.sparkSession, model.stages[-1])
         rows.unpersist()
     finally:
         src.unpersist()
     return FittedModel(model, list(num_cols), list(cat_cols), kind, encoders)
 
 
+def _drop_summary(spark: SparkSession, model) -> None:
+    """Forests and linear models keep a training summary, which holds the session and travels with every task that
+    scores; a session that has seen an observation cannot be serialised, so scoring would fail."""
+    if hasattr(model, "hasSummary") and model.hasSummary:
+        model._java_obj.setSummary(spark._jvm.scala.Option.empty())
+
+
 def fit_boosted_trees(train: DataFrame, label: str, num_cols, cat_cols, weight=None, max_iter: int = 20,
                       depth: int = 5, step: float = 0.1, val_col: str | None = None, seed: int = 42,
                       order_by: list[str] | None = None) -> FittedModel:
