@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.operators.joins import checked_broadcast, materialize
+from tabsieve.operators.joins import checked_broadcast, materialize, stored
 from tabsieve.operators.profile import c_
 
 
@@ -189,32 +189,105 @@ def target_prior(df: DataFrame, target: str, counted: Column | None = None) -> f
 
 
 def ordered_target_encode(df: DataFrame, col: str, target: str, out: str, order_cols: list, prior: float | None = None,
-                          strength: float = 1.0, counted: Column | None = None, block_rows: int = 1 << 18) -> DataFrame:
+                          strength: float = 1.0, counted: Column | None = None, block_rows: int = 1 << 18,
+                          path: str | None = None) -> DataFrame:
     """Mean target of the earlier rows of the same level, drawn towards ``prior`` with ``strength`` rows' weight.
 
     ``order_cols`` must make a total order; NULL is a level. Rows without a target, or where ``counted`` is false, get
-    a value and add nothing. Rows are numbered by (level, order) and cut into blocks; sums run inside a (level,
-    block) and a carry from the level's earlier blocks is joined in, so a level with a third of all rows spreads over
-    many tasks, and any number of levels takes the same path.
+    a value and add nothing. Rows are range-partitioned by (level, order), which is the one shuffle, and summed in that
+    order, ``block_rows`` at a time (``level_prefix_sums``); what earlier partitions hold of a partition's first level
+    is added from a row per partition. So a level with a third of all rows spreads over many tasks, and any number of
+    levels takes the same path. The summed rows are stored once (``path``, see ``stored``).
     """
-    from tabsieve.operators.ordered import global_index
     y = c_(target).cast("double")
     use = y.isNotNull() if counted is None else y.isNotNull() & F.coalesce(counted, F.lit(False))
     prior = target_prior(df, target, counted) if prior is None else prior
     rows = df.withColumns({"_lvl": c_(col).cast("string"), "_ys": F.when(use, y).otherwise(0.0), "_yn": use.cast("long")})
-    g = global_index(rows, ["_lvl", *order_cols], "_g").withColumn("_blk", F.floor(F.col("_g") / block_rows))
-    before = Window.partitionBy("_lvl", "_blk").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    local = g.withColumns({x: F.coalesce(F.sum(c).over(before), F.lit(0)) for x, c in (("_ls", "_ys"), ("_ln", "_yn"))})
-    blocks = g.groupBy(F.col("_lvl").alias("_cl"), F.col("_blk").alias("_cb")).agg(
-        F.sum("_ys").alias("_bs"), F.sum("_yn").alias("_bn"))
-    earlier = Window.partitionBy("_cl").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
-    carry = blocks.select("_cl", "_cb", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(x)
-                                          for x, c in (("_cs", "_bs"), ("_cn", "_bn"))])
-    j = local.join(carry, F.col("_lvl").eqNullSafe(F.col("_cl")) & (F.col("_blk") == F.col("_cb")), "left")
-    value = (F.col("_ls") + F.col("_cs") + F.lit(float(prior * strength))) / (F.col("_ln") + F.col("_cn") + F.lit(float(strength)))
+    g = stored(level_prefix_sums(rows, ["_lvl", *order_cols], block_rows), path)
+    j = g.join(F.broadcast(level_carries(g)), "_pid", "left")  # at most a row per partition
+    head = lambda c: F.when(F.col("_head"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0))
+    value = ((F.col("_ls") + head("_cs") + F.lit(float(prior * strength)))
+             / (F.col("_ln") + head("_cn") + F.lit(float(strength))))
     return j.withColumn(out, value).select(*[c_(c) for c in df.columns if c != out], out)
 
 
+def level_prefix_sums(rows: DataFrame, order_cols: list, block_rows: int = 1 << 18) -> DataFrame:
+    """``rows`` (with _lvl, _ys, _yn) in order, with the sums over the rows before in the same level and partition.
+
+    Adds _pid, _ls and _ln (the sums), _head (whether the row is of its partition's first level) and _edge (1 on a
+    partition's first row, 2 on its last, 3 on an only row, else 0). ``order_cols`` begin with _lvl.
+    """
+    from pyspark.sql.pandas.functions import ArrowUDFType
+
+    from tabsieve.operators.ordered import _keys, _parts
+    keys = _keys(order_cols)
+    part = (rows.repartitionByRange(_parts(rows, None), *keys).sortWithinPartitions(*keys)
+            .withColumn("_pid", F.spark_partition_id()))
+    @F.arrow_udf(returnType="struct<_ls: double, _ln: long, _head: boolean, _edge: int>", functionType=ArrowUDFType.SCALAR_ITER)
+    def sums(batches):  # only these columns travel to Python, the rest of a row waits in the task
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        level, total, head, edge, held = None, None, True, 1, None
+
+        def made(parts):
+            return pa.StructArray.from_arrays([pa.array(x) for x in parts], ["_ls", "_ln", "_head", "_edge"])
+
+        for level_batch, y_batch, n_batch in batches:
+            for start in range(0, len(level_batch), block_rows):
+                block = level_batch.slice(start, block_rows)
+                code = block.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new = np.concatenate([[True], code[1:] != code[:-1]])
+                y = y_batch.slice(start, block_rows).to_numpy(zero_copy_only=False)
+                nan = np.isnan(y)
+                inclusive = pd.Series(np.where(nan, 0.0, y)).groupby(code).cumsum().to_numpy()
+                if nan.any():  # cumsum goes on behind a NaN, a sum does not
+                    inclusive = np.where(pd.Series(nan).groupby(code).cumsum().to_numpy() > 0, np.nan, inclusive)
+                counts = pd.Series(n_batch.slice(start, block_rows).to_numpy(zero_copy_only=False)).groupby(code).cumsum().to_numpy()
+                ends = np.flatnonzero(new[1:])
+                first = slice(0, ends[0] + 1 if len(ends) else len(code))  # the rows of the block's first level
+                goes_on = total is not None and block[0].as_py() == level
+                head = head and (total is None or goes_on)
+                before, number = (np.concatenate([[0], x[:-1]]) for x in (inclusive, counts))
+                before[new], number[new] = 0, 0
+                if goes_on:
+                    before[first] += total[0]
+                    number[first] += total[1]
+                one = not len(ends)
+                total = tuple(x[-1] + (old if goes_on and one else 0) for x, old in zip((inclusive, counts), total or (0, 0)))
+                level = block[len(code) - 1].as_py()
+                heads = np.zeros(len(code), bool)
+                heads[first] = head
+                head = head and one
+                edges = np.zeros(len(code), np.int32)
+                edges[0], edge = edge, 0
+                # the last row is held back, since it is marked when no other follows
+                parts = [np.concatenate([h, x]) for h, x in zip(held or [[]] * 4, (
+                    before.astype(np.float64), number.astype(np.int64), heads, edges))]
+                parts = [x.astype(k) for x, k in zip(parts, (np.float64, np.int64, bool, np.int32))]
+                held = [x[-1:] for x in parts]
+                yield made([x[:-1] for x in parts])
+        if held is not None:
+            held[3] = held[3] + np.int32(2)
+            yield made(held)
+    return part.withColumn("_sums", sums("_lvl", "_ys", "_yn")).select(*part.columns, "_sums.*")
+
+
+def level_carries(summed: DataFrame) -> DataFrame:
+    """(_pid, _cs, _cn): what earlier partitions of ``level_prefix_sums`` hold of the first level of a partition."""
+    edges = (summed.where("_edge > 0").select("_pid", "_edge", "_lvl", (F.col("_ls") + F.col("_ys")).alias("s"),
+                                              (F.col("_ln") + F.col("_yn")).alias("n"), "_head").collect())  # two rows a partition
+    carries, level, total = [], None, None
+    for r in sorted(edges, key=lambda r: (r["_pid"], r["_edge"])):
+        if r["_edge"] & 1 and total is not None and r["_lvl"] == level:
+            carries.append((r["_pid"], *total))
+        if r["_edge"] & 2:
+            old = total if r["_head"] and total is not None and r["_lvl"] == level else (0.0, 0)
+            level, total = r["_lvl"], (old[0] + r["s"], old[1] + r["n"])
+    return summed.sparkSession.createDataFrame(carries, "_pid int, _cs double, _cn long")
+
+
 def target_levels(df: DataFrame, col: str, target: str, prior: float, strength: float = 1.0,
                   counted: Column | None = None) -> LevelTable:
     """(_lvl, _val): the statistic of ``ordered_target_encode`` after all rows, for rows that come later."""

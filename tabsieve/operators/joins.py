@@ -9,9 +9,11 @@ AQE may still convert it at runtime and split skewed partitions).
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsieve.operators.profile import c_, q
 
@@ -41,6 +43,31 @@ def materialize(df: DataFrame) -> tuple[DataFrame, int]:
     return st, st.count()
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` as it was written once, in columns, to ``path`` (default: a folder of its own in the checkpoint folder).
+
+    Unlike a checkpoint it is compressed, and readers fetch only the columns that they need.
+    """
+    if any(k in f.dataType.simpleString() for f in df.schema.fields for k in ("void", "interval")):
+        return df.checkpoint(eager=True)  # types that files cannot hold
+    path = path or scratch_path(df.sparkSession)
+    plain = [f"c{i}" for i in range(len(df.columns))]  # any name, also two that differ only in case
+    df.toDF(*plain).write.parquet(path)
+    return df.sparkSession.read.schema(T.StructType([
+        T.StructField(n, f.dataType, True, f.metadata) for n, f in zip(plain, df.schema.fields)])).parquet(path).toDF(*df.columns)
+
+
+def scratch_path(spark) -> str:
+    from tabsieve.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark, path: str) -> None:
+    """Delete a folder of ``stored`` that nothing reads any more, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 # ------------------------------------------------------------ block assembly
 def assemble_blocks(blocks: list[DataFrame], key: str = "row_id", how: str = "inner") -> DataFrame:
     """Inner-join feature blocks on ``key``; duplicate non-key columns are rejected up front.

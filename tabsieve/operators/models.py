@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsieve.operators.joins import drop_stored, scratch_path
 from tabsieve.operators.encode import (
     LevelTable, level_codes, ordered_target_encode, ordinal_encode_apply, ordinal_encode_fit, target_levels, target_prior,
 )
@@ -69,16 +70,18 @@ class CategoryEncoder:
         return self.levels.join(df, level).withColumn(self.out, F.coalesce("_val", rest).cast("double")).drop("_val")
 
 
-def encode_for_trees(train: DataFrame, col: str, label: str, order_by: list[str], counted: Column | None):
+def encode_for_trees(train: DataFrame, col: str, label: str, order_by: list[str], counted: Column | None,
+                     prior: float | None = None, path: str | None = None):
     """(encoder, ``train`` with its column): ordered target statistics, so a row's own label is not in its feature.
 
     Later rows get the statistic over all of ``train``; NULL is a level, an unseen level gets the mean label. Equal
     rows of ``order_by`` are ordered by a hash of the whole row; without ``order_by`` that hash is a permutation.
+    ``prior`` is the mean label, if it is known; the encoded rows are stored at ``path`` (see ``stored``).
     """
-    prior = target_prior(train, label, counted)
+    prior = target_prior(train, label, counted) if prior is None else prior
     order = [*order_by, F.xxhash64(*[F.col(_quoted(c)) for c in train.columns])]
     out = f"{col}__ts"
-    rows = ordered_target_encode(train, col, label, out, order, prior, counted=counted)
+    rows = ordered_target_encode(train, col, label, out, order, prior, counted=counted, path=path)
     return CategoryEncoder(target_levels(train, col, label, prior, counted=counted), out, prior, prior), rows
 
 
@@ -168,27 +171,36 @@ def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols:
     """Fit on numerics and categories of any width. Trees read a category as ordered target statistics in the order of
     ``order_by`` (a hash order without it), linear models as one-hot slots of its levels."""
     # the statistics, encoders and the estimator each scan the input: read it once, then release it
-    params = params or {}
+    params, spark, paths = params or {}, train.sparkSession, []
     val = params.get("validationIndicatorCol")
     cols = dict.fromkeys([*num_cols, *cat_cols, label, *(order_by or []), *filter(None, [weight, val])])
     src = train.select(*[F.col(_quoted(c)) for c in cols]).persist()
     try:
         encoders, rows = [], src
+        counted = ~F.col(_quoted(val)) if val else None
+        prior = target_prior(src, label, counted) if cat_cols and kind != "lr" else None
         for c in cat_cols:
             if kind == "lr":
                 encoder, rows = encode_for_linear(rows, c)
-            else:
-                encoder, rows = encode_for_trees(rows, c, label, order_by or [], ~F.col(_quoted(val)) if val else None)
+            else:  # every encoding stores its rows, and the one before is not read any more
+                paths.append(scratch_path(spark))
+                encoder, rows = encode_for_trees(rows, c, label, order_by or [], counted, prior, paths[-1])
+                for path in paths[:-1]:
+                    drop_stored(spark, path)
+                paths = paths[-1:]
             if kind != "lr" or encoder.levels.rows:  # a category without a level has no slot
                 encoders.append(encoder)
-        rows = rows.persist() if encoders else rows
+        held = rows.persist() if encoders and kind == "lr" else None
         stages = feature_stages(src, list(num_cols), encoders, linear=(kind == "lr"))
         stages.append(_classifier(kind, label, weight, params, seed))
         model = Pipeline(stages=stages).fit(rows)
-        _drop_summary(src.sparkSession, model.stages[-1])
-        rows.unpersist()
+        _drop_summary(spark, model.stages[-1])
+        if held is not None:
+            held.unpersist()
     finally:
         src.unpersist()
+        for path in paths:
+            drop_stored(spark, path)
     return FittedModel(model, list(num_cols), list(cat_cols), kind, encoders)
 
 
