@@ -96,14 +96,15 @@ def encode_for_linear(train: DataFrame, col: str):
     return encoder, encoder.apply(train)
 
 
-def feature_stages(df: DataFrame, num_cols: list[str], encoders: list[CategoryEncoder], linear: bool = False) -> list:
+def feature_stages(df: DataFrame, num_cols: list[str], encoders: list[CategoryEncoder], linear: bool = False,
+                   med: dict | None = None) -> list:
     """Stages that assemble ``features``; the encoders' columns are there already.
 
     Numerics: exact medians fill NULL (0 when a column has no value). ``linear`` also standardises them by population
     deviation and one-hot encodes the categories' codes; slots keep the name of their source before ``__``.
     """
     from tabsieve.operators.transform import medians
-    med = medians(df, num_cols) if num_cols else {}
+    med = med if med is not None else medians(df, num_cols) if num_cols else {}
     filled = {c: f"coalesce(nanvl(CAST({_quoted(c)} AS DOUBLE), NULL), {float(med[c] or 0.0)!r}D)" for c in num_cols}
     if linear and filled:
         row = df.agg(*[f(F.expr(e)).alias(f"{n}{i}") for i, e in enumerate(filled.values())
@@ -167,9 +168,9 @@ class FittedModel:
 
 def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
                    weight: str | None = None, params: dict | None = None, seed: int = 42,
-                   order_by: list[str] | None = None) -> FittedModel:
+                   order_by: list[str] | None = None, med: dict | None = None) -> FittedModel:
     """Fit on numerics and categories of any width. Trees read a category as ordered target statistics in the order of
-    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels."""
+    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels. ``med`` holds the medians of the numerics, if they are known."""
     # the statistics, encoders and the estimator each scan the input: read it once, then release it
     params, spark, paths = params or {}, train.sparkSession, []
     val = params.get("validationIndicatorCol")
@@ -191,7 +192,7 @@ def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols:
             if kind != "lr" or encoder.levels.rows:  # a category without a level has no slot
                 encoders.append(encoder)
         held = rows.persist() if encoders and kind == "lr" else None
-        stages = feature_stages(src, list(num_cols), encoders, linear=(kind == "lr"))
+        stages = feature_stages(src, list(num_cols), encoders, linear=(kind == "lr"), med=med)
         stages.append(_classifier(kind, label, weight, params, seed))
         model = Pipeline(stages=stages).fit(rows)
         _drop_summary(spark, model.stages[-1])
@@ -402,14 +403,22 @@ def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_tr
     return spark.createDataFrame(rows, "trial int, params string, folds int, mean_score double, state string")
 
 
+def _inputs(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols) -> tuple[DataFrame, DataFrame, dict]:
+    """The columns that refits on subsets of the features read, cached, and the medians that all of them share."""
+    from tabsieve.operators.transform import medians
+    train, valid = (df.select(*[F.col(_quoted(c)) for c in dict.fromkeys([*num_cols, *cat_cols, label])]).persist() for df in (train, valid))
+    return train, valid, medians(train, num_cols)
+
+
 def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt",
                       params: dict | None = None, positive: int = 0, threads: int = THREADS) -> DataFrame:
-    """Refit without each feature, concurrently; (feature, ap, delta_vs_baseline). Inputs are cached once."""
-    train, valid = train.persist(), valid.persist()
+    """Refit without each feature, concurrently; (feature, ap, delta_vs_baseline). Inputs are cached once, without other
+    columns."""
+    train, valid, med = _inputs(train, valid, label, num_cols, cat_cols)
 
     def ap_without(drop):
         n, c = ([x for x in cols if x != drop] for cols in (num_cols, cat_cols))
-        return ap_of(fit_classifier(train, label, n, c, kind, None, params or {}).transform(valid), label, positive)
+        return ap_of(fit_classifier(train, label, n, c, kind, None, params or {}, med=med).transform(valid), label, positive)
     features = [*num_cols, *cat_cols]
     base, *found = concurrently(train.sparkSession, [functools.partial(ap_without, c) for c in [None, *features]], threads)
     train.unpersist()
@@ -421,8 +430,8 @@ def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols,
 def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[str], num_cols, cat_cols,
                  sizes: list[int], kind: str = "gbt", params: dict | None = None, positive: int = 0) -> DataFrame:
     """Drop the n least important features for n in ``sizes``; stop at the first improvement."""
-    train, valid = train.persist(), valid.persist()
-    base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}).transform(valid),
+    train, valid, med = _inputs(train, valid, label, num_cols, cat_cols)
+    base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}, med=med).transform(valid),
                  label, positive)
     rows = [(0, base, False)]
     for n in sizes:
@@ -431,7 +440,7 @@ def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[st
         c2 = [c for c in cat_cols if c not in drop]
         if not n2 and not c2:
             continue
-        ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}).transform(valid), label, positive)
+        ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}, med=med).transform(valid), label, positive)
         rows.append((n, ap, ap > base))
         if ap > base:
             break
