@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
@@ -166,16 +167,41 @@ class FittedModel:
         return srcs if len(srcs) == size else srcs + ["?"] * (size - len(srcs))
 
 
-def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
-                   weight: str | None = None, params: dict | None = None, seed: int = 42,
-                   order_by: list[str] | None = None, med: dict | None = None) -> FittedModel:
-    """Fit on numerics and categories of any width. Trees read a category as ordered target statistics in the order of
-    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels. ``med`` holds the medians of the numerics, if they are known."""
+@dataclass
+class Prepared:
+    """What fits of one set of rows and features share: the rows with their categories encoded, and the medians."""
+
+    src: DataFrame
+    rows: DataFrame
+    label: str
+    num_cols: list
+    cat_cols: list
+    kind: str
+    weight: str | None
+    encoders: list[CategoryEncoder]
+    med: dict
+
+    def fit(self, params: dict | None = None, seed: int = 42) -> FittedModel:
+        stages = feature_stages(self.src, self.num_cols, self.encoders, linear=(self.kind == "lr"), med=self.med)
+        stages.append(_classifier(self.kind, self.label, self.weight, params or {}, seed))
+        model = Pipeline(stages=stages).fit(self.rows)
+        _drop_summary(self.src.sparkSession, model.stages[-1])
+        return FittedModel(model, self.num_cols, self.cat_cols, self.kind, self.encoders)
+
+
+@contextmanager
+def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt", weight: str | None = None,
+             val: str | None = None, order_by: list[str] | None = None, med: dict | None = None, held: bool = False):
+    """The ``Prepared`` rows of a fit, or of several that differ in their parameters only; released at the end.
+
+    ``held`` says that the caller keeps the columns of ``train`` in the cache already.
+    """
+    from tabsieve.operators.transform import medians
     # the statistics, encoders and the estimator each scan the input: read it once, then release it
-    params, spark, paths = params or {}, train.sparkSession, []
-    val = params.get("validationIndicatorCol")
+    spark, paths, codes = train.sparkSession, [], None
     cols = dict.fromkeys([*num_cols, *cat_cols, label, *(order_by or []), *filter(None, [weight, val])])
-    src = train.select(*[F.col(_quoted(c)) for c in cols]).persist()
+    src = train.select(*[F.col(_quoted(c)) for c in cols])
+    src = src if held else src.persist()
     try:
         encoders, rows = [], src
         counted = ~F.col(_quoted(val)) if val else None
@@ -191,18 +217,26 @@ def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols:
                 paths = paths[-1:]
             if kind != "lr" or encoder.levels.rows:  # a category without a level has no slot
                 encoders.append(encoder)
-        held = rows.persist() if encoders and kind == "lr" else None
-        stages = feature_stages(src, list(num_cols), encoders, linear=(kind == "lr"), med=med)
-        stages.append(_classifier(kind, label, weight, params, seed))
-        model = Pipeline(stages=stages).fit(rows)
-        _drop_summary(spark, model.stages[-1])
-        if held is not None:
-            held.unpersist()
+        codes = rows.persist() if encoders and kind == "lr" else None
+        med = med if med is not None else medians(src, list(num_cols)) if num_cols else {}
+        yield Prepared(src, rows, label, list(num_cols), list(cat_cols), kind, weight, encoders, med)
     finally:
-        src.unpersist()
+        if codes is not None:
+            codes.unpersist()
+        if not held:
+            src.unpersist()
         for path in paths:
             drop_stored(spark, path)
-    return FittedModel(model, list(num_cols), list(cat_cols), kind, encoders)
+
+
+def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
+                   weight: str | None = None, params: dict | None = None, seed: int = 42,
+                   order_by: list[str] | None = None, med: dict | None = None) -> FittedModel:
+    """Fit on numerics and categories of any width. Trees read a category as ordered target statistics in the order of
+    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels. ``med`` holds the medians of the numerics, if they are known."""
+    val = (params or {}).get("validationIndicatorCol")
+    with prepared(train, label, num_cols, cat_cols, kind, weight, val, order_by, med) as rows:
+        return rows.fit(params, seed)
 
 
 def _drop_summary(spark: SparkSession, model) -> None:
@@ -348,21 +382,27 @@ def objective_score(scored: DataFrame, label: str, objective: str, positive: int
     return float(value)
 
 
-def fit_trial(train: DataFrame, label: str, num_cols, cat_cols, kind: str, params: dict) -> FittedModel:
-    """Fit with drawn parameters: ``class_weight`` ("none", "balanced" or a ratio per class) becomes row weights; a
-    linear model takes ``C`` and ``l1_ratio``."""
+@contextmanager
+def prepared_trials(train: DataFrame, label: str, num_cols, cat_cols, kind: str, class_weight="none", held: bool = False):
+    """(``Prepared`` rows, sum of weights or None) of the trials with this ``class_weight`` ("none", "balanced" or a ratio
+    per class), which becomes row weights; linear models need the sum."""
     from tabsieve.operators.evaluate import class_weight_column
-    params = dict(params)
-    weight = params.pop("class_weight", "none")
-    if weight != "none":
-        train = class_weight_column(train, label, weight if isinstance(weight, str) else "fixed",
-                                    weight if isinstance(weight, dict) else None, out="_class_weight")
-    weights = None if weight == "none" else "_class_weight"
-    if kind == "lr" and "C" in params:
-        total = train.agg(F.sum(weights) if weights else F.count(F.lit(1))).first()[0] or 0
+    weight = None if class_weight == "none" else "_class_weight"
+    if weight:
+        train = class_weight_column(train, label, class_weight if isinstance(class_weight, str) else "fixed",
+                                    class_weight if isinstance(class_weight, dict) else None, out=weight)
+    total = (train.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0) if kind == "lr" else None
+    with prepared(train, label, num_cols, cat_cols, kind, weight, held=held and not weight) as rows:
+        yield rows, total
+
+
+def fit_trial(rows: Prepared, total, params: dict) -> FittedModel:
+    """Fit with drawn parameters; a linear model takes ``C`` and ``l1_ratio``."""
+    params = {k: v for k, v in params.items() if k != "class_weight"}
+    if rows.kind == "lr" and "C" in params:
         params["regParam"] = 1.0 / (params.pop("C") * max(float(total), 1.0))
         params["elasticNetParam"] = params.pop("l1_ratio", 0.0)
-    return fit_classifier(train, label, num_cols, cat_cols, kind, weights, params)
+    return rows.fit(params)
 
 
 def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_trials: int = 4, fold_col: str = "test_fold",
@@ -370,27 +410,36 @@ def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_tr
                 fixed: dict | None = None, startup: int = 5, warmup: int = 1, threads: int = THREADS) -> DataFrame:
     """Seeded random search over expanding time folds with median stopping: (trial, params, folds, mean_score, state).
 
-    A fold is fitted for all trials that are left, concurrently, before the next one starts. From fold ``warmup`` on
+    A fold is fitted for all trials that are left, concurrently, before the next one starts; they share its encoded rows. From fold ``warmup`` on
     (counted from 0) a trial whose running mean lies below the median of all trials' running means at that fold is
     pruned, but the first ``startup`` trials never are. So the table is the same for any number of threads. A fold
     without class ``positive`` is an error.
     """
     import json
     import statistics
-    spark, folds = df.sparkSession, _folds(df, fold_col, seg)
-    if not folds:
-        raise ValueError("no test folds")
-    draws = draw_params(space, n_trials, seed)
+    spark = df.sparkSession
+    drawn = draw_params(space, n_trials, seed)
+    draws = [{**(fixed or {}), **d} for d in drawn]
     scores: list[list[float]] = [[] for _ in draws]
     alive = list(range(len(draws)))
-
-    def score(t, i, first):
-        fm = fit_trial(df.where(F.col(seg) < first), label, num_cols, cat_cols, kind, {**(fixed or {}), **draws[t]})
-        return objective_score(fm.transform(df.where(F.col(fold_col) == i)), label, objective, positive)
-    df = df.persist()
+    used = dict.fromkeys([*num_cols, *cat_cols, label, fold_col, seg])
+    df = df.select(*[F.col(_quoted(c)) for c in used]).persist()
     try:
+        folds = _folds(df, fold_col, seg)
+        if not folds:
+            raise ValueError("no test folds")
         for step, (i, first) in enumerate(folds):
-            found = concurrently(spark, [functools.partial(score, t, i, first) for t in alive], threads)
+            train, test = df.where(F.col(seg) < first), df.where(F.col(fold_col) == i)
+            with ExitStack() as stack:  # trials of equal weights share their encoded rows and medians
+                weights = {json.dumps(draws[t].get("class_weight", "none"), sort_keys=True): t for t in alive}
+                shared = {w: stack.enter_context(prepared_trials(train, label, num_cols, cat_cols, kind,
+                                                                 draws[t].get("class_weight", "none"), held=True))
+                          for w, t in weights.items()}
+
+                def score(t):
+                    rows, total = shared[json.dumps(draws[t].get("class_weight", "none"), sort_keys=True)]
+                    return objective_score(fit_trial(rows, total, draws[t]).transform(test), label, objective, positive)
+                found = concurrently(spark, [functools.partial(score, t) for t in alive], threads)
             for t, value in zip(alive, found):
                 scores[t].append(value)
             if warmup <= step < len(folds) - 1:
@@ -399,7 +448,7 @@ def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_tr
     finally:
         df.unpersist()
     rows = [(t, json.dumps(p, sort_keys=True), len(scores[t]), statistics.fmean(scores[t]),
-             "complete" if t in alive else "pruned") for t, p in enumerate(draws)]
+             "complete" if t in alive else "pruned") for t, p in enumerate(drawn)]
     return spark.createDataFrame(rows, "trial int, params string, folds int, mean_score double, state string")
 
 

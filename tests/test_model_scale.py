@@ -77,3 +77,15 @@ def test_epoch_detection_reads_the_rows_once(spark):
     df = spark.createDataFrame([(1_000_000_000 + i,) for i in range(50)], "made_ts long").mapInArrow(seen, "made_ts long")
     assert [tuple(r) for r in D.detect_epoch_columns(D.date_shares(df)).collect()] == [("made_ts", "s", 1.0)]
     assert read.value == 50
+
+
+def test_trials_of_a_fold_share_their_encoded_rows(spark, monkeypatch):
+    calls, encode = [], E.ordered_target_encode
+    monkeypatch.setattr(M, "ordered_target_encode", lambda df, *a, **k: calls.append(df.columns) or encode(df, *a, **k))
+    df = rows_of(spark).withColumn("_seg", (F.col("id") / 134).cast("int")).withColumn(
+        "test_fold", F.when(F.col("_seg") > 0, F.col("_seg") - 1)).withColumn("key", F.col("id").cast("string"))
+    out = M.tune_params(df, "y", ["x"], ["c"], {"maxDepth": [1, 2, 3]}, 0, kind="rf", fixed={"numTrees": 2}).collect()
+    assert [r.folds for r in out] == [2, 2, 2] and calls == [["x", "c", "y"]] * 2
+    calls.clear()
+    M.tune_params(df, "y", ["x"], ["c"], {"class_weight": ["none", "balanced", {0: 2.0}]}, 0, kind="rf", fixed={"numTrees": 2})
+    assert len(calls) == 6 and ["x", "c", "y", "_class_weight"] in calls
