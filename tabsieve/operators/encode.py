@@ -288,6 +288,67 @@ def level_carries(summed: DataFrame) -> DataFrame:
     return summed.sparkSession.createDataFrame(carries, "_pid int, _cs double, _cn long")
 
 
+#: Most pairs of a partition and a level whose sums travel with the tasks of ``hashed_target_encode``.
+CARRIED_SUMS = 1 << 16
+
+
+def hashed_target_encode(df: DataFrame, col: str, target: str, out: str, prior: float, strength: float = 1.0,
+                         counted: Column | None = None, path: str | None = None) -> DataFrame:
+    """``ordered_target_encode`` in the order of a hash of the whole row, for a category of few levels.
+
+    A hash spreads evenly, so its leading bits name a row's partition, without a pass that samples bounds. What each
+    partition holds of a level comes from one aggregate (levels x partitions, at most ``CARRIED_SUMS`` as the caller
+    sees to), so rows get their value behind the one shuffle; they are sorted by one number.
+    """
+    from tabsieve.operators.ordered import _parts
+    y = c_(target).cast("double")
+    use = y.isNotNull() if counted is None else y.isNotNull() & F.coalesce(counted, F.lit(False))
+    parts = _parts(df, None)
+    rows = df.withColumns({"_lvl": c_(col).cast("string"), "_ys": F.when(use, y).otherwise(0.0), "_yn": use.cast("long"),
+                           "_order": F.xxhash64(*[c_(c) for c in df.columns])})
+    rows = rows.withColumn("_pid", F.shiftright((F.shiftright("_order", 32) + (1 << 31)) * parts, 32).cast("int"))
+    sums = rows.groupBy("_lvl", "_pid").agg(F.sum("_ys").alias("s"), F.sum("_yn").alias("n")).collect()
+    starts, total = {}, {}
+    for r in sorted(sums, key=lambda r: r["_pid"]):
+        s, n = starts[r["_pid"], r["_lvl"]] = total.get(r["_lvl"], (0.0, 0))
+        total[r["_lvl"]] = (s + r["s"], n + r["n"])
+    values = _running_means(starts, float(prior * strength), float(strength))
+    sorted_rows = rows.repartitionById(parts, F.col("_pid")).sortWithinPartitions("_order")
+    valued = sorted_rows.withColumn("_value", values("_lvl", "_ys", "_yn", "_pid"))
+    return stored(valued.select(*[c_(c) for c in df.columns if c != out], F.col("_value").alias(out)), path)
+
+
+def _running_means(starts: dict, prior_sum: float, strength: float):
+    """Arrow function of (_lvl, _ys, _yn, _pid) in order: the mean of the rows before in the same level, from the sums
+    (s, n) in ``starts`` under (_pid, _lvl) on."""
+    from pyspark.sql.pandas.functions import ArrowUDFType
+
+    @F.arrow_udf(returnType="double", functionType=ArrowUDFType.SCALAR_ITER)
+    def values(batches):
+        import numpy as np
+        import pyarrow as pa
+        held = {}
+        for level, y, n, pid in batches:
+            if not len(level):
+                yield pa.array([], pa.float64())
+                continue
+            encoded = level.dictionary_encode()
+            names = [*encoded.dictionary.to_pylist(), None]
+            code = encoded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            y, n, pid = (x.to_numpy(zero_copy_only=False) for x in (y, n, pid))
+            group = pid * np.int64(len(names)) + code
+            order = np.argsort(group, kind="stable")
+            value = np.empty(len(code))
+            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                key = int(pid[at[0]]), names[code[at[0]]]
+                s, c = held.get(key) or starts.get(key, (0.0, 0))
+                s, c = np.cumsum(np.concatenate([[s], y[at]])), np.cumsum(np.concatenate([[c], n[at]]))
+                value[at] = (s[:-1] + prior_sum) / (c[:-1] + strength)
+                held[key] = float(s[-1]), int(c[-1])
+            yield pa.array(value)
+    return values
+
+
 def target_levels(df: DataFrame, col: str, target: str, prior: float, strength: float = 1.0,
                   counted: Column | None = None) -> LevelTable:
     """(_lvl, _val): the statistic of ``ordered_target_encode`` after all rows, for rows that come later."""

@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tabsieve.operators.joins import drop_stored, scratch_path
 from tabsieve.operators.encode import (
-    LevelTable, level_codes, ordered_target_encode, ordinal_encode_apply, ordinal_encode_fit, target_levels, target_prior,
+    CARRIED_SUMS, LevelTable, hashed_target_encode, level_codes, ordered_target_encode, ordinal_encode_apply, ordinal_encode_fit,
+    target_levels, target_prior,
 )
+from tabsieve.operators.ordered import _parts
 
 
 def onehot_encode(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
@@ -80,10 +82,14 @@ def encode_for_trees(train: DataFrame, col: str, label: str, order_by: list[str]
     ``prior`` is the mean label, if it is known; the encoded rows are stored at ``path`` (see ``stored``).
     """
     prior = target_prior(train, label, counted) if prior is None else prior
-    order = [*order_by, F.xxhash64(*[F.col(_quoted(c)) for c in train.columns])]
     out = f"{col}__ts"
-    rows = ordered_target_encode(train, col, label, out, order, prior, counted=counted, path=path)
-    return CategoryEncoder(target_levels(train, col, label, prior, counted=counted), out, prior, prior), rows
+    levels = target_levels(train, col, label, prior, counted=counted)
+    if not order_by and levels.rows * _parts(train, None) <= CARRIED_SUMS:
+        rows = hashed_target_encode(train, col, label, out, prior, counted=counted, path=path)
+    else:
+        order = [*order_by, F.xxhash64(*[F.col(_quoted(c)) for c in train.columns])]
+        rows = ordered_target_encode(train, col, label, out, order, prior, counted=counted, path=path)
+    return CategoryEncoder(levels, out, prior, prior), rows
 
 
 def encode_for_linear(train: DataFrame, col: str):

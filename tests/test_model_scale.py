@@ -79,9 +79,31 @@ def test_epoch_detection_reads_the_rows_once(spark):
     assert read.value == 50
 
 
+def odd_rows(spark, n=600):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot"] * 6 + ["", None, "b", "c"]), rng.choice(["x", "y", None]), rng.choice([0, 1, None]), rng.random() < 0.8)
+            for i in range(n)]
+    rows += [rows[3], rows[3], rows[9]]  # equal rows
+    return spark.createDataFrame(rows, "id long, c string, d string, y int, used boolean").repartition(5)
+
+
+@pytest.mark.parametrize("counted", [None, "used"])
+def test_statistics_in_hash_order_are_those_of_the_general_way(spark, counted):
+    df, counted = odd_rows(spark), counted and F.col(counted)
+    for col in ("c", "d"):
+        plain = E.ordered_target_encode(df, col, "y", "ts", [F.xxhash64(*df.columns)], 0.25, counted=counted)
+        hashed = E.hashed_target_encode(df, col, "y", "ts", 0.25, counted=counted)
+        assert hashed.columns == plain.columns
+        assert sorted(map(repr, hashed.collect())) == sorted(map(repr, plain.collect()))
+    nan = df.withColumn("y", F.when(F.col("id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    plain, hashed = (f.select("id", F.round("ts", 9).alias("ts")) for f in (
+        E.ordered_target_encode(nan, "c", "y", "ts", [F.xxhash64(*nan.columns)], 0.25), E.hashed_target_encode(nan, "c", "y", "ts", 0.25)))
+    assert sorted(map(repr, hashed.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_trials_of_a_fold_share_their_encoded_rows(spark, monkeypatch):
-    calls, encode = [], E.ordered_target_encode
-    monkeypatch.setattr(M, "ordered_target_encode", lambda df, *a, **k: calls.append(df.columns) or encode(df, *a, **k))
+    calls, encode = [], E.hashed_target_encode
+    monkeypatch.setattr(M, "hashed_target_encode", lambda df, *a, **k: calls.append(df.columns) or encode(df, *a, **k))
     df = rows_of(spark).withColumn("_seg", (F.col("id") / 134).cast("int")).withColumn(
         "test_fold", F.when(F.col("_seg") > 0, F.col("_seg") - 1)).withColumn("key", F.col("id").cast("string"))
     out = M.tune_params(df, "y", ["x"], ["c"], {"maxDepth": [1, 2, 3]}, 0, kind="rf", fixed={"numTrees": 2}).collect()
