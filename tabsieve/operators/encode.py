@@ -288,10 +288,112 @@ def level_carries(summed: DataFrame) -> DataFrame:
     return summed.sparkSession.createDataFrame(carries, "_pid int, _cs double, _cn long")
 
 
-#: Most pairs of a partition and a level whose sums travel with the tasks of ``hashed_target_encode``.
+#: Most pairs of a partition and a level whose sums are carried on as one small table.
 CARRIED_SUMS = 1 << 16
 
 
+def shared_target_encode(df: DataFrame, cols: list[str], target: str, outs: list[str], order_by: list[str], prior: float,
+                         keep: list[str], strength: float = 1.0, counted: Column | None = None,
+                         path: str | None = None) -> DataFrame | None:
+    """``ordered_target_encode`` of several categories of few levels by one sort, for an ``order_by`` without ties.
+
+    Rows are range-partitioned and sorted by the order alone, and every category is summed level by level in that one
+    stream; what earlier partitions hold of a level is a row per partition and level (at most ``CARRIED_SUMS`` a
+    category, as the caller sees to). Returns ``keep``, which must hold the target and what ``counted`` reads, and
+    ``outs``; ``None`` if two rows are equal in ``order_by``, since a category's ties are ordered by what was encoded
+    before it.
+    """
+    from tabsieve.operators.ordered import _keys, _parts
+    def used():
+        y = c_(target).cast("double")
+        use = y.isNotNull() if counted is None else y.isNotNull() & F.coalesce(counted, F.lit(False))
+        return F.when(use, y).otherwise(0.0), use.cast("long")
+    levels = [f"_lvl{i}" for i in range(len(cols))]
+    y, n = used()
+    rows = df.withColumns({**{v: c_(c).cast("string") for v, c in zip(levels, cols)}, "_ys": y, "_yn": n,
+                           "_tie": F.xxhash64(*[c_(c) for c in order_by])})
+    keys = _keys([*order_by, F.xxhash64(*[c_(c) for c in df.columns])])
+    part = (rows.repartitionByRange(_parts(df, None), *keys).sortWithinPartitions(*keys)
+            .withColumn("_pid", F.spark_partition_id()))
+    summed = part.withColumn("_sums", _running_sums(len(cols))("_tie", "_ys", "_yn", *levels))
+    g = stored(summed.select(*[c_(c) for c in keep], *levels, "_pid", "_sums.*"), path)
+    ends = g.groupBy("_pid").agg(F.max("_tied").alias("tied"), F.max("_first").alias("first"), F.max("_last").alias("last"))
+    ends = sorted(ends.collect(), key=lambda r: r["_pid"])  # a row per partition
+    if any(r["tied"] for r in ends) or any(a["last"] == b["first"] for a, b in zip(ends, ends[1:])):
+        return None
+    y, n = used()
+    for i, (level, out) in enumerate(zip(levels, outs)):
+        sums = g.groupBy("_pid", F.col(level).alias("_lvl")).agg(F.sum(y).alias("s"), F.sum(n).alias("n")).collect()
+        carries = [(*k, *v) for k, v in _sums_before(sums).items()]
+        t = F.broadcast(df.sparkSession.createDataFrame(carries, "_at int, _lvl string, _cs double, _cn long"))
+        value = ((F.col(f"_s{i}") + F.col("_cs") + F.lit(float(prior * strength)))
+                 / (F.col(f"_n{i}") + F.col("_cn") + F.lit(float(strength))))
+        g = (g.join(t, (F.col("_pid") == F.col("_at")) & F.col(level).eqNullSafe(F.col("_lvl")), "left")
+             .withColumn(out, value).drop("_at", "_lvl", "_cs", "_cn"))
+    return g.select(*[c_(c) for c in [*keep, *outs]])
+
+
+def _sums_before(sums: list) -> dict:
+    """{(_pid, _lvl): (s, n)} of the partitions before, from rows of _pid, _lvl, s and n."""
+    before, total = {}, {}
+    for r in sorted(sums, key=lambda r: r["_pid"]):
+        s, n = before[r["_pid"], r["_lvl"]] = total.get(r["_lvl"], (0.0, 0))
+        total[r["_lvl"]] = (s + r["s"], n + r["n"])
+    return before
+
+
+def _running_sums(width: int):
+    """Arrow function of (_tie, _ys, _yn, levels of ``width`` categories) in order: for each category, sum and count of
+    the rows before in the same level and partition (_s0, _n0, ..); _tied, whether a row ties with the one before; and
+    the tie value on the partition's first and last row (_first, _last)."""
+    from pyspark.sql.pandas.functions import ArrowUDFType
+    names = [f"_{k}{i}" for i in range(width) for k in "sn"] + ["_tied", "_first", "_last"]
+    types = ["double", "long"] * width + ["boolean", "long", "long"]
+
+    @F.arrow_udf(returnType="struct<" + ", ".join(f"{a}: {b}" for a, b in zip(names, types)) + ">",
+                 functionType=ArrowUDFType.SCALAR_ITER)
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+        totals, last, held = [{} for _ in range(width)], None, None
+
+        def made(parts, end):
+            tie, first = parts[-1], np.where(parts[-2], parts[-1], 0)
+            ends = [pa.array(first, mask=~parts[-2]), pa.array(tie, mask=np.full(len(tie), not end))]
+            return pa.StructArray.from_arrays([*map(pa.array, parts[:-2]), *ends], names)
+
+        for tie, y, n, *levels in batches:
+            if not len(tie):
+                continue
+            tie, y, n = (x.to_numpy(zero_copy_only=False) for x in (tie, y, n))
+            parts = []
+            for level, total in zip(levels, totals):
+                encoded = level.dictionary_encode()
+                texts = [*encoded.dictionary.to_pylist(), None]
+                code = encoded.indices.fill_null(len(texts) - 1).to_numpy(zero_copy_only=False)
+                order = np.argsort(code.astype(np.min_scalar_type(len(texts))), kind="stable")  # short integers sort faster
+                s, c = np.empty(len(code)), np.empty(len(code), np.int64)
+                for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                    s0, c0 = total.get(texts[code[at[0]]], (0.0, 0))
+                    sums, counts = np.cumsum(np.concatenate([[s0], y[at]])), np.cumsum(np.concatenate([[c0], n[at]]))
+                    s[at], c[at] = sums[:-1], counts[:-1]
+                    total[texts[code[at[0]]]] = float(sums[-1]), int(counts[-1])
+                parts += [s, c]
+            before = np.concatenate([[tie[0] if last is None else last], tie[:-1]])
+            tied, first = tie == before, np.zeros(len(tie), bool)
+            if last is None:
+                tied[0], first[0] = False, True
+            last = tie[-1]
+            parts += [tied, first, tie]
+            if held is not None:  # the last row is held back, since it is marked when no other follows
+                parts = [np.concatenate([h, x]) for h, x in zip(held, parts)]
+            held = [x[-1:] for x in parts]
+            yield made([x[:-1] for x in parts], False)
+        if held is not None:
+            yield made(held, True)
+    return sums
+
+
 def hashed_target_encode(df: DataFrame, col: str, target: str, out: str, prior: float, strength: float = 1.0,
                          counted: Column | None = None, path: str | None = None) -> DataFrame:
     """``ordered_target_encode`` in the order of a hash of the whole row, for a category of few levels.
@@ -308,11 +410,7 @@ def hashed_target_encode(df: DataFrame, col: str, target: str, out: str, prior:
                            "_order": F.xxhash64(*[c_(c) for c in df.columns])})
     rows = rows.withColumn("_pid", F.shiftright((F.shiftright("_order", 32) + (1 << 31)) * parts, 32).cast("int"))
     sums = rows.groupBy("_lvl", "_pid").agg(F.sum("_ys").alias("s"), F.sum("_yn").alias("n")).collect()
-    starts, total = {}, {}
-    for r in sorted(sums, key=lambda r: r["_pid"]):
-        s, n = starts[r["_pid"], r["_lvl"]] = total.get(r["_lvl"], (0.0, 0))
-        total[r["_lvl"]] = (s + r["s"], n + r["n"])
-    values = _running_means(starts, float(prior * strength), float(strength))
+    values = _running_means(_sums_before(sums), float(prior * strength), float(strength))
     sorted_rows = rows.repartitionById(parts, F.col("_pid")).sortWithinPartitions("_order")
     valued = sorted_rows.withColumn("_value", values("_lvl", "_ys", "_yn", "_pid"))
     return stored(valued.select(*[c_(c) for c in df.columns if c != out], F.col("_value").alias(out)), path)
@@ -336,8 +434,8 @@ def _running_means(starts: dict, prior_sum: float, strength: float):
             names = [*encoded.dictionary.to_pylist(), None]
             code = encoded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
             y, n, pid = (x.to_numpy(zero_copy_only=False) for x in (y, n, pid))
-            group = pid * np.int64(len(names)) + code
-            order = np.argsort(group, kind="stable")
+            group = (pid - pid.min()) * np.int64(len(names)) + code
+            order = np.argsort(group.astype(np.min_scalar_type(group.max())), kind="stable")  # short integers sort faster
             value = np.empty(len(code))
             for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
                 key = int(pid[at[0]]), names[code[at[0]]]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tabsieve.operators.joins import drop_stored, scratch_path
 from tabsieve.operators.encode import (
     CARRIED_SUMS, LevelTable, hashed_target_encode, level_codes, ordered_target_encode, ordinal_encode_apply, ordinal_encode_fit,
-    target_levels, target_prior,
+    shared_target_encode, target_levels, target_prior,
 )
 from tabsieve.operators.ordered import _parts
 
@@ -73,23 +73,34 @@ class CategoryEncoder:
         return self.levels.join(df, level).withColumn(self.out, F.coalesce("_val", rest).cast("double")).drop("_val")
 
 
-def encode_for_trees(train: DataFrame, col: str, label: str, order_by: list[str], counted: Column | None,
-                     prior: float | None = None, path: str | None = None):
-    """(encoder, ``train`` with its column): ordered target statistics, so a row's own label is not in its feature.
+def encode_for_trees(train: DataFrame, cols: list[str], label: str, order_by: list[str], counted: Column | None,
+                     keep: list[str], paths: list[str]):
+    """(encoders, ``train`` with their columns): ordered target statistics, so a row's own label is not in its feature.
 
     Later rows get the statistic over all of ``train``; NULL is a level, an unseen level gets the mean label. Equal
     rows of ``order_by`` are ordered by a hash of the whole row; without ``order_by`` that hash is a permutation.
-    ``prior`` is the mean label, if it is known; the encoded rows are stored at ``path`` (see ``stored``).
+    The rows have at least the columns ``keep``; where they are stored (see ``stored``) is added to ``paths``.
     """
-    prior = target_prior(train, label, counted) if prior is None else prior
-    out = f"{col}__ts"
-    levels = target_levels(train, col, label, prior, counted=counted)
-    if not order_by and levels.rows * _parts(train, None) <= CARRIED_SUMS:
-        rows = hashed_target_encode(train, col, label, out, prior, counted=counted, path=path)
-    else:
-        order = [*order_by, F.xxhash64(*[F.col(_quoted(c)) for c in train.columns])]
-        rows = ordered_target_encode(train, col, label, out, order, prior, counted=counted, path=path)
-    return CategoryEncoder(levels, out, prior, prior), rows
+    spark, prior = train.sparkSession, target_prior(train, label, counted)
+    levels = [target_levels(train, c, label, prior, counted=counted) for c in cols]
+    few = [v.rows * _parts(train, None) <= CARRIED_SUMS for v in levels]
+    encoders = [CategoryEncoder(v, f"{c}__ts", prior, prior) for c, v in zip(cols, levels)]
+    if order_by and all(few):
+        paths.append(scratch_path(spark))
+        rows = shared_target_encode(train, cols, label, [e.out for e in encoders], order_by, prior, keep, counted=counted, path=paths[-1])
+        if rows is not None:
+            return encoders, rows
+    for e, c, some in zip(encoders, cols, few):  # every encoding stores its rows, and the one before is not read any more
+        paths.append(scratch_path(spark))
+        if some and not order_by:
+            train = hashed_target_encode(train, c, label, e.out, prior, counted=counted, path=paths[-1])
+        else:
+            order = [*order_by, F.xxhash64(*[F.col(_quoted(k)) for k in train.columns])]
+            train = ordered_target_encode(train, c, label, e.out, order, prior, counted=counted, path=paths[-1])
+        for path in paths[:-1]:
+            drop_stored(spark, path)
+        del paths[:-1]
+    return encoders, train
 
 
 def encode_for_linear(train: DataFrame, col: str):
@@ -203,28 +214,25 @@ def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt"
     ``held`` says that the caller keeps the columns of ``train`` in the cache already.
     """
     from tabsieve.operators.transform import medians
-    # the statistics, encoders and the estimator each scan the input: read it once, then release it
+    # without stored rows, the statistics and the estimator each scan the input: read it once, then release it
     spark, paths, codes = train.sparkSession, [], None
     cols = dict.fromkeys([*num_cols, *cat_cols, label, *(order_by or []), *filter(None, [weight, val])])
     src = train.select(*[F.col(_quoted(c)) for c in cols])
+    stores = bool(cat_cols) and kind != "lr"  # ordered statistics store the rows, and the passes before read few columns
+    held = held or stores
     src = src if held else src.persist()
     try:
         encoders, rows = [], src
         counted = ~F.col(_quoted(val)) if val else None
-        prior = target_prior(src, label, counted) if cat_cols and kind != "lr" else None
-        for c in cat_cols:
-            if kind == "lr":
-                encoder, rows = encode_for_linear(rows, c)
-            else:  # every encoding stores its rows, and the one before is not read any more
-                paths.append(scratch_path(spark))
-                encoder, rows = encode_for_trees(rows, c, label, order_by or [], counted, prior, paths[-1])
-                for path in paths[:-1]:
-                    drop_stored(spark, path)
-                paths = paths[-1:]
-            if kind != "lr" or encoder.levels.rows:  # a category without a level has no slot
+        if stores:
+            keep = list(dict.fromkeys([*num_cols, label, *filter(None, [weight, val])]))
+            encoders, rows = encode_for_trees(src, list(cat_cols), label, order_by or [], counted, keep, paths)
+        for c in cat_cols if kind == "lr" else []:
+            encoder, rows = encode_for_linear(rows, c)
+            if encoder.levels.rows:  # a category without a level has no slot
                 encoders.append(encoder)
         codes = rows.persist() if encoders and kind == "lr" else None
-        med = med if med is not None else medians(src, list(num_cols)) if num_cols else {}
+        med = med if med is not None else medians(rows, list(num_cols)) if num_cols else {}
         yield Prepared(src, rows, label, list(num_cols), list(cat_cols), kind, weight, encoders, med)
     finally:
         if codes is not None:

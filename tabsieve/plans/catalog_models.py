@@ -44,7 +44,8 @@ SMALL_GBT = dict(maxIter=GBT_ITER, maxDepth=GBT_DEPTH, stepSize=0.2)
 
 
 def ml_table(spark, sf):
-    return read(spark, sf, "lineitem").selectExpr(*[f"{e} AS {a}" for a, e in ML_COLUMNS])
+    """The same rows as ``ML_SQL``; hundredths are divided as doubles, which gives the same value as a decimal division."""
+    return read(spark, sf, "lineitem").selectExpr(*[f"{e.replace('/ 100.0', '/ 100.0D')} AS {a}" for a, e in ML_COLUMNS])
 
 
 def _split(spark, sf):

@@ -101,6 +101,38 @@ def test_statistics_in_hash_order_are_those_of_the_general_way(spark, counted):
     assert sorted(map(repr, hashed.collect())) == sorted(map(repr, plain.collect()))
 
 
+@pytest.mark.parametrize("counted", [None, "used"])
+def test_categories_that_share_a_sort_are_as_encoded_one_by_one(spark, counted):
+    df, counted = odd_rows(spark).dropDuplicates(["id"]), counted and F.col(counted)
+    shared = E.shared_target_encode(df, ["c", "d"], "y", ["c_ts", "d_ts"], ["id"], 0.25, ["id", "y", "used"], counted=counted)
+    plain = E.ordered_target_encode(df, "c", "y", "c_ts", ["id"], 0.25, counted=counted)
+    plain = E.ordered_target_encode(plain, "d", "y", "d_ts", ["id"], 0.25, counted=counted).select(shared.columns)
+    assert shared.count() == 600 and sorted(map(repr, shared.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_ties_in_the_order_are_seen_in_and_across_partitions(spark):
+    df = odd_rows(spark).dropDuplicates(["id"])
+    for order in (["d"], ["used"]):
+        assert E.shared_target_encode(df, ["c"], "y", ["ts"], order, 0.25, ["id", "y"]) is None
+    pair = spark.createDataFrame([(1, "a", 1), (1, "b", 0)], "t long, c string, y int").repartition(2)
+    assert E.shared_target_encode(pair, ["c"], "y", ["ts"], ["t"], 0.25, ["y"]) is None
+    assert E.shared_target_encode(pair.where("c = 'a'"), ["c"], "y", ["ts"], ["t"], 0.5, ["y"]).first().ts == 0.5
+    assert E.shared_target_encode(pair.where("t > 1"), ["c"], "y", ["ts"], ["t"], 0.5, ["y"]).count() == 0
+
+
+@pytest.mark.parametrize("order_by", [None, ["id"]])
+def test_a_fit_moves_its_rows_as_often_as_its_order_asks(spark, monkeypatch, order_by):
+    calls = []
+    for name in ("ordered_target_encode", "hashed_target_encode", "shared_target_encode"):
+        monkeypatch.setattr(M, name, lambda *a, _f=getattr(E, name), _n=name, **k: calls.append(_n) or _f(*a, **k))
+    df = rows_of(spark).withColumn("d", F.col("c"))
+    fm = M.fit_classifier(df, "y", ["x"], ["c", "d"], "rf", None, {"numTrees": 2}, order_by=order_by)
+    assert calls == (["shared_target_encode"] if order_by else ["hashed_target_encode"] * 2)
+    assert M.score_rows(fm, df, "id").count() == 400
+    M.fit_classifier(df.unionAll(df), "y", ["x"], ["c", "d"], "rf", None, {"numTrees": 2}, order_by=["id"])
+    assert calls[-3:] == ["shared_target_encode"] + ["ordered_target_encode"] * 2  # ties
+
+
 def test_trials_of_a_fold_share_their_encoded_rows(spark, monkeypatch):
     calls, encode = [], E.hashed_target_encode
     monkeypatch.setattr(M, "hashed_target_encode", lambda df, *a, **k: calls.append(df.columns) or encode(df, *a, **k))
