@@ -9,7 +9,8 @@ from __future__ import annotations
 import functools
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack, contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsieve.operators import boosting
 from tabsieve.operators.joins import drop_stored, scratch_path
 from tabsieve.operators.encode import (
     CARRIED_SUMS, LevelTable, hashed_target_encode, level_codes, ordered_target_encode, ordinal_encode_apply, ordinal_encode_fit,
@@ -197,14 +199,35 @@ class Prepared:
     weight: str | None
     encoders: list[CategoryEncoder]
     med: dict
+    paths: list
+    binned: dict = field(default_factory=dict)
+    lock: Lock = field(default_factory=Lock)
 
     def fit(self, params: dict | None = None, seed: int = 42) -> FittedModel:
         stages = feature_stages(self.src, self.num_cols, self.encoders, linear=(self.kind == "lr"), med=self.med)
-        stages.append(_classifier(self.kind, self.label, self.weight, params or {}, seed))
-        model = Pipeline(stages=stages).fit(self.rows)
+        classifier = _classifier(self.kind, self.label, self.weight, params or {}, seed)
+        if self.kind == "gbt" and boosting.trains(classifier, len(stages[-1].getInputCols())):
+            model = PipelineModel([*stages, boosting.boost(self._bins(stages, classifier), classifier)])
+        else:
+            model = Pipeline(stages=[*stages, classifier]).fit(self.rows)
         _drop_summary(self.src.sparkSession, model.stages[-1])
         return FittedModel(model, self.num_cols, self.cat_cols, self.kind, self.encoders)
 
+    def _bins(self, stages: list, classifier) -> boosting.Binned:
+        """The rows as bins, stored once for all fits with the same bins."""
+        val = classifier.getOrDefault("validationIndicatorCol") if classifier.isSet("validationIndicatorCol") else None
+        key = classifier.getMaxBins(), classifier.getSeed(), val
+        column = lambda name: F.col(_quoted(name)) if name else None
+        with self.lock:
+            if key not in self.binned:
+                rows = self.rows
+                for stage in stages[:-1]:
+                    rows = stage.transform(rows)
+                self.paths.append(scratch_path(rows.sparkSession))
+                self.binned[key] = boosting.bin_rows(rows, [column(c) for c in stages[-1].getInputCols()], column(self.label),
+                                                     column(self.weight), column(val), key[0], key[1], self.paths[-1])
+            return self.binned[key]
+
 
 @contextmanager
 def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt", weight: str | None = None,
@@ -233,7 +256,7 @@ def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt"
                 encoders.append(encoder)
         codes = rows.persist() if encoders and kind == "lr" else None
         med = med if med is not None else medians(rows, list(num_cols)) if num_cols else {}
-        yield Prepared(src, rows, label, list(num_cols), list(cat_cols), kind, weight, encoders, med)
+        yield Prepared(src, rows, label, list(num_cols), list(cat_cols), kind, weight, encoders, med, paths)
     finally:
         if codes is not None:
             codes.unpersist()
