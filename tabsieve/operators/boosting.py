@@ -94,18 +94,23 @@ def bin_rows(rows: DataFrame, slots: list[Column], label: Column, weight: Column
     held = val.cast("boolean") if val is not None else F.lit(False)
     rows = rows.select(held.alias("held"), _label(label).alias("y"), (_weight(weight) if weight is not None else F.lit(1.0)).alias("w"),
                        *[s.cast("double").alias(f"x{i}") for i, s in enumerate(slots)]).where("held is not null")
-    train = rows.where("not held") if val is not None else rows
-    n, total = train.agg(F.count(F.lit(1)), F.sum("w") if weight is not None else F.count(F.lit(1)).cast("double")).first()
+    n, total, thresholds = sampled_points(rows, [f"x{i}" for i in range(len(slots))], weight is not None, val is not None, bins, seed)
+    blocks = stored(_blocks(rows, thresholds, weight is not None), path)
+    return Binned(blocks, thresholds, n, total, weight is not None, len(blocks.inputFiles()))
+
+
+def sampled_points(rows: DataFrame, cols: list[str], weighted: bool, validates: bool, bins: int, seed: int) -> tuple:
+    """(number, weight, thresholds of each of ``cols``) of the rows that are not held; ``rows`` has held, w and ``cols``."""
+    train = rows.where("not held") if validates else rows
+    n, total = train.agg(F.count(F.lit(1)), F.sum("w") if weighted else F.count(F.lit(1)).cast("double")).first()
     if not n:
         raise ValueError("no rows to train on")
     bins = min(bins, n)
     share = min(1.0, _sample_rows(bins) / n)
-    sample = train.select("w", *[f"x{i}" for i in range(len(slots))])
+    sample = train.select("w", *cols)
     sample = (sample if share == 1.0 else sample.sample(False, share, seed)).toArrow()  # about the rows of _sample_rows
     w = sample.column("w").to_numpy()
-    thresholds = [split_points(sample.column(f"x{i}").to_numpy(), w, bins) for i in range(len(slots))]
-    blocks = stored(_blocks(rows, thresholds, weight is not None), path)
-    return Binned(blocks, thresholds, n, float(total), weight is not None, len(blocks.inputFiles()))
+    return n, float(total), [split_points(sample.column(c).to_numpy(), w, bins) for c in cols]
 
 
 def split_points(values, weights, bins: int) -> list[float]:

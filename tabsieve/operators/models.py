@@ -7,6 +7,7 @@ column; no model code runs outside Spark.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
@@ -27,6 +28,7 @@ from tabsieve.operators.encode import (
     shared_target_encode, target_levels, target_prior,
 )
 from tabsieve.operators.ordered import _parts
+from tabsieve.operators.packed import Packed, encoded_bins, pack
 
 
 def onehot_encode(df: DataFrame, cols: list[str], fit_df: DataFrame | None = None) -> DataFrame:
@@ -75,34 +77,43 @@ class CategoryEncoder:
         return self.levels.join(df, level).withColumn(self.out, F.coalesce("_val", rest).cast("double")).drop("_val")
 
 
-def encode_for_trees(train: DataFrame, cols: list[str], label: str, order_by: list[str], counted: Column | None,
-                     keep: list[str], paths: list[str]):
-    """(encoders, ``train`` with their columns): ordered target statistics, so a row's own label is not in its feature.
+def tree_encoders(train: DataFrame, cols: list[str], label: str, counted: Column | None) -> list[CategoryEncoder]:
+    """Encoders of the rows that come later: they get the statistic over all of ``train``; NULL is a level, an unseen
+    level gets the mean label."""
+    prior = target_prior(train, label, counted)
+    return [CategoryEncoder(target_levels(train, c, label, prior, counted=counted), f"{c}__ts", prior, prior) for c in cols]
 
-    Later rows get the statistic over all of ``train``; NULL is a level, an unseen level gets the mean label. Equal
-    rows of ``order_by`` are ordered by a hash of the whole row; without ``order_by`` that hash is a permutation.
+
+def encode_for_trees(train: DataFrame, encoders: list[CategoryEncoder], label: str, order_by: list[str], counted: Column | None,
+                     keep: list[str], paths: list[str]) -> DataFrame:
+    """``train`` with the encoders' columns: ordered target statistics, so a row's own label is not in its feature.
+
+    Equal rows of ``order_by`` are ordered by a hash of the whole row; without ``order_by`` that hash is a permutation.
     The rows have at least the columns ``keep``; where they are stored (see ``stored``) is added to ``paths``.
     """
-    spark, prior = train.sparkSession, target_prior(train, label, counted)
-    levels = [target_levels(train, c, label, prior, counted=counted) for c in cols]
-    few = [v.rows * _parts(train, None) <= CARRIED_SUMS for v in levels]
-    encoders = [CategoryEncoder(v, f"{c}__ts", prior, prior) for c, v in zip(cols, levels)]
+    spark, cols, others = train.sparkSession, [e.levels.col for e in encoders], list(paths)
+    few = [_few(e, train) for e in encoders]
     if order_by and all(few):
         paths.append(scratch_path(spark))
-        rows = shared_target_encode(train, cols, label, [e.out for e in encoders], order_by, prior, keep, counted=counted, path=paths[-1])
+        rows = shared_target_encode(train, cols, label, [e.out for e in encoders], order_by, encoders[0].unseen, keep,
+                                    counted=counted, path=paths[-1])
         if rows is not None:
-            return encoders, rows
+            return rows
     for e, c, some in zip(encoders, cols, few):  # every encoding stores its rows, and the one before is not read any more
         paths.append(scratch_path(spark))
         if some and not order_by:
-            train = hashed_target_encode(train, c, label, e.out, prior, counted=counted, path=paths[-1])
+            train = hashed_target_encode(train, c, label, e.out, e.unseen, counted=counted, path=paths[-1])
         else:
             order = [*order_by, F.xxhash64(*[F.col(_quoted(k)) for k in train.columns])]
-            train = ordered_target_encode(train, c, label, e.out, order, prior, counted=counted, path=paths[-1])
-        for path in paths[:-1]:
+            train = ordered_target_encode(train, c, label, e.out, order, e.unseen, counted=counted, path=paths[-1])
+        for path in [p for p in paths[:-1] if p not in others]:
             drop_stored(spark, path)
-        del paths[:-1]
-    return encoders, train
+            paths.remove(path)
+    return train
+
+
+def _few(encoder: CategoryEncoder, train: DataFrame) -> bool:
+    return encoder.levels.rows * _parts(train, None) <= CARRIED_SUMS
 
 
 def encode_for_linear(train: DataFrame, col: str):
@@ -116,6 +127,11 @@ def encode_for_linear(train: DataFrame, col: str):
     return encoder, encoder.apply(train)
 
 
+def filled_expr(col: str, med: dict) -> str:
+    """SQL of a numeric whose NULL and NaN are its median, or 0 without one."""
+    return f"coalesce(nanvl(CAST({_quoted(col)} AS DOUBLE), NULL), {float(med[col] or 0.0)!r}D)"
+
+
 def feature_stages(df: DataFrame, num_cols: list[str], encoders: list[CategoryEncoder], linear: bool = False,
                    med: dict | None = None) -> list:
     """Stages that assemble ``features``; the encoders' columns are there already.
@@ -125,7 +141,7 @@ def feature_stages(df: DataFrame, num_cols: list[str], encoders: list[CategoryEn
     """
     from tabsieve.operators.transform import medians
     med = med if med is not None else medians(df, num_cols) if num_cols else {}
-    filled = {c: f"coalesce(nanvl(CAST({_quoted(c)} AS DOUBLE), NULL), {float(med[c] or 0.0)!r}D)" for c in num_cols}
+    filled = {c: filled_expr(c, med) for c in num_cols}
     if linear and filled:
         row = df.agg(*[f(F.expr(e)).alias(f"{n}{i}") for i, e in enumerate(filled.values())
                        for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -188,18 +204,23 @@ class FittedModel:
 
 @dataclass
 class Prepared:
-    """What fits of one set of rows and features share: the rows with their categories encoded, and the medians."""
+    """What fits of one set of rows and features share: their medians, and the rows with their categories encoded or as
+    bins, both made when a fit first asks for them."""
 
     src: DataFrame
-    rows: DataFrame
+    encode: Callable[[], DataFrame]
     label: str
     num_cols: list
     cat_cols: list
     kind: str
     weight: str | None
+    val: str | None
     encoders: list[CategoryEncoder]
     med: dict
     paths: list
+    hashed: bool = False
+    records: Packed | None = None
+    made: DataFrame | None = None
     binned: dict = field(default_factory=dict)
     lock: Lock = field(default_factory=Lock)
 
@@ -209,32 +230,59 @@ class Prepared:
         if self.kind == "gbt" and boosting.trains(classifier, len(stages[-1].getInputCols())):
             model = PipelineModel([*stages, boosting.boost(self._bins(stages, classifier), classifier)])
         else:
-            model = Pipeline(stages=[*stages, classifier]).fit(self.rows)
+            with self.lock:
+                rows = self._rows()
+            model = Pipeline(stages=[*stages, classifier]).fit(rows)
         _drop_summary(self.src.sparkSession, model.stages[-1])
         return FittedModel(model, self.num_cols, self.cat_cols, self.kind, self.encoders)
 
+    def _rows(self) -> DataFrame:
+        if self.made is None:
+            self.made = self.encode()
+        return self.made
+
     def _bins(self, stages: list, classifier) -> boosting.Binned:
         """The rows as bins, stored once for all fits with the same bins."""
         val = classifier.getOrDefault("validationIndicatorCol") if classifier.isSet("validationIndicatorCol") else None
         key = classifier.getMaxBins(), classifier.getSeed(), val
         column = lambda name: F.col(_quoted(name)) if name else None
         with self.lock:
-            if key not in self.binned:
-                rows = self.rows
-                for stage in stages[:-1]:
-                    rows = stage.transform(rows)
-                self.paths.append(scratch_path(rows.sparkSession))
-                self.binned[key] = boosting.bin_rows(rows, [column(c) for c in stages[-1].getInputCols()], column(self.label),
-                                                     column(self.weight), column(val), key[0], key[1], self.paths[-1])
+            if key in self.binned:
+                return self.binned[key]
+            spark, records = self.src.sparkSession, self.records
+            if self.hashed and val == self.val:  # statistics in hash order need no rows
+                if records is None or not records.holds(self.src.columns, key):
+                    self.paths.append(scratch_path(spark))
+                    records = pack_rows(self.src, self.num_cols, self.encoders, [self.src.columns], self.label, self.weight, val,
+                                        self.med, *key[:2], self.paths[-1])
+                if records is not None and records.holds(self.src.columns, key):
+                    self.paths.append(scratch_path(spark))
+                    self.binned[key] = encoded_bins(records, self.src.columns, self.num_cols, self.cat_cols, key[1], self.paths[-1])
+                    return self.binned[key]
+            rows = self._rows()
+            for stage in stages[:-1]:
+                rows = stage.transform(rows)
+            self.paths.append(scratch_path(spark))
+            self.binned[key] = boosting.bin_rows(rows, [column(c) for c in stages[-1].getInputCols()], column(self.label),
+                                                 column(self.weight), column(val), *key[:2], self.paths[-1])
             return self.binned[key]
 
 
+def pack_rows(src: DataFrame, num_cols, encoders: list[CategoryEncoder], orders: list[list[str]], label: str, weight: str | None,
+              val: str | None, med: dict, bins: int, seed: int, path: str) -> Packed | None:
+    """``src`` as records (see ``pack``) with its numerics filled by their medians."""
+    return pack(src, {c: F.expr(filled_expr(c, med)) for c in num_cols}, [e.levels.col for e in encoders],
+                {e.levels.col: e.levels for e in encoders}, orders, label, weight, val, encoders[0].unseen, bins, seed, path)
+
+
 @contextmanager
 def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt", weight: str | None = None,
-             val: str | None = None, order_by: list[str] | None = None, med: dict | None = None, held: bool = False):
+             val: str | None = None, order_by: list[str] | None = None, med: dict | None = None, held: bool = False,
+             encoders: list[CategoryEncoder] | None = None, records: Packed | None = None):
     """The ``Prepared`` rows of a fit, or of several that differ in their parameters only; released at the end.
 
-    ``held`` says that the caller keeps the columns of ``train`` in the cache already.
+    ``held`` says that the caller keeps the columns of ``train`` in the cache already. ``encoders`` (of trees) and
+    ``records`` (of these rows, with more features) are made if they are not known.
     """
     from tabsieve.operators.transform import medians
     # without stored rows, the statistics and the estimator each scan the input: read it once, then release it
@@ -245,18 +293,23 @@ def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt"
     held = held or stores
     src = src if held else src.persist()
     try:
-        encoders, rows = [], src
+        rows, hashed, encode = src, False, lambda: src
         counted = ~F.col(_quoted(val)) if val else None
         if stores:
             keep = list(dict.fromkeys([*num_cols, label, *filter(None, [weight, val])]))
-            encoders, rows = encode_for_trees(src, list(cat_cols), label, order_by or [], counted, keep, paths)
+            encoders = encoders or tree_encoders(src, list(cat_cols), label, counted)
+            encode = lambda: encode_for_trees(src, encoders, label, order_by or [], counted, keep, paths)
+            hashed = kind == "gbt" and not order_by and all(_few(e, src) for e in encoders)
+            rows = None if hashed else encode()
+        else:
+            encoders = []
         for c in cat_cols if kind == "lr" else []:
             encoder, rows = encode_for_linear(rows, c)
             if encoder.levels.rows:  # a category without a level has no slot
                 encoders.append(encoder)
         codes = rows.persist() if encoders and kind == "lr" else None
-        med = med if med is not None else medians(rows, list(num_cols)) if num_cols else {}
-        yield Prepared(src, rows, label, list(num_cols), list(cat_cols), kind, weight, encoders, med, paths)
+        med = med if med is not None else medians(src if rows is None else rows, list(num_cols)) if num_cols else {}
+        yield Prepared(src, encode, label, list(num_cols), list(cat_cols), kind, weight, val, encoders, med, paths, hashed, records, rows)
     finally:
         if codes is not None:
             codes.unpersist()
@@ -268,11 +321,13 @@ def prepared(train: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt"
 
 def fit_classifier(train: DataFrame, label: str, num_cols: list[str], cat_cols: list[str], kind: str = "gbt",
                    weight: str | None = None, params: dict | None = None, seed: int = 42,
-                   order_by: list[str] | None = None, med: dict | None = None) -> FittedModel:
+                   order_by: list[str] | None = None, med: dict | None = None, encoders: list[CategoryEncoder] | None = None,
+                   records: Packed | None = None) -> FittedModel:
     """Fit on numerics and categories of any width. Trees read a category as ordered target statistics in the order of
-    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels. ``med`` holds the medians of the numerics, if they are known."""
+    ``order_by`` (a hash order without it), linear models as one-hot slots of its levels. ``med`` holds the medians of the numerics, if they are known;
+    ``encoders`` and ``records`` are those of ``prepared``."""
     val = (params or {}).get("validationIndicatorCol")
-    with prepared(train, label, num_cols, cat_cols, kind, weight, val, order_by, med) as rows:
+    with prepared(train, label, num_cols, cat_cols, kind, weight, val, order_by, med, encoders=encoders, records=records) as rows:
         return rows.fit(params, seed)
 
 
@@ -489,26 +544,50 @@ def tune_params(df: DataFrame, label: str, num_cols, cat_cols, space: dict, n_tr
     return spark.createDataFrame(rows, "trial int, params string, folds int, mean_score double, state string")
 
 
-def _inputs(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols) -> tuple[DataFrame, DataFrame, dict]:
-    """The columns that refits on subsets of the features read, cached, and the medians that all of them share."""
-    from tabsieve.operators.transform import medians
-    train, valid = (df.select(*[F.col(_quoted(c)) for c in dict.fromkeys([*num_cols, *cat_cols, label])]).persist() for df in (train, valid))
-    return train, valid, medians(train, num_cols)
+class Refits:
+    """Fits on subsets of the features, scored on ``valid``: the columns that they read are cached, and medians, level
+    statistics and the records of boosted trees are made once for all ``subsets`` (of numerics and categories)."""
+
+    def __init__(self, train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols, subsets: list, kind: str, params: dict | None):
+        from tabsieve.operators.transform import medians
+        self.train, self.valid = (df.select(*[F.col(_quoted(c)) for c in dict.fromkeys([*num_cols, *cat_cols, label])]).persist()
+                                  for df in (train, valid))
+        self.spark, self.label, self.kind, self.params, self.path = train.sparkSession, label, kind, params or {}, None
+        self.med, self.encoders, self.records = medians(self.train, num_cols), [], None
+        if cat_cols and kind != "lr":
+            self.encoders = tree_encoders(self.train, list(cat_cols), label, None)
+        classifier = _classifier(kind, label, None, self.params)
+        if (kind == "gbt" and self.encoders and all(_few(e, self.train) for e in self.encoders)
+                and boosting.trains(classifier, len(num_cols) + len(cat_cols))):
+            self.path = scratch_path(self.spark)
+            orders = [list(dict.fromkeys([*n, *c, label])) for n, c in subsets if c]
+            self.records = pack_rows(self.train, num_cols, self.encoders, orders, label, None, self.params.get("validationIndicatorCol"),
+                                     self.med, classifier.getMaxBins(), classifier.getSeed(), self.path)
+
+    def ap(self, num_cols, cat_cols, positive: int) -> float:
+        own = [e for e in self.encoders if e.levels.col in cat_cols]
+        fm = fit_classifier(self.train, self.label, num_cols, cat_cols, self.kind, None, self.params, med=self.med, encoders=own,
+                            records=self.records)
+        return ap_of(fm.transform(self.valid), self.label, positive)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.train.unpersist()
+        self.valid.unpersist()
+        if self.path:
+            drop_stored(self.spark, self.path)
 
 
 def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols, cat_cols, kind: str = "gbt",
                       params: dict | None = None, positive: int = 0, threads: int = THREADS) -> DataFrame:
     """Refit without each feature, concurrently; (feature, ap, delta_vs_baseline). Inputs are cached once, without other
     columns."""
-    train, valid, med = _inputs(train, valid, label, num_cols, cat_cols)
-
-    def ap_without(drop):
-        n, c = ([x for x in cols if x != drop] for cols in (num_cols, cat_cols))
-        return ap_of(fit_classifier(train, label, n, c, kind, None, params or {}, med=med).transform(valid), label, positive)
     features = [*num_cols, *cat_cols]
-    base, *found = concurrently(train.sparkSession, [functools.partial(ap_without, c) for c in [None, *features]], threads)
-    train.unpersist()
-    valid.unpersist()
+    subsets = [tuple([x for x in cols if x != drop] for cols in (num_cols, cat_cols)) for drop in [None, *features]]
+    with Refits(train, valid, label, num_cols, cat_cols, subsets, kind, params) as refits:
+        base, *found = concurrently(train.sparkSession, [functools.partial(refits.ap, n, c, positive) for n, c in subsets], threads)
     return train.sparkSession.createDataFrame([("<baseline>", base, 0.0)] + [(c, ap, ap - base) for c, ap in zip(features, found)],
                                               "feature string, ap double, delta double")
 
@@ -516,22 +595,18 @@ def drop_one_ablation(train: DataFrame, valid: DataFrame, label: str, num_cols,
 def tail_pruning(train: DataFrame, valid: DataFrame, label: str, ranked: list[str], num_cols, cat_cols,
                  sizes: list[int], kind: str = "gbt", params: dict | None = None, positive: int = 0) -> DataFrame:
     """Drop the n least important features for n in ``sizes``; stop at the first improvement."""
-    train, valid, med = _inputs(train, valid, label, num_cols, cat_cols)
-    base = ap_of(fit_classifier(train, label, num_cols, cat_cols, kind, None, params or {}, med=med).transform(valid),
-                 label, positive)
-    rows = [(0, base, False)]
-    for n in sizes:
+    def without(n):
         drop = set(ranked[-n:]) if n > 0 else set()
-        n2 = [c for c in num_cols if c not in drop]
-        c2 = [c for c in cat_cols if c not in drop]
-        if not n2 and not c2:
-            continue
-        ap = ap_of(fit_classifier(train, label, n2, c2, kind, None, params or {}, med=med).transform(valid), label, positive)
-        rows.append((n, ap, ap > base))
-        if ap > base:
-            break
-    train.unpersist()
-    valid.unpersist()
+        return [c for c in num_cols if c not in drop], [c for c in cat_cols if c not in drop]
+    subsets = [(n, without(n)) for n in sizes if any(without(n))]
+    with Refits(train, valid, label, num_cols, cat_cols, [(num_cols, cat_cols), *(s for _, s in subsets)], kind, params) as refits:
+        base = refits.ap(num_cols, cat_cols, positive)
+        rows = [(0, base, False)]
+        for n, own in subsets:
+            ap = refits.ap(*own, positive)
+            rows.append((n, ap, ap > base))
+            if ap > base:
+                break
     return train.sparkSession.createDataFrame(rows, "dropped int, ap double, improved boolean")
 
 
